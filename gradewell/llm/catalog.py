@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import exact_dedup, packing
+from gradewell.llm import exact_dedup, packing, secrets
+from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,38 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), Scratch(spark, "secret-ledger").root)
+
+
+OP6_SQL = r"""
+WITH rules(k, kind, pat, grp, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+()', 0, 20),
+  (2, 'hex', '[0-9a-f]+()', 0, 24)),
+texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS (
+  SELECT doc_id, k, kind, least, string_split_regex(t, pat) AS gaps, regexp_extract_all(t, pat, 0) AS found,
+         CASE WHEN grp = 2 THEN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE regexp_extract_all(t, pat, 0) END AS kept
+  FROM texts CROSS JOIN rules),
+each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hits),
+spans AS (
+  SELECT doc_id, k, kind, length(found[i]) AS n,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM each WHERE length(kept[i]) >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op2_packing": op2_packing, "op6_secret_scan": op6_secret_scan, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op6_secret_scan": OP6_SQL, "op9_exact_dedup": OP9_SQL}
