@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import exact_dedup, packing, secrets
+from gradewell.llm import exact_dedup, language, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -30,6 +30,14 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), Scratch(spark, "secret-ledger").root)
 
@@ -60,7 +68,13 @@ FROM documents LEFT JOIN listed USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op6_secret_scan": op6_secret_scan, "op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op2_packing": op2_packing,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_language_id": op5_language_id,
+        "op6_secret_scan": op6_secret_scan,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
