@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import exact_dedup, language, packing, quality, secrets
+from gradewell.llm import exact_dedup, language, minhash, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -30,6 +30,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +74,7 @@ FROM documents LEFT JOIN listed USING (doc_id)
 def queries() -> dict[str, Query]:
     return {
         "op2_packing": op2_packing,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_language_id": op5_language_id,
         "op6_secret_scan": op6_secret_scan,
