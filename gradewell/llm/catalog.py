@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import exact_dedup, language, minhash, packing, quality, secrets
+from gradewell.llm import embeddings, exact_dedup, language, minhash, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +77,7 @@ FROM documents LEFT JOIN listed USING (doc_id)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op2_packing": op2_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_quality_classifier": op4_quality_classifier,
