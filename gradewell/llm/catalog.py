@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import embeddings, exact_dedup, language, minhash, packing, quality, secrets
+from gradewell.llm import embeddings, exact_dedup, language, minhash, mixing, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_language_id": op5_language_id,
         "op6_secret_scan": op6_secret_scan,
+        "op7_source_mixing": op7_source_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 

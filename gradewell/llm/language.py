@@ -23,6 +23,7 @@ from gradewell.llm.samples import sample_ids, sample_texts
 
 #: The model is fitted on at most so many labelled texts a language, of at most so many characters each.
 SAMPLE_PER_LANGUAGE = 800
+SAMPLE_ROWS = 3200
 SAMPLE_CHARS = 20_000
 BITS = 13
 PIECE_CHARS = 400_000
@@ -168,7 +169,7 @@ def held_out() -> Column:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """Fitted on a bounded sample of the rows with a language that aren't held out."""
     rows = docs.where(~held_out() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"))
-    return fit(sample_texts(docs, sample_ids(rows, per_language), SAMPLE_CHARS))
+    return fit(sample_texts(docs, sample_ids(rows, per_language, total=SAMPLE_ROWS), SAMPLE_CHARS))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 #: Labels beyond the most frequent ones aren't learned.
 MAX_LABELS = 64
+#: With many labels, each gets its share of so many rows.
+MAX_ROWS = 16_000
 _SLOTS = 1 << 30
 
 
-def sample_ids(rows: DataFrame, per_label: int, max_labels: int = MAX_LABELS) -> DataFrame:
+def sample_ids(rows: DataFrame, per_label: int, max_labels: int = MAX_LABELS, total: int = MAX_ROWS) -> DataFrame:
     """Of ``rows`` (doc_id, label): at most ``per_label`` ids a label, chosen by a hash of the id; doc_id, label.
 
-    The result has at most ``per_label * max_labels`` rows. Nulls are left out;
+    The result has at most ``total`` rows. Nulls are left out;
     an id with several labels counts with the least of them.
     """
     spark = rows.sparkSession
@@ -22,6 +24,7 @@ def sample_ids(rows: DataFrame, per_label: int, max_labels: int = MAX_LABELS) ->
     schema = "doc_id long, label string"
     if not counts:
         return spark.createDataFrame([], schema)
+    per_label = max(1, min(per_label, total // len(counts)))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
     share = F.lit(-1)
     for r in counts:
