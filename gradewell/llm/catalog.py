@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradewell.llm import embeddings, exact_dedup, language, minhash, mixing, packing, quality, secrets
+from gradewell.llm import embeddings, exact_dedup, language, lm_scores, minhash, mixing, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -27,6 +28,31 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores.score_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")])
+
+
+OP8_SQL = r"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+places AS (SELECT doc_id, len(ws) AS n, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM texts)),
+corpus AS (SELECT count(*) AS n_all FROM places),
+one AS (SELECT w, count(*) AS c FROM places GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY v, w),
+own1 AS (SELECT doc_id, w, count(*) AS c FROM places GROUP BY doc_id, w),
+own2 AS (SELECT doc_id, v, w, count(*) AS c FROM places WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+joined AS (
+  SELECT p.doc_id, p.n, p.v, n_all - p.n AS rest, one.c - own1.c AS cw, before.c - own_before.c AS cv, two.c - own2.c AS cvw
+  FROM places p CROSS JOIN corpus JOIN one ON one.w = p.w JOIN own1 ON own1.doc_id = p.doc_id AND own1.w = p.w
+  LEFT JOIN one before ON before.w = p.v LEFT JOIN own1 own_before ON own_before.doc_id = p.doc_id AND own_before.w = p.v
+  LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN own2 ON own2.doc_id = p.doc_id AND own2.v = p.v AND own2.w = p.w),
+alone AS (SELECT *, CASE WHEN cw > 0 THEN ln(cw) - ln(greatest(rest, 1)) ELSE -ln(rest + 1) END AS own FROM joined),
+sums AS (SELECT doc_id, max(n) AS n, sum(CASE WHEN v IS NULL THEN own WHEN cvw > 0 THEN ln(cvw) - ln(greatest(cv, 1)) ELSE ln(0.4) + own END) AS s FROM alone GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score, round(coalesce(s / n, 0), 6) AS mean_log_score
+FROM documents LEFT JOIN sums USING (doc_id)
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -88,9 +114,10 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_secret_scan": op6_secret_scan,
         "op7_source_mixing": op7_source_mixing,
+        "op8_lm_scores": op8_lm_scores,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op6_secret_scan": OP6_SQL, "op8_lm_scores": OP8_SQL, "op9_exact_dedup": OP9_SQL}
