@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import embeddings, exact_dedup, language, lm_scores, minhash, mixing, packing, quality, secrets
+from gradewell.llm import embeddings, exact_dedup, html_text, language, lm_scores, minhash, mixing, packing, quality, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -105,6 +105,10 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -116,6 +120,7 @@ def queries() -> dict[str, Query]:
         "op7_source_mixing": op7_source_mixing,
         "op8_lm_scores": op8_lm_scores,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_html_text": op10_html_text,
     }
 
 
