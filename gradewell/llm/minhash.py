@@ -131,14 +131,23 @@ def _sign(width: int):
     return run
 
 
-def _to_sets(width: int):
+def with_sets(roles: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``roles`` (doc and others) with each document's full set, as bytes.
+
+    Texts move by document id at every size of the input: whether one side would
+    fit a broadcast is not left to chance.
+    """
+    kept = roles.columns
+    schema = ", ".join(f"{n} {t}" for n, t in roles.dtypes) + ", words binary"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _batches(batches, ["leader", "salt", "member", "doc", "text"]):
-            out = part[["leader", "salt", "member", "doc"]].copy()
+        for part in _batches(batches, [*kept, "text"]):
+            out = part[kept].copy()
             out["words"] = [s.tobytes() for s in shingle_sets([None if pd.isna(t) else t for t in part["text"]], width)]
             yield out
 
-    return run
+    named = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").hint("merge")
+    return roles.join(named, "doc").select(*kept, "text").mapInPandas(run, schema)
 
 
 def _confirm(percent: int):
@@ -152,11 +161,8 @@ def _confirm(percent: int):
                 s = np.frombuffer(data, dtype=np.uint64)
                 if not member:
                     group, own = (leader, salt), s
-                elif group == (leader, salt) and len(s) and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
-                    at = np.searchsorted(own, s)
-                    common = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-                    if 100 * common >= percent * (len(s) + len(own) - common):
-                        links.append((leader, doc))
+                elif group == (leader, salt) and len(s) and similar(own, s, percent):
+                    links.append((leader, doc))
             yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
@@ -172,31 +178,77 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("doc"))
     leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("doc"))
     roles = members.union(leaders).withColumnRenamed("a", "leader")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sets = roles.join(named, "doc").select("leader", "salt", "member", "doc", "text").mapInPandas(_to_sets(width), "leader long, salt int, member int, doc long, words binary")
+    sets = with_sets(roles, docs, width)
     return sets.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member").mapInPandas(_confirm(percent), "a long, b long")
 
 
-def _tile(limit: int):
-    """Pairs across components in one tile whose low bits differ in at most ``limit`` minima."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        rows = rows.sort_values("doc")
-        left = rows[rows["block"] == key[1]]
-        right = rows[rows["block"] == key[2]] if key[1] != key[2] else left
-        if len(left) and len(right):
-            sig = [np.stack(x["sig"].tolist()).astype(np.int64).reshape(-1, BITS, 2) for x in (left, right)]
-            comp, doc = [x["component"].to_numpy() for x in (left, right)], [x["doc"].to_numpy() for x in (left, right)]
-            for i in range(0, len(left), 128):
-                differ = np.zeros((len(sig[0][i : i + 128]), len(right), 2), dtype=np.int64)
-                for k in range(BITS):
-                    differ |= sig[0][i : i + 128, None, k] ^ sig[1][None, :, k]
-                near = (np.bitwise_count(differ).sum(axis=2) <= limit) & (comp[0][i : i + 128, None] != comp[1][None, :])
-                a, b = np.nonzero(near)
-                a, b = doc[0][a + i], doc[1][b]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets that aren't empty."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Whole groups of rows that are sorted by ``keys``."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(values[a].tolist())
+            if held and key != last:
+                yield last, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.iloc[a:b])
+            last = key
+    if held:
+        yield last, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def tile_links(rows: pd.DataFrame, ti: int, tj: int, limit: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between different components in one tile of a bucket.
+
+    Components that a link joins are one from then on, so their other pairs are
+    not compared. A pair is compared in the first band that both share.
+    """
+    left = np.flatnonzero(rows["block"].to_numpy() == ti)
+    right = left if ti == tj else np.flatnonzero(rows["block"].to_numpy() == tj)
+    if not len(left) or not len(right):
+        return []
+    docs, band = rows["doc"].tolist(), int(rows["band"].iat[0])
+    _, local = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    sig = np.stack(rows["sig"].tolist()).astype(np.int64).reshape(-1, BITS, 2)
+    bands = np.stack(rows["bands"].tolist())[:, :band]
+    sets = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
+    links = []
+    for at, x in enumerate(left.tolist()):
+        others = right[at + 1 :] if ti == tj else right
+        others = others[local[others] != local[x]]
+        if not len(others):
+            continue
+        differ = np.zeros((len(others), 2), dtype=np.int64)
+        for k in range(BITS):
+            differ |= sig[others, k] ^ sig[x, k]
+        m = np.bitwise_count(differ).sum(axis=1)
+        near = (m <= limit) & ~(bands[others] == bands[x]).any(axis=1)
+        for y in others[near][np.argsort(m[near], kind="stable")].tolist():
+            if local[x] != local[y] and similar(sets[x], sets[y], percent):
+                links.append((docs[x], docs[y]))
+                local[local == local[y]] = local[x]
+    return links
+
+
+def _tiles(limit: int, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, ti, tj), rows in _runs(batches, ["key", "ti", "tj"]):
+            links = tile_links(rows, ti, tj, limit, percent)
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -236,12 +288,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     blocks = F.ceil(F.col("n") / tile).cast("int")
     dealt = placed.join(several, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
-    dealt = dealt.join(nodes.select("doc", "sig"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")}).select("key", "ti", "tj", "doc", "component", "block", "sig")
-    across = scratch.keep(dealt.groupBy("key", "ti", "tj").applyInPandas(_tile(limit), "a long, b long").distinct(), "across")
-    second = scratch.keep(confirm(across, texts, width, percent), "second")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
+    dealt = dealt.select("key", "ti", "tj", "block", "doc", "component").join(nodes.select("doc", "sig", "bands"), "doc")
+    dealt = dealt.withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1).select("key", "ti", "tj", "block", "band", "doc", "component", "sig", "bands")
+    tiles = with_sets(dealt, texts, width).repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "doc")
+    second = scratch.keep(tiles.mapInPandas(_tiles(limit, percent), "a long, b long"), "second")
     found = components(first.union(second), scratch, "pass2")
-    scratch.drop("best", "buckets", "placed", "across")
+    scratch.drop("best", "buckets", "placed")
     classes = nodes.select("set_id", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
