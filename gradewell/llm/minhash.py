@@ -222,7 +222,7 @@ def tile_links(rows: pd.DataFrame, ti: int, tj: int, limit: int, percent: int) -
         return []
     docs, band = rows["doc"].tolist(), int(rows["band"].iat[0])
     _, local = np.unique(rows["component"].to_numpy(), return_inverse=True)
-    sig = np.stack(rows["sig"].tolist()).astype(np.int64).reshape(-1, BITS, 2)
+    sig = np.stack(rows["sig"].tolist()).astype(np.int64).view(np.uint64).reshape(-1, BITS, 2)
     bands = np.stack(rows["bands"].tolist())[:, :band]
     sets = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
     links = []
@@ -231,7 +231,7 @@ def tile_links(rows: pd.DataFrame, ti: int, tj: int, limit: int, percent: int) -
         others = others[local[others] != local[x]]
         if not len(others):
             continue
-        differ = np.zeros((len(others), 2), dtype=np.int64)
+        differ = np.zeros((len(others), 2), dtype=np.uint64)  # numpy counts the bits of a signed number's magnitude
         for k in range(BITS):
             differ |= sig[others, k] ^ sig[x, k]
         m = np.bitwise_count(differ).sum(axis=1)
