@@ -56,10 +56,10 @@ class Directory:
         for b, (first, local, _) in enumerate(self.buckets):
             at = first >> (max_depth - self.depth)
             self.slots[at : at + (1 << (self.depth - local))] = b
-        owners, held = [], bucket_bytes
+        owners, held = [], 0
         for _, _, n in self.buckets:  # buckets are in key order; small neighbours share an owner
-            if held + n > bucket_bytes:
-                owners.append((owners[-1] + 1) if owners else 0)
+            if not owners or held + n > bucket_bytes:
+                owners.append(owners[-1] + 1 if owners else 0)
                 held = 0
             else:
                 owners.append(owners[-1])
