@@ -37,8 +37,9 @@ def _letters() -> np.ndarray:
 
 def places(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all letter pairs and triples, and the text that each belongs to."""
-    codes = np.frombuffer("\0\0".join([*texts, ""]).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    ends = np.cumsum([len(t.lower()) + 2 for t in texts])
+    texts = [t.lower() for t in texts]
+    codes = np.frombuffer("".join([f"\0{t}\0" for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum([len(t) + 2 for t in texts])
     codes = np.where(_letters()[codes], codes, np.uint32(0))
     one = codes * _A
     two = (one[:-1] + codes[1:] * _B) ^ np.uint32(0x5BD1E995)
@@ -84,12 +85,18 @@ class LanguageModel:
     slopes: np.ndarray
 
     def margins(self, texts: Sequence[str]) -> np.ndarray:
-        """Of each machine for each text; texts are read in pieces that overlap by two characters."""
+        """Of each machine for each text; long texts are read in pieces that end where a word does."""
         pieces, owner = [], []
         for i, t in enumerate(texts):
-            for at in range(0, max(len(t), 1), PIECE_CHARS):
-                pieces.append(t[max(at - 2, 0) : at + PIECE_CHARS] if at else t[:PIECE_CHARS])
+            at = 0
+            while at < len(t) or not at:
+                cut = len(t)
+                if cut - at > PIECE_CHARS:
+                    space = t.rfind(" ", at + 1, at + PIECE_CHARS)
+                    cut = space if space > at else at + PIECE_CHARS
+                pieces.append(t[at:cut])
                 owner.append(i)
+                at = max(cut, 1)
         sums, n = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts))
         first = 0
         while first < len(pieces):
