@@ -11,7 +11,7 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>?"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|</?[a-zA-Z][^>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
