@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_FEATURES = 20_000
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -23,8 +24,6 @@ def weights(texts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     split = texts.select("grp", "doc", words.alias("w"))
     tf = split.select("grp", "doc", F.explode(F.concat("w", pairs)).alias("term")).groupBy("grp", "doc", "term").agg(F.count("*").alias("tf"))
     terms = tf.groupBy("grp", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("total"), "term"))
     terms = terms.withColumn("k", rank).where(F.col("k") <= max_features)
     raw = tf.join(terms.select("grp", "term", "df"), ["grp", "term"]).join(sizes, "grp").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
@@ -35,9 +34,10 @@ def weights(texts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
 def similarities(texts: DataFrame, anchors: list[str]) -> DataFrame:
     """``texts`` (grp, doc, text) -> grp, doc and a cosine to each anchor text of the group (zero if it shares no term)."""
     w = weights(texts)
-    out = texts.where(~F.col("doc").isin(anchors)).select("grp", "doc")
-    for anchor in anchors:
-        a = w.where(F.col("doc") == anchor).select("grp", "term", F.col("weight").alias("v"))
-        sims = w.where(~F.col("doc").isin(anchors)).join(a, ["grp", "term"]).groupBy("grp", "doc").agg(F.sum(F.col("weight") * F.col("v")).alias(f"sim_{anchor}"))
-        out = out.join(sims, ["grp", "doc"], "left").withColumn(f"sim_{anchor}", F.coalesce(f"sim_{anchor}", F.lit(0.0)))
-    return out
+    a = w.where(F.col("doc").isin(anchors)).select("grp", "term", F.col("doc").alias("anchor"), F.col("weight").alias("v"))
+    product = F.col("weight") * F.col("v")
+    # one join for all anchors; what they share is summed by anchor
+    sums = [F.sum(F.when(F.col("anchor") == x, product)).alias(f"sim_{x}") for x in anchors]
+    sims = w.where(~F.col("doc").isin(anchors)).join(a, ["grp", "term"]).groupBy("grp", "doc").agg(*sums)
+    out = texts.where(~F.col("doc").isin(anchors)).select("grp", "doc").join(sims, ["grp", "doc"], "left")
+    return out.select("grp", "doc", *[F.coalesce(f"sim_{x}", F.lit(0.0)).alias(f"sim_{x}") for x in anchors])
