@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,14 @@ def graded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumns({"pts": F.col("value"), "issues": F.array(issue)})
 
 
-def _scalar(name: str, source: str, key: str, column: Column, sql: str, where: str | None = None) -> None:
-    """A query that computes one expression ``v`` for every row of a table."""
+def _scalar(name: str, source: str, key: str, column: Callable[[], Column], sql: str, where: str | None = None) -> None:
+    """A query that computes one expression ``v`` for every row of a table; columns need a session, so it is made when the query runs."""
     oracle = f"SELECT {key}, {sql} AS v FROM {source}" + (f" WHERE {where}" if where else "")
 
     @register(name, oracle)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = graded_events(spark, sf_dir) if source == "events" else table(spark, sf_dir, source)
-        return (rows.where(where) if where else rows).select(key, column.alias("v"))
+        return (rows.where(where) if where else rows).select(key, column().alias("v"))
 
 
 @register("op_030_key_range_filter", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_brand, 'Brand#1') AND contains(p_type, 'E')")
@@ -49,20 +51,23 @@ def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", key.alias("key")).select("event_id", "key", parts[0].alias("year"), parts[1].alias("tema"), parts[2].alias("pid"))
 
 
-_PROP = F.get_json_object("props", "$.k")
-_scalar("op_032_lenient_float", "events", "event_id", C.float_or(F.when(F.col("event_id") % 3 == 0, F.concat(_PROP, F.lit("x"))).otherwise(_PROP)), "coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') || 'x' ELSE json_extract_string(props, '$.k') END AS DOUBLE), 0.0)")
-_scalar("op_033_default_value", "documents", "doc_id", C.text_or(F.when(F.col("doc_id") % 4 == 0, F.lit("")).when(F.col("doc_id") % 4 == 1, F.lit(None)).otherwise(F.col("lang")), "unknown"), "coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE lang END, ''), 'unknown')")
-_scalar("op_041_score_bucket", "events", "event_id", C.score_bucket(F.col("value"), 50.0), "CASE WHEN value >= 50 THEN 'passing' ELSE 'failing' END")
-_scalar("op_042_size_class", "documents", "doc_id", C.size_class(F.octet_length("text")), "CASE WHEN strlen(text) <= 200 THEN 'tiny' WHEN strlen(text) <= 5000 THEN 'small' WHEN strlen(text) <= 200000 THEN 'medium' WHEN strlen(text) <= 5000000 THEN 'large' ELSE 'stress' END")
-_scalar("op_043_discriminator", "orders", "o_orderkey", C.discriminates(F.col("o_totalprice")), "CASE WHEN o_totalprice > 200000 THEN 'complexity' ELSE 'correctness' END")
-_scalar("op_044_edge_case_name", "part", "p_partkey", C.edge_case_name(F.col("p_type")), "regexp_matches(lower(p_type), 'edge|corner|stress|small|big')")
+def _prop() -> Column:
+    return F.get_json_object("props", "$.k")
+
+
+_scalar("op_032_lenient_float", "events", "event_id", lambda: C.float_or(F.when(F.col("event_id") % 3 == 0, F.concat(_prop(), F.lit("x"))).otherwise(_prop())), "coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') || 'x' ELSE json_extract_string(props, '$.k') END AS DOUBLE), 0.0)")
+_scalar("op_033_default_value", "documents", "doc_id", lambda: C.text_or(F.when(F.col("doc_id") % 4 == 0, F.lit("")).when(F.col("doc_id") % 4 == 1, F.lit(None)).otherwise(F.col("lang")), "unknown"), "coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE lang END, ''), 'unknown')")
+_scalar("op_041_score_bucket", "events", "event_id", lambda: C.score_bucket(F.col("value"), 50.0), "CASE WHEN value >= 50 THEN 'passing' ELSE 'failing' END")
+_scalar("op_042_size_class", "documents", "doc_id", lambda: C.size_class(F.octet_length("text")), "CASE WHEN strlen(text) <= 200 THEN 'tiny' WHEN strlen(text) <= 5000 THEN 'small' WHEN strlen(text) <= 200000 THEN 'medium' WHEN strlen(text) <= 5000000 THEN 'large' ELSE 'stress' END")
+_scalar("op_043_discriminator", "orders", "o_orderkey", lambda: C.discriminates(F.col("o_totalprice")), "CASE WHEN o_totalprice > 200000 THEN 'complexity' ELSE 'correctness' END")
+_scalar("op_044_edge_case_name", "part", "p_partkey", lambda: C.edge_case_name(F.col("p_type")), "regexp_matches(lower(p_type), 'edge|corner|stress|small|big')")
 
 _S = f"lower({ISSUES_SQL})"
-_scalar("op_045_verdict", "events", "event_id", C.verdict(F.col("pts"), F.col("issues")), f"CASE WHEN value >= 99.999 THEN 'OK' WHEN regexp_matches({_S}, 'compile|compilation|ce') THEN 'CE' WHEN regexp_matches({_S}, 'runtime|segmentation') THEN 'RE' WHEN regexp_matches({_S}, 'tle|time limit') THEN 'TLE' WHEN regexp_matches({_S}, 'mle|memory limit') THEN 'MLE' WHEN contains({_S}, 'wa') OR value < 100 THEN 'WA' ELSE 'OTHER' END")
+_scalar("op_045_verdict", "events", "event_id", lambda: C.verdict(F.col("pts"), F.col("issues")), f"CASE WHEN value >= 99.999 THEN 'OK' WHEN regexp_matches({_S}, 'compile|compilation|ce') THEN 'CE' WHEN regexp_matches({_S}, 'runtime|segmentation') THEN 'RE' WHEN regexp_matches({_S}, 'tle|time limit') THEN 'TLE' WHEN regexp_matches({_S}, 'mle|memory limit') THEN 'MLE' WHEN contains({_S}, 'wa') OR value < 100 THEN 'WA' ELSE 'OTHER' END")
 _W = "(^|[^a-z0-9_])({})([^a-z0-9_]|$)"
-_scalar("op_045_verdict_strict", "events", "event_id", C.verdict_strict(F.col("pts"), F.col("issues")), f"CASE WHEN value >= 99.999 THEN 'OK' WHEN regexp_matches({_S}, '{_W.format('compile|compilation|ce')}') THEN 'CE' WHEN regexp_matches({_S}, '{_W.format('runtime|segmentation')}') THEN 'RE' WHEN regexp_matches({_S}, '{_W.format('tle|time limit')}') THEN 'TLE' WHEN regexp_matches({_S}, '{_W.format('mle|memory limit')}') THEN 'MLE' WHEN regexp_matches({_S}, '{_W.format('wa')}') OR value < 100 THEN 'WA' ELSE 'OTHER' END")
+_scalar("op_045_verdict_strict", "events", "event_id", lambda: C.verdict_strict(F.col("pts"), F.col("issues")), f"CASE WHEN value >= 99.999 THEN 'OK' WHEN regexp_matches({_S}, '{_W.format('compile|compilation|ce')}') THEN 'CE' WHEN regexp_matches({_S}, '{_W.format('runtime|segmentation')}') THEN 'RE' WHEN regexp_matches({_S}, '{_W.format('tle|time limit')}') THEN 'TLE' WHEN regexp_matches({_S}, '{_W.format('mle|memory limit')}') THEN 'MLE' WHEN regexp_matches({_S}, '{_W.format('wa')}') OR value < 100 THEN 'WA' ELSE 'OTHER' END")
 _REPORT = f"CASE WHEN value = 100 THEN 'OK' WHEN regexp_matches({_S}, 'compile|compilation|ce') AND NOT contains({_S}, 'wa') THEN 'CE' WHEN regexp_matches({_S}, 'runtime|segmentation|re ') THEN 'RE' WHEN regexp_matches({_S}, 'tle|time limit|timeout') THEN 'TLE' WHEN regexp_matches({_S}, 'mle|memory limit') THEN 'MLE' WHEN contains({_S}, 'wa') OR value < 100 THEN 'WA' ELSE 'OTHER' END"
-_scalar("op_046_verdict_report", "events", "event_id", C.verdict_report(F.col("pts"), F.col("issues")), _REPORT)
+_scalar("op_046_verdict_report", "events", "event_id", lambda: C.verdict_report(F.col("pts"), F.col("issues")), _REPORT)
 
 
 @register("op_034_membership_filter", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -137,11 +142,9 @@ def language_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(C.dominance(F.array_sort(F.collect_set("lang"))).alias("v"))
 
 
-_SIM = "(0.8 + (event_id % 23) / 100.0)::DOUBLE"
-_SIM_C = (F.lit(0.8) + F.col("event_id") % 23 / F.lit(100.0)).cast("double")
-_scalar("op_048_similarity_bucket", "events", "event_id", C.similarity_bucket(F.col("value") / 100), "CASE WHEN value / 100 >= 0.97 THEN 'high' WHEN value / 100 >= 0.85 THEN 'medium' ELSE 'low' END")
-_scalar("op_049_hint_level", "events", "event_id", C.hint_level(F.col("event_type"), F.col("value") / 100), "CASE WHEN event_type = 'intent' THEN 'macro' WHEN event_type = 'function' THEN 'structural' WHEN value / 100 >= 0.97 THEN 'very_specific' WHEN value / 100 >= 0.85 THEN 'specific' ELSE 'structural' END")
-_scalar("op_050_closeness", "events", "event_id", C.closeness(F.when(F.col("event_id") % 7 != 0, F.col("value") / 100)), "CASE WHEN event_id % 7 <> 0 AND value / 100 >= 0.98 THEN 'almost identical' WHEN event_id % 7 <> 0 AND value / 100 >= 0.90 THEN 'similar' ELSE 'different' END")
+_scalar("op_048_similarity_bucket", "events", "event_id", lambda: C.similarity_bucket(F.col("value") / 100), "CASE WHEN value / 100 >= 0.97 THEN 'high' WHEN value / 100 >= 0.85 THEN 'medium' ELSE 'low' END")
+_scalar("op_049_hint_level", "events", "event_id", lambda: C.hint_level(F.col("event_type"), F.col("value") / 100), "CASE WHEN event_type = 'intent' THEN 'macro' WHEN event_type = 'function' THEN 'structural' WHEN value / 100 >= 0.97 THEN 'very_specific' WHEN value / 100 >= 0.85 THEN 'specific' ELSE 'structural' END")
+_scalar("op_050_closeness", "events", "event_id", lambda: C.closeness(F.when(F.col("event_id") % 7 != 0, F.col("value") / 100)), "CASE WHEN event_id % 7 <> 0 AND value / 100 >= 0.98 THEN 'almost identical' WHEN event_id % 7 <> 0 AND value / 100 >= 0.90 THEN 'similar' ELSE 'different' END")
 
 
 @register(
@@ -156,20 +159,27 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(missing, ",").alias("missing"))
 
 
-_NAME = F.concat(F.lit("sub_"), F.date_format("ts", "yyyy.MM.dd__HH.mm.ss"), F.when(F.col("event_id") % 5 == 0, "").otherwise(".zip"))
-_scalar("op_052_name_time", "events", "event_id", C.submitted_at(F.when(F.col("event_id") % 4 == 0, F.lit("upload.zip")).otherwise(_NAME)).cast("timestamp_ntz"), "CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END")
-_FILE = F.concat(F.lit("anon_"), F.col("user_id"), F.lit("_"), F.col("event_id") % 101, F.when(F.col("event_id") % 6 == 0, ".txt").when(F.col("event_id") % 6 < 3, ".cpp").otherwise(".java"))
+def _name() -> Column:
+    return F.concat(F.lit("sub_"), F.date_format("ts", "yyyy.MM.dd__HH.mm.ss"), F.when(F.col("event_id") % 5 == 0, "").otherwise(".zip"))
+
+
+_scalar("op_052_name_time", "events", "event_id", lambda: C.submitted_at(F.when(F.col("event_id") % 4 == 0, F.lit("upload.zip")).otherwise(_name())).cast("timestamp_ntz"), "CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END")
+
+
+def _file() -> Column:
+    return F.concat(F.lit("anon_"), F.col("user_id"), F.lit("_"), F.col("event_id") % 101, F.when(F.col("event_id") % 6 == 0, ".txt").when(F.col("event_id") % 6 < 3, ".cpp").otherwise(".java"))
+
+
 _FILE_SQL = "'anon_' || user_id || '_' || (event_id % 101) || CASE WHEN event_id % 6 = 0 THEN '.txt' WHEN event_id % 6 < 3 THEN '.cpp' ELSE '.java' END"
-_parsed = C.solution_file(_FILE)
 
 
 @register("op_053_solution_file", f"SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN 'anon_' || user_id END AS anon, CASE WHEN event_id % 6 <> 0 THEN (event_id % 101)::DOUBLE END AS score, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 < 3 THEN 'cpp' ELSE 'java' END AS ext FROM events")
 def parse_solution_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", _parsed.alias("f")).select("event_id", "f.anon", "f.score", "f.ext")
+    return table(spark, sf_dir, "events").select("event_id", C.solution_file(_file()).alias("f")).select("event_id", "f.anon", "f.score", "f.ext")
 
 
-_scalar("op_054_score_in_name", "events", "event_id", C.score_in_name(F.when(F.col("event_id") % 9 == 0, F.lit("noscore.cpp")).otherwise(_FILE), 50.0), "CASE WHEN event_id % 9 = 0 THEN 50.0::DOUBLE ELSE (event_id % 101)::DOUBLE END")
-_scalar("op_055_leading_integer", "events", "event_id", C.leading_integer(F.concat(F.when(F.col("event_id") % 5 == 0, F.lit("n = ")).otherwise(F.lit("  -")), F.col("user_id").cast("string"), F.lit(" rest"))), "CASE WHEN event_id % 5 <> 0 THEN -user_id END")
+_scalar("op_054_score_in_name", "events", "event_id", lambda: C.score_in_name(F.when(F.col("event_id") % 9 == 0, F.lit("noscore.cpp")).otherwise(_file()), 50.0), "CASE WHEN event_id % 9 = 0 THEN 50.0::DOUBLE ELSE (event_id % 101)::DOUBLE END")
+_scalar("op_055_leading_integer", "events", "event_id", lambda: C.leading_integer(F.concat(F.when(F.col("event_id") % 5 == 0, F.lit("n = ")).otherwise(F.lit("  -")), F.col("user_id").cast("string"), F.lit(" rest"))), "CASE WHEN event_id % 5 <> 0 THEN -user_id END")
 
 
 @register(
@@ -190,18 +200,18 @@ def nonempty_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hint_sets(spark, sf_dir).select("conv_id", F.size(kept).cast("long").alias("n"))
 
 
-_scalar("op_058_integer_or_text", "events", "event_id", F.coalesce(F.trim(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.col("user_id"))).otherwise(F.lit("10m"))).try_cast("bigint"), F.lit(-1)), "coalesce(try_cast(trim(CASE WHEN event_id % 2 = 0 THEN ' ' || user_id ELSE '10m' END) AS BIGINT), -1)")
-_scalar("op_059_variant_family", "events", "event_id", C.is_bootstrap(F.when(F.col("event_id") % 3 == 0, "bootstrap_full").otherwise("silver_full")), "event_id % 3 = 0")
+_scalar("op_058_integer_or_text", "events", "event_id", lambda: F.coalesce(F.trim(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.col("user_id"))).otherwise(F.lit("10m"))).try_cast("bigint"), F.lit(-1)), "coalesce(try_cast(trim(CASE WHEN event_id % 2 = 0 THEN ' ' || user_id ELSE '10m' END) AS BIGINT), -1)")
+_scalar("op_059_variant_family", "events", "event_id", lambda: C.is_bootstrap(F.when(F.col("event_id") % 3 == 0, "bootstrap_full").otherwise("silver_full")), "event_id % 3 = 0")
 
 _U = r"[\p{L}\p{N}_]+"
-_scalar("op_120_word_tokens", "benchmark", "item_id", F.array_join(T.word_tokens(F.col("text")), "|"), rf"array_to_string(regexp_extract_all(text, '{_U}'), '|')")
-_scalar("op_121_word_count", "documents", "doc_id", T.word_count(F.col("text")), f"len(regexp_extract_all(text, '{_U}'))::BIGINT")
-_scalar("op_122_sentence_count", "documents", "doc_id", T.sentence_count(F.col("text")), "greatest(1, len(regexp_extract_all(text, '[.!?]+')))::BIGINT")
-_scalar("op_123_whitespace_words", "documents", "doc_id", T.whitespace_words(F.col("text")), r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::BIGINT")
-_scalar("op_123_closing_marks", "documents", "doc_id", T.closing_marks(F.col("text")), "greatest(1, length(text) - length(translate(text, '.!?', '')))::BIGINT")
+_scalar("op_120_word_tokens", "benchmark", "item_id", lambda: F.array_join(T.word_tokens(F.col("text")), "|"), rf"array_to_string(regexp_extract_all(text, '{_U}'), '|')")
+_scalar("op_121_word_count", "documents", "doc_id", lambda: T.word_count(F.col("text")), f"len(regexp_extract_all(text, '{_U}'))::BIGINT")
+_scalar("op_122_sentence_count", "documents", "doc_id", lambda: T.sentence_count(F.col("text")), "greatest(1, len(regexp_extract_all(text, '[.!?]+')))::BIGINT")
+_scalar("op_123_whitespace_words", "documents", "doc_id", lambda: T.whitespace_words(F.col("text")), r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::BIGINT")
+_scalar("op_123_closing_marks", "documents", "doc_id", lambda: T.closing_marks(F.col("text")), "greatest(1, length(text) - length(translate(text, '.!?', '')))::BIGINT")
 _LINES = r"list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
-_scalar("op_124_loc", "documents", "doc_id", T.loc(F.col("text")), rf"len(list_filter({_LINES}, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)')))::BIGINT")
-_scalar("op_125_code_lines", "documents", "doc_id", F.md5(F.array_join(T.code_lines(F.col("text")), "\n")), rf"md5(array_to_string(list_transform(list_filter({_LINES}, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)') AND NOT regexp_matches(x, '\*/$')), lambda x: regexp_replace(x, '\s+', ' ', 'g')), chr(10)))")
+_scalar("op_124_loc", "documents", "doc_id", lambda: T.loc(F.col("text")), rf"len(list_filter({_LINES}, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)')))::BIGINT")
+_scalar("op_125_code_lines", "documents", "doc_id", lambda: F.md5(F.array_join(T.code_lines(F.col("text")), "\n")), rf"md5(array_to_string(list_transform(list_filter({_LINES}, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)') AND NOT regexp_matches(x, '\*/$')), lambda x: regexp_replace(x, '\s+', ' ', 'g')), chr(10)))")
 
 
 @register(
@@ -214,22 +224,22 @@ def identifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("item_id", "token").agg(F.count("*").alias("n"))
 
 
-_scalar("op_12c_repair_diacritics", "benchmark", "item_id", T.repair_diacritics(F.concat(F.lit("ˆınt ˘a S, T, "), F.left("text", F.lit(80)))), "regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('înt ă S, T, ' || left(text, 80), '(^|[^\\p{L}\\p{N}_])s\\s*,\\s*', '\\1ș', 'g'), '(^|[^\\p{L}\\p{N}_])S\\s*,\\s*', '\\1Ș', 'g'), '(^|[^\\p{L}\\p{N}_])t\\s*,\\s*', '\\1ț', 'g'), '(^|[^\\p{L}\\p{N}_])T\\s*,\\s*', '\\1Ț', 'g'), 's,', 'ș'), 't,', 'ț'), 'S,', 'Ș'), 'T,', 'Ț'), ' {2,}', ' ', 'g')")
-_scalar("op_12j_statement_provenance", "documents", "doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "cached:").otherwise("fresh:"), F.left(F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.col("lang")), F.lit(20))), "CASE WHEN doc_id % 3 = 0 THEN 'cached:' ELSE 'fresh:' END || left(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, lang), 20)")
-_scalar("op_12k_truncate", "documents", "doc_id", F.md5(T.truncate(F.col("text"), 600, "\n[cut]")), "md5(CASE WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '[cut]' ELSE text END)")
-_scalar("op_12l_strip_fences", "benchmark", "item_id", T.strip_fences(F.concat(F.lit("\n```json\n"), F.trim("text"), F.lit("\n```\n"))), r"regexp_replace(trim(text), '^\s+|\s+$', '', 'g')")
-_scalar("op_12o_bullets", "region", "r_regionkey", T.bullets(F.split("r_name", " ")), "array_to_string(list_transform(string_split(r_name, ' '), lambda x: '- ' || x), chr(10))")
-_scalar("op_12o_numbered", "nation", "n_nationkey", T.numbered(F.split("n_name", "_")), "array_to_string(list_transform(string_split(n_name, '_'), lambda x, i: i || '. ' || x), chr(10))")
-_scalar("op_12o_chain_summary", "benchmark", "item_id", T.chain_summary(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 6).cast("int"))), "CASE WHEN item_id % 6 = 0 THEN 'none' WHEN item_id % 6 > 3 THEN array_to_string(string_split(text, ' ')[1:3], ' -> ') || ' (+' || (item_id % 6 - 3) || ' more)' ELSE array_to_string(string_split(text, ' ')[1:item_id % 6], ' -> ') END")
-_scalar("op_12q_content_key", "documents", "doc_id", T.content_key(F.col("text")), "left(sha1(text), 16)")
-_scalar("op_089_numbers_masked", "events", "event_id", T.numbers_masked(F.element_at("issues", 1)), f"lower(trim(regexp_replace({ISSUES_SQL}, '-?\\d+', '<N>', 'g')))")
-
-_scalar("op_136_rounding", "orders", "o_orderkey", F.round(F.col("o_totalprice") / 7, 4), "round(o_totalprice / 7, 4)")
-_scalar("op_13c_intent_mismatch", "labels", "doc_id", ~F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("quality") == 1), F.lit(True)), "NOT coalesce(CASE WHEN doc_id % 3 <> 0 THEN quality = 1 END, true)")
-_scalar("op_13e_struct_defaults", "events", "event_id", F.coalesce(F.get_json_object(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("{}")), "$.k").cast("bigint"), F.lit(0)), "coalesce(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::BIGINT END, 0)")
-_scalar("op_13g_array_prefix", "benchmark", "item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), "|"), "array_to_string(string_split(text, ' ')[1:4], '|')")
-_scalar("op_13h_flatten", "benchmark", "item_id", F.array_join(F.flatten(F.array(F.slice(F.split("text", " "), 1, 2), F.slice(F.split("text", " "), 3, 2))), "|"), "array_to_string(flatten([string_split(text, ' ')[1:2], string_split(text, ' ')[3:4]]), '|')")
-_scalar("op_13j_iso_time", "events", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "strftime(ts, '%Y-%m-%dT%H:%M:%S')")
+_scalar("op_12c_repair_diacritics", "benchmark", "item_id", lambda: T.repair_diacritics(F.concat(F.lit("ˆınt ˘a S, T, "), F.left("text", F.lit(80)))), "regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('înt ă S, T, ' || left(text, 80), '(^|[^\\p{L}\\p{N}_])s\\s*,\\s*', '\\1ș', 'g'), '(^|[^\\p{L}\\p{N}_])S\\s*,\\s*', '\\1Ș', 'g'), '(^|[^\\p{L}\\p{N}_])t\\s*,\\s*', '\\1ț', 'g'), '(^|[^\\p{L}\\p{N}_])T\\s*,\\s*', '\\1Ț', 'g'), 's,', 'ș'), 't,', 'ț'), 'S,', 'Ș'), 'T,', 'Ț'), ' {2,}', ' ', 'g')")
+_scalar("op_12j_statement_provenance", "documents", "doc_id", lambda: F.concat(F.when(F.col("doc_id") % 3 == 0, "cached:").otherwise("fresh:"), F.left(F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.col("lang")), F.lit(20))), "CASE WHEN doc_id % 3 = 0 THEN 'cached:' ELSE 'fresh:' END || left(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, lang), 20)")
+_scalar("op_12k_truncate", "documents", "doc_id", lambda: F.md5(T.truncate(F.col("text"), 600, "\n[cut]")), "md5(CASE WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '[cut]' ELSE text END)")
+_scalar("op_12l_strip_fences", "benchmark", "item_id", lambda: T.strip_fences(F.concat(F.lit("\n```json\n"), F.trim("text"), F.lit("\n```\n"))), r"regexp_replace(trim(text), '^\s+|\s+$', '', 'g')")
+_scalar("op_12o_bullets", "region", "r_regionkey", lambda: T.bullets(F.split("r_name", " ")), "array_to_string(list_transform(string_split(r_name, ' '), lambda x: '- ' || x), chr(10))")
+_scalar("op_12o_numbered", "nation", "n_nationkey", lambda: T.numbered(F.split("n_name", "_")), "array_to_string(list_transform(string_split(n_name, '_'), lambda x, i: i || '. ' || x), chr(10))")
+_scalar("op_12o_chain_summary", "benchmark", "item_id", lambda: T.chain_summary(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 6).cast("int"))), "CASE WHEN item_id % 6 = 0 THEN 'none' WHEN item_id % 6 > 3 THEN array_to_string(string_split(text, ' ')[1:3], ' -> ') || ' (+' || (item_id % 6 - 3) || ' more)' ELSE array_to_string(string_split(text, ' ')[1:item_id % 6], ' -> ') END")
+_scalar("op_12q_content_key", "documents", "doc_id", lambda: T.content_key(F.col("text")), "left(sha1(text), 16)")
+_scalar("op_089_numbers_masked", "events", "event_id", lambda: T.numbers_masked(F.element_at("issues", 1)), f"lower(trim(regexp_replace({ISSUES_SQL}, '-?\\d+', '<N>', 'g')))")
+
+_scalar("op_136_rounding", "orders", "o_orderkey", lambda: F.round(F.col("o_totalprice") / 7, 4), "round(o_totalprice / 7, 4)")
+_scalar("op_13c_intent_mismatch", "labels", "doc_id", lambda: ~F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("quality") == 1), F.lit(True)), "NOT coalesce(CASE WHEN doc_id % 3 <> 0 THEN quality = 1 END, true)")
+_scalar("op_13e_struct_defaults", "events", "event_id", lambda: F.coalesce(F.get_json_object(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("{}")), "$.k").cast("bigint"), F.lit(0)), "coalesce(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::BIGINT END, 0)")
+_scalar("op_13g_array_prefix", "benchmark", "item_id", lambda: F.array_join(F.slice(F.split("text", " "), 1, 4), "|"), "array_to_string(string_split(text, ' ')[1:4], '|')")
+_scalar("op_13h_flatten", "benchmark", "item_id", lambda: F.array_join(F.flatten(F.array(F.slice(F.split("text", " "), 1, 2), F.slice(F.split("text", " "), 3, 2))), "|"), "array_to_string(flatten([string_split(text, ' ')[1:2], string_split(text, ' ')[3:4]]), '|')")
+_scalar("op_13j_iso_time", "events", "event_id", lambda: F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "strftime(ts, '%Y-%m-%dT%H:%M:%S')")
 
 
 @register(
