@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from itertools import combinations
 
@@ -37,6 +38,14 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == want
 
 
+def test_components_of_paths_whose_least_id_is_far(spark):
+    ids = random.Random(1).sample(range(1000, 2000), 400)
+    links = [(k, k + 1) for k in range(10, 160)] + [(160, 1)] + list(zip(ids, ids[1:], strict=False))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    assert got == joined({x for p in links for x in p}, links)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").isEmpty()
+
+
 # --- vectors
 
 
