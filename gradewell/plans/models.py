@@ -172,7 +172,7 @@ def longest_chunks(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("
 def find_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered sections, on documents whose lines are numbered."""
     lines = F.transform(T.lines(F.col("text")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". part "), (i + 1).cast("string"), F.lit("\n"), x))
-    rows = table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
     spark.udtf.register("sections_of", S.Sections)
     rows.createOrReplaceTempView("numbered_documents")
     return spark.sql("SELECT doc_id, s.start, s.title, length(s.body) AS n_chars FROM numbered_documents, LATERAL sections_of(text) s")

@@ -1,15 +1,18 @@
 """Operators on small frames; properties of splits, resumption and trimming."""
 
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from gradewell.functions import statements
 from gradewell.operators import contracts, gaps, pairing, providers, rubric
 from gradewell.operators.diffs import difference, diff_lines, summary
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
+from gradewell.plans import models
 from gradewell.sources import archives, files
 
 
@@ -165,3 +168,19 @@ def test_lines_and_folders(spark, tmp_path):
     (folder / "anon_1_40.cpp").write_text("int x;")
     (folder / "bad.cpp").write_text("int y;")
     assert [tuple(r) for r in files.read_solutions(spark, f"file://{tmp_path}/sol").collect()] == [("2024", "sum", "anon_1", 40.0, "cpp", "int x;")]
+
+
+def test_sections_of_long_and_uncounted_documents(spark, tmp_path):
+    line = "a line that is long enough to be the body of a section of its own"
+    texts = {1: line, 2: "\n".join([line] * 60), 3: f"{line}\r\n{line}\n", 4: "", 5: None}
+    docs = spark.createDataFrame([(i, t, None if i == 3 or t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in texts.items():
+        parts = re.split(r"\r\n|\n|\r", t) if t is not None else []
+        parts = parts[:-1] if parts and not parts[-1] else parts
+        found = statements.sections("\n".join(f"{k}. part {k}\n{x}" for k, x in enumerate(parts, 1)))
+        want += [(i, start, title, len(body)) for start, title, body in found]
+    got = sorted(map(tuple, models.find_sections(spark, str(tmp_path)).collect()))
+    assert got == sorted(want)
+    assert {i: sum(r[0] == i for r in got) for i in texts} == {1: 1, 2: 60, 3: 2, 4: 0, 5: 0}
