@@ -25,7 +25,9 @@ from gradewell.llm.bytehash import mix, words
 from gradewell.llm.components import components
 from gradewell.llm.shared import Scratch
 
-MINIMA, BANDS, ROWS, BITS = 128, 21, 6, 4
+MINIMA, BITS = 128, 4
+#: A pair at the threshold shares no band with this probability at most.
+MISS = 5e-5
 #: A pair at the threshold has this many standard deviations of the estimate to spare before it is passed over.
 SPARE = 4.5
 #: Texts that are hashed at a time, in characters.
@@ -73,13 +75,21 @@ def minima(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def signature(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_and_rows(threshold: float) -> tuple[int, int]:
+    """Bands of the most rows that reach MISS at the threshold; below 0.08 single minima, which miss more."""
+    for rows in range(MINIMA, 0, -1):
+        if (1 - threshold**rows) ** (MINIMA // rows) <= MISS:
+            return MINIMA // rows, rows
+    return MINIMA, 1
+
+
+def signature(low: np.ndarray, bands: int = 21, rows: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Bit planes of the low bits (two longs for each of four bits) and the bands' hashes."""
     kept = low ^ (low >> np.uint32(16))
     planes = [np.packbits((kept >> np.uint32(k) & np.uint32(1)).astype(np.uint8)) for k in range(BITS)]
-    cut = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _C2
-    for k in range(ROWS):
+    cut = low[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * _C2
+    for k in range(rows):
         h = mix(h * _C1 + cut[:, k])
     return np.concatenate(planes).view(np.int64), h.view(np.int64)
 
@@ -114,14 +124,14 @@ def _batches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd
             yield part
 
 
-def _sign(width: int):
+def _sign(width: int, bands: int, rows_each: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _batches(batches, ["doc_id", "text"]):
             rows = []
             for s in shingle_sets([None if pd.isna(t) else t for t in part["text"]], width):
                 if len(s):
-                    planes, bands = signature(minima(s))
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), planes, bands))
+                    planes, hashes = signature(minima(s), bands, rows_each)
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), planes, hashes))
                 else:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_id", "sig", "bands"])
@@ -264,12 +274,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
     whose component_id is null and which aren't kept. Repeated rows are counted
     as one document and reported each. An empty table gives an empty result.
 
-    At a similarity of 0.85, 21 bands of 6 minima miss 5 in 100,000 pairs.
+    Bands follow ``percent`` so that a pair at the threshold is missed with
+    probability MISS at most: 21 of 6 minima at 85, 25 of 5 at 80.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     limit = most_mismatches(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep(texts.mapInPandas(_sign(width), _SIGNED), "signed")
+    signed = scratch.keep(texts.mapInPandas(_sign(width, *bands_and_rows(percent / 100)), _SIGNED), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = scratch.keep(usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("set_id", F.col("x.doc_id").alias("doc"), "x.sig", "x.bands"), "nodes")
     rows = nodes.select("doc", "sig", F.explode("bands").alias("key"))
@@ -302,7 +313,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of near-duplicates, and all others, with all their columns."""
-    stay = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    whole = docs.join(stay, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    return whole.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: one of each group of near-duplicates, and all others, with all their columns.
+
+    Links name documents by id, so rows without one, and each of several texts
+    that share an id, stay, and near copies of these may; repeated rows of an id
+    count once.
+    """
+    own, content = F.col("doc_id").cast("long"), F.xxhash64("text", F.col("text").isNull())
+    stay = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id"))
+    several = docs.where(own.isNotNull()).groupBy(own.alias("__id")).agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low < high").select("__id")
+    named = docs.join(stay.union(several).distinct(), own == F.col("__id"), "left_semi")
+    named = named.withColumn("__content", content).dropDuplicates(["doc_id", "__content"]).drop("__content")
+    return named.union(docs.where(own.isNull()))

@@ -150,6 +150,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9, 11, 12]
 
 
+def test_rows_without_an_id_and_texts_that_share_one_stay(spark):
+    rows = [(None, "one two"), (None, None), (9, prose(1, 80)), (9, prose(2, 80)), (9, prose(2, 80)), (9, None), (3, prose(3, 80)), (4, edited(prose(3, 80), 1, 1))]
+    kept = minhash.keep_one(frame(spark, rows))
+    want = [(None, "one two"), (None, None), (9, prose(1, 80)), (9, prose(2, 80)), (9, None), (3, prose(3, 80))]
+    order = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=order) == sorted(want, key=order)
+
+
+def test_bands_reach_the_stated_miss():
+    for percent in (50, 70, 80, 85, 95, 100):
+        bands, rows = minhash.bands_and_rows(percent / 100)
+        assert bands * rows <= minhash.MINIMA and (1 - (percent / 100) ** rows) ** bands <= 5e-5
+    assert minhash.bands_and_rows(0.85) == (21, 6) and minhash.bands_and_rows(0.8) == (25, 5)
+
+
 def test_no_documents_to_compare(spark):
     assert minhash.near_duplicates(frame(spark, [])).isEmpty()
     assert minhash.near_duplicates(frame(spark, [(1, None)])).first()["component_id"] == 1
