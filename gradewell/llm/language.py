@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.samples import sample_ids, sample_texts
 
-#: The model is fitted on at most so many labelled texts a language, of at most so many characters each.
+#: The model is fitted on at most so many labelled texts a language, of at most so many characters together;
+#: with more languages than four each gets its share of SAMPLE_ROWS texts, one at least.
 SAMPLE_PER_LANGUAGE = 800
 SAMPLE_ROWS = 3200
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8_000_000
 BITS = 13
 PIECE_CHARS = 400_000
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
@@ -182,9 +183,13 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
 def identify(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, lang; other columns are not read): doc_id, held_out, lang_pred, score.
 
-    Texts are read whole. Null texts and those without a letter are ``und`` with
-    score 0, and so is every text if there is nothing to learn from. Repeated
-    rows get the same answer each; a null doc_id isn't held out.
+    Texts are read whole; those of more than PIECE_CHARS in pieces that end at a
+    space, or inside a run that is longer itself, where two letter triples are
+    then read without their neighbours. Null texts and those without a letter
+    are ``und`` with score 0, and so is every text if there is nothing to learn
+    from. Every language that a row with a text names is learned. Repeated rows
+    get the same answer each; a null doc_id isn't held out. An empty table gives
+    an empty result.
     """
     model = train(docs)
 

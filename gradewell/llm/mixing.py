@@ -65,7 +65,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: in
     """From ``labelled`` (doc_id, label): presence counts of features in the sampled documents of each domain."""
     rows = labelled.where(F.col("label").isin(domains))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a domain
-    ids = sample_ids(rows, per_domain, len(domains))
+    ids = sample_ids(rows, per_domain)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     # at most per_domain ids a domain, so the broadcast side is bounded
     sampled = text.join(F.broadcast(ids), "doc_id").select("label", features(words(F.col("text"))).alias("f"))

@@ -4,14 +4,13 @@ Two zstandard dictionaries are built, one from texts labelled good and one from
 texts labelled bad. A text is cut into blocks, each block is compressed with
 either dictionary, and the difference of the summed sizes, divided by the
 text's length, says which dictionary knows its wording better. A logistic curve
-fitted on labelled texts that the dictionaries haven't seen turns the
-difference (with the compressed share and the length, which tell repetition and
-short texts) into a score.
+of this one number, bent so that extreme texts don't rule it, is fitted on
+labelled texts that the dictionaries haven't seen and turns it into a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +20,16 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.samples import sample_ids, sample_texts
 
-#: The model is fitted on at most so many labelled texts a class, of at most so many characters each.
+#: The model is fitted on at most so many labelled texts a class, of at most so many characters together.
 SAMPLE_PER_LABEL = 3000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 24_000_000
 DICTIONARY_BYTES = 65_536
+#: A dictionary is trained on a random sample of at most so many blocks of its class's texts.
+DICTIONARY_BLOCKS = 20_000
 BLOCK_BYTES = 512
 LEVEL = 3
+#: The calibration's curve bends here: differences (bytes saved for each byte) far beyond it are all alike.
+BEND = 1 / 30
 THRESHOLD = 0.3
 
 
@@ -39,11 +42,10 @@ class CompressionModel:
     good: bytes
     bad: bytes
     raw: tuple[bool, bool]  # a dictionary of too few samples is plain content
-    center: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray  # the last is the intercept
+    slope: float = 0.0
+    intercept: float = 0.0
 
-    def _compressors(self):
+    def compressors(self) -> list[Callable[[bytes], bytes]]:
         import zstandard
 
         out = []
@@ -53,38 +55,42 @@ class CompressionModel:
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         return out
 
-    def features(self, texts: Sequence[str | None], compressors=None) -> np.ndarray:
-        good, bad = compressors or self._compressors()
-        out = np.zeros((len(texts), 4))
+    def differences(self, texts: Sequence[str | None], compressors: list | None = None) -> np.ndarray:
+        """Bytes that the good dictionary saves against the bad one, for each byte of text; 0 for no text."""
+        good, bad = compressors or self.compressors()
+        out = np.zeros(len(texts))
         for i, t in enumerate(texts):
             data = (t or "").encode("utf-8", "surrogatepass")
-            if not data:
-                continue
-            g = b = 0
-            for block in _blocks(data):
-                g += len(good(block))
-                b += len(bad(block))
-            difference = (b - g) / len(data)
-            out[i] = difference, np.tanh(difference * 30), np.log(g / len(data)), np.log(len(data))
+            if data:
+                out[i] = sum(len(bad(block)) - len(good(block)) for block in _blocks(data)) / len(data)
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = (features - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.tanh(differences / BEND) + self.intercept, -30, 30)))
 
 
 def _dictionary(texts: list[str]) -> tuple[bytes, bool]:
     import zstandard
 
-    samples = [b for t in texts for b in _blocks(t.encode("utf-8", "surrogatepass"))[:40]]
-    order = np.random.default_rng(0).permutation(len(samples))
-    samples = [samples[i] for i in order[:20_000]]
+    samples = [b for t in texts for b in _blocks(t.encode("utf-8", "surrogatepass"))]
+    chosen = np.random.default_rng(0).permutation(len(samples))[:DICTIONARY_BLOCKS]
+    samples = [samples[i] for i in chosen]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes(), False
     except zstandard.ZstdError:
         return b"\n".join(samples)[-DICTIONARY_BYTES:], True
 
 
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of one number, by Newton's method with a slight ridge."""
+    center, scale = float(x.mean()), max(float(x.std()), 1e-6)
+    z, w, ridge = np.column_stack([(x - center) / scale, np.ones(len(x))]), np.zeros(2), np.diag([1.0, 1e-3])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+    return float(w[0] / scale), float(w[1] - w[0] * center / scale)
+
+
 def fit(labelled: list[tuple[int, str, str]]) -> CompressionModel | float:
     """From (doc_id, "0" or "1", text); without both classes a constant, the labelled share of good ones (0.5 if none)."""
     good = [t for _, q, t in labelled if q == "1"]
@@ -92,18 +98,10 @@ def fit(labelled: list[tuple[int, str, str]]) -> CompressionModel | float:
     if min(len(good), len(bad)) < 2:
         return (len(good) + 0.5) / (len(good) + len(bad) + 1)
     (g, g_raw), (b, b_raw) = _dictionary(good[::2]), _dictionary(bad[::2])
-    model = CompressionModel(g, b, (g_raw, b_raw), np.zeros(4), np.ones(4), np.zeros(5))
-    rest = [(1.0, t) for t in good[1::2]] + [(0.0, t) for t in bad[1::2]]
-    y = np.array([q for q, _ in rest])
-    x = model.features([t for _, t in rest])
-    model.center, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.column_stack([(x - model.center) / model.scale, np.ones(len(x))])
-    ridge = np.diag([1.0, 1.0, 1.0, 1.0, 1e-3])
-    w = np.zeros(5)
-    for _ in range(30):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-    model.weights = w
+    model = CompressionModel(g, b, (g_raw, b_raw))
+    rest = good[1::2] + bad[1::2]
+    y = np.repeat([1.0, 0.0], [len(good[1::2]), len(bad[1::2])])
+    model.slope, model.intercept = calibrate(np.tanh(model.differences(rest) / BEND), y)
     return model
 
 
@@ -118,17 +116,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 
 
 def score_column(model: CompressionModel | float, text: str = "text") -> Column:
-    """The score of each text; null and empty ones get the score of no evidence."""
+    """The score of each text; null and empty ones get the score of no difference."""
     if isinstance(model, float):
         return F.lit(model)
-    none = float(model.score(np.array([[0.0, 0.0, 0.0, np.log(BLOCK_BYTES)]]))[0])
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compressors = model._compressors()
+        compressors = model.compressors()
         for texts in batches:
-            found = model.score(model.features(texts.tolist(), compressors))
-            yield pd.Series(np.where(texts.fillna("").to_numpy() == "", none, found))
+            yield pd.Series(model.score(model.differences([None if pd.isna(t) else t for t in texts], compressors)))
 
     return score(F.col(text))
 
@@ -136,14 +132,20 @@ def score_column(model: CompressionModel | float, text: str = "text") -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not read): doc_id, held_out, score, predicted.
 
-    Texts are scored whole. Null and empty texts get the score of no evidence,
-    repeated rows the same score each; a null doc_id isn't held out. Without
-    labels of both classes every score is the labelled share of good rows.
+    Texts of any length are scored whole. Null and empty texts get the score of
+    no difference, repeated rows the same score each; a null doc_id isn't held
+    out. Without labels of both classes every score is the labelled share of
+    good rows. An empty table gives an empty result.
     """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(train(docs, labels)).alias("score"))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in
+    ``classify``; no column of ``docs`` is touched, whatever its name but
+    ``__score``.
+    """
     return docs.withColumn("__score", score_column(train(docs, labels))).where(F.col("__score") >= THRESHOLD).drop("__score")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradewell.llm import html_blocks, html_text, language, lm_scores, mixing, packing, quality, secrets
+from gradewell.llm import html_blocks, html_text, language, lm_scores, mixing, packing, quality, samples, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.llm.tokens import encoder
 from gradewell.session import table
@@ -128,6 +129,40 @@ def test_quality_held_out(spark):
     assert auc > 0.95 and (got["predicted"] == got["quality"])[good].mean() > 0.98
 
 
+def test_quality_by_brute_force(spark):
+    """Scores are the calibrated difference of sizes and nothing else, for texts of any length; the fit is logistic."""
+    import zstandard
+
+    rows, _ = labelled(spark)
+    model = quality.fit([(k, str(int(k % 3 > 0)), t) for k, t in rows])
+    texts = [t for _, t in [*rows, *ODD]]
+    got = model.score(model.differences(texts))
+    for t, s in zip(texts, got, strict=True):
+        data, sizes = (t or "").encode(), []
+        for name, raw in zip((model.good, model.bad), model.raw, strict=True):
+            d = zstandard.ZstdCompressionDict(name, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO)
+            one = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(one.compress(data[i : i + quality.BLOCK_BYTES])) for i in range(0, len(data), quality.BLOCK_BYTES)))
+        x = math.tanh((sizes[1] - sizes[0]) / max(len(data), 1) / quality.BEND)
+        assert s == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.slope * x + model.intercept)))))
+    assert model.slope > 0
+    r = np.random.default_rng(1)
+    x = r.standard_normal(4000) * 3 + 1
+    y = (r.random(4000) < 1 / (1 + np.exp(-(1.5 * x - 0.5)))).astype(float)
+    assert np.allclose(quality.calibrate(x, y), (1.5, -0.5), atol=0.15)
+
+
+def test_every_label_is_sampled(spark):
+    many = [(k, f"label{k % 700}") for k in range(2100)]
+    ids = samples.sample_ids(spark.createDataFrame([*many, (None, "x"), (5000, None)], "doc_id long, label string"), 5, total=300)
+    rows = ids.collect()
+    assert {r["label"] for r in rows} == {f"label{k}" for k in range(700)} and len(rows) == 700
+    long = [(k, "y" * 500) for k in range(50)] + [(k, "short") for k in range(50, 100)]
+    ids = spark.createDataFrame([(k, "a" if k < 50 else "b") for k in range(100)], "doc_id long, label string")
+    got = samples.sample_texts(frame(spark, [*long, (100, None)]), ids, 400)
+    assert Counter(lab for _, lab, _ in got) == {"a": 1, "b": 50} and all(len(t) == 500 for _, lab, t in got if lab == "a")
+
+
 # --- language
 
 LANGS = {"en": "the of and to in is that for with was thing other", "de": "der die und in den von zu das mit sich auf für", "fr": "le la les et des un une pour dans que est été", "es": "el los las y de que en un por con para más"}
@@ -158,6 +193,35 @@ def test_language_with_nothing_to_learn(spark):
     assert {r["lang_pred"] for r in one} == {"en"}
 
 
+def test_margins_by_brute_force():
+    """Families first, then pairs inside the family, from features counted one by one."""
+    model = language.fit([(i, lang, t) for i, t, lang in language_rows(20)])
+
+    def feature(chars, second=0):
+        h = 0
+        for c, f in zip(chars, (2654435761, 2246822519, 3266489917), strict=False):
+            h += (ord(c) if c.isalpha() else 0) * f
+        h = h % 2**32 ^ second
+        return ((h ^ h >> 15) * 3266489917 % 2**32) >> 32 - language.BITS
+
+    for text in ["der die und sich", "Los y las más, ñ!", "one, 2 the\nof"]:
+        t = "\0" + text.lower() + "\0"
+        found = [feature(t[k : k + 2], 0x5BD1E995) for k in range(len(t) - 1) if any(c.isalpha() for c in t[k : k + 2])]
+        found += [feature(t[k : k + 3]) for k in range(len(t) - 2) if t[k + 1].isalpha()]
+        want = [sum(model.weights[f, m] for f in found) / len(found) + model.weights[-1, m] for m in range(model.weights.shape[1])]
+        assert model.margins([text])[0] == pytest.approx(want, abs=1e-4)
+        name = model.predict([text])[0][0]
+        family = max(range(len(model.families)), key=lambda k: 1 / (1 + math.exp(-max(-30, min(30, want[k] * model.slopes[k])))))
+        assert name in model.families[family]
+        at = len(model.families) + sum(len(f) * (len(f) - 1) // 2 for f in model.families[:family])
+        wins = Counter()
+        for k, (a, b) in enumerate(combinations(model.families[family], 2)):
+            p = 1 / (1 + math.exp(-max(-30, min(30, want[at + k] * model.slopes[at + k]))))
+            wins[a] += p
+            wins[b] += 1 - p
+        assert not wins or wins[name] == max(wins.values())
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     model = language.fit([(i, lang, t) for i, t, lang in language_rows(20)])
     text = " ".join(t for _, t, _ in language_rows(20))
