@@ -39,7 +39,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Mixing sources to target weights by soft membership (operator 7, native).
 
-A naive Bayes classifier over hashed words, fitted on a labelled table, gives
-every document its posterior over the domains. Nonnegative document rates are
-then fitted by projected gradient so that the expected tokens of each domain
-(rate x tokens x posterior, summed) match target shares of a token budget, in
-the least-squares sense, while rates stay near one. Documents whose rounded
-posteriors agree share a rate, so the gradient runs over a table of posterior
-cells: each step is one distributed sum, of which the driver sees one number a
-domain. Everything here is DataFrame expressions.
+A naive Bayes classifier over hashed words, fitted on half of a bounded sample
+of a labelled table and tempered on the other half, gives every document its
+posterior over the domains. Nonnegative document rates are then fitted by
+projected gradient so that the expected tokens of each domain (rate x tokens x
+posterior, summed) match target shares of a token budget in the least-squares
+sense and are no further from one than they must. A gradient step moves every
+rate along its posteriors, so a rate is one less a price for each domain, weighted
+by the posteriors and projected to zero or more; the prices are all that is
+fitted. Documents whose rounded posteriors agree share a rate, so the gradient
+runs over a table of posterior cells: each step is one distributed sum, of which
+the driver sees a number a domain and the domains' Gram matrix over the rates
+above zero, whose inverse scales the step. Everything here is DataFrame
+expressions.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +30,18 @@ from gradewell.llm.shared import Scratch
 #: Words are hashed to so many features; the model is a number for each of them and each domain.
 FEATURES = 1 << 15
 #: The classifier is fitted on at most so many labelled documents a domain.
-SAMPLE_PER_DOMAIN = 1000
+SAMPLE_PER_DOMAIN = 2000
 #: Features whose counts by domain deviate from chance by less than so many standard deviations count for nothing.
 SIGNIFICANT = 4.0
 #: Each domain is given so many features of the usual kind, so that rare ones aren't overrated.
 SMOOTHING = 1000.0
-#: Posteriors are rounded to this many digits.
+#: Posteriors are rounded to this many digits, so there are at most so many cells as such posteriors.
 DIGITS = 2
-#: How strongly rates are held near one, against relative errors of domain totals.
-NEAR_ONE = 1e-3
-STEPS = 40
-SETTLED = 1e-4
-#: A rate so close to one is taken as one, so a document of the domain that needs no change isn't dropped by chance.
-SNAP = 0.05
+#: How strongly rates are held near one against the errors of domain totals: those end below so much of all tokens, times the price.
+NEAR_ONE = 1e-6
+#: Sums after which a fit that hasn't settled is an error; and the gradient, as a share of all tokens, that is none.
+STEPS = 100
+SETTLED = 1e-7
 _SLOTS = 1 << 20
 
 
@@ -47,6 +52,14 @@ class DomainModel:
     weights: list[dict[int, float]]  # of features that tell, in the same sense
 
 
+@dataclass
+class Fit:
+    prices: list[float]
+    natural: list[float]  # tokens of each domain at rates of one
+    wanted: list[float]
+    reached: list[float]
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of anything but space and 09-0D; one empty word if there is none."""
     return F.split(F.lower(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))), r"[ \t\n\x0B\f\r]+")
@@ -61,17 +74,8 @@ def features(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FEATURES - 1)).cast("int")))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = SAMPLE_PER_DOMAIN) -> DomainModel:
-    """From ``labelled`` (doc_id, label): presence counts of features in the sampled documents of each domain."""
-    rows = labelled.where(F.col("label").isin(domains))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a domain
-    ids = sample_ids(rows, per_domain)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    # at most per_domain ids a domain, so the broadcast side is bounded
-    sampled = text.join(F.broadcast(ids), "doc_id").select("label", features(words(F.col("text"))).alias("f"))
-    held = [F.count_if(F.col("label") == d).alias(f"n{k}") for k, d in enumerate(domains)]
-    # at most FEATURES rows
-    table = sampled.select("label", F.explode("f").alias("f")).groupBy("f").agg(*held).collect()
+def _weights(table: list, domains: list[str]) -> list[dict[int, float]]:
+    """Log odds of each telling feature against the last domain; ``table`` has f and n<k>, documents of each domain."""
     seen = [sum(r[f"n{k}"] for r in table) for k in range(len(domains))]
     raw: list[dict[int, float]] = [{} for _ in domains]
     for r in table if sum(map(bool, seen)) > 1 else []:
@@ -82,11 +86,42 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: in
             continue
         for k, f in enumerate(found):
             raw[k][r["f"]] = math.log((f + SMOOTHING * usual) / (seen[k] + SMOOTHING) / usual)
+    return [{f: raw[k][f] - raw[-1][f] for f in raw[k]} for k in range(len(domains) - 1)]
+
+
+def temperature(evidence: list[tuple[int, list[float]]], prior: list[float]) -> float:
+    """The factor of the evidence under which held-out labels are likeliest; 1 without any. (domain, log odds) each."""
+    if not evidence:
+        return 1.0
+    truth, odds = np.array([k for k, _ in evidence]), np.array([e for _, e in evidence])
+    start = np.append(prior, 0.0)
+
+    def loss(t: float) -> float:
+        z = start + t * odds
+        z = z - z.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
+
+    return min((2.0 ** (k / 4) for k in range(-24, 17)), key=loss)
+
+
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = SAMPLE_PER_DOMAIN) -> DomainModel:
+    """From ``labelled`` (doc_id, label): presence counts of features in one half of the sample, tempered on the other."""
+    rows = labelled.where(F.col("label").isin(domains))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a domain
     total = sum(counts.values())
     share = [(counts.get(d, 0) + 0.5) / (total + 0.5 * len(domains)) for d in domains]
-    last = len(domains) - 1
-    weights = [{f: raw[k].get(f, 0.0) - raw[last].get(f, 0.0) for f in raw[k].keys() | raw[last].keys()} for k in range(last)]
-    return DomainModel(domains, [math.log(share[k] / share[last]) for k in range(last)], weights)
+    prior = [math.log(s / share[-1]) for s in share[:-1]]
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    # at most per_domain ids a domain, so the broadcast side is bounded
+    sampled = text.join(F.broadcast(sample_ids(rows, per_domain)), "doc_id").select("label", features(words(F.col("text"))).alias("f"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("half"))
+    sampled = Scratch(docs.sparkSession, "mixing-sample").keep(sampled, "rows")
+    held = [F.count_if(F.col("label") == d).alias(f"n{k}") for k, d in enumerate(domains)]
+    # at most FEATURES rows
+    weights = _weights(sampled.where("half = 0").select("label", F.explode("f").alias("f")).groupBy("f").agg(*held).collect(), domains)
+    model = DomainModel(domains, [0.0] * len(prior), weights)
+    other = sampled.where("half = 1").select("label", scores(model, F.col("f")).alias("s")).collect()  # at most per_domain rows a domain
+    t = temperature([(domains.index(r["label"]), r["s"]) for r in other], prior)
+    return DomainModel(domains, prior, [{f: t * x for f, x in w.items()} for w in weights])
 
 
 def _numbers(values: list[float]) -> Column:
@@ -94,21 +129,27 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join("0" if v == 0 else f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
-def _sum_of(found: Column, table: Column, prior: float) -> Column:
-    return F.aggregate(found, F.lit(float(prior)), lambda s, i: s + F.get(table, i))
+def scores(model: DomainModel, found: Column) -> Column:
+    """Array of log odds against the last domain: the prior's and the words' over the root of their number.
 
+    Words of one text aren't independent; the root keeps long texts from being sure of everything.
+    """
+    root = F.sqrt(F.greatest(F.size(found), F.lit(1)))
 
-def scores(model: DomainModel, found: Column) -> Column:
-    """Array of log odds against the last domain; those of a text without telling words are the prior's."""
-    tables = [_numbers([w.get(i, 0.0) for i in range(FEATURES)]) for w in model.weights]
-    return F.array(*[_sum_of(found, t, prior) for t, prior in zip(tables, model.prior, strict=True)], F.lit(0.0))
+    def odds(weights: dict[int, float], prior: float) -> Column:
+        table = _numbers([weights.get(i, 0.0) for i in range(FEATURES)])
+        return F.aggregate(found, F.lit(0.0), lambda s, i: s + F.get(table, i)) / root + F.lit(float(prior))
+
+    return F.array(*[odds(w, prior) for w, prior in zip(model.weights, model.prior, strict=True)], F.lit(0.0))
 
 
 def _softmax(logs: Column) -> Column:
+    """Rounded posteriors; the last is what the others leave of one."""
     top = F.array_max(logs)
     odds = F.transform(logs, lambda s: F.exp(s - top))
     whole = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(odds, lambda x: F.round(x / whole, DIGITS))
+    first = F.transform(F.slice(odds, 1, F.size(odds) - 1), lambda x: F.round(x / whole, DIGITS))
+    return F.concat(first, F.array(F.greatest(F.lit(0.0), F.round(1 - F.aggregate(first, F.lit(0.0), lambda a, x: a + x), DIGITS))))
 
 
 def membership(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -118,89 +159,94 @@ def membership(docs: DataFrame, model: DomainModel) -> DataFrame:
     return hashed.withColumn("__s", scores(model, F.col("__f"))).withColumn("__p", _softmax(F.col("__s"))).drop("__w", "__f", "__s")
 
 
-def _rate(p: Column, pulls: list[list[float]]) -> Column:
-    """The rate after projected steps from one: r <- max(0, r - step * (p . pull + NEAR_ONE * (r - 1)))."""
-    if not pulls:
-        return F.lit(1.0)
-    step = 1 / (1 + NEAR_ONE)
-    history = F.split(F.lit(";".join(",".join(repr(x) for x in e) for e in pulls)), ";")
-    vectors = F.transform(history, lambda e: F.split(e, ",").cast("array<double>"))
-
-    def move(r: Column, e: Column) -> Column:
-        pull = F.aggregate(F.zip_with(p, e, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.greatest(F.lit(0.0), r * (1 - step * NEAR_ONE) + step * NEAR_ONE - step * pull)
+def _rate(p: Column, prices: list[float]) -> Column:
+    """max(0, 1 - p . prices)"""
+    cost = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in prices]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.greatest(F.lit(0.0), 1 - cost)
 
-    return F.aggregate(vectors, F.lit(1.0), move)
 
+def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fit:
+    """Scaled projected-gradient steps over ``cells`` (p array, tokens).
 
-def fit_rates(cells: DataFrame, targets: list[float], budget: float | None = None, anchor: int | None = None) -> list[list[float]]:
-    """Pulls of the projected-gradient steps over ``cells`` (p array, tokens).
-
-    ``targets`` are shares of ``budget`` tokens; with ``anchor`` the budget is
-    such that this domain's own tokens are its target.
+    ``targets`` are weights of the domains in ``budget`` times the tokens that
+    there are. What falls is a convex function of the prices whose gradient is
+    the error of the domain totals, so the steps end anywhere; where no
+    nonnegative rates reach the targets (a domain without tokens, posteriors
+    that never part), they end at the totals nearest to them in least squares. A
+    fit that doesn't settle in STEPS sums is an error.
     """
-    domains = range(len(targets))
-    sums = [F.sum(F.col("tokens") * F.element_at("p", k + 1)).alias(f"t{k}") for k in domains]
-    first = cells.agg(*sums).first()
-    natural = [float(first[f"t{k}"] or 0.0) for k in domains]
-    if not sum(natural):
-        return []
-    if anchor is not None and natural[anchor]:
-        budget = natural[anchor] / targets[anchor]
-    budget = sum(natural) if budget is None else budget
-    wanted = [t * budget / sum(targets) for t in targets]
-    pulls: list[list[float]] = []
+    n = range(len(targets))
+    rate, kept = F.col("rate"), F.col("tokens") * F.col("rate")
+    sums = [F.sum(kept * F.element_at("p", k + 1)).alias(f"t{k}") for k in n]
+    sums += [F.sum(F.when(rate > 0, F.col("tokens") * F.element_at("p", j + 1) * F.element_at("p", k + 1))).alias(f"g{j}_{k}") for j in n for k in n if j <= k]
+
+    def at(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        # a number a domain and pair of domains
+        r = cells.withColumn("rate", _rate(F.col("p"), prices.tolist())).agg(*sums, F.sum(kept * rate).alias("q")).first()
+        value = lambda name: float(r[name] or 0.0)
+        return np.array([value(f"t{k}") for k in n]), np.array([[value(f"g{min(j, k)}_{max(j, k)}") for k in n] for j in n]), value("q")
+
+    prices, far = np.zeros(len(targets)), 1.0
+    found, gram, squares = at(prices)
+    natural, whole = found.tolist(), max(float(found.sum()), 1.0)
+    wanted = np.array(targets) / sum(targets) * budget * sum(natural)
+    ridge = NEAR_ONE * whole
     for _ in range(STEPS):
-        rated = cells.withColumn("tokens", F.col("tokens") * _rate(F.col("p"), pulls))
-        found = rated.agg(*sums).first()  # one number a domain
-        pull = [(float(found[f"t{k}"] or 0.0) - wanted[k]) / natural[k] if natural[k] else 0.0 for k in domains]
-        pulls.append(pull)
-        # settled: the pulls no longer change
-        if len(pulls) > 1 and max(abs(a - b) for a, b in zip(*pulls[-2:], strict=True)) < SETTLED:
-            break
-    return pulls
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], budget: float | None = None, anchor: str | None = None, seed: int = 7) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (doc_id, text and any others) with __tokens, __p, __rate and __copies.
+        gradient = wanted - found + ridge * prices
+        if np.abs(gradient).max() < SETTLED * whole:
+            return Fit(prices.tolist(), natural, wanted.tolist(), found.tolist())
+        step = -far * np.linalg.solve(gram + ridge * np.eye(len(prices)), gradient)
+        tried = at(prices + step)
+        fall = (squares - tried[2]) / 2 - step @ wanted - ridge * (step @ prices + step @ step / 2)
+        if fall >= -1e-4 * (step @ gradient) - 1e-12 * squares:
+            prices, (found, gram, squares), far = prices + step, tried, min(1.0, 4 * far)
+        else:
+            far /= 4
+    raise RuntimeError(f"rates didn't settle in {STEPS} sums: {found.tolist()} of {wanted.tolist()} tokens")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], budget: float = 1.0, seed: int = 7) -> tuple[DataFrame, Fit]:
+    """The columns ``keep`` of ``docs`` (doc_id, text and any others) with __tokens, __p, __rate and __copies; and the fit.
 
     ``labelled`` (doc_id, label) names the domains of some documents; labels
     that ``targets`` doesn't name aren't learned. A rate's fraction is settled by
-    a hash of the id, so the expected totals are the fitted ones; rates within
-    SNAP of one give one copy. Null and empty texts have no tokens and the
-    prior's posteriors. Repeated rows get the same copies each. An empty table
-    gives an empty result.
+    a hash of id and text, so the expected totals are the fitted ones. Null and
+    empty texts have no tokens and the prior's posteriors; texts of any length
+    are read whole. Repeated rows get the same copies each. An empty table gives
+    an empty result. No column of ``docs`` is touched; names that begin with two
+    underscores are this module's own.
     """
-    domains = list(targets)
     scratch = Scratch(docs.sparkSession, "mixing")
     # texts are read for their words once; what is kept is written
-    placed = scratch.keep(membership(docs, fit(docs, labelled, domains)).select(*keep, "__tokens", "__p"), "placed")
+    chance = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(_SLOTS)) + 0.5) / _SLOTS
+    placed = membership(docs.withColumn("__chance", chance), fit(docs, labelled, list(targets)))
+    placed = scratch.keep(placed.select(*keep, "__tokens", "__p", "__chance"), "placed")
     cells = scratch.keep(placed.groupBy(F.col("__p").alias("p")).agg(F.sum("__tokens").alias("tokens")).coalesce(8), "cells")
-    pulls = fit_rates(cells, list(targets.values()), budget, None if anchor is None else domains.index(anchor))
-    rated = placed.withColumn("__rate", F.round(_rate(F.col("__p"), pulls), 6))
-    chance = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(_SLOTS)) + 0.5) / _SLOTS
-    copies = F.when(F.abs(F.col("__rate") - 1) <= SNAP, F.lit(1)).otherwise(F.floor(F.col("__rate") + chance).cast("int"))
-    return rated.withColumn("__copies", copies)
+    found = fit_rates(cells, list(targets.values()), budget)
+    rated = placed.withColumn("__rate", F.round(_rate(F.col("__p"), found.prices), 6))
+    return rated.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).drop("__chance"), found
 
 
-def domain_rows(docs: DataFrame) -> DataFrame:
-    """The labelled table (doc_id, label): rows whose language is known."""
-    return docs.where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"))
+def domain_rows(labels: DataFrame) -> DataFrame:
+    """The labelled table (doc_id, label): toxic rows, and the others by quality; rows that say neither are left out."""
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "poor")
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label")).where("label is not null")
 
 
-#: Shares of tokens by language. English text stays as it is and the others are repeated, so no document is lost.
-TARGETS = {"en": 0.54, "fr": 0.17, "de": 0.17, "es": 0.12}
-ANCHOR = "en"
+#: Shares of tokens by domain, and all tokens against those that there are: clean text is repeated, toxic and poor text is thinned.
+TARGETS = {"clean": 0.82, "toxic": 0.10, "poor": 0.08}
+BUDGET = 1.2
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, lang): doc_id, n_tokens, p_<domain>, rate, copies."""
-    mixed = mix(docs.select("doc_id", "text"), domain_rows(docs), TARGETS, ["doc_id"], anchor=ANCHOR)
-    shares = [F.element_at("__p", k + 1).alias(f"p_{d}") for k, d in enumerate(TARGETS)]
+def mix_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_tokens, p_<domain>, rate, copies."""
+    targets = targets or TARGETS
+    mixed, _ = mix(docs.select("doc_id", "text"), domain_rows(labels), targets, ["doc_id"], budget)
+    shares = [F.element_at("__p", k + 1).alias(f"p_{d}") for k, d in enumerate(targets)]
     return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tokens").alias("n_tokens"), *shares, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
-def draw(docs: DataFrame) -> DataFrame:
-    """The mixed rows of ``docs``, with all their columns and as many copies as their rates say."""
-    mixed = mix(docs, domain_rows(docs), TARGETS, docs.columns, anchor=ANCHOR)
+def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """The mixed rows of ``docs``, with all their columns and as many copies as their rates say; odd rows as in ``mix``."""
+    mixed, _ = mix(docs, domain_rows(labels), targets or TARGETS, docs.columns, budget)
     return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
