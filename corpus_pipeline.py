@@ -33,9 +33,9 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents are repeated as often as their fitted rates say."""
+    """Operator 7: clean text is repeated and toxic and poor text is thinned as the fitted rates say."""
     ship_package(spark)
-    return mixing.draw(docs)
+    return mixing.draw(docs, table(spark, sf_dir, "labels"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
