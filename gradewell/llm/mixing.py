@@ -7,11 +7,11 @@ projected gradient so that the expected tokens of each domain (rate x tokens x
 posterior, summed) match target shares of a token budget in the least-squares
 sense and are no further from one than they must. A gradient step moves every
 rate along its posteriors, so a rate is one less a price for each domain, weighted
-by the posteriors and projected to zero or more; the prices are all that is
+by the posteriors and projected to what a rate may be; the prices are all that is
 fitted. Documents whose rounded posteriors agree share a rate, so the gradient
 runs over a table of posterior cells: each step is one distributed sum, of which
 the driver sees a number a domain and the domains' Gram matrix over the rates
-above zero, whose inverse scales the step. Everything here is DataFrame
+that can still move, whose inverse scales the step. Everything here is DataFrame
 expressions.
 """
 
@@ -37,8 +37,12 @@ SIGNIFICANT = 4.0
 SMOOTHING = 1000.0
 #: Posteriors are rounded to this many digits, so there are at most so many cells as such posteriors.
 DIGITS = 2
-#: How strongly rates are held near one against the errors of domain totals: those end below so much of all tokens, times the price.
-NEAR_ONE = 1e-6
+#: No document is repeated more often.
+MAX_RATE = 4.0
+#: How strongly rates are held near one against the errors of domain totals, which end at so much of all tokens times the
+#: price; the second where the first leaves errors beyond REACHED of all tokens, so that rates don't run to their bounds in vain.
+NEAR_ONE = (1e-6, 3e-2)
+REACHED = 0.002
 #: Sums after which a fit that hasn't settled is an error; and the gradient, as a share of all tokens, that is none.
 STEPS = 100
 SETTLED = 1e-7
@@ -160,9 +164,16 @@ def membership(docs: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def _rate(p: Column, prices: list[float]) -> Column:
-    """max(0, 1 - p . prices)"""
+    """1 - p . prices, in 0 to MAX_RATE"""
     cost = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in prices]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.greatest(F.lit(0.0), 1 - cost)
+    return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), 1 - cost))
+
+
+def _fall(p: Column, prices: list[float]) -> Column:
+    """Twice the part of the convex function that a token has: its derivative by the unclipped rate is the rate, doubled."""
+    cost = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in prices]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    rate = _rate(p, prices)
+    return rate * rate + F.greatest(F.lit(0.0), 1 - cost - MAX_RATE) * (2 * MAX_RATE)
 
 
 def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fit:
@@ -170,19 +181,26 @@ def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fi
 
     ``targets`` are weights of the domains in ``budget`` times the tokens that
     there are. What falls is a convex function of the prices whose gradient is
-    the error of the domain totals, so the steps end anywhere; where no
-    nonnegative rates reach the targets (a domain without tokens, posteriors
-    that never part), they end at the totals nearest to them in least squares. A
-    fit that doesn't settle in STEPS sums is an error.
+    the error of the domain totals, so the steps end anywhere. Where no rates of
+    0 to MAX_RATE reach the targets (a domain without tokens, posteriors that
+    hardly part), the nearest totals are weighed against rates near one. A fit
+    that doesn't settle in STEPS sums is an error.
     """
+    found = _fit_rates(cells, targets, budget, NEAR_ONE[0])
+    if max(abs(a - b) for a, b in zip(found.reached, found.wanted, strict=True)) > REACHED * sum(found.natural):
+        found = _fit_rates(cells, targets, budget, NEAR_ONE[1])
+    return found
+
+
+def _fit_rates(cells: DataFrame, targets: list[float], budget: float, near_one: float) -> Fit:
     n = range(len(targets))
     rate, kept = F.col("rate"), F.col("tokens") * F.col("rate")
     sums = [F.sum(kept * F.element_at("p", k + 1)).alias(f"t{k}") for k in n]
-    sums += [F.sum(F.when(rate > 0, F.col("tokens") * F.element_at("p", j + 1) * F.element_at("p", k + 1))).alias(f"g{j}_{k}") for j in n for k in n if j <= k]
+    sums += [F.sum(F.when((rate > 0) & (rate < MAX_RATE), F.col("tokens") * F.element_at("p", j + 1) * F.element_at("p", k + 1))).alias(f"g{j}_{k}") for j in n for k in n if j <= k]
 
     def at(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         # a number a domain and pair of domains
-        r = cells.withColumn("rate", _rate(F.col("p"), prices.tolist())).agg(*sums, F.sum(kept * rate).alias("q")).first()
+        r = cells.withColumn("rate", _rate(F.col("p"), prices.tolist())).agg(*sums, F.sum(F.col("tokens") * _fall(F.col("p"), prices.tolist())).alias("q")).first()
         value = lambda name: float(r[name] or 0.0)
         return np.array([value(f"t{k}") for k in n]), np.array([[value(f"g{min(j, k)}_{max(j, k)}") for k in n] for j in n]), value("q")
 
@@ -190,7 +208,7 @@ def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fi
     found, gram, squares = at(prices)
     natural, whole = found.tolist(), max(float(found.sum()), 1.0)
     wanted = np.array(targets) / sum(targets) * budget * sum(natural)
-    ridge = NEAR_ONE * whole
+    ridge = near_one * whole
     for _ in range(STEPS):
         gradient = wanted - found + ridge * prices
         if np.abs(gradient).max() < SETTLED * whole:
