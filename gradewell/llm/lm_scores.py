@@ -1,161 +1,115 @@
 """Stupid-backoff language-model scores (operator 8).
 
-Words and word pairs of all documents are counted, and every document is scored
-against the counts of all other documents (its own occurrences are taken off,
-else every pair would have been seen). Reading tasks explode their documents in
-batches and send each batch's distinct n-grams, as sorted hashes with counts, to
-the count table's hash partition that owns them; a partition adds the counts up
-and answers each block with the totals of its n-grams; the answers are joined
-to the batch's exploded n-grams and summed for each document. A frequent n-gram
-is one entry a batch, so no key makes a large partition.
+Documents are dealt over batches by a hash of their content. Each batch is
+exploded to its n-grams of all sizes, as rows (gram, size, batch, n); those are
+partitioned by the gram's hash, summed to the count table (gram, size, total,
+batches), and joined to the exploded n-grams again. The joined rows go back to
+their batches, where the counts of a document's n-grams are looked up and its
+scores summed. Every document is scored against the counts of all other
+documents: its own occurrences are taken off, else every n-gram would have been
+seen. A frequent n-gram is one row a batch, so no key makes a large partition;
+an n-gram of one batch only isn't sent back, because its batch knows its count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.bytehash import mix, words
-from gradewell.llm.shared import Scratch
 
 BACKOFF = 0.4
-#: Text of a batch, in characters, and text that a partition of the count tables answers for.
-BATCH_CHARS = 6_000_000
-PARTITION_BYTES = 32_000_000
-MAX_PARTITIONS = 1 << 16
+#: The longest n-gram.
+ORDER = 2
+#: Text of a batch, in bytes, and n-gram rows of a partition of the count table (by an estimate of one row for PLACE_BYTES of text and size).
+BATCH_BYTES = 8_000_000
+PARTITION_ROWS = 2_000_000
+PLACE_BYTES = 8
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOW = np.uint64((1 << 48) - 1)
 
-_BLOCK = "size int, part int, batch long, grams binary, counts binary"
-_ANSWER = "batch long, size int, part int, totals binary, n_words long"
+GRAMS = "gram long, size int, batch long, n long"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Bytes of one significance together, then zstandard: sorted differences and small counts take few bytes."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
-
-
-@dataclass
-class Grams:
-    """A batch's exploded n-grams: word places, pair places, and the distinct ones in the count tables' order."""
-
-    text_of: np.ndarray  # of each word place
-    texts: int
-    word: np.ndarray  # number of the distinct word at each word place
-    pair: np.ndarray  # number of the distinct pair at each pair place
-    pair_at: np.ndarray  # word place of each pair's second word
-    tables: list[tuple[np.ndarray, np.ndarray]]  # of each size: distinct keys, counts
-
-
-def explode(texts: list[str | None], parts: int) -> Grams:
+def grams_of(texts: list[str | None], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The text of each word place; and for each size the n-grams' 64-bit hashes and the places of their last words."""
     h, at = words(texts)
-
-    def table(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # a key is the owning partition and 48 more bits of the hash
-        key = ((g >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)) << np.uint64(48) | g & _LOW
-        return np.unique(key, return_inverse=True, return_counts=True)
-
-    lengths = np.diff(at)
-    text_of = np.repeat(np.arange(len(texts)), lengths)
-    second = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1
-    pairs = mix(mix(h[second - 1] * _C1) + h[second] * _C2)
-    one, word, n1 = table(mix(h))
-    two, pair, n2 = table(pairs)
-    return Grams(text_of, len(texts), word, pair, second, [(one, n1), (two, n2)])
-
-
-def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list]]:
-    """Batch number, doc_ids and texts; the same whenever the same input partition is read."""
-    from pyspark import TaskContext
-
-    number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
-    for rows in batches:
-        for doc_id, text in zip(rows["doc_id"].array, rows["text"].array, strict=True):
-            text = None if pd.isna(text) else text
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
-            texts.append(text)
-            size += len(text or "") + 8
-            if size >= BATCH_CHARS:
-                yield number, ids, texts
-                number, ids, texts, size = number + 1, [], [], 0
-    if ids:
-        yield number, ids, texts
-
-
-def _blocks(parts: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, _, texts in _batched(batches):
-            rows = []
-            for size, (keys, counts) in enumerate(explode(texts, parts).tables, 1):
-                edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(48)) if parts < MAX_PARTITIONS else np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(48)), len(keys))
-                for p in np.flatnonzero(np.diff(edges)).tolist():
-                    own = slice(edges[p], edges[p + 1])
-                    rows.append((size, p, number, pack(np.diff(keys[own] & _LOW, prepend=np.uint64(0))), pack(counts[own].astype(np.uint32))))
-            yield pd.DataFrame(rows, columns=["size", "part", "batch", "grams", "counts"])
+    text_of = np.repeat(np.arange(len(texts)), np.diff(at))
+    inside = np.arange(len(h)) - at[:-1][text_of]  # places before this one in its text
+    whole, found = mix(h), []
+    for size in range(1, order + 1):
+        if size > 1:
+            whole = np.concatenate([whole[:0], mix(whole[:-1] * _C1 + h[size - 1 :] * _C2 + np.uint64(size))]) if len(h) >= size else whole[:0]
+        places = np.arange(size - 1, size - 1 + len(whole))
+        real = inside[places] >= size - 1
+        found.append((whole[real], places[real]))
+    return text_of, found
+
+
+def _texts(docs: pd.DataFrame) -> list[str | None]:
+    return [None if pd.isna(t) else t for t in docs["text"]]
+
+
+def _explode(order: int):
+    def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        text_of, found = grams_of(_texts(docs), order)
+        # the empty n-gram counts all words
+        parts = [pd.DataFrame({"gram": [0], "size": [0], "n": [len(text_of)]})]
+        for size, (grams, _) in enumerate(found, 1):
+            one, n = np.unique(grams, return_counts=True)
+            parts.append(pd.DataFrame({"gram": one.view(np.int64), "size": size, "n": n}))
+        out = pd.concat(parts)
+        out["batch"] = key[0]
+        return out[["gram", "size", "batch", "n"]]
 
     return run
 
 
-def _totals(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-    """One partition of a count table: answers each block with its n-grams' totals."""
-    grams = [np.cumsum(unpack(b, np.uint64)) for b in blocks["grams"]]
-    counts = [unpack(b, np.uint32) for b in blocks["counts"]]
-    _, which = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(which, weights=np.concatenate(counts)).astype(np.uint64)[which]
-    edges = np.cumsum([0, *map(len, grams)])
-    out = blocks[["batch"]].copy()
-    out["size"], out["part"] = key
-    out["totals"] = [pack(totals[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    out["n_words"] = [int(c.sum()) if key[0] == 1 else 0 for c in counts]
-    return out[["batch", "size", "part", "totals", "n_words"]]
-
-
-def backoff_scores(g: Grams, totals: list[np.ndarray], corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log scores of each text, against the counts of all other texts."""
-
-    def others(of: np.ndarray, number: np.ndarray, total: np.ndarray) -> np.ndarray:
-        _, which, own = np.unique(of.astype(np.uint64) * np.uint64(len(total) + 1) + number.astype(np.uint64), return_inverse=True, return_counts=True)
-        return total[number].astype(np.float64) - own[which]
-
-    n = np.bincount(g.text_of, minlength=g.texts)
-    rest = (corpus_words - n)[g.text_of].astype(np.float64)
-    single = others(g.text_of, g.word, totals[0])
-    alone = np.where(single > 0, np.log(np.maximum(single, 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1))
-    score = alone.copy()
-    both = others(g.text_of[g.pair_at], g.pair, totals[1])
-    seen = both > 0
-    score[g.pair_at] = np.where(seen, np.log(np.maximum(both, 1)) - np.log(np.maximum(single[g.pair_at - 1], 1)), np.log(BACKOFF) + alone[g.pair_at])
-    return n, np.bincount(g.text_of, weights=score, minlength=g.texts)
-
-
-def _score(parts: int, corpus_words: int):
-    def run(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in SCORES.split(", ")]
+def backoff_scores(texts: list[str | None], order: int, grams: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and summed log scores of each text, against the counts of all other texts.
+
+    ``grams`` (sorted) and ``totals`` are the counts of n-grams that other
+    batches hold as well; the others' are those of these texts.
+    """
+    text_of, found = grams_of(texts, order)
+
+    def total_of(own: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if not len(grams):
+            return n
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        return np.where(grams[at] == own, totals[at], n)
+
+    corpus = float(total_of(np.zeros(1, dtype=np.int64), np.array([len(text_of)]))[0])
+    n = np.bincount(text_of, minlength=len(texts))
+    rest = (corpus - n)[text_of]
+    counts = []  # of each size: how often other texts have the n-gram that ends at a place; 0 where there is none
+    for keys, places in found:
+        one, which, held = np.unique(keys, return_inverse=True, return_counts=True)
+        total = total_of(one.view(np.int64), held).astype(np.float64)
+        _, mine, own = np.unique(text_of[places] * np.int64(len(one) + 1) + which, return_inverse=True, return_counts=True)
+        count = np.zeros(len(text_of))
+        count[places] = total[which] - own[mine]
+        counts.append(count)
+    score = np.where(counts[0] > 0, np.log(np.maximum(counts[0], 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1))
+    for size in range(2, order + 1):
+        places = found[size - 1][1]
+        seen = counts[size - 1][places] > 0
+        score[places] += np.log(BACKOFF)
+        at = places[seen]
+        score[at] = np.log(counts[size - 1][at]) - np.log(np.maximum(counts[size - 2][at - 1], 1))
+    return n, np.bincount(text_of, weights=score, minlength=len(texts))
+
+
+def _score(order: int):
+    columns = [c.split()[0] for c in SCORES.split(", ")]
+
+    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame([], columns=columns)
-        docs = docs.sort_values("at")
-        g = explode([None if pd.isna(t) else t for t in docs["text"]], parts)
-        answers = answers.sort_values(["size", "part"])
-        totals = [np.concatenate([np.zeros(0, np.uint64), *[unpack(b, np.uint64) for b in answers.loc[answers["size"] == s, "totals"]]]) for s in (1, 2)]
-        if [len(t) for t in totals] != [len(k) for k, _ in g.tables]:
-            raise ValueError("a batch was read differently the second time: write the documents to a table first")
-        n, score = backoff_scores(g, totals, corpus_words)
+        answers = answers.sort_values("gram")
+        n, score = backoff_scores(_texts(docs), order, answers["gram"].to_numpy(np.int64), answers["total"].to_numpy(np.int64))
         out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").to_numpy(), "n_words": n, "log_score": score})
         out["mean_log_score"] = np.divide(score, n, out=np.zeros(len(n)), where=n > 0)
         return out[columns]
@@ -163,29 +117,41 @@ def _score(parts: int, corpus_words: int):
     return run
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for number, ids, texts in _batched(batches):
-        yield pd.DataFrame({"batch": number, "at": range(len(ids)), "doc_id": pd.array(ids, dtype="Int64"), "text": texts})
+def exploded(placed: DataFrame, order: int, partitions: int) -> DataFrame:
+    """Rows ``GRAMS`` of documents with their batch, partitioned by the n-gram's hash."""
+    return placed.groupBy("batch").applyInPandas(_explode(order), GRAMS).repartition(partitions, "gram")
+
+
+def count_table(grams: DataFrame) -> DataFrame:
+    """gram, size, total, batches; the empty n-gram (gram 0, size 0) counts all words."""
+    return grams.groupBy("gram").agg(F.max("size").alias("size"), F.sum("n").alias("total"), F.count("*").alias("batches"))
 
 
-def score_documents(docs: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not read): ``SCORES``.
 
-    Words are lower-cased (A-Z) runs of anything but space and 09-0D. A word w
-    after v scores c(vw) / c(v) if the pair vw occurs in another document, else
-    0.4 times w's own share of the other documents' words; a text's first word
-    scores its own share; an unknown word counts as one among the other
-    documents' words and itself. log_score sums natural logarithms;
-    mean_log_score is zero for texts without words. Null and empty texts have
-    none. Repeated rows count as documents of their own. An empty table gives an
-    empty result. ``docs`` is read twice and must be a stored table.
+    Words are lower-cased (A-Z) runs of anything but space and 09-0D. A word
+    scores c(its n-gram) / c(the n-gram's first words) for the longest n-gram of
+    at most ``order`` words, ending at it, that occurs in another document; each
+    shorter size than the longest there is room for costs a factor of 0.4. A word
+    alone scores its share of the other documents' words; an unknown word counts
+    as one among the other documents' words and itself. log_score sums natural
+    logarithms; mean_log_score is zero for texts without words. Null, empty and
+    blank texts have none. Texts of any length are read whole. Repeated rows
+    count as documents of their own. An empty table gives an empty result.
+
+    Both passes read the same exchange of texts, and a document's batch follows
+    from its id and text alone, so the passes agree in any case. An n-gram is
+    known by a hash of 64 bits.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(MAX_PARTITIONS, max(1, -(-total // partition_bytes)))
-    blocks = rows.mapInPandas(_blocks(parts), _BLOCK)
-    answers = scratch.keep(blocks.groupBy("size", "part").applyInPandas(_totals, _ANSWER), "answers")
-    corpus_words = answers.agg(F.sum("n_words")).first()[0] or 0
-    numbered = rows.mapInPandas(_numbered, "batch long, at int, doc_id long, text string")
-    return numbered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(parts, corpus_words), SCORES)
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (text == "").alias("blank"))
+    total = rows.where("not blank").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = max(1, -(-total // batch_bytes))
+    partitions = max(1, total * order // (PLACE_BYTES * PARTITION_ROWS)) + docs.sparkSession.sparkContext.defaultParallelism
+    placed = rows.where("not blank").select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch")).repartition(max(batches, 2), "batch")
+    grams = exploded(placed, order, partitions)
+    known = count_table(grams).where("batches > 1").select("gram", "total")
+    answers = grams.select("gram", "batch").join(known, "gram")
+    scored = placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order), SCORES)
+    return scored.union(rows.where("blank").select("doc_id", F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)))

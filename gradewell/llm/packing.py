@@ -122,4 +122,5 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, group_
             yield some(held)
 
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encode, _ENCODED)
-    return encoded.groupBy("g").applyInPandas(lambda key, part: pack_group(key, part, capacity), PIECES)
+    # as many partitions as groups: what a task reads doesn't grow with the corpus
+    return encoded.repartition(max(2, groups), "g").groupBy("g").applyInPandas(lambda key, part: pack_group(key, part, capacity), PIECES)

@@ -392,43 +392,61 @@ def test_drawn_totals_are_near_the_targets(spark):
 # --- language-model scores
 
 
-def brute_scores(rows):
+def brute_scores(rows, order):
     texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
-    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    out = []
+    grams = lambda t, s: [tuple(t[k : k + s]) for k in range(len(t) - s + 1)]
+    counts = [Counter(g for t in texts for g in grams(t, s)) for s in range(order + 1)]
+    words, out = sum(map(len, texts)), []
     for (i, _), t in zip(rows, texts, strict=True):
-        own1, own2 = Counter(t), Counter(zip(t, t[1:], strict=False))
-        rest, total = sum(one.values()) - len(t), 0.0
+        own = [Counter(grams(t, s)) for s in range(order + 1)]
+        others = lambda g: counts[len(g)][g] - own[len(g)][g]  # noqa: B023, E731
+        rest, total = words - len(t), 0.0
         for k, w in enumerate(t):
-            c = one[w] - own1[w]
-            alone = math.log(c / max(rest, 1)) if c else -math.log(rest + 1)
-            pair = (t[k - 1], w)
-            c2 = two[pair] - own2[pair] if k else 0
-            total += alone if not k else math.log(c2 / (one[t[k - 1]] - own1[t[k - 1]])) if c2 else math.log(0.4) + alone
+            longest = min(order, k + 1)
+            for s in range(longest, 0, -1):
+                g = tuple(t[k - s + 1 : k + 1])
+                if others(g):
+                    value = math.log(others(g) / (others(g[:-1]) if s > 1 else max(rest, 1)))
+                    break
+            else:
+                s, value = 1, -math.log(rest + 1)
+            total += value + (longest - s) * math.log(0.4)
         out.append((i, len(t), round(total, 4)))
     return out
 
 
-@pytest.mark.parametrize(("partition_bytes", "batch"), [(lm_scores.PARTITION_BYTES, lm_scores.BATCH_CHARS), (5000, 3000)])
-def test_scores_by_brute_force(spark, tmp_path, monkeypatch, partition_bytes, batch):
-    monkeypatch.setattr(lm_scores, "BATCH_CHARS", batch)
-    rows = [*ODD, *((100 + k, prose(k % 30, 40)) for k in range(60)), (6, "one two")]
-    path = f"file://{tmp_path}/docs"
-    frame(spark, rows).write.parquet(path)
-    got = lm_scores.score_documents(spark.read.parquet(path), partition_bytes).collect()
-    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
-    for a, b in zip(sorted(((r["doc_id"], r["n_words"], r["log_score"]) for r in got), key=order), sorted(brute_scores(rows), key=order), strict=True):
+@pytest.mark.parametrize(("order", "batch_bytes"), [(2, lm_scores.BATCH_BYTES), (2, 3000), (1, 5000), (3, 5000), (4, 9000)])
+def test_scores_by_brute_force(spark, order, batch_bytes):
+    rows = [*ODD, *((100 + k, prose(k % 30, 40)) for k in range(60)), (6, "one two"), *((200 + k, "the hot text of all") for k in range(40))]
+    got = lm_scores.score_documents(frame(spark, rows), order, batch_bytes).collect()
+    sort = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for a, b in zip(sorted(((r["doc_id"], r["n_words"], r["log_score"]) for r in got), key=sort), sorted(brute_scores(rows, order), key=sort), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
 
 
+def test_count_table_by_brute_force(spark):
+    rows = [(k, prose(k % 7, 12)) for k in range(20)]
+    placed = frame(spark, rows).select("doc_id", "text", (F.col("doc_id") % 3).alias("batch"))
+    got = lm_scores.count_table(lm_scores.exploded(placed, 2, 4)).collect()
+    texts = [t.split(" ") for _, t in rows]
+    for size in (1, 2):
+        want = Counter(tuple(t[k : k + size]) for t in texts for k in range(len(t) - size + 1))
+        assert sorted(r["total"] for r in got if r["size"] == size) == sorted(want.values())
+    assert [(r["gram"], r["total"], r["batches"]) for r in got if r["size"] == 0] == [(0, 240, 3)]
+
+
+def test_texts_move_once(spark):
+    """Both passes read one exchange of texts, and the count table shares the n-grams' exchange."""
+    out = lm_scores.score_documents(frame(spark, [(k, prose(k, 30)) for k in range(20)]), batch_bytes=500)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2
+
+
 def test_scores_of_nothing(spark):
     assert lm_scores.score_documents(frame(spark, [])).isEmpty()
     assert lm_scores.score_documents(frame(spark, [(1, "alone")])).first()["log_score"] == 0
-
-
-def test_blocks_round_trip():
-    x = np.sort(np.random.default_rng(0).integers(0, 1 << 48, 1000).astype(np.uint64))
-    assert (np.cumsum(lm_scores.unpack(lm_scores.pack(np.diff(x, prepend=np.uint64(0))), np.uint64)) == x).all()
+    assert lm_scores.score_documents(frame(spark, [(1, None), (None, " \n")])).count() == 2
 
 
 # --- pages
