@@ -24,7 +24,7 @@ BACKOFF = 0.4
 #: The longest n-gram.
 ORDER = 2
 #: Text of a batch, in bytes, and n-gram rows of a partition of the count table (by an estimate of one row for PLACE_BYTES of text and size).
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 20_000_000
 PARTITION_ROWS = 2_000_000
 PLACE_BYTES = 8
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -85,13 +85,15 @@ def backoff_scores(texts: list[str | None], order: int, grams: np.ndarray, total
     n = np.bincount(text_of, minlength=len(texts))
     rest = (corpus - n)[text_of]
     counts = []  # of each size: how often other texts have the n-gram that ends at a place; 0 where there is none
-    for keys, places in found:
+    for k, (keys, places) in enumerate(found):
+        found[k] = (None, places)  # hashes are needed once
         one, which, held = np.unique(keys, return_inverse=True, return_counts=True)
         total = total_of(one.view(np.int64), held).astype(np.float64)
         _, mine, own = np.unique(text_of[places] * np.int64(len(one) + 1) + which, return_inverse=True, return_counts=True)
         count = np.zeros(len(text_of))
         count[places] = total[which] - own[mine]
         counts.append(count)
+        del keys, one, which, held, total, mine, own
     score = np.where(counts[0] > 0, np.log(np.maximum(counts[0], 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1))
     for size in range(2, order + 1):
         places = found[size - 1][1]
@@ -119,12 +121,13 @@ def _score(order: int):
 
 def exploded(placed: DataFrame, order: int, partitions: int) -> DataFrame:
     """Rows ``GRAMS`` of documents with their batch, partitioned by the n-gram's hash."""
-    return placed.groupBy("batch").applyInPandas(_explode(order), GRAMS).repartition(partitions, "gram")
+    # the join's own conditions, so that it adds none and all its readers share this exchange
+    return placed.groupBy("batch").applyInPandas(_explode(order), GRAMS).where("gram IS NOT NULL AND n IS NOT NULL").repartition(partitions, "gram")
 
 
 def count_table(grams: DataFrame) -> DataFrame:
-    """gram, size, total, batches; the empty n-gram (gram 0, size 0) counts all words."""
-    return grams.groupBy("gram").agg(F.max("size").alias("size"), F.sum("n").alias("total"), F.count("*").alias("batches"))
+    """gram, size, total, first and last batch; the empty n-gram (gram 0, size 0) counts all words."""
+    return grams.groupBy("gram").agg(F.max("size").alias("size"), F.sum("n").alias("total"), F.min("batch").alias("first"), F.max("batch").alias("last"))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -151,7 +154,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATC
     partitions = max(1, total * order // (PLACE_BYTES * PARTITION_ROWS)) + docs.sparkSession.sparkContext.defaultParallelism
     placed = rows.where("not blank").select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch")).repartition(max(batches, 2), "batch")
     grams = exploded(placed, order, partitions)
-    known = count_table(grams).where("batches > 1").select("gram", "total")
-    answers = grams.select("gram", "batch").join(known, "gram")
+    known = count_table(grams).where("first < last").select("gram", F.col("size").alias("known_size"), "total")
+    # all columns are read on both sides of the join, so that both read one exchange
+    answers = grams.join(known, "gram").where("total > n").select("gram", F.greatest("size", "known_size").alias("size"), "batch", "total")
     scored = placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order), SCORES)
     return scored.union(rows.where("blank").select("doc_id", F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)))
