@@ -6,10 +6,10 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Markup in one pass: comments, elements whose content isn't text, declarations, tags with quoted attributes, other tags.
+#: Markup in one pass: comments, scripts and styles, declarations, tags with quoted attributes, other tags.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+>?"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|</?[a-zA-Z][^>]*+>",
@@ -18,11 +18,11 @@ _MARKUP = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
-#: Elements that begin and end a block, in alphabetical order.
+#: Elements that begin and end a block (those with fallback text among them), in alphabetical order.
 BLOCK_TAGS = (
-    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre search section select summary table tbody td "
-    "textarea tfoot th thead title tr ul"
+    "address article aside audio blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noscript object ol option p pre search section select summary "
+    "svg table tbody td template textarea tfoot th thead title tr ul video"
 ).split()
 _BLOCK = frozenset(BLOCK_TAGS)
 #: An opening tag of the first kind closes an open one of the second kind, up to the given scope.
@@ -51,7 +51,7 @@ def _name_parts(attrs: str) -> tuple[str, ...]:
     out = []
     for m in _NAMES.finditer(attrs):
         out += [p.lower() for p in _PARTS.findall(m[1] or m[2] or m[3] or "")]
-    return tuple(out[:8])
+    return tuple(out)
 
 
 def blocks(source: str | None) -> list[Block]:

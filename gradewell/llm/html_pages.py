@@ -27,6 +27,8 @@ _TAGS = {
     "form": ["form", "form", "div"],
     "comments": ["section", "div", "ol", "ul"],
 }
+#: Elements whose text is shown only where something else can't be.
+FALLBACKS = ["noscript", "noscript", "iframe", "object", "svg", "canvas", "video", "audio", "template"]
 #: Kinds whose bare tag says what they are; the others always carry a name.
 _BARE = {"nav", "header", "footer", "aside", "form"}
 _SYLLABLES = "an be ci do er fa go hi in jo ka le mi no on pe ri sa ti un va we xo ya ze th st ou re en".split()
@@ -88,6 +90,12 @@ class PageMaker:
         out.append(f"</{tag}>")
         return "".join(out)
 
+    def fallback(self) -> str:
+        tag = self.r.choice(FALLBACKS)
+        inner = "title" if tag == "svg" else self.r.choice(["", "", "p", "div"])
+        text = self.words(1, 20)
+        return f"<{tag}>" + (f"<{inner}>{text}</{inner}>" if inner else text) + f"</{tag}>"
+
     def article(self) -> str:
         r = self.r
         kind = r.random()
@@ -118,6 +126,8 @@ class PageMaker:
                 out.append(f"<pre>{html.escape(self.words(3, 12))}</pre>")
             elif x < 0.985:
                 out.append(f"<figure><figcaption>{self.words(2, 12)}</figcaption></figure>")
+            elif x < 0.99:
+                out.append("\x02" + self.fallback() + "\x03")
             else:
                 out.append("\x02" + self.boilerplate(r.choice(["advert", "advert", "sidebar", "form", "notice"])) + "\x03")
         return "".join([*out, tail])
@@ -127,6 +137,7 @@ class PageMaker:
         r = self.r
         before = [self.boilerplate(k) for k in ("notice", "header", "menu", "advert", "form", "sidebar") if r.random() < 0.45]
         after = [self.boilerplate(k) for k in ("comments", "advert", "sidebar", "menu", "form", "footer", "notice") if r.random() < 0.45]
+        before += [self.fallback() for _ in range(2) if r.random() < 0.15]
         r.shuffle(before)
         if r.random() < 0.5:
             r.shuffle(after)

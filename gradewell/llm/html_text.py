@@ -24,8 +24,12 @@ from gradewell.llm.html_pages import PageMaker
 
 NAME_DIMS, WORD_DIMS, MEASURES, HIDDEN = 96, 24, 8, 20
 TRAINING_PAGES, EPOCHS, SEED = 900, 8, 11
-#: Pages that are labelled at a time.
-PAGES = 128
+#: Pages are labelled together while they have so many blocks, padding included, and read together while they have so many
+#: characters; a longer page is labelled alone. Block vectors are made for so many blocks at a time, so what a page takes is its
+#: blocks and a few hundred bytes for each.
+CELLS = 32_768
+BATCH_CHARS = 4_000_000
+STRETCH = 8192
 _TAG_AT = {t: i for i, t in enumerate(BLOCK_TAGS)}
 PATH_DIMS = 2 * len(BLOCK_TAGS) + NAME_DIMS
 INPUTS = PATH_DIMS + WORD_DIMS + MEASURES
@@ -45,9 +49,8 @@ def _path_vector(path: tuple) -> np.ndarray:
     return np.clip(v, -2, 2)
 
 
-def vectors(pages: list[list[Block]], paths: dict) -> np.ndarray:
-    """A row for each block of all pages."""
-    flat = [b for page in pages for b in page]
+def vectors(flat: list[Block], place: np.ndarray, paths: dict) -> np.ndarray:
+    """A row for each block; ``place`` is where it stands in its page, from 0 to 1."""
     out = np.zeros((len(flat), INPUTS), dtype=np.float32)
     if not flat:
         return out
@@ -72,7 +75,7 @@ def vectors(pages: list[list[Block]], paths: dict) -> np.ndarray:
     out[:, m + 3] = [min(1.0, 10 * sum(map(b.text.count, ".,;!?")) / len(b.text)) for b in flat]
     out[:, m + 4] = [b.text[-1] in ".!?" for b in flat]
     out[:, m + 5] = ["©" in b.text for b in flat]
-    out[:, m + 6] = np.concatenate([np.arange(len(p)) / len(p) for p in pages if p])
+    out[:, m + 6] = place
     out[:, m + 7] = [len(b.path) / 8 for b in flat]
     return out
 
@@ -96,10 +99,12 @@ class Labeller:
         self.w["o"] = (r.standard_normal(2 * HIDDEN) * 0.1).astype(np.float32)
         self.w["c"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """x: (time, pages, inputs); states of all places; with ``keep`` what the gradient needs."""
+    def _gates(self, x: np.ndarray, d: str) -> np.ndarray:
+        return x @ self.w[f"x{d}"] + self.w[f"b{d}"]
+
+    def _run(self, gates: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """gates: (time, pages, 4 * HIDDEN); states of all places; with ``keep`` what the gradient needs."""
         steps, pages = mask.shape
-        gates = x @ self.w[f"x{d}"] + self.w[f"b{d}"]
         h = np.zeros((pages, HIDDEN), dtype=np.float32)
         c = np.zeros_like(h)
         out, tape = np.zeros((steps, pages, HIDDEN), dtype=np.float32), []
@@ -118,11 +123,14 @@ class Labeller:
         return out, tape
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = [self._run(x, mask, d, False)[0] for d in "fb"]
-        return np.concatenate(both, axis=2) @ self.w["o"] + self.w["c"][0]
+        return self._logits({d: self._gates(x, d) for d in "fb"}, mask)
+
+    def _logits(self, gates: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
+        ways = [self._run(gates[d], mask, d, False)[0] @ self.w["o"][k * HIDDEN : (k + 1) * HIDDEN] for k, d in enumerate("fb")]
+        return ways[0] + ways[1] + self.w["c"][0]
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        runs = {d: self._run(x, mask, d, True) for d in "fb"}
+        runs = {d: self._run(self._gates(x, d), mask, d, True) for d in "fb"}
         states = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         error = (_sigmoid(states @ self.w["o"] + self.w["c"][0]) - y) * mask / mask.sum()
         grads = {"o": np.einsum("tp,tph->h", error, states), "c": np.array([error.sum()])}
@@ -146,18 +154,32 @@ class Labeller:
 
     def content(self, pages: list[list[Block]], paths: dict) -> list[np.ndarray]:
         """Which blocks of each page are main text."""
-        rows = vectors(pages, paths)
-        at = np.cumsum([0, *map(len, pages)])
         found: list[np.ndarray] = [np.zeros(len(p), dtype=bool) for p in pages]
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), PAGES):
-            some = order[k : k + PAGES]
-            x, mask = _padded([rows[at[i] : at[i + 1]] for i in some])
-            z = self.logits(x, mask)
-            for j, i in enumerate(some):
-                found[i] = z[: len(pages[i]), j] > 0
+        some: list[int] = []
+        for i in sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i])):
+            if some and (len(some) + 1) * len(pages[i]) > CELLS:
+                self._label(pages, some, paths, found)
+                some = []
+            some.append(i)
+        if some:
+            self._label(pages, some, paths, found)
         return found
 
+    def _label(self, pages: list[list[Block]], some: list[int], paths: dict, found: list[np.ndarray]) -> None:
+        lengths = [len(pages[i]) for i in some]
+        mask = np.arange(max(lengths))[:, None] < np.array(lengths)
+        page, step = np.nonzero(mask.T)  # of each block of these pages
+        flat = pages[some[0]] if len(some) == 1 else [b for i in some for b in pages[i]]
+        gates = {d: np.zeros((*mask.shape, 4 * HIDDEN), dtype=np.float32) for d in "fb"}
+        for k in range(0, len(flat), STRETCH):
+            own = slice(k, k + STRETCH)
+            rows = vectors(flat[own], step[own] / np.array(lengths)[page[own]], paths)
+            for d in "fb":
+                gates[d][step[own], page[own]] = self._gates(rows, d)
+        z = self._logits(gates, mask)
+        for j, i in enumerate(some):
+            found[i] = z[: lengths[j], j] > 0
+
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, rows))
@@ -189,7 +211,7 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     """The labeller, trained with Adam on invented pages; the same for the same numbers."""
     maker, paths = PageMaker(seed), {}
     data = [labelled_page(maker.page()) for _ in range(pages)]
-    rows = [vectors([b], paths) for b, _ in data]
+    rows = [vectors(b, np.arange(len(b)) / len(b), paths) for b, _ in data]
     model, r = Labeller(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -216,15 +238,17 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     The main text's blocks in page order, joined by two line ends; character
     references are decoded, white space inside a block is one space. Null and
     empty html and pages without main text give an empty text. No block is
-    dropped or cut for its length. Repeated rows give the same text each.
+    dropped or cut for its length, and pages of any length are read whole, in
+    memory that follows their blocks and not their neighbours'. Repeated rows
+    give the same text each; an empty table gives an empty result.
     """
     model = model or trained()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         paths: dict = {}
         for batch in batches:
-            for k in range(0, len(batch), 2 * PAGES):
-                part = batch.iloc[k : k + 2 * PAGES]
+            size = batch["html"].str.len().fillna(0).astype(np.int64).cumsum() // BATCH_CHARS
+            for _, part in batch.groupby(size.to_numpy(), sort=False):
                 found = [blocks(None if pd.isna(h) else h) for h in part["html"]]
                 kept = model.content(found, paths)
                 texts = ["\n\n".join(b.text for b, on in zip(p, c.tolist(), strict=True) if on) for p, c in zip(found, kept, strict=True)]
