@@ -32,8 +32,8 @@ MISS = 5e-5
 SPARE = 4.5
 #: Texts that are hashed at a time, in characters.
 BATCH_CHARS = 2_000_000
-#: Rows of a bucket that are compared in one tile; more are dealt over tiles.
-TILE = 3000
+#: Rows of a bucket, and shingles of their sets, on one side of a tile; more are dealt over tiles.
+TILE, TILE_SHINGLES = 768, 2_000_000
 #: Members that are confirmed against one leader in one group.
 MEMBERS = 400
 
@@ -282,9 +282,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(texts.mapInPandas(_sign(width, *bands_and_rows(percent / 100)), _SIGNED), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = scratch.keep(usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("set_id", F.col("x.doc_id").alias("doc"), "x.sig", "x.bands"), "nodes")
-    rows = nodes.select("doc", "sig", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    nodes = scratch.keep(usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "sig", "bands", "n_shingles")).alias("x")).select("set_id", F.col("x.doc_id").alias("doc"), "x.sig", "x.bands", "x.n_shingles"), "nodes")
+    rows = nodes.select("doc", "n_shingles", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
     in_buckets = scratch.keep(rows.select("key", "doc").join(sizes, "key"), "buckets")
     # first pass: each node and the most similar leader of its buckets
     sig_of = nodes.select(F.col("doc").alias("leader"), F.col("sig").alias("leader_sig"))
@@ -294,10 +294,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
     first = scratch.keep(confirm(scratch.keep(best, "best"), texts, width, percent), "first")
     found = components(first, scratch, "pass1")
     # second pass: pairs across components, only in buckets that hold several
-    placed = in_buckets.select("key", "doc", "n").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = in_buckets.select("key", "doc", "n", "shingles").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = scratch.keep(placed, "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("n") / tile).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    blocks = F.least(blocks, F.col("n")).cast("int")  # one row may have more shingles than a tile's side
     dealt = placed.join(several, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
     dealt = dealt.select("key", "ti", "tj", "block", "doc", "component").join(nodes.select("doc", "sig", "bands"), "doc")
