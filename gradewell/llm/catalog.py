@@ -103,7 +103,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), Scratch(spark, "secret-ledger").root)
+    """With the ledger of ``gradewell.secret.ledger`` where the session names one, else with a new one."""
+    ledger = spark.conf.get("gradewell.secret.ledger", None) or Scratch(spark, "secret-ledger").root
+    return secrets.scan(table(spark, sf_dir, "documents"), ledger)
 
 
 OP6_SQL = r"""

@@ -98,9 +98,9 @@ def _count_of(at: int) -> Column:
 def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """One row for each row of ``paths`` (doc_id, text; other columns are not read).
 
-    doc_id, n_<kind> for each rule, base_sha256, spans: kind:start:stop in code
-    points, end exclusive, by start and then the rules' order, comma-joined
-    (empty if there are none). Null text is empty; repeated rows and equal texts
+    doc_id, n_<kind> for each rule, base_sha256 (of the spans of BASE_RULES
+    alone), spans: kind:start:stop in code points, end exclusive, by start and
+    then the rules' order, comma-joined (empty if there are none). Null text is empty; repeated rows and equal texts
     are scanned once and reported on every row; an empty table gives none.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.version), F.struct(F.lit(i).alias("at"), F.lit(r.kind).alias("kind")))])
@@ -110,6 +110,7 @@ def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES) ->
     text = F.coalesce("text", F.lit(""))
     named = paths.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob_id"))
     joined = named.join(by_blob, "blob_id", "left")
-    spans = F.coalesce(F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
+    written = lambda found: F.coalesce(F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
+    base = [i for i, r in enumerate(rules) if r in BASE_RULES]
     counts = [F.when(F.col("all").isNull(), F.lit(0)).otherwise(_count_of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)]
-    return joined.select("doc_id", *counts, spans.alias("spans")).withColumn("base_sha256", F.sha2("spans", 256))
+    return joined.select("doc_id", *counts, F.sha2(written(F.filter("all", lambda s: s["at"].isin(base))), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))

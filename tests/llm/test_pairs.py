@@ -61,10 +61,10 @@ def vector_rows():
 
 
 @pytest.mark.parametrize("kind", ["float", "double"])
-@pytest.mark.parametrize("block_rows", [embeddings.BLOCK_ROWS, 7])
-def test_vectors_by_brute_force(spark, kind, block_rows):
+@pytest.mark.parametrize(("block_rows", "exact_rows"), [(embeddings.BLOCK_ROWS, embeddings.EXACT_ROWS), (7, embeddings.EXACT_ROWS), (7, 0)])
+def test_vectors_by_brute_force(spark, kind, block_rows, exact_rows):
     rows = vector_rows()
-    got = embeddings.near_duplicates(spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, label int, doc int, weight string"), block_rows=block_rows).collect()
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, label int, doc int, weight string"), block_rows=block_rows, exact_rows=exact_rows).collect()
     assert len(got) == len(rows)
     good = {}
     for i, v in rows:
@@ -98,7 +98,33 @@ def test_quantised_links_are_exact():
     assert q.dtype == np.int8 and np.allclose(np.linalg.norm(a - q * step[:, None], axis=1), error)
 
 
+def test_forests_span_the_links():
+    r = np.random.default_rng(5)
+    found = r.random((40, 30)) < 0.03
+    edges = embeddings.crossing(found)
+    assert all(found[x, y] for x, y in edges)
+    ids = [("r", k) for k in range(40)] + [("c", k) for k in range(30)]
+    order = {x: k for k, x in enumerate(ids)}
+    label = lambda pairs: joined(range(70), [(order["r", x], order["c", y]) for x, y in pairs])
+    whole = label(zip(*np.nonzero(found), strict=True))
+    assert label(edges) == whole and len(edges) == 70 - len(set(whole.values()))
+    rows, columns = r.integers(1, 9, 40), r.integers(1, 9, 30)
+    assert [x.tolist() for x in embeddings._sums(found, rows, columns)] == [(found @ columns).tolist(), (rows @ found).tolist()]
+
+
+def test_recall_beyond_the_exact_size(spark):
+    """Tables of buckets against all pairs."""
+    r = np.random.default_rng(9)
+    base = r.standard_normal((400, 32))
+    rows = [(k, (base[k % 400] + r.standard_normal(32) * 0.2 * (k // 400)).tolist()) for k in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    every = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df).collect()}
+    some = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df, exact_rows=0).collect()}
+    assert all(some[k] <= n for k, n in every.items()) and sum(some.values()) >= 0.99 * sum(every.values()) > 0
+
+
 def test_tables_reach_the_stated_miss():
+    assert embeddings.tables_and_bits(1000, 0.95) == (1, 0)
     for rows in (10, 10_000, 10_000_000, 10**11):
         tables, bits = embeddings.tables_and_bits(rows, 0.95)
         assert (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** tables <= embeddings.MISS
