@@ -6,15 +6,27 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-
-#: A numbered header at the start of a line, and lines of dots that betray a table of contents.
-HEADER = re.compile(r"^[ \t]*(\d{1,2})[.)][ \t]+(\S.*)$", re.MULTILINE)
-CONTENTS = re.compile(r"\.{4,}\s*\d*\s*$")
-LEAST_BODY = 40
-LOOK_BACK, MOST, OCCURRENCE_CHARS = 12_000, 8_000, 4_000
+from pyspark.sql.types import StringType
+
+#: The three headers of a task and the number that each holds.
+HEADERS = (
+    r"(?P<n>\d+)\s+problema\s+(?P=n)\s*(?:\([^)]*\))?\s*:",
+    r"Problema\s+(?P<n>\d+)\s*[–\-]",
+    r"(?P<n>\d+)Bonus",
+)
+#: The heading that follows a task's header, its dotted form in a table of contents, and files that name a task.
+HEADING, DOTTED, FILES, ANCHOR_FILES = "Enun", r"Enun[^\n]*\. \.", ("in", "out", "c", "cpp", "java"), ("in", "out")
+#: Characters read for the heading, before an anchor and from a start; around an anchor without a start; past an
+#: anchor before the next header counts; from a second mention.
+HEADING_WITHIN, LOOK_BACK, MOST, BEFORE, AFTER, PAST, MENTION = 500, 12_000, 8_000, 2_000, 4_000, 80, 4_000
+
+_HEADER = [re.compile(h, re.IGNORECASE) for h in HEADERS]
+_NEXT = [re.compile(r"\n" + h, re.IGNORECASE) for h in HEADERS]
+_DOTTED = re.compile(DOTTED)
+_BODY = re.compile(HEADING + r"[^\n]*\s+[A-Za-zăâîșțĂÂÎȘȚ]", re.IGNORECASE)
+_NUMBERED = re.compile(rf"(?:^|\n)\d+\.1\s+{HEADING}", re.IGNORECASE | re.MULTILINE)
 
 
 def longest_chunks(text: str, names: list[str]) -> dict[str, str]:
@@ -33,57 +45,82 @@ def longest_chunks(text: str, names: list[str]) -> dict[str, str]:
     return out
 
 
-def sections(text: str) -> list[tuple[int, str, str]]:
-    """(start, title, body) of numbered sections that have a body; of one title the first such; by place."""
-    found = [m for m in HEADER.finditer(text) if not CONTENTS.search(m[2])]
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    out, seen = [], set()
-    for m, end in zip(found, ends, strict=False):
-        title, body = m[2].strip(), text[m.end() : end].strip()
-        if len(body) >= LEAST_BODY and title.lower() not in seen:
-            seen.add(title.lower())
-            out.append((m.start(), title, body))
-    return out
+def _starts(text: str, low: int, high: int) -> set[tuple[int, int]]:
+    """(start, number) of headers inside text[low:high] whose heading follows and isn't an entry of a table of contents."""
+    found = set()
+    for header in _HEADER:
+        for m in header.finditer(text[low:high]):
+            window = text[low + m.end() : low + m.end() + HEADING_WITHIN]
+            if re.search(rf"{m['n']}\.1\s+{HEADING}", window, re.IGNORECASE) and _BODY.search(window) and not _DOTTED.search(window):
+                found.add((low + m.start(), int(m["n"])))
+    return found
+
+
+def sections(text: str) -> list[tuple[int, int]]:
+    """(start, number) of the tasks of a text, by place."""
+    return sorted(_starts(text, 0, len(text)), key=lambda s: s[0])
+
 
+def _file(name: str, kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"\b{re.escape(name.lower())}\.(?:{'|'.join(kinds)})\b", re.IGNORECASE)
 
-def by_file_hint(text: str, name: str) -> str | None:
-    """The first section that mentions the name's input or output file."""
-    hint = re.compile(rf"(?<!\w){re.escape(name)}\.(?:in|out)(?!\w)", re.IGNORECASE)
-    return next((f"{t}\n{b}" for _, t, b in sections(text) if hint.search(b)), None)
 
+def section_chunk(text: str, name: str) -> str | None:
+    """The first task that mentions a file of the name."""
+    starts, hint = [s for s, _ in sections(text)], _file(name, FILES)
+    chunks = (text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=False))
+    return next((c.strip() for c in chunks if hint.search(c)), None) or None
 
-def around_hint(text: str, name: str) -> str | None:
-    """The text around the first mention of the file, from the last header before it, bounded on both sides."""
-    m = re.search(rf"(?<!\w){re.escape(name)}\.(?:in|out)(?!\w)", text, re.IGNORECASE)
+
+def anchor_chunk(text: str, name: str) -> str | None:
+    """The text around the first mention of the name's input or output file: from the last start before it to the next header."""
+    m = _file(name, ANCHOR_FILES).search(text)
     if not m:
         return None
-    low = max(0, m.start() - LOOK_BACK)
-    headers = [h.start() for h in HEADER.finditer(text, low, m.start())]
-    begin = headers[-1] if headers else low
-    return text[begin : begin + MOST]
+    anchor, low = m.start(), max(0, m.start() - LOOK_BACK)
+    starts = [s for s, _ in _starts(text, low, anchor)] + [low + h.start() for h in _NUMBERED.finditer(text[low:anchor])]
+    if not starts:
+        return text[max(0, anchor - BEFORE) : anchor + AFTER].strip() or None
+    ends = [m.start() for n in _NEXT if (m := n.search(text, anchor + PAST))]
+    return text[max(starts) : min(ends, default=min(len(text), max(starts) + MOST))].strip() or None
+
+
+def second_mention(text: Column, name: Column, chars: int = MENTION) -> Column:
+    """A fixed length from the second mention of the name as a word, or from the first if there is one only."""
+    pattern = F.concat(F.lit(r"(?iU)\b\Q"), name, F.lit(r"\E\b"))
+    before = F.split(text, pattern, 3)
+    at = F.length(before[0]) + F.when(F.size(before) > 2, F.length(name) + F.length(F.get(before, F.lit(1)))).otherwise(F.lit(0)) + 1
+    return F.when(F.size(before) > 1, F.regexp_replace(F.substring(text, at, F.lit(chars)), r"^\s+|\s+$", ""))
+
 
+def _by_name(chunk):
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or n is None else chunk(t, n) for t, n in zip(texts, names, strict=True)], dtype=object)
 
-def second_mention(text: Column, name: Column, chars: int = OCCURRENCE_CHARS) -> Column:
-    """A fixed length from the second mention of the name, or from the first if there is one only."""
-    first = F.instr(F.lower(text), F.lower(name))
-    second = F.position(F.lower(name), F.lower(text), first + 1)
-    at = F.when(second > 0, second).otherwise(first)
-    return F.when(at > 0, F.substring(text, at, F.lit(chars)))
+    return run
 
 
-@F.pandas_udf(StringType())
-def chunk_for_name(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """By section, else around the file's mention; null if neither is found."""
-    return pd.Series([None if t is None or n is None else by_file_hint(t, n) or around_hint(t, n) for t, n in zip(texts, names, strict=True)], dtype=object)
+def chunk_in_sections(text: Column, name: Column) -> Column:
+    return _by_name(section_chunk)(text, name)
+
+
+def chunk_at_anchor(text: Column, name: Column) -> Column:
+    return _by_name(anchor_chunk)(text, name)
 
 
 def cascade(text: Column, name: Column) -> Column:
-    return F.coalesce(chunk_for_name(text, name), second_mention(text, name))
+    """By task, else around the file's mention, else from the second mention; null if there is no mention."""
+    return F.coalesce(_by_name(lambda t, n: section_chunk(t, n) or anchor_chunk(t, n))(text, name), second_mention(text, name))
+
 
+def with_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A row for each task of each text, in Arrow batches: key, start (from 0), number."""
 
-@F.udtf(returnType=StructType([StructField("start", IntegerType()), StructField("title", StringType()), StructField("body", StringType())]))
-class Sections:
-    """Table function: the sections of a text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch[text].map(lambda t: [] if t is None else sections(t))
+            out = batch.assign(found=found).explode("found").dropna(subset=["found"])
+            yield pd.DataFrame({key: out[key], "start": [s for s, _ in out["found"]], "number": [n for _, n in out["found"]]})
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        yield from sections(text or "")
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, start long, number long")

@@ -98,11 +98,14 @@ def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
+#: The text for no items, what joins items, and what tells how many more there are.
+NO_ITEMS, ARROW, MORE = "nicio operație extrasă", " → ", (" (+ ", " mai multe)")
+
+
 def chain_summary(items: Column, shown: int = 3) -> Column:
     """The first few items joined by arrows, and how many more there are."""
-    head = F.array_join(F.slice(items, 1, shown), " -> ")
-    more = F.concat(F.lit(" (+"), (F.size(items) - shown).cast("string"), F.lit(" more)"))
-    return F.when(F.size(items) == 0, F.lit("none")).when(F.size(items) > shown, F.concat(head, more)).otherwise(head)
+    more = F.concat(F.lit(MORE[0]), (F.size(items) - shown).cast("string"), F.lit(MORE[1]))
+    return F.when(F.size(items) == 0, NO_ITEMS).otherwise(F.concat(F.array_join(F.slice(items, 1, shown), ARROW), F.when(F.size(items) > shown, more).otherwise(F.lit(""))))
 
 
 def content_key(text: Column) -> Column:

@@ -76,12 +76,6 @@ def segment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", doc.alias("doc")).select("event_id", F.array_join(K.segment_violations(F.col("doc")), "; ").alias("v"))
 
 
-@register("op_094_hint_document", HINT_SETS_SQL + "SELECT conv_id, CASE WHEN len(hints) = 0 THEN 'empty' WHEN len(hints) > 4 THEN 'too many: ' || len(hints) ELSE '' END AS v FROM hint_sets")
-def hint_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size("hints")
-    return hint_sets(spark, sf_dir).select("conv_id", F.when(n == 0, "empty").when(n > 4, F.concat(F.lit("too many: "), n)).otherwise("").alias("v"))
-
-
 @register("op_096_count_bounds", HINT_SETS_SQL + "SELECT conv_id, CASE WHEN len(hints) < 1 THEN 'too_few_hints: ' || len(hints) || ' < 1' WHEN len(hints) > 4 THEN 'too_many_hints: ' || len(hints) || ' > 4' ELSE '' END AS v FROM hint_sets")
 def count_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hint_sets(spark, sf_dir).select("conv_id", F.array_join(R.count_violations(F.size("hints")), ";").alias("v"))

@@ -107,13 +107,6 @@ def optional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_optional(spark, files.shared_folder(spark), "a long")
 
 
-@register("op_014_statement_text", "SELECT page_id, length(html) > 0 AS v FROM pages")
-def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-014 and 015: whole documents as text, here pages without their markup."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " "))
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(plain) > 0).alias("v"))
-
-
 # --- differences
 
 
@@ -156,161 +149,7 @@ def template_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.inline(hints), F.lit("silver_diff").alias("source"))
 
 
-# --- parts of long texts
-
-
-@register("op_12d_longest_chunks")
-def longest_chunks(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("the", "with", "und", "des", "que")) -> DataFrame:
-    @F.pandas_udf("array<struct<name: string, chunk: string>>")
-    def split(texts):
-        return texts.map(lambda t: sorted(S.longest_chunks(t or "", list(names)).items()))
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(split("text"))).select("doc_id", "name", F.length("chunk").cast("long").alias("n_chars"))
-
-
-@register("op_12e_sections")
-def find_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered sections, on documents whose lines are numbered."""
-    lines = F.transform(T.lines(F.col("text")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". part "), (i + 1).cast("string"), F.lit("\n"), x))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
-    spark.udtf.register("sections_of", S.Sections)
-    rows.createOrReplaceTempView("numbered_documents")
-    return spark.sql("SELECT doc_id, s.start, s.title, length(s.body) AS n_chars FROM numbered_documents, LATERAL sections_of(text) s")
-
-
-@register(
-    "op_12h_second_mention",
-    "SELECT doc_id, CASE WHEN p2 > 0 THEN substr(text, p1 + p2, 400) WHEN p1 > 0 THEN substr(text, p1, 400) END AS v FROM (SELECT *, CASE WHEN p1 > 0 THEN instr(lower(substr(text, p1 + 1)), 'de') ELSE 0 END AS p2 FROM (SELECT doc_id, text, instr(lower(text), 'de') AS p1 FROM documents))",
-)
-def second_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.second_mention(F.col("text"), F.lit("de"), 400).alias("v"))
-
-
-@register("op_12i_chunk_cascade")
-def chunk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-12F, 12G and 12I: by section, around the file's mention, or from the second mention."""
-    text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("1. first\nreads sum.in "), "text")).otherwise(F.concat("text", F.lit(" sum "), "text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", text.alias("t")).select("item_id", F.length(S.cascade(F.col("t"), F.lit("sum"))).alias("n_chars"))
-
-
-# --- gaps
-
-
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as segment records, beside those of the next text."""
-    words = F.split("text", " ")
-    ops = F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(3)), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " "))
-    algorithm = F.element_at(F.array(*map(F.lit, ("greedy", "greedy_sort", "bfs", "breadth_first", "dp"))), (F.col("item_id") % 5 + 1).cast("int"))
-    issue = F.element_at(F.array(*map(F.lit, ("integer overflow in a sum", "unused variable", "the output is off by one", "index out of bounds"))), (F.col("item_id") % 4 + 1).cast("int"))
-    record = F.struct((F.col("item_id") % 6 != 0).alias("matches_problem"), F.left("text", F.lit(40)).alias("text"), algorithm.alias("algorithm"), F.slice(words, 1, 2).alias("data_structures"), ops.alias("key_operations"), F.array(F.lit("missing comment"), issue).alias("potential_issues"))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", record.alias("partial"))
-    return rows.join(rows.select((F.col("item_id") - 1).alias("item_id"), F.col("partial").alias("passing")), "item_id")
-
-
-@register("op_13d_gap_objects")
-def gap_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-13A to 13D and 12P."""
-    g = segments(spark, sf_dir).select("item_id", G.gap(F.col("partial"), F.col("passing"), F.lit(0.9)).alias("g"))
-    return g.select("item_id", "g.gap_level", "g.missing_concept", "g.primary_issue", "g.diverges_at_step", "g.hint_level", "g.output_issue", G.gap_text(F.col("g")).alias("text"))
-
-
-@register(
-    "op_134_anchor_similarity",
-    r"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w FROM conversations), a AS (SELECT list_distinct(string_split(x, ' ')) AS a FROM (VALUES ('the of and'), ('de la que'), ('in to a')) v(x))
-    SELECT conv_id, turn, round(max(len(list_intersect(w, a)) / greatest(len(w) + len(a) - len(list_intersect(w, a)), 1)), 6) + 0.0 AS v FROM t, a GROUP BY ALL""",
-)
-def anchor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.settled(G.max_to_anchors(F.col("text"), ("the of and", "de la que", "in to a"))).alias("v"))
-
-
-@register("op_135_critical_issue")
-def critical_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("item_id", G.critical_issue(F.col("partial.potential_issues")).alias("issue"))
-
-
-@register("op_137_operation_alignment")
-def operation_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = G.align_operations(F.col("partial.key_operations"), F.concat(F.slice("partial.key_operations", 1, 1), F.col("passing.key_operations")))
-    return segments(spark, sf_dir).select("item_id", a.alias("a")).select("item_id", "a.diverge_at", F.size("a.missing").alias("n_missing"), F.size("a.scores").alias("n_scores"))
-
-
-@register(
-    "op_138_algorithms",
-    "SELECT i.item_id, ['greedy', 'greedy', 'bfs', 'bfs', 'dp'][(i.item_id % 5)::INT + 1] AS canonical, ['greedy', 'greedy', 'bfs', 'bfs', 'dp'][(i.item_id % 5)::INT + 1] <> ['greedy', 'greedy', 'bfs', 'bfs', 'dp'][((i.item_id + 1) % 5)::INT + 1] AS differ FROM benchmark i JOIN benchmark j ON j.item_id = i.item_id + 1",
-)
-def algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("item_id", G.canonical_algorithm(F.col("partial.algorithm")).alias("canonical"), G.algorithms_differ(F.col("partial.algorithm"), F.col("passing.algorithm")).alias("differ"))
-
-
-@register("op_139_structures")
-def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = G.structure_divergence(F.col("partial.data_structures"), F.col("passing.data_structures"))
-    return segments(spark, sf_dir).select("item_id", d.alias("d")).select("item_id", F.array_join("d.missing", "|").alias("missing"), F.array_join("d.extra", "|").alias("extra"))
-
-
-# --- model calls
-
-
-@register("op_141_embeddings")
-def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-141 and 143, with the stand-in provider."""
-    rows = M.embed(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", M.HashedEmbedding)
-    return rows.select("item_id", F.size("embedding").alias("dims"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
-
-
-@register("op_142_embedding_cache", "SELECT item_id, item_id % 2 = 0 AS cached FROM benchmark")
-def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    cache = rows.where("item_id % 2 = 0").select(T.content_key(F.col("text")).alias("content_key"), F.array(F.lit(0.0)).alias("embedding")).distinct()
-    found, _ = M.embed_cached(rows, "text", cache, M.HashedEmbedding)
-    return found.select("item_id", (F.size("embedding") == 1).alias("cached"))
-
-
-def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hint_sets(spark, sf_dir).select("conv_id", F.lit(P.SYSTEM).alias("system"), P.user_prompt({"task": F.col("statement")}).alias("user"))
-    return M.chat(rows, "system", "user", lambda: M.EchoChat(fail_every=5))
-
-
-@register("op_144_chat", HINT_SETS_SQL + "SELECT conv_id, true AS settled FROM hint_sets")
-def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-144 to 146: an answer or an error for each row, after retries."""
-    return answered(spark, sf_dir).select("conv_id", (F.col("answer").isNotNull() != F.col("error").isNotNull()).alias("settled"))
-
-
-@register("op_14a_error_isolation", HINT_SETS_SQL + "SELECT count(*) AS n FROM hint_sets")
-def error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-147 to 149 and 14A: valid rows and dead letters add up."""
-    good, bad = M.route(answered(spark, sf_dir))
-    return good.select("conv_id").unionByName(bad.select("conv_id")).agg(F.count("*").alias("n"))
-
-
-@register("op_12m_prompts", HINT_SETS_SQL + "SELECT conv_id, '## Task' || chr(10) || CASE WHEN length(statement) > 8000 THEN left(statement, 8000) || chr(10) || '[cut]' ELSE statement END AS prompt FROM hint_sets WHERE statement <> ''")
-def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit("")
-    parts = P.standard_parts(F.col("statement"), F.array().cast("array<string>"), none, none)
-    return hint_sets(spark, sf_dir).where("statement <> ''").select("conv_id", P.user_prompt(parts).alias("prompt"))
-
-
-@register("op_12n_prompt_variants", HINT_SETS_SQL + "SELECT conv_id, v AS variant, (CASE WHEN v = 'no_concepts' OR v = 'no_pitfalls' THEN 1 ELSE 2 END)::BIGINT AS n_blocks FROM hint_sets, (VALUES ('full'), ('no_pitfalls'), ('no_concepts'), ('no_reference'), ('no_diff')) a(v)")
-def prompt_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = {"concepts": F.lit("- arrays"), "pitfalls": F.lit("- bounds")}
-    rows = P.all_variants(hint_sets(spark, sf_dir).select("conv_id"), parts)
-    return rows.select("conv_id", "variant", F.regexp_count("prompt", F.lit("## ")).cast("long").alias("n_blocks"))
-
-
-@register("op_14d_chat_samples", HINT_SETS_SQL + "SELECT conv_id, len(hints)::BIGINT AS n_hints FROM hint_sets WHERE len(hints) > 0")
-def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hint_sets(spark, sf_dir).where(F.size("hints") > 0)
-    sample = P.chat_sample(F.lit(P.SYSTEM), F.col("statement"), F.transform("hints", lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"))), problem_id=F.col("conv_id"))
-    made = rows.select("conv_id", sample.alias("s"))
-    return made.select("conv_id", F.json_array_length(F.get_json_object("s.assistant", "$.hints")).cast("long").alias("n_hints"))
-
-
-@register("op_14f_training_rows", HINT_SETS_SQL + r"SELECT conv_id, least(p + t, 128)::BIGINT AS n_ids, least(t, 128)::BIGINT AS n_labels FROM (SELECT conv_id, len(list_filter(string_split_regex(statement, '\s+'), lambda w: w <> '')) AS p, len(list_filter(string_split_regex(coalesce(hints[1].text, ''), '\s+'), lambda w: w <> '')) AS t FROM hint_sets)")
-def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = hint_sets(spark, sf_dir).select(F.col("conv_id").alias("sample_id"), F.col("statement").alias("prompt"), F.coalesce(F.try_element_at("hints", F.lit(1))["text"], F.lit("")).alias("target"))
-    rows = M.training_rows(samples, M.HashTokenizer, 128)
-    return rows.select(F.col("sample_id").alias("conv_id"), F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_labels"))
+# --- requests and reports
 
 
 @register("op_14k_problem_context", "SELECT doc_id, lang, source, left(text, 200) AS excerpt FROM documents WHERE doc_id = 7")

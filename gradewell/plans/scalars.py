@@ -230,7 +230,7 @@ _scalar("op_12k_truncate", "documents", "doc_id", lambda: F.md5(T.truncate(F.col
 _scalar("op_12l_strip_fences", "benchmark", "item_id", lambda: T.strip_fences(F.concat(F.lit("\n```json\n"), F.trim("text"), F.lit("\n```\n"))), r"regexp_replace(trim(text), '^\s+|\s+$', '', 'g')")
 _scalar("op_12o_bullets", "region", "r_regionkey", lambda: T.bullets(F.split("r_name", " ")), "array_to_string(list_transform(string_split(r_name, ' '), lambda x: '- ' || x), chr(10))")
 _scalar("op_12o_numbered", "nation", "n_nationkey", lambda: T.numbered(F.split("n_name", "_")), "array_to_string(list_transform(string_split(n_name, '_'), lambda x, i: i || '. ' || x), chr(10))")
-_scalar("op_12o_chain_summary", "benchmark", "item_id", lambda: T.chain_summary(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 6).cast("int"))), "CASE WHEN item_id % 6 = 0 THEN 'none' WHEN item_id % 6 > 3 THEN array_to_string(string_split(text, ' ')[1:3], ' -> ') || ' (+' || (item_id % 6 - 3) || ' more)' ELSE array_to_string(string_split(text, ' ')[1:item_id % 6], ' -> ') END")
+_scalar("op_12o_chain_summary", "benchmark", "item_id", lambda: T.chain_summary(F.slice(F.split("text", " "), F.lit(1), (F.col("item_id") % 6).cast("int"))), "CASE WHEN item_id % 6 = 0 THEN 'nicio operație extrasă' WHEN item_id % 6 > 3 THEN array_to_string(string_split(text, ' ')[1:3], ' → ') || ' (+ ' || (item_id % 6 - 3) || ' mai multe)' ELSE array_to_string(string_split(text, ' ')[1:item_id % 6], ' → ') END")
 _scalar("op_12q_content_key", "documents", "doc_id", lambda: T.content_key(F.col("text")), "left(sha1(text), 16)")
 _scalar("op_089_numbers_masked", "events", "event_id", lambda: T.numbers_masked(F.element_at("issues", 1)), f"lower(trim(regexp_replace({ISSUES_SQL}, '-?\\d+', '<N>', 'g')))")
 

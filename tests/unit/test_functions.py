@@ -96,8 +96,3 @@ def test_statements():
     text = "intro sum and more\nSum is long here and goes on\nmax"
     assert S.longest_chunks(text, ["sum", "max"]) == {"sum": "Sum is long here and goes on\n", "max": "max"}
     assert S.longest_chunks("", ["sum"]) == {}
-    long = "1. One ..... 3\n1. One\n" + "body " * 20 + "one.in\n2. Two\n" + "other " * 20
-    assert [t for _, t, _ in S.sections(long)] == ["One", "Two"]
-    assert S.by_file_hint(long, "one").startswith("One\nbody")
-    assert S.around_hint("x two.out y", "two") == "x two.out y"
-    assert S.around_hint("x", "two") is None

@@ -103,7 +103,7 @@ SEGMENT = "struct<matches_problem: boolean, text: string, algorithm: string, dat
 
 
 def test_gap_levels(spark):
-    ok = (True, "t", "greedy", ["heap", "list"], ["read the input", "sort by size"], ["unused variable", "integer overflow"])
+    ok = (True, "t", "greedy", ["heap", "list"], ["read the input", "sort by size"], ["variabilă nefolosită", "depășire de tip întreg (overflow)"])
     rows = [
         ((False, *ok[1:]), ok),
         ((True, "t", "dp", *ok[3:]), ok),
@@ -113,11 +113,23 @@ def test_gap_levels(spark):
     got = [r["g"] for r in spark.createDataFrame(rows, f"a {SEGMENT}, b {SEGMENT}").select(gaps.gap(F.col("a"), F.col("b"), F.lit(0.9)).alias("g")).collect()]
     assert [g["gap_level"] for g in got] == ["intent", "function", "implementation", "implementation"]
     assert [g["hint_level"] for g in got] == ["macro", "structural", "specific", "specific"]
-    assert got[1]["missing_concept"] == "wrong_algorithm:dp_vs_greedy"
+    assert got[1]["missing_concept"] == "algoritm_gresit:dp_vs_greedy"
     assert got[2]["diverges_at_step"] == 0 and got[2]["missing_steps"] == ["sort by size"]
     assert tuple(got[2]["structure_divergence"]) == (["heap"], ["queue"])
     assert got[3]["diverges_at_step"] == -1 and got[3]["structure_divergence"] is None
-    assert got[3]["primary_issue"] == "integer overflow" and got[3]["missing_concept"] == "overflow_risk"
+    assert got[3]["primary_issue"] == "depășire de tip întreg (overflow)" and got[3]["missing_concept"] == "integer_overflow"
+
+
+def test_gap_text(spark):
+    side = (True, "t", "greedy", ["ArrayList", "heap"], ["citește", "sortează lista", "afișează suma", "a", "b"], ["cod redundant", "rezultatul afișat este incorect"])
+    other = (True, "t", "Greedy_Sort", ["set ordonat"], ["x 1", "x 2", "x 3", "x 4", "x 5", "x 6"], [])
+    g = gaps.gap(F.col("a"), F.col("b"), F.lit(0.99))
+    text = spark.createDataFrame([(side, other)], f"a {SEGMENT}, b {SEGMENT}").select(gaps.gap_text(g).alias("t")).first()["t"]
+    assert text.split("\n") == [
+        "── ANALIZA DIFERENȚEI ──", "Nivel gap:              implementation", "Concept lipsă:          wrong_initial_step", "Nivel hint:             very_specific", "Similaritate cod:       high", "",
+        "Abordare parțială:      citește → sortează lista → afișează suma (+ 2 mai multe)", "Abordare corectă (100p):x 1 → x 2 → x 3 (+ 3 mai multe)", "Problemă principală:    rezultatul afișat este incorect", "Divergență la pasul:    1",
+        "Pași lipsă din parțială:", "  - x 1", "  - x 2", "  - x 3", "  - x 4", "  - (+ 2 alți pași)", "Logica ieșirii:         de asemenea incorectă", "Structuri de date lipsă:['set ordonat']", "Structuri de date în plus:['heap']", "── SFÂRȘIT ANALIZĂ ──",
+    ]
 
 
 def test_differences(spark):
@@ -170,17 +182,40 @@ def test_lines_and_folders(spark, tmp_path):
     assert [tuple(r) for r in files.read_solutions(spark, f"file://{tmp_path}/sol").collect()] == [("2024", "sum", "anon_1", 40.0, "cpp", "int x;")]
 
 
-def test_sections_of_long_and_uncounted_documents(spark, tmp_path):
-    line = "a line that is long enough to be the body of a section of its own"
-    texts = {1: line, 2: "\n".join([line] * 60), 3: f"{line}\r\n{line}\n", 4: "", 5: None}
-    docs = spark.createDataFrame([(i, t, None if i == 3 or t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    want = []
-    for i, t in texts.items():
-        parts = re.split(r"\r\n|\n|\r", t) if t is not None else []
-        parts = parts[:-1] if parts and not parts[-1] else parts
-        found = statements.sections("\n".join(f"{k}. part {k}\n{x}" for k, x in enumerate(parts, 1)))
-        want += [(i, start, title, len(body)) for start, title, body in found]
-    got = sorted(map(tuple, models.find_sections(spark, str(tmp_path)).collect()))
-    assert got == sorted(want)
-    assert {i: sum(r[0] == i for r in got) for i in texts} == {1: 1, 2: 60, 3: 2, 4: 0, 5: 0}
+STATEMENT = """Cuprins
+1 problema 1: Suma . . . . 2
+1.1 Enunț . . . . 2
+
+1 problema 1 (30p): Suma
+1.1 Enunț
+Se citește din sum.in un șir de numere.
+Problema 2 – Drumuri
+2.1 Enunt
+Fișierul path.in conține un graf; vezi și sum.out.
+
+3Bonus
+3.1 Enunț
+Doar pentru curioși: bonus.cpp.
+4 problema 4:
+fără titlu de enunț
+"""
+
+
+def test_sections_and_chunks():
+    found = statements.sections(STATEMENT)
+    assert [n for _, n in found] == [1, 2, 3]
+    assert [STATEMENT[s:].split("\n")[0] for s, _ in found] == ["1 problema 1 (30p): Suma", "Problema 2 – Drumuri", "3Bonus"]
+    assert statements.section_chunk(STATEMENT, "sum").startswith("1 problema 1 (30p)") and statements.section_chunk(STATEMENT, "sum").endswith("de numere.")
+    assert statements.section_chunk(STATEMENT, "PATH").startswith("Problema 2") and statements.section_chunk(STATEMENT, "bonus").startswith("3Bonus")
+    assert statements.section_chunk(STATEMENT, "none") is None and statements.section_chunk("", "sum") is None
+    plain = "x" * 3000 + " vezi tree.in " + "y" * 5000
+    assert statements.anchor_chunk(plain, "tree") == plain[1006:7006].strip() and statements.anchor_chunk(plain, "sum") is None
+    below = "a\n2.1 Enunt\n" + "b " * 3000 + "tree.out " + "c" * 200 + "\n3Bonus\nrest"
+    assert statements.anchor_chunk(below, "tree") == below[1 : below.index("\n3Bonus")].strip()
+    assert statements.anchor_chunk(below[: below.index("\n3Bonus")] + "d" * 9000, "tree") == (below[: below.index("\n3Bonus")] + "d" * 9000)[1:8001].strip()
+
+
+def test_cascade_of_chunks(spark):
+    rows = [(STATEMENT, "path"), ("tree.in " + "z" * 10, "tree"), ("a Tree b tree " + "z" * 5000, "tree"), ("trees", "tree"), (None, "x"), ("t", None)]
+    got = [r["c"] for r in spark.createDataFrame(rows, "t string, n string").select(statements.cascade(F.col("t"), F.col("n")).alias("c")).collect()]
+    assert got[0].startswith("Problema 2") and got[1] == "tree.in " + "z" * 10 and got[2] == ("tree " + "z" * 3995) and got[3:] == [None] * 3
