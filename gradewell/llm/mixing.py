@@ -18,6 +18,7 @@ expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,12 +41,13 @@ DIGITS = 2
 #: No document is repeated more often.
 MAX_RATE = 4.0
 #: How strongly rates are held near one against the errors of domain totals, which end at so much of all tokens times the
-#: price; the second where the first leaves errors beyond REACHED of all tokens, so that rates don't run to their bounds in vain.
-NEAR_ONE = (1e-6, 3e-2)
+#: price: less and less, but as at first where even the last leaves errors beyond REACHED of all tokens, so that rates don't
+#: run to their bounds in vain.
+NEAR_ONE = (3e-2, 3e-4, 3e-6)
 REACHED = 0.002
-#: Sums after which a fit that hasn't settled is an error; and the gradient, as a share of all tokens, that is none.
-STEPS = 100
-SETTLED = 1e-7
+#: Sums that a fit may take, and the gradient, as a share of all tokens, that is none.
+STEPS = 30
+SETTLED = 1e-6
 _SLOTS = 1 << 20
 
 
@@ -181,18 +183,11 @@ def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fi
 
     ``targets`` are weights of the domains in ``budget`` times the tokens that
     there are. What falls is a convex function of the prices whose gradient is
-    the error of the domain totals, so the steps end anywhere. Where no rates of
-    0 to MAX_RATE reach the targets (a domain without tokens, posteriors that
-    hardly part), the nearest totals are weighed against rates near one. A fit
-    that doesn't settle in STEPS sums is an error.
+    the error of the domain totals. Where no rates of 0 to MAX_RATE reach the
+    targets (a domain without tokens, posteriors that hardly part), the nearest
+    totals are weighed against rates near one. A first fit that doesn't settle in
+    STEPS sums is an error; a later one is given up.
     """
-    found = _fit_rates(cells, targets, budget, NEAR_ONE[0])
-    if max(abs(a - b) for a, b in zip(found.reached, found.wanted, strict=True)) > REACHED * sum(found.natural):
-        found = _fit_rates(cells, targets, budget, NEAR_ONE[1])
-    return found
-
-
-def _fit_rates(cells: DataFrame, targets: list[float], budget: float, near_one: float) -> Fit:
     n = range(len(targets))
     rate, kept = F.col("rate"), F.col("tokens") * F.col("rate")
     sums = [F.sum(kept * F.element_at("p", k + 1)).alias(f"t{k}") for k in n]
@@ -200,27 +195,46 @@ def _fit_rates(cells: DataFrame, targets: list[float], budget: float, near_one:
 
     def at(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         # a number a domain and pair of domains
-        r = cells.withColumn("rate", _rate(F.col("p"), prices.tolist())).agg(*sums, F.sum(F.col("tokens") * _fall(F.col("p"), prices.tolist())).alias("q")).first()
+        rated = cells.withColumn("rate", _rate(F.col("p"), prices.tolist()))
+        r = rated.agg(*sums, F.sum(F.col("tokens") * _fall(F.col("p"), prices.tolist())).alias("q")).first()
         value = lambda name: float(r[name] or 0.0)
         return np.array([value(f"t{k}") for k in n]), np.array([[value(f"g{min(j, k)}_{max(j, k)}") for k in n] for j in n]), value("q")
 
-    prices, far = np.zeros(len(targets)), 1.0
-    found, gram, squares = at(prices)
-    natural, whole = found.tolist(), max(float(found.sum()), 1.0)
+    prices = np.zeros(len(targets))
+    start = at(prices)
+    natural, whole = start[0].tolist(), max(float(start[0].sum()), 1.0)
     wanted = np.array(targets) / sum(targets) * budget * sum(natural)
-    ridge = near_one * whole
+    fits: list[Fit] = []
+    for near_one in NEAR_ONE:
+        found = _settle(at, prices, start, wanted, whole, near_one)
+        if found is None:
+            break
+        prices, start = found
+        fits.append(Fit(prices.tolist(), natural, wanted.tolist(), start[0].tolist()))
+        if np.abs(start[0] - wanted).max() < SETTLED * whole:
+            break
+    if not fits:
+        raise RuntimeError(f"rates didn't settle in {STEPS} sums of {wanted.tolist()} tokens")
+    near = max(abs(a - b) for a, b in zip(fits[-1].reached, fits[-1].wanted, strict=True)) <= REACHED * whole
+    return fits[-1] if near else fits[0]
+
+
+def _settle(at: Callable, prices: np.ndarray, now: tuple, wanted: np.ndarray, whole: float, near_one: float) -> tuple[np.ndarray, tuple] | None:
+    """Prices at which the convex function is least, and the sums there; None if STEPS sums don't get there."""
+    ridge, far = near_one * whole, 1.0
     for _ in range(STEPS):
+        found, gram, squares = now
         gradient = wanted - found + ridge * prices
         if np.abs(gradient).max() < SETTLED * whole:
-            return Fit(prices.tolist(), natural, wanted.tolist(), found.tolist())
+            return prices, now
         step = -far * np.linalg.solve(gram + ridge * np.eye(len(prices)), gradient)
         tried = at(prices + step)
         fall = (squares - tried[2]) / 2 - step @ wanted - ridge * (step @ prices + step @ step / 2)
         if fall >= -1e-4 * (step @ gradient) - 1e-12 * squares:
-            prices, (found, gram, squares), far = prices + step, tried, min(1.0, 4 * far)
+            prices, now, far = prices + step, tried, min(1.0, 4 * far)
         else:
             far /= 4
-    raise RuntimeError(f"rates didn't settle in {STEPS} sums: {found.tolist()} of {wanted.tolist()} tokens")
+    return None
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], budget: float = 1.0, seed: int = 7) -> tuple[DataFrame, Fit]:
