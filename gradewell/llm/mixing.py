@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership (operator 7, native).
 
 A naive Bayes classifier over hashed words, fitted on half of a bounded sample
-of a labelled table and tempered on the other half, gives every document its
+of a labelled table and calibrated on the other half, gives every document its
 posterior over the domains. Nonnegative document rates are then fitted by
 projected gradient so that the expected tokens of each domain (rate x tokens x
 posterior, summed) match target shares of a token budget in the least-squares
@@ -95,28 +95,44 @@ def _weights(table: list, domains: list[str]) -> list[dict[int, float]]:
     return [{f: raw[k][f] - raw[-1][f] for f in raw[k]} for k in range(len(domains) - 1)]
 
 
-def temperature(evidence: list[tuple[int, list[float]]], prior: list[float]) -> float:
-    """The factor of the evidence under which held-out labels are likeliest; 1 without any. (domain, log odds) each."""
+def calibrate(evidence: list[tuple[int, list[float]]], share: list[float]) -> tuple[float, list[float]]:
+    """A factor of the evidence and a log prior for each domain, of held-out labels; (domain, log odds) each.
+
+    Of all factors the one under which the labels are likeliest, each with the
+    priors that make the mean posterior the domains' shares. Without any
+    evidence 1 and the shares' logarithms.
+    """
+    prior = np.log(share)
     if not evidence:
-        return 1.0
-    truth, odds = np.array([k for k, _ in evidence]), np.array([e for _, e in evidence])
-    start = np.append(prior, 0.0)
+        return 1.0, prior.tolist()
+    truth, odds, want = np.array([k for k, _ in evidence]), np.array([e for _, e in evidence]), np.array(share)
+    weight = (want / np.maximum(np.bincount(truth, minlength=len(share)), 1))[truth]
+    weight = weight / weight.sum()
 
-    def loss(t: float) -> float:
-        z = start + t * odds
-        z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
+    def posteriors(z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
-    return min((2.0 ** (k / 4) for k in range(-24, 17)), key=loss)
+    best = (np.inf, 1.0, prior)
+    for t in (2.0 ** (k / 4) for k in range(-24, 17)):
+        level = prior.copy()
+        for _ in range(50):
+            level += np.log(want / np.maximum(weight @ posteriors(level + t * odds), 1e-9))
+        loss = -float(weight @ np.log(np.maximum(posteriors(level + t * odds)[np.arange(len(truth)), truth], 1e-12)))
+        best = min(best, (loss, t, level), key=lambda x: x[0])
+    return best[1], best[2].tolist()
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = SAMPLE_PER_DOMAIN) -> DomainModel:
-    """From ``labelled`` (doc_id, label): presence counts of features in one half of the sample, tempered on the other."""
-    rows = labelled.where(F.col("label").isin(domains))
+    """From ``labelled`` (doc_id, label): presence counts of features in one half of the sample, calibrated on the other.
+
+    Only labels of rows that ``docs`` has count, for the sample and for the prior.
+    """
+    named = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    rows = named.join(labelled.where(F.col("label").isin(domains)), "doc_id")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a domain
     total = sum(counts.values())
     share = [(counts.get(d, 0) + 0.5) / (total + 0.5 * len(domains)) for d in domains]
-    prior = [math.log(s / share[-1]) for s in share[:-1]]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     # at most per_domain ids a domain, so the broadcast side is bounded
     sampled = text.join(F.broadcast(sample_ids(rows, per_domain)), "doc_id").select("label", features(words(F.col("text"))).alias("f"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("half"))
@@ -124,10 +140,10 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: in
     held = [F.count_if(F.col("label") == d).alias(f"n{k}") for k, d in enumerate(domains)]
     # at most FEATURES rows
     weights = _weights(sampled.where("half = 0").select("label", F.explode("f").alias("f")).groupBy("f").agg(*held).collect(), domains)
-    model = DomainModel(domains, [0.0] * len(prior), weights)
+    model = DomainModel(domains, [0.0] * len(weights), weights)
     other = sampled.where("half = 1").select("label", scores(model, F.col("f")).alias("s")).collect()  # at most per_domain rows a domain
-    t = temperature([(domains.index(r["label"]), r["s"]) for r in other], prior)
-    return DomainModel(domains, prior, [{f: t * x for f, x in w.items()} for w in weights])
+    t, level = calibrate([(domains.index(r["label"]), r["s"]) for r in other], share)
+    return DomainModel(domains, [x - level[-1] for x in level[:-1]], [{f: t * x for f, x in w.items()} for w in weights])
 
 
 def _numbers(values: list[float]) -> Column:
@@ -267,6 +283,8 @@ def domain_rows(labels: DataFrame) -> DataFrame:
 
 #: Shares of tokens by domain, and all tokens against those that there are: clean text is repeated, toxic and poor text is thinned.
 TARGETS = {"clean": 0.82, "toxic": 0.10, "poor": 0.08}
+#: The same where poor text has been taken out before.
+FILTERED_TARGETS = {"clean": 0.92, "toxic": 0.08}
 BUDGET = 1.2
 
 
@@ -280,5 +298,5 @@ def mix_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns and as many copies as their rates say; odd rows as in ``mix``."""
-    mixed, _ = mix(docs, domain_rows(labels), targets or TARGETS, docs.columns, budget)
+    mixed, _ = mix(docs, domain_rows(labels), targets or FILTERED_TARGETS, docs.columns, budget)
     return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
