@@ -1,14 +1,19 @@
 """Stupid-backoff language-model scores (operator 8).
 
 Documents are dealt over batches by a hash of their content. Each batch is
-exploded to its n-grams of all sizes, as rows (gram, size, batch, n); those are
-partitioned by the gram's hash, summed to the count table (gram, size, total,
-batches), and joined to the exploded n-grams again. The joined rows go back to
-their batches, where the counts of a document's n-grams are looked up and its
-scores summed. Every document is scored against the counts of all other
-documents: its own occurrences are taken off, else every n-gram would have been
-seen. A frequent n-gram is one row a batch, so no key makes a large partition;
-an n-gram of one batch only isn't sent back, because its batch knows its count.
+exploded to its distinct n-grams of all sizes with their counts; those are
+partitioned by the n-gram's hash, summed to the count table, and joined to the
+exploded n-grams again, by the n-gram. What was joined goes back to its batch,
+where the counts of a document's n-grams are looked up and its scores summed.
+Every document is scored against the counts of all other documents: its own
+occurrences are taken off, else every n-gram would have been seen. A frequent
+n-gram is one entry a batch, so no key makes a large partition; an n-gram of one
+batch only isn't sent back, because its batch knows its count.
+
+Entries travel in blocks, one for each batch and partition of the count table:
+sorted hashes and counts, compressed. Where that would be too many blocks they
+travel as rows, and the count table and its join are Spark's own; either way the
+results are the same.
 """
 
 from __future__ import annotations
@@ -23,13 +28,16 @@ from gradewell.llm.bytehash import mix, words
 BACKOFF = 0.4
 #: The longest n-gram.
 ORDER = 2
-#: Text of a batch, in bytes, and n-gram rows of a partition of the count table (by an estimate of one row for PLACE_BYTES of text and size).
-BATCH_BYTES = 20_000_000
+#: Text of a batch, in bytes, and n-grams of a partition of the count table (by an estimate of one for PLACE_BYTES of text and size).
+BATCH_BYTES = 8_000_000
 PARTITION_ROWS = 2_000_000
 PLACE_BYTES = 8
+#: More blocks than this would hold few n-grams each; rows take their place.
+MOST_BLOCKS = 4_000_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 GRAMS = "gram long, size int, batch long, n long"
+BLOCKS = "part int, batch long, grams binary, counts binary"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
@@ -104,14 +112,103 @@ def backoff_scores(texts: list[str | None], order: int, grams: np.ndarray, total
     return n, np.bincount(text_of, weights=score, minlength=len(texts))
 
 
+def exploded(placed: DataFrame, order: int, partitions: int) -> DataFrame:
+    """Rows ``GRAMS`` of documents with their batch, partitioned by the n-gram's hash."""
+    # the join's own conditions, so that it adds none and all its readers share this exchange
+    return placed.groupBy("batch").applyInPandas(_explode(order), GRAMS).where("gram IS NOT NULL AND n IS NOT NULL").repartition(partitions, "gram")
+
+
+def count_table(grams: DataFrame) -> DataFrame:
+    """gram, size, total, first and last batch; the empty n-gram (gram 0, size 0) counts all words."""
+    return grams.groupBy("gram").agg(F.max("size").alias("size"), F.sum("n").alias("total"), F.min("batch").alias("first"), F.max("batch").alias("last"))
+
+
+def _row_answers(placed: DataFrame, order: int, partitions: int) -> DataFrame:
+    """batch, and each of its n-grams that other batches hold with its total."""
+    grams = exploded(placed, order, partitions)
+    known = count_table(grams).where("first < last").select("gram", F.col("size").alias("known_size"), "total")
+    # all columns are read on both sides of the join, so that both read one exchange
+    return grams.join(known, "gram").where("total > n").select("gram", F.greatest("size", "known_size").alias("size"), "batch", "total")
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of one significance together, then zstandard: sorted differences and small counts take few bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_grams(sorted_grams: np.ndarray) -> bytes:
+    return pack(np.diff(sorted_grams, prepend=np.uint64(0)))
+
+
+def unpack_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64))
+
+
+def _blocks(order: int, partitions: int):
+    def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        rows = _explode(order)(key, docs)
+        grams, n = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy()
+        at = np.argsort(grams)
+        grams, n = grams[at], n[at].astype(np.uint64)
+        # leading bits make partitions of sorted n-grams
+        edges = np.searchsorted((grams >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32), np.arange(partitions + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(edges))
+        parts = [(int(p), int(key[0]), pack_grams(grams[edges[p] : edges[p + 1]]), pack(n[edges[p] : edges[p + 1]])) for p in full]
+        return pd.DataFrame(parts, columns=["part", "batch", "grams", "counts"])
+
+    return run
+
+
+def count_partition(blocks: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One partition of the count table: its n-grams, their totals, and how many blocks hold each."""
+    grams, which = np.unique(np.concatenate(blocks), return_inverse=True)
+    held = np.concatenate(counts)
+    total = np.zeros(len(grams), dtype=np.uint64)
+    np.add.at(total, which, held)
+    return grams, total, np.bincount(which, minlength=len(grams))
+
+
+def _joined(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The count table's partition joined to the blocks that it was summed from."""
+    own = [unpack_grams(b) for b in blocks["grams"]]
+    grams, totals, times = count_partition(own, [unpack(b, np.uint64) for b in blocks["counts"]])
+    rows = []
+    for part, batch, mine in zip(blocks["part"], blocks["batch"], own, strict=True):
+        at = np.searchsorted(grams, mine)
+        at = at[times[at] > 1]
+        if len(at):
+            rows.append((part, batch, pack_grams(grams[at]), pack(totals[at])))
+    return pd.DataFrame(rows, columns=["part", "batch", "grams", "counts"])
+
+
+def _block_answers(placed: DataFrame, order: int, partitions: int) -> DataFrame:
+    """The same as ``_row_answers``, in blocks."""
+    blocks = placed.groupBy("batch").applyInPandas(_blocks(order, partitions), BLOCKS)
+    return blocks.repartition(max(partitions, 2), "part").groupBy("part").applyInPandas(_joined, BLOCKS)
+
+
 def _score(order: int):
     columns = [c.split()[0] for c in SCORES.split(", ")]
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame([], columns=columns)
-        answers = answers.sort_values("gram")
-        n, score = backoff_scores(_texts(docs), order, answers["gram"].to_numpy(np.int64), answers["total"].to_numpy(np.int64))
+        if "grams" in answers:
+            grams = np.concatenate([np.zeros(0, np.uint64), *map(unpack_grams, answers["grams"])]).view(np.int64)
+            totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(b, np.uint64) for b in answers["counts"])]).view(np.int64)
+        else:
+            grams, totals = answers["gram"].to_numpy(np.int64), answers["total"].to_numpy(np.int64)
+        at = np.argsort(grams)
+        n, score = backoff_scores(_texts(docs), order, grams[at], totals[at])
         out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").to_numpy(), "n_words": n, "log_score": score})
         out["mean_log_score"] = np.divide(score, n, out=np.zeros(len(n)), where=n > 0)
         return out[columns]
@@ -119,18 +216,7 @@ def _score(order: int):
     return run
 
 
-def exploded(placed: DataFrame, order: int, partitions: int) -> DataFrame:
-    """Rows ``GRAMS`` of documents with their batch, partitioned by the n-gram's hash."""
-    # the join's own conditions, so that it adds none and all its readers share this exchange
-    return placed.groupBy("batch").applyInPandas(_explode(order), GRAMS).where("gram IS NOT NULL AND n IS NOT NULL").repartition(partitions, "gram")
-
-
-def count_table(grams: DataFrame) -> DataFrame:
-    """gram, size, total, first and last batch; the empty n-gram (gram 0, size 0) counts all words."""
-    return grams.groupBy("gram").agg(F.max("size").alias("size"), F.sum("n").alias("total"), F.min("batch").alias("first"), F.max("batch").alias("last"))
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not read): ``SCORES``.
 
     Words are lower-cased (A-Z) runs of anything but space and 09-0D. A word
@@ -141,7 +227,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATC
     as one among the other documents' words and itself. log_score sums natural
     logarithms; mean_log_score is zero for texts without words. Null, empty and
     blank texts have none. Texts of any length are read whole. Repeated rows
-    count as documents of their own. An empty table gives an empty result.
+    count as documents of their own (those equal in id and text share a batch).
+    An empty table gives an empty result.
 
     Both passes read the same exchange of texts, and a document's batch follows
     from its id and text alone, so the passes agree in any case. An n-gram is
@@ -149,13 +236,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATC
     """
     text = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (text == "").alias("blank"))
-    total = rows.where("not blank").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
-    partitions = max(1, total * order // (PLACE_BYTES * PARTITION_ROWS)) + docs.sparkSession.sparkContext.defaultParallelism
+    partitions = max(1, -(-total * order // (PLACE_BYTES * PARTITION_ROWS)))
     placed = rows.where("not blank").select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch")).repartition(max(batches, 2), "batch")
-    grams = exploded(placed, order, partitions)
-    known = count_table(grams).where("first < last").select("gram", F.col("size").alias("known_size"), "total")
-    # all columns are read on both sides of the join, so that both read one exchange
-    answers = grams.join(known, "gram").where("total > n").select("gram", F.greatest("size", "known_size").alias("size"), "batch", "total")
+    answers = (_block_answers if batches * partitions <= most_blocks else _row_answers)(placed, order, partitions)
     scored = placed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(order), SCORES)
     return scored.union(rows.where("blank").select("doc_id", F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)))
