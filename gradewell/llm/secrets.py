@@ -113,4 +113,5 @@ def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES) ->
     written = lambda found: F.coalesce(F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","), F.lit(""))
     base = [i for i, r in enumerate(rules) if r in BASE_RULES]
     counts = [F.when(F.col("all").isNull(), F.lit(0)).otherwise(_count_of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)]
-    return joined.select("doc_id", *counts, F.sha2(written(F.filter("all", lambda s: s["at"].isin(base))), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
+    digest = F.sha2(written(F.filter("all", lambda s: s["at"].isin(base))), 256)
+    return joined.select("doc_id", *counts, written(F.col("all")).alias("spans"), digest.alias("base_sha256"))

@@ -433,10 +433,12 @@ def brute_scores(rows, order):
     return out
 
 
+@pytest.mark.parametrize("most_blocks", [lm_scores.MOST_BLOCKS, 0])
 @pytest.mark.parametrize(("order", "batch_bytes"), [(2, lm_scores.BATCH_BYTES), (2, 3000), (1, 5000), (3, 5000), (4, 9000)])
-def test_scores_by_brute_force(spark, order, batch_bytes):
+def test_scores_by_brute_force(spark, monkeypatch, order, batch_bytes, most_blocks):
+    monkeypatch.setattr(lm_scores, "PARTITION_ROWS", 1000)
     rows = [*ODD, *((100 + k, prose(k % 30, 40)) for k in range(60)), (6, "one two"), *((200 + k, "the hot text of all") for k in range(40))]
-    got = lm_scores.score_documents(frame(spark, rows), order, batch_bytes).collect()
+    got = lm_scores.score_documents(frame(spark, rows), order, batch_bytes, most_blocks).collect()
     sort = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     for a, b in zip(sorted(((r["doc_id"], r["n_words"], r["log_score"]) for r in got), key=sort), sorted(brute_scores(rows, order), key=sort), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
@@ -453,13 +455,27 @@ def test_count_table_by_brute_force(spark):
     assert [(r["gram"], r["total"], r["first"], r["last"]) for r in got if r["size"] == 0] == [(0, 240, 0, 2)]
 
 
-def test_texts_move_once(spark):
+@pytest.mark.parametrize(("most_blocks", "shared", "exploded"), [(lm_scores.MOST_BLOCKS, 1, 2), (0, 2, 1)])
+def test_texts_move_once(spark, most_blocks, shared, exploded):
     """Both passes read one exchange of texts, and the count table shares the n-grams' exchange."""
-    out = lm_scores.score_documents(frame(spark, [(k, prose(k, 30)) for k in range(20)]), batch_bytes=500)
+    out = lm_scores.score_documents(frame(spark, [(k, prose(k, 30)) for k in range(20)]), batch_bytes=500, most_blocks=most_blocks)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("== Initial Plan ==")]
-    assert final.count("ReusedExchange") == 2 and final.count("FlatMapGroupsInPandas ") == 1
+    assert final.count("ReusedExchange") == shared and final.count("FlatMapGroupsInPandas ") == exploded
+
+
+def test_blocks_round_trip_and_sum():
+    r = np.random.default_rng(0)
+    own = [np.unique(r.integers(0, 50, 30).astype(np.uint64) << np.uint64(57)) for _ in range(5)]
+    counts = [r.integers(1, 2**40, len(x)).astype(np.uint64) for x in own]
+    assert all((lm_scores.unpack_grams(lm_scores.pack_grams(x)) == x).all() for x in own)
+    grams, totals, times = lm_scores.count_partition(own, counts)
+    want, seen = Counter(), Counter()
+    for x, c in zip(own, counts, strict=True):
+        want.update(dict(zip(x.tolist(), c.tolist(), strict=True)))
+        seen.update(x.tolist())
+    assert dict(zip(grams.tolist(), totals.tolist(), strict=True)) == want and dict(zip(grams.tolist(), times.tolist(), strict=True)) == seen
 
 
 def test_scores_of_nothing(spark):
