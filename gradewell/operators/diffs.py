@@ -18,6 +18,8 @@ STRUCTURAL = frozenset(
     "ArrayList HashMap HashSet TreeMap TreeSet PriorityQueue Stack Queue LinkedList BufferedReader PrintWriter".split()
 )
 EXCERPT, TOP = 4000, 8
+#: Fixed value: what ends an excerpt that was cut.
+CUT = "\n... (truncated)"
 _TOKEN = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*", re.ASCII)
 _TEXTS = ArrayType(StringType())
 DIFF = StructType(
@@ -37,7 +39,7 @@ DIFF = StructType(
 def _more(a: Counter, b: Counter) -> list[str]:
     """Structural words that ``b`` has more often, the largest difference first."""
     rise = {w: n - a[w] for w, n in b.items() if w in STRUCTURAL and n > a[w]}
-    return [w for w, _ in sorted(rise.items(), key=lambda x: (-x[1], x[0]))[:TOP]]
+    return [w for w, _ in Counter(rise).most_common(TOP)]  # of equals the first seen
 
 
 def difference(old: list[str], new: list[str]) -> tuple:
@@ -48,7 +50,7 @@ def difference(old: list[str], new: list[str]) -> tuple:
     removed = [old[c[1] : c[2]] for c in changes if c[2] > c[1]]
     before, after = (Counter(t for line in lines for t in _TOKEN.findall(line)) for lines in (old, new))
     unified = "\n".join(difflib.unified_diff(old, new, lineterm="", n=2))
-    return sum(map(len, added)), sum(map(len, removed)), added, removed, _more(before, after), _more(after, before), unified[:EXCERPT], matcher.ratio()
+    return sum(map(len, added)), sum(map(len, removed)), added, removed, _more(before, after), _more(after, before), unified if len(unified) <= EXCERPT else unified[:EXCERPT] + CUT, matcher.ratio()
 
 
 @F.pandas_udf(DIFF)
@@ -75,3 +77,19 @@ def template_hints(d: Column, concept: Column, difficulty: Column) -> Column:
     specific = F.when(F.size(d["added_blocks"]) > 0, F.lit("Look at the end of the main logic: a block of lines is missing from your version."))
     kinds = F.array(*[F.when(t.isNotNull(), F.struct(F.lit(level).alias("level"), t.alias("text"))) for level, t in (("macro", macro), ("structural", structural), ("specific", specific))])
     return F.array_compact(kinds)
+
+
+def template_row(d: Column, concept: Column, difficulty: Column, similarity: Column, **meta: Column) -> Column:
+    """A hint set without a model: where it comes from (``meta``), its hints, and the fields that every set has."""
+    none = F.array().cast("array<string>")
+    fields = meta | {
+        "verdict": F.lit("WA"),
+        "issues": none,
+        "concepts_targeted": F.when(F.coalesce(concept, F.lit("")) != "", F.array(concept)).otherwise(none),
+        "hints": template_hints(d, concept, difficulty),
+        "source": F.lit("silver_diff"),
+        "validator_passed": F.lit(True),
+        "validator_violations": none,
+        "embedding_similarity": F.round(similarity, 4),
+    }
+    return F.struct(*[c.alias(k) for k, c in fields.items()])

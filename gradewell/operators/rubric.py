@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradewell.functions.text import sentence_count, word_count
 from gradewell.operators.tfidf import similarities
@@ -65,30 +64,22 @@ def validate(sets: DataFrame) -> DataFrame:
     """``sets`` (set_id, hints array of texts, statement, solution) -> set_id, passed, violations, metrics.
 
     Text checks run on each hint; similarities are fitted on the texts of one
-    set. Sets without hints have a count violation and zero metrics.
+    set. Sets without hints have a count violation and zero metrics. Sets that
+    are partitioned by their id aren't moved, others once.
     """
-    hints = sets.select("set_id", F.posexplode("hints").alias("pos", "text"))
-    anchors = sets.select("set_id", F.explode(F.array(F.struct(F.lit("statement").alias("doc"), F.col("statement").alias("text")), F.struct(F.lit("solution").alias("doc"), F.col("solution").alias("text")))).alias("x"))
-    texts = hints.select(F.col("set_id").alias("grp"), F.col("pos").cast("string").alias("doc"), "text").unionByName(anchors.select(F.col("set_id").alias("grp"), "x.doc", "x.text"))
-    sims = similarities(texts, ["statement", "solution"])
-    each = hints.join(sims.select(F.col("grp").alias("set_id"), F.col("doc").cast("int").alias("pos"), "sim_statement", "sim_solution"), ["set_id", "pos"])
-    each = each.withColumn("own", F.concat(code_violations(F.col("text")), length_violations(F.col("text"))))
-    near = F.array_compact(F.array(F.when(F.col("sim_statement") > MAX_SIMILARITY, F.lit("too_similar_to_statement")), F.when(F.col("sim_solution") > MAX_SIMILARITY, F.lit("too_similar_to_solution"))))
-    each = each.withColumn("own", F.concat("own", near)).withColumn("words", word_count(F.col("text")))
-    w = Window.partitionBy("set_id").orderBy("pos")
-    each = each.withColumn("before", F.lag("sim_solution").over(w)).withColumn("out_of_order", F.coalesce(F.col("sim_solution") + ORDER_TOLERANCE < F.col("before"), F.lit(False)))
-    agg = each.groupBy("set_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"])).alias("own"),
-        F.sum(F.col("out_of_order").cast("long")).alias("n_order"),
-        F.max("sim_statement").alias("max_sim_to_statement"),
-        F.max("sim_solution").alias("max_sim_to_solution"),
-        F.avg("words").alias("avg_words_per_hint"),
-    )
-    out = sets.select("set_id", F.size("hints").cast("long").alias("n_hints")).join(agg, "set_id", "left")
-    no_order = F.array_repeat(F.lit("order_violation"), F.coalesce("n_order", F.lit(0)).cast("int"))
-    violations = F.concat(count_violations(F.col("n_hints")), F.coalesce("own", F.array().cast("array<string>")), no_order)
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("max_sim_to_statement", "max_sim_to_solution", "avg_words_per_hint")}
-    return out.withColumns({**zero, "violations": violations, "only_order": (F.size(violations) > 0) & (F.size(violations) == F.coalesce("n_order", F.lit(0)))}).select("set_id", (F.size("violations") == 0).alias("passed"), "violations", "only_order", "n_hints", *zero)
+    doc = lambda name, pos, text: F.struct(name.alias("doc"), pos.alias("pos"), text.alias("text"))
+    anchors = F.array(*[doc(F.lit(c), F.lit(None).cast("int"), F.col(c)) for c in ("statement", "solution")])
+    texts = sets.select(F.col("set_id").alias("grp"), F.inline(F.concat(anchors, F.transform("hints", lambda h, i: doc(i.cast("string"), i, h)))))
+    own = F.when(F.col("pos").isNotNull(), F.concat(code_violations(F.col("text")), length_violations(F.col("text"))))
+    texts = texts.select("grp", "doc", "text", "pos", own.alias("own"), word_count(F.col("text")).alias("words"))
+    each = similarities(texts, ["statement", "solution"], keep=("pos", "own", "words"))
+    near = F.array_compact(F.array(*[F.when(F.col(f"sim_{c}") > MAX_SIMILARITY, F.lit(f"too_similar_to_{c}")) for c in ("statement", "solution")]))
+    hint = F.when(F.col("pos").isNotNull(), F.struct("pos", F.concat("own", near).alias("own"), "sim_statement", "sim_solution", "words"))
+    found = each.groupBy("grp").agg(F.array_sort(F.collect_list(hint)).alias("h"))
+    of = lambda c: F.transform("h", lambda x: x[c])
+    n, order = F.size("h").cast("long"), F.transform(order_violations(of("sim_solution")), lambda _: F.lit("order_violation"))
+    out = found.select(F.col("grp").alias("set_id"), n.alias("n_hints"), F.concat(count_violations(n), F.flatten(of("own")), order).alias("violations"), F.size(order).alias("n_order"), *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in (("max_sim_to_statement", F.array_max(of("sim_statement"))), ("max_sim_to_solution", F.array_max(of("sim_solution"))), ("avg_words_per_hint", F.when(n > 0, F.aggregate(of("words"), F.lit(0).cast("long"), lambda a, x: a + x) / n)))])
+    return out.select("set_id", (F.size("violations") == 0).alias("passed"), "violations", ((F.size("violations") > 0) & (F.size("violations") == F.col("n_order"))).alias("only_order"), "n_hints", "max_sim_to_statement", "max_sim_to_solution", "avg_words_per_hint")
 
 
 def validate_with_retry(sets: DataFrame) -> DataFrame:

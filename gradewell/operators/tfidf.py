@@ -1,4 +1,4 @@
-"""TF-IDF similarities inside row groups (OP-140), relational and exact."""
+"""TF-IDF similarities inside row groups (OP-140), relational and exact, in one exchange."""
 
 from __future__ import annotations
 
@@ -10,34 +10,29 @@ MAX_FEATURES = 20_000
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
-def weights(texts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``texts`` (grp, doc, text) -> grp, doc, term, weight: unit-length TF-IDF of words and word pairs.
+def similarities(texts: DataFrame, anchors: list[str], max_features: int = MAX_FEATURES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``texts`` (grp, doc, text) -> grp, doc, the columns ``keep`` of the text's row, and a cosine to each anchor text of the group.
 
-    Fitted on each group by itself: idf = ln((1 + n) / (1 + df)) + 1 with n texts
-    in the group. A group with more terms keeps the most frequent ones (ties: the
-    smaller term). All steps group by the group first, so one exchange carries
-    them; a text without terms has no rows.
+    Unit-length TF-IDF of words and word pairs, fitted on each group by itself:
+    idf = ln((1 + n) / (1 + df)) + 1 with n texts in the group. A group with
+    more terms keeps the most frequent ones (ties: the smaller term). A text
+    without terms has cosines of zero; the anchors are rows of the result.
+
+    All is windows and aggregates whose keys begin with the group, so rows that
+    are partitioned by it aren't moved, and others once.
     """
+    group = Window.partitionBy("grp")
     words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    sizes = texts.groupBy("grp").agg(F.count("*").alias("n"))
-    split = texts.select("grp", "doc", words.alias("w"))
-    tf = split.select("grp", "doc", F.explode(F.concat("w", pairs)).alias("term")).groupBy("grp", "doc", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("grp", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("total"), "term"))
-    terms = terms.withColumn("k", rank).where(F.col("k") <= max_features)
-    raw = tf.join(terms.select("grp", "term", "df"), ["grp", "term"]).join(sizes, "grp").withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("grp", "doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, ["grp", "doc"]).select("grp", "doc", "term", (F.col("x") / F.col("norm")).alias("weight"))
-
-
-def similarities(texts: DataFrame, anchors: list[str]) -> DataFrame:
-    """``texts`` (grp, doc, text) -> grp, doc and a cosine to each anchor text of the group (zero if it shares no term)."""
-    w = weights(texts)
-    a = w.where(F.col("doc").isin(anchors)).select("grp", "term", F.col("doc").alias("anchor"), F.col("weight").alias("v"))
-    product = F.col("weight") * F.col("v")
-    # one join for all anchors; what they share is summed by anchor
-    sums = [F.sum(F.when(F.col("anchor") == x, product)).alias(f"sim_{x}") for x in anchors]
-    sims = w.where(~F.col("doc").isin(anchors)).join(a, ["grp", "term"]).groupBy("grp", "doc").agg(*sums)
-    out = texts.where(~F.col("doc").isin(anchors)).select("grp", "doc").join(sims, ["grp", "doc"], "left")
-    return out.select("grp", "doc", *[F.coalesce(f"sim_{x}", F.lit(0.0)).alias(f"sim_{x}") for x in anchors])
+    split = texts.select("grp", "doc", *keep, words.alias("w"), F.count("*").over(group).alias("n"))
+    tf = split.select("grp", "doc", "n", *keep, F.explode_outer(F.concat("w", pairs)).alias("term")).groupBy("grp", "doc", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in keep])
+    of_term = Window.partitionBy("grp", "term")
+    terms = tf.withColumns({"df": F.count("*").over(of_term), "total": F.sum("tf").over(of_term)})
+    rank = F.dense_rank().over(group.orderBy(F.col("term").isNull(), F.desc("total"), "term"))
+    raw = F.when(F.col("term").isNotNull() & (F.col("rank") <= max_features), F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).otherwise(0.0)
+    weighed = terms.withColumn("rank", rank).withColumn("x", raw)
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("grp", "doc")))
+    weighed = weighed.withColumn("weight", F.when(norm > 0, F.col("x") / norm).otherwise(0.0))
+    of_anchor = {f"__{a}": F.max(F.when(F.col("doc") == a, F.col("weight"))).over(of_term) for a in anchors}
+    sims = [F.coalesce(F.sum(F.col("weight") * F.col(f"__{a}")), F.lit(0.0)).alias(f"sim_{a}") for a in anchors]
+    return weighed.withColumns(of_anchor).groupBy("grp", "doc").agg(*[F.first(c).alias(c) for c in keep], *sims)

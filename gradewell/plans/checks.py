@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradewell.functions import vector as V
 from gradewell.operators import contracts as K
@@ -15,10 +16,11 @@ from gradewell.session import table
 
 
 def rubric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint sets as the rubric reads them; the first system turn stands for the solution."""
-    solution = table(spark, sf_dir, "conversations").where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("s"))
-    sets = hint_sets(spark, sf_dir).join(solution, "conv_id", "left")
-    return sets.select(F.col("conv_id").alias("set_id"), F.transform("hints", lambda h: h["text"]).alias("hints"), "statement", F.coalesce("s.text", F.lit("")).alias("solution"))
+    """Hint sets as the rubric reads them, in one aggregation: the first user turn is the statement, the first system turn the solution."""
+    first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"], F.lit(""))
+    hints = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
+    sets = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("set_id")).agg(hints.alias("hints"), first("user").alias("statement"), first("system").alias("solution"))
+    return sets.withColumn("hints", F.transform("hints", lambda h: h["text"]))
 
 
 @register(
@@ -107,9 +109,10 @@ def length_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op_100_order_check", "SELECT user_id, count(*) AS n FROM (SELECT user_id, value / 100 AS s, lag(value / 100) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE s + 0.05 < b GROUP BY user_id")
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sims = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 100).alias("s")))), lambda x: x["s"])
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.size(R.order_violations(sims)).cast("long").alias("n"))
-    return rows.where("n > 0")
+    s = F.col("value") / 100
+    before = F.lag(s).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", (s + R.ORDER_TOLERANCE < before).alias("off"))
+    return rows.where("off").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -131,10 +134,11 @@ def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", found.alias("j"), error.alias("e")).select("event_id", kind.alias("kind"), F.get_json_object("j", "$.k").alias("k"))
 
 
-TFIDF_SQL = r"""
+_SET_TEXTS_SQL = """
 texts AS (SELECT conv_id AS grp, 'h' || turn AS doc, text FROM conversations WHERE role = 'assistant'
   UNION ALL SELECT conv_id, 'statement', statement FROM hint_sets UNION ALL
-  SELECT h.conv_id, 'solution', coalesce(first(c.text ORDER BY c.turn, c.text), '') FROM hint_sets h LEFT JOIN conversations c ON c.conv_id = h.conv_id AND c.role = 'system' GROUP BY h.conv_id),
+  SELECT h.conv_id, 'solution', coalesce(first(c.text ORDER BY c.turn, c.text), '') FROM hint_sets h LEFT JOIN conversations c ON c.conv_id = h.conv_id AND c.role = 'system' GROUP BY h.conv_id),"""
+_SIMS_SQL = r"""
 w AS (SELECT grp, doc, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws FROM texts),
 terms AS (SELECT grp, doc, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM w),
 tf AS (SELECT grp, doc, term, count(*) AS tf FROM terms GROUP BY ALL),
@@ -144,6 +148,7 @@ x AS (SELECT tf.grp, tf.doc, tf.term, tf.tf * (ln((1 + n.n) / (1 + df.df)) + 1)
 v AS (SELECT grp, doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY grp, doc)) AS v FROM x),
 sims AS (SELECT a.grp, a.doc, b.doc AS anchor, sum(a.v * b.v) AS s FROM v a JOIN v b ON a.grp = b.grp AND a.term = b.term AND b.doc IN ('statement', 'solution') WHERE a.doc NOT IN ('statement', 'solution') GROUP BY ALL)
 """
+TFIDF_SQL = _SET_TEXTS_SQL + _SIMS_SQL
 
 
 @register(
@@ -151,10 +156,13 @@ sims AS (SELECT a.grp, a.doc, b.doc AS anchor, sum(a.v * b.v) AS s FROM v a JOIN
     HINT_SETS_SQL.rstrip() + "," + TFIDF_SQL + "SELECT t.grp AS conv_id, t.doc, round(coalesce(a.s, 0), 6) + 0.0 AS sim_statement, round(coalesce(b.s, 0), 6) + 0.0 AS sim_solution FROM texts t LEFT JOIN sims a ON a.grp = t.grp AND a.doc = t.doc AND a.anchor = 'statement' LEFT JOIN sims b ON b.grp = t.grp AND b.doc = t.doc AND b.anchor = 'solution' WHERE t.doc NOT IN ('statement', 'solution')",
 )
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("grp"), F.concat(F.lit("h"), "turn").alias("doc"), "text")
-    sets = rubric_sets(spark, sf_dir)
-    anchors = sets.select(F.col("set_id").alias("grp"), F.inline(F.array(F.struct(F.lit("statement").alias("doc"), F.col("statement").alias("text")), F.struct(F.lit("solution").alias("doc"), F.col("solution").alias("text")))))
-    found = similarities(hints.unionByName(anchors), ["statement", "solution"])
+    doc = F.when(F.col("role") == "assistant", F.concat(F.lit("h"), "turn"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), "role", "turn", "text", doc.alias("doc"))
+    first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"], F.lit(""))
+    hints = F.collect_list(F.when(F.col("role") == "assistant", F.struct("doc", "text")))
+    anchors = [F.struct(F.lit(name).alias("doc"), first(role).alias("text")) for name, role in (("statement", "user"), ("solution", "system"))]
+    texts = turns.groupBy("grp").agg(F.concat(hints, F.array(*anchors)).alias("t")).select("grp", F.inline("t"))
+    found = similarities(texts, ["statement", "solution"]).where("doc NOT IN ('statement', 'solution')")
     return found.select(F.col("grp").alias("conv_id"), "doc", V.settled(F.col("sim_statement")).alias("sim_statement"), V.settled(F.col("sim_solution")).alias("sim_solution"))
 
 
@@ -179,7 +187,24 @@ def rubric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("set_id").alias("conv_id"), "n_hints", V.settled(F.col("max_sim_to_statement")).alias("max_sim_to_statement"), V.settled(F.col("max_sim_to_solution")).alias("max_sim_to_solution"), V.settled(F.col("avg_words_per_hint")).alias("avg_words"))
 
 
-@register("op_102_trim_and_retry")
+_OWN_SQL = f"{_CODE_SQL} || list_filter([CASE WHEN {_WORDS} > 60 THEN 'too_long_words:' || {_WORDS} || '>60' END, CASE WHEN {_SENTENCES} > 3 THEN 'too_long_sentences:' || {_SENTENCES} || '>3' END, CASE WHEN {_WORDS} < 4 THEN 'too_short_words:' || {_WORDS} END], lambda x: x IS NOT NULL)"
+_RETRY_SQL = (
+    HINT_SETS_SQL.rstrip()
+    + """, sol AS (SELECT conv_id, coalesce(first(text ORDER BY turn, text) FILTER (role = 'system'), '') AS solution FROM conversations GROUP BY conv_id),
+pre AS (SELECT conv_id, k, conv_id || '/' || k AS grp, list_transform(hints, lambda h: h.text)[1:k] AS hs, statement, solution FROM (SELECT h.conv_id, hints, statement, solution, unnest(range(1, greatest(len(hints), 1) + 1)) AS k FROM hint_sets h JOIN sol USING (conv_id))),
+hs AS (SELECT grp, i, hs[i] AS text FROM (SELECT grp, hs, unnest(range(1, len(hs) + 1)) AS i FROM pre)),
+texts AS (SELECT grp, 'h' || i AS doc, text FROM hs UNION ALL SELECT grp, 'statement', statement FROM pre UNION ALL SELECT grp, 'solution', solution FROM pre),"""
+    + _SIMS_SQL
+    + f""", each AS (SELECT h.grp, h.i, {_OWN_SQL} AS own, coalesce(a.s, 0) AS st, coalesce(b.s, 0) AS so FROM hs h LEFT JOIN sims a ON a.grp = h.grp AND a.doc = 'h' || h.i AND a.anchor = 'statement' LEFT JOIN sims b ON b.grp = h.grp AND b.doc = 'h' || h.i AND b.anchor = 'solution'),
+lagged AS (SELECT grp, i, own || CASE WHEN st > 0.55 THEN ['too_similar_to_statement'] ELSE [] END || CASE WHEN so > 0.55 THEN ['too_similar_to_solution'] ELSE [] END AS own, coalesce(so + 0.05 < lag(so) OVER (PARTITION BY grp ORDER BY i), false) AS off FROM each),
+sets AS (SELECT grp, flatten(list(own ORDER BY i)) AS own, count(*) FILTER (off) AS n_order, count(*) AS n FROM lagged GROUP BY grp),
+checked AS (SELECT p.conv_id, p.k, coalesce(n, 0) AS n_hints, coalesce(n_order, 0) AS n_order, CASE WHEN coalesce(n, 0) < 1 THEN ['too_few_hints: 0 < 1'] WHEN n > 4 THEN ['too_many_hints: ' || n || ' > 4'] ELSE [] END || coalesce(own, []) || list_transform(range(coalesce(n_order, 0)), lambda q: 'order_violation') AS v FROM pre p LEFT JOIN sets s ON s.grp = p.grp),
+final AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS r FROM checked WHERE NOT (len(v) > 0 AND len(v) = n_order AND k > 1))
+SELECT conv_id, len(v) = 0 AS passed, n_hints, array_to_string(v, ';') AS violations FROM final WHERE r = 1"""
+)
+
+
+@register("op_102_trim_and_retry", _RETRY_SQL)
 def trim_and_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.validate_with_retry(rubric_sets(spark, sf_dir))
     return found.select(F.col("set_id").alias("conv_id"), "passed", "n_hints", F.array_join("violations", ";").alias("violations"))

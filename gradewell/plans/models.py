@@ -1,19 +1,14 @@
-"""Queries around model calls, diffs, gaps, prompts and file sources (OP-001 to 023, 127 to 12P, 134 to 13D, 141 to 14K)."""
+"""Queries around file sources, archives, differences, requests and reports (OP-001 to 023, 127 to 12B, 11P, 14K, 14P)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.functions import statements as S
 from gradewell.functions import text as T
-from gradewell.functions import vector as V
 from gradewell.operators import diffs as D
-from gradewell.operators import gaps as G
 from gradewell.operators import prompts as P
-from gradewell.operators import providers as M
 from gradewell.plans.catalog import register
-from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
 from gradewell.sources import files
 from gradewell.session import table
 
@@ -57,6 +52,42 @@ def append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_lines(spark, path, "event_id long, event_type string").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: an archive for each benchmark text, with the text as a test's input in an archive inside it."""
+    from gradewell.sources.archives import zipped
+
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("a/"), F.col("item_id"), F.lit(".zip")).alias("path"), zipped(F.col("item_id").cast("string"), F.col("text")).alias("content"))
+
+
+_MEMBERS_SQL = """(SELECT 'a/' || item_id || '.zip' AS archive, 'README.txt' AS member, 'item ' || item_id AS payload FROM benchmark UNION ALL SELECT 'a/' || item_id || '.zip', 'private_tests/p' || item_id || '/' || item_id || '-small.in', text FROM benchmark
+    UNION ALL SELECT 'a/' || item_id || '.zip', 'private_tests/p' || item_id || '/' || item_id || '-small.ref', length(text)::VARCHAR FROM benchmark)"""
+
+
+@register("op_007_extract", f"SELECT archive, member, md5(payload) AS v, true AS again FROM {_MEMBERS_SQL}")
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members into a folder, and once more, which does nothing."""
+    from gradewell.sources.archives import extract_once, extracted
+
+    files_in, target = archives(spark, sf_dir), files.shared_folder(spark)
+    first, second = extract_once(files_in, target), extract_once(files_in, target)
+    return extracted(spark, target).select("archive", "member", F.md5("payload").alias("v"), F.lit(first and not second).alias("again"))
+
+
+@register("op_008_selective_extract", f"SELECT archive, member, strlen(payload)::BIGINT AS size FROM {_MEMBERS_SQL} WHERE regexp_matches(member, '\.(in|ref)$') AND strlen(payload) < 600")
+def selective_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of inner archives of one name, by extension and size."""
+    from gradewell.sources.archives import members_of
+
+    return members_of(archives(spark, sf_dir), wanted=r"\.(in|ref)$", inner=r"^tests_\d+\.zip$", most=599, payload=False).select("archive", "member", "size")
+
+
+@register("op_010_member_payloads", f"SELECT string_split(member, '/')[2] AS pid, regexp_replace(string_split(member, '/')[3], '\.in$', '') AS test_id, strlen(payload)::BIGINT AS size, md5(payload) AS v FROM {_MEMBERS_SQL} WHERE member LIKE 'private_tests/%.in'")
+def member_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.sources.archives import members_of, test_inputs
+
+    return test_inputs(members_of(archives(spark, sf_dir))).select("pid", "test_id", "size", F.md5("payload").alias("v"))
+
+
 @register("op_009_listing_ids", "SELECT DISTINCT string_split(p_type || '/' || p_name, '/')[1] AS pid FROM part")
 def listing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.sources.archives import test_ids
@@ -64,21 +95,29 @@ def listing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test_ids(table(spark, sf_dir, "part").select(F.concat_ws("/", "p_type", "p_name").alias("member")))
 
 
-@register("op_011_solution_folders", "SELECT lang AS pid, 'anon' || doc_id AS anon, (doc_id % 101)::DOUBLE AS score, text AS code FROM documents WHERE doc_id % 25 = 0")
+@register("op_011_solution_folders", "SELECT lang AS pid, 'anon' || doc_id AS anon, (doc_id % 101)::DOUBLE AS score, text AS code FROM documents")
 def solution_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-011 and 012 on rows of the shape that a folder scan has (path, content); a fixture of the same rows."""
+    """OP-011 and 012 on rows of the shape that a folder scan has (path, content), one for each document."""
     name = F.concat(F.lit("/root/2024_"), "lang", F.lit("/anon"), "doc_id", F.lit("_"), F.col("doc_id") % 101, F.lit(".cpp"))
-    rows = table(spark, sf_dir, "documents").where("doc_id % 25 = 0").select(F.split(name, "/").alias("p"), F.encode("text", "UTF-8").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(F.split(name, "/").alias("p"), F.encode("text", "UTF-8").alias("content"))
     from gradewell.functions.classify import solution_file
 
     f = rows.select(F.split(F.element_at("p", -2), "_", 2)[1].alias("pid"), solution_file(F.element_at("p", -1)).alias("f"), files.safe_text(F.col("content")).alias("code"))
     return f.select("pid", "f.anon", "f.score", "code")
 
 
-@register("op_013_safe_text", "SELECT doc_id, left(text, 50) AS v FROM documents WHERE regexp_matches(left(text, 50), '^[\\x00-\\x7f]*$')")
+@register("op_013_safe_text", "SELECT doc_id, md5(text) AS v FROM documents WHERE strlen(text) <= 200000")
 def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.left("text", F.lit(50)).rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("doc_id", files.safe_text(F.encode("text", "UTF-8"), 50).alias("v"))
+    """Whole texts that the bound leaves alone; tests hold the cut of longer ones against brute force."""
+    rows = table(spark, sf_dir, "documents").where("octet_length(text) <= 200000")
+    return rows.select("doc_id", F.md5(files.safe_text(F.encode("text", "UTF-8"))).alias("v"))
+
+
+@register("op_012_folder_groups", "SELECT lang AS pid, '2024|' || lang AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY lang")
+def folder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files grouped by year and problem of their folder."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split(F.concat(F.lit("2024_"), "lang"), "_", 2).alias("k"))
+    return rows.groupBy(F.concat_ws("|", F.col("k")[0], F.col("k")[1]).alias("key"), F.col("k")[1].alias("pid")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).select("pid", "key", "n", "first")
 
 
 @register("op_016_packets", "SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -96,10 +135,21 @@ def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("n_nationkey long, n_name string").option("header", True).csv(path)
 
 
-@register("op_018_markdown", "SELECT 7::BIGINT AS n_lines")
+@register(
+    "op_018_markdown",
+    "SELECT 0 AS place, '| n_nationkey | n_name | n_regionkey |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT n_nationkey::INT + 2, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' FROM nation",
+)
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = files.markdown(table(spark, sf_dir, "region").orderBy("r_regionkey"))
-    return spark.createDataFrame([(len(report.split("\n")),)], "n_lines long")
+    report = files.markdown(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"))
+    return spark.createDataFrame(list(enumerate(report.split("\n"))), "place int, line string")
+
+
+@register("op_004_document_sink", "SELECT n_nationkey, n_name FROM nation")
+def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as one compact JSON document, read back whole."""
+    path = files.shared_folder(spark)
+    files.write_document(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, pretty=False)
+    return files.read_document(spark, path, "n_nationkey long, n_name string")
 
 
 @register("op_023_optional_scan", "SELECT NULL::BIGINT AS a WHERE false")
@@ -143,10 +193,18 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op_12a_template_hints")
 def template_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-12A and 12B: rows of hints without a model."""
+    """Hints without a model."""
+    rows = versions(spark, sf_dir).select("item_id", D.diff_lines("a", "b").alias("d"))
+    return rows.select("item_id", F.inline(D.template_hints(F.col("d"), F.lit("arrays"), F.lit("medium"))), F.lit("silver_diff").alias("source"))
+
+
+@register("op_12b_template_rows")
+def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of hints without a model, in the layout of hint sets."""
+    meta = {"problem_id": F.concat(F.lit("p"), "item_id"), "anon_id": F.concat(F.lit("anon_"), "item_id"), "submission_name": F.concat(F.lit("anon_"), "item_id", F.lit("_40.cpp")), "language": F.lit("cpp"), "passing_file": F.concat("item_id", F.lit("_100.cpp"))}
     rows = versions(spark, sf_dir).select("item_id", D.diff_lines("a", "b").alias("d"))
-    hints = D.template_hints(F.col("d"), F.lit("arrays"), F.lit("medium"))
-    return rows.select("item_id", F.inline(hints), F.lit("silver_diff").alias("source"))
+    made = rows.select("item_id", D.template_row(F.col("d"), F.lit("arrays"), F.lit("medium"), F.lit(0.91234), **meta).alias("r")).select("item_id", "r.*")
+    return made.withColumns({c: F.to_json(c) for c in ("issues", "concepts_targeted", "hints", "validator_violations")})
 
 
 # --- requests and reports
@@ -168,7 +226,14 @@ def validated_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(files.write_lines(rows, files.shared_folder(spark)),)], "n long")
 
 
-@register("op_14p_report", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+@register(
+    "op_14p_report",
+    """WITH r AS (SELECT source, count(*) AS n, avg(CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE 1.0 END) AS rate, count(DISTINCT lang) AS langs, array_to_string(list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL)), ', ') AS algs, list_sort(list(doc_id::VARCHAR) FILTER (doc_id % 97 = 0)) AS off FROM documents GROUP BY source)
+    SELECT source, 'SEGMENT CONSISTENCY REPORT — ' || source || chr(10) || repeat('=', 60) || chr(10) || 'Files checked:        ' || n || chr(10) || 'Schema pass rate:     ' || round(100 * rate)::INT || '%' || chr(10) || 'Algorithm consistent: ' || CASE WHEN langs = 1 THEN 'True' ELSE 'False' END || chr(10)
+    || 'Algorithms found:     [' || algs || ']' || chr(10) || 'Intent mismatches:    ' || CASE WHEN off IS NULL THEN 'none' ELSE '[' || array_to_string(off, ', ') || ']' END || chr(10) || chr(10) || 'VERDICT: ' || CASE WHEN rate >= 0.8 AND langs = 1 THEN 'READY' ELSE 'NOT READY' END AS report FROM r""",
+)
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistency report's table; files.markdown renders it."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    """The consistency report of each problem as text; here a source is a problem, a document a file and a language an algorithm."""
+    d = table(spark, sf_dir, "documents")
+    checked = d.select("source", F.col("doc_id").cast("string").alias("file"), (F.col("doc_id") % 4 != 0).alias("passed"), F.col("lang").alias("algorithm"), (F.col("doc_id") % 97 == 0).alias("mismatch"))
+    return P.consistency_report(checked, "source").select("source", "report")

@@ -11,14 +11,15 @@ from gradewell.operators import pairing as P
 from gradewell.operators.splits import grouped_split
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
+from gradewell.operators.nearest import top_k
 from gradewell.session import table
 
-#: Orders stand for attempts: o_custkey is the author, 'F' fails, 'O' passes, the year is the problem.
-ATTEMPTS_SQL = "attempts AS (SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate)::BIGINT AS problem, o_totalprice FROM orders)"
+#: Orders stand for attempts: o_custkey is the author, 'F' fails, 'O' passes, the year is the problem, the priority the language.
+ATTEMPTS_SQL = "attempts AS (SELECT o_orderkey, o_custkey, o_orderstatus, year(o_orderdate)::BIGINT AS problem, left(o_orderpriority, 1) AS language, o_totalprice FROM orders)"
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").cast("long").alias("problem"), "o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").cast("long").alias("problem"), F.left("o_orderpriority", F.lit(1)).alias("language"), "o_totalprice")
 
 
 @register(
@@ -73,14 +74,16 @@ def same_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "op_064_cross_author_pairs",
     f"""WITH {ATTEMPTS_SQL},
-    a AS (SELECT * FROM (SELECT problem, o_orderkey AS fail, row_number() OVER (PARTITION BY problem ORDER BY md5('7|' || o_orderkey), o_orderkey) AS n FROM attempts WHERE o_orderstatus = 'F') WHERE n <= 15),
-    b AS (SELECT * FROM (SELECT problem, o_orderkey AS ok, row_number() OVER (PARTITION BY problem ORDER BY md5('7|' || o_orderkey), o_orderkey) AS n FROM attempts WHERE o_orderstatus = 'O') WHERE n <= 15)
-    SELECT problem, fail, ok FROM (SELECT problem, fail, ok, row_number() OVER (PARTITION BY problem ORDER BY md5('7|' || fail || '|' || ok), fail, ok) AS n FROM a JOIN b USING (problem)) WHERE n <= 15""",
+    pairs AS (SELECT a.problem, a.language, a.o_orderkey AS fail, b.o_orderkey AS ok, row_number() OVER g - 1 AS n, count(*) OVER (PARTITION BY a.problem, a.language) AS total
+      FROM attempts a JOIN attempts b ON a.problem = b.problem AND a.language = b.language AND a.o_custkey <> b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' WINDOW g AS (PARTITION BY a.problem, a.language ORDER BY a.o_orderkey, b.o_custkey, b.o_orderkey)),
+    chosen AS (SELECT *, ('0x' || left(md5('7|' || problem || '|' || language), 8))::BIGINT % total AS first, greatest(total // 15, 1) AS step FROM pairs)
+    SELECT problem, language, fail, ok FROM chosen WHERE (n - first + total) % total % step = 0 AND (n - first + total) % total // step < least(15, total)""",
 )
 def cross_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attempts(spark, sf_dir)
-    failing = rows.where("o_orderstatus = 'F'").select("problem", F.col("o_orderkey").alias("fail"))
-    return P.cross_author_pairs(failing, rows.where("o_orderstatus = 'O'").select("problem", F.col("o_orderkey").alias("ok")), ["problem"], 15, 7, "fail", "ok")
+    rows = attempts(spark, sf_dir).select("problem", "language", "o_custkey", "o_orderkey", "o_orderstatus")
+    failing = rows.where("o_orderstatus = 'F'").drop("o_orderstatus").withColumnRenamed("o_orderkey", "fail")
+    passing = rows.where("o_orderstatus = 'O'").drop("o_orderstatus").withColumnRenamed("o_orderkey", "ok")
+    return P.cross_author_pairs(failing, passing, ["problem", "language"], "o_custkey", 15, 7, "fail", "ok")
 
 
 @register("op_065_anti_join_resume", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -178,12 +181,12 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_074_coalescing_lookup",
-    "SELECT l.doc_id, left(coalesce(nullif(CASE WHEN l.doc_id % 2 = 0 THEN '' ELSE d.text END, ''), d.lang), 40) AS v FROM labels l LEFT JOIN documents d USING (doc_id)",
+    "SELECT l.doc_id, coalesce(nullif(CASE WHEN l.doc_id % 2 = 0 THEN '' ELSE d.text END, ''), d.lang) AS v FROM labels l LEFT JOIN documents d USING (doc_id)",
 )
 def coalescing_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents"), "doc_id", "left")
     own = F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.col("text"))
-    return rows.select("doc_id", F.left(F.coalesce(F.nullif(own, F.lit("")), F.col("lang")), F.lit(40)).alias("v"))
+    return rows.select("doc_id", F.coalesce(F.nullif(own, F.lit("")), F.col("lang")).alias("v"))
 
 
 @register(
@@ -265,8 +268,8 @@ def systematic_sample(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame
 
 @register("op_117_has_progress", "SELECT user_id, event_type, count(*) >= 2 AND count(DISTINCT value) >= 2 AS v FROM events GROUP BY user_id, event_type")
 def has_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = F.collect_list("value")
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(((F.size(points) >= 2) & (F.size(F.array_distinct(points)) >= 2)).alias("v"))
+    # two different values are two attempts; the least and the greatest differ, so no list and no distinct count is needed
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.coalesce((F.count("*") >= 2) & (F.min("value") < F.max("value")), F.lit(False)).alias("v"))
 
 
 @register("op_118_total_sort", "SELECT c_nationkey, n, row_number() OVER (ORDER BY n DESC, c_nationkey) AS place FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey)")
@@ -337,14 +340,12 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE *
 
 @register(
     "op_11f_vector_top_k",
-    f"SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 9) DESC, e.vec_id) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE n <= 5",
+    f"SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 9) DESC, e.vec_id) AS n FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE n <= 5",
 )
 def vector_top_k(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The ``k`` nearest of all vectors for a stated, small set of query vectors."""
+    """The ``k`` nearest of all vectors for a stated set of query vectors, block by block."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = rows.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(V.cosine(F.col("query"), F.col("embedding")), 9).alias("sim"))
-    return P.top_by(pairs, ["query_id"], k, F.desc("sim"), "vec_id").select("query_id", "vec_id")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k)
 
 
 @register("op_11g_argmax_first", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id FROM events GROUP BY user_id")
@@ -454,8 +455,8 @@ def valid_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.select(F.lit("valid").alias("route")).unionByName(invalid.select(F.lit("invalid").alias("route"))).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@register("op_14e_messages", "SELECT conv_id, array_to_string(list(role || ':' || left(text, 20) ORDER BY turn, text), '|') AS v FROM conversations GROUP BY conv_id")
+@register("op_14e_messages", "SELECT conv_id, array_to_string(list(role || ':' || text ORDER BY turn, text), '|') AS v FROM conversations GROUP BY conv_id")
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "text", "role")))
-    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), F.left(t["text"], F.lit(20))))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(lines, "|").alias("v"))

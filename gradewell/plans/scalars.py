@@ -224,8 +224,8 @@ def identifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("item_id", "token").agg(F.count("*").alias("n"))
 
 
-_scalar("op_12c_repair_diacritics", "benchmark", "item_id", lambda: T.repair_diacritics(F.concat(F.lit("ˆınt ˘a S, T, "), F.left("text", F.lit(80)))), "regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('înt ă S, T, ' || left(text, 80), '(^|[^\\p{L}\\p{N}_])s\\s*,\\s*', '\\1ș', 'g'), '(^|[^\\p{L}\\p{N}_])S\\s*,\\s*', '\\1Ș', 'g'), '(^|[^\\p{L}\\p{N}_])t\\s*,\\s*', '\\1ț', 'g'), '(^|[^\\p{L}\\p{N}_])T\\s*,\\s*', '\\1Ț', 'g'), 's,', 'ș'), 't,', 'ț'), 'S,', 'Ș'), 'T,', 'Ț'), ' {2,}', ' ', 'g')")
-_scalar("op_12j_statement_provenance", "documents", "doc_id", lambda: F.concat(F.when(F.col("doc_id") % 3 == 0, "cached:").otherwise("fresh:"), F.left(F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.col("lang")), F.lit(20))), "CASE WHEN doc_id % 3 = 0 THEN 'cached:' ELSE 'fresh:' END || left(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, lang), 20)")
+_scalar("op_12c_repair_diacritics", "benchmark", "item_id", lambda: T.repair_diacritics(F.concat(F.lit("ˆınt ˘a S, T, "), F.col("text"))), "regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('înt ă S, T, ' || text, '(^|[^\\p{L}\\p{N}_])s\\s*,\\s*', '\\1ș', 'g'), '(^|[^\\p{L}\\p{N}_])S\\s*,\\s*', '\\1Ș', 'g'), '(^|[^\\p{L}\\p{N}_])t\\s*,\\s*', '\\1ț', 'g'), '(^|[^\\p{L}\\p{N}_])T\\s*,\\s*', '\\1Ț', 'g'), 's,', 'ș'), 't,', 'ț'), 'S,', 'Ș'), 'T,', 'Ț'), ' {2,}', ' ', 'g')")
+_scalar("op_12j_statement_provenance", "documents", "doc_id", lambda: F.concat(F.when(F.col("doc_id") % 3 == 0, "cached:").otherwise("fresh:"), F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.col("lang"))), "CASE WHEN doc_id % 3 = 0 THEN 'cached:' ELSE 'fresh:' END || coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, lang)")
 _scalar("op_12k_truncate", "documents", "doc_id", lambda: F.md5(T.truncate(F.col("text"), 600, "\n[cut]")), "md5(CASE WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '[cut]' ELSE text END)")
 _scalar("op_12l_strip_fences", "benchmark", "item_id", lambda: T.strip_fences(F.concat(F.lit("\n```json\n"), F.trim("text"), F.lit("\n```\n"))), r"regexp_replace(trim(text), '^\s+|\s+$', '', 'g')")
 _scalar("op_12o_bullets", "region", "r_regionkey", lambda: T.bullets(F.split("r_name", " ")), "array_to_string(list_transform(string_split(r_name, ' '), lambda x: '- ' || x), chr(10))")

@@ -47,10 +47,16 @@ def read_document(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_document(df: DataFrame, path: str) -> None:
-    """A small table as one pretty JSON array, of at most a hundred thousand rows."""
-    whole = df.limit(100_000).agg(F.to_json(F.collect_list(F.struct("*")), {"pretty": "true"}).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+#: Rows that one document or one report may hold.
+DOCUMENT_ROWS, REPORT_ROWS = 1_000_000, 100_000
+
+
+def write_document(df: DataFrame, path: str, pretty: bool = True) -> None:
+    """A table as one JSON array; of more than DOCUMENT_ROWS rows it is an error, nothing is left out."""
+    whole = df.agg(F.count("*").alias("n"), F.to_json(F.collect_list(F.struct("*")), {"pretty": str(pretty).lower()}).alias("value"))
+    if df.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
+        raise ValueError(f"more than {DOCUMENT_ROWS} rows for one document")
+    whole.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_optional(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
@@ -62,9 +68,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report of few rows as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *[[str(v) for v in r] for r in df.limit(limit).collect()]]
+def markdown(df: DataFrame, most: int = REPORT_ROWS) -> str:
+    """A report as a Markdown table; of more than ``most`` rows it is an error, nothing is left out."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for one report")
+    rows = [df.columns, ["---"] * len(df.columns), *[[str(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 

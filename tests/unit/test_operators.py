@@ -1,5 +1,6 @@
 """Operators on small frames; properties of splits, resumption and trimming."""
 
+import hashlib
 import io
 import re
 import zipfile
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewell.functions import statements
-from gradewell.operators import contracts, gaps, pairing, providers, rubric
+from gradewell.operators import contracts, gaps, nearest, pairing, providers, rubric
 from gradewell.operators.diffs import difference, diff_lines, summary
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
@@ -37,10 +38,65 @@ def test_resume_is_idempotent(spark):
     assert sorted(r["v"] or "" for r in pairing.upsert(rows, rows.where("k = 1").withColumn("v", F.lit("z")), ["k"]).collect()) == ["", "c", "z"]
 
 
-def test_cross_pairs_are_bounded(spark):
-    a = spark.range(500).select(F.lit(1).alias("p"), F.col("id").alias("f"))
-    b = spark.range(500).select(F.lit(1).alias("p"), F.col("id").alias("o"))
-    assert pairing.cross_author_pairs(a, b, ["p"], 15, 7, "f", "o").count() == 15
+def test_cross_pairs_by_brute_force(spark):
+    """Evenly spaced pairs of other authors, chosen from all; hot keys and authors without others among them."""
+    fails = [("hot", k % 7, k) for k in range(60)] + [("few", 1, 100), ("few", 2, 101), ("own", 5, 200)]
+    passes = [("hot", k % 5, 1000 + k) for k in range(40)] + [("few", 1, 1100), ("own", 5, 1200), ("none", 1, 1300)]
+    a = spark.createDataFrame(fails, "p string, author int, f long")
+    b = spark.createDataFrame(passes, "p string, author int, o long")
+    want = []
+    for key in {p for p, _, _ in fails}:
+        pairs = [(key, f, o) for p, x, f in sorted(fails) for q, y, o in sorted(passes) if p == q == key and x != y]
+        pairs.sort(key=lambda r: (r[1], next(y for _, y, o in passes if o == r[2]), r[2]))
+        if pairs:
+            first, step = int(hashlib.md5(f"7|{key}".encode()).hexdigest()[:8], 16) % len(pairs), max(1, len(pairs) // 15)
+            want += [pairs[(first + k * step) % len(pairs)] for k in range(min(15, len(pairs)))]
+    got = [tuple(r) for r in pairing.cross_author_pairs(a, b, ["p"], "author", 15, 7, "f", "o").collect()]
+    assert sorted(got) == sorted(want) and len(set(got)) == len(got) == 16
+
+
+def test_nearest_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = {k: r.standard_normal(6).round(1) for k in range(90)} | {90: np.zeros(6)}
+    x[50] = x[3].copy()
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()] + [(99, None)], "vec_id long, embedding array<double>")
+    unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in x.items()}
+    nearest.VECTOR_BLOCK, nearest.QUERY_BLOCK = 20, 5
+    got = sorted(map(tuple, nearest.top_k(rows, rows.where("vec_id % 3 = 0"), 4).collect()))
+    nearest.VECTOR_BLOCK, nearest.QUERY_BLOCK = 16_384, 1024
+    want = [(q, k) for q in x if q % 3 == 0 for k in sorted((k for k in x if k != q), key=lambda k: (-round(float(unit[q] @ unit[k]), 9), k))[:4]]
+    assert got == sorted(want)
+
+
+def test_byte_cut_by_brute_force(spark):
+    texts = ["aé中🙂" * 3, "", "plain ascii", "é" * 9]
+    for most in range(1, 14):
+        got = [r["v"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(files.safe_text(F.encode("t", "UTF-8"), most).alias("v")).collect()]
+        # what is left of a cut character is one or more replacement marks
+        assert [g.rstrip("\ufffd") for g in got] == [t.encode()[:most].decode("utf-8", "ignore") for t in texts]
+
+
+def test_writers_leave_nothing_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "DOCUMENT_ROWS", 5)
+    files.write_document(spark.range(5), f"file://{tmp_path}/d")
+    assert files.read_document(spark, f"file://{tmp_path}/d", "id long").count() == 5
+    with pytest.raises(ValueError):
+        files.write_document(spark.range(6), f"file://{tmp_path}/e")
+    with pytest.raises(ValueError):
+        files.markdown(spark.range(6), 5)
+    assert files.markdown(spark.range(2)).split("\n")[1:] == ["| --- |", "| 0 |", "| 1 |"]
+
+
+def test_template_outputs():
+    class Encoding:
+        ids = [1, 2]
+
+    assert providers.template_ids([1, 2]) == providers.template_ids({"input_ids": [[1, 2]]}) == providers.template_ids({"input_ids": [1, 2]}) == providers.template_ids([Encoding()]) == [1, 2]
+    with pytest.raises(TypeError):
+        providers.template_ids(7)
+    assert providers.json_object('```json\n{"a": 1}\n```') == {"a": 1} == providers.json_object('so {"a": 1} it is') and providers.json_object("[1]") is None
 
 
 def test_tfidf_of_equal_and_foreign_texts(spark):
@@ -142,7 +198,7 @@ def test_differences(spark):
 
 def test_chat_isolates_errors(spark):
     rows = spark.range(40).select("id", F.lit("s").alias("s"), F.col("id").cast("string").alias("u"))
-    good, bad = providers.route(providers.chat(rows, "s", "u", lambda: providers.EchoChat(fail_every=3)))
+    good, bad = providers.route(providers.chat(rows, "s", "u", lambda: providers.EchoChat(fail_every=3), pause=0))
     assert good.count() + bad.count() == 40 and bad.count() > 0
     assert bad.where("error IS NULL OR attempts <> 3").isEmpty()
 
