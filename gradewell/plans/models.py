@@ -237,3 +237,33 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     checked = d.select("source", F.col("doc_id").cast("string").alias("file"), (F.col("doc_id") % 4 != 0).alias("passed"), F.col("lang").alias("algorithm"), (F.col("doc_id") % 97 == 0).alias("mismatch"))
     return P.consistency_report(checked, "source").select("source", "report")
+
+
+@register("op_019_config_scan", "SELECT n_nationkey, 'model.name' AS name, '\"' || n_name || '\"' AS value FROM nation UNION ALL SELECT n_nationkey, 'model.size', n_regionkey::VARCHAR FROM nation UNION ALL SELECT n_nationkey, 'seed', n_nationkey::VARCHAR FROM nation")
+def config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested configurations as rows."""
+    from gradewell.sources.paths import config_entries
+
+    text = F.concat(F.lit('{"model": {"name": "'), "n_name", F.lit('", "size": '), "n_regionkey", F.lit('}, "seed": '), "n_nationkey", F.lit("}"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.inline(config_entries(text)))
+
+
+@register("op_021_folders", "SELECT unnest(['data', 'data/annotations', 'data/figures', 'data/hints', 'data/processed', 'data/raw', 'data/raw/solutions', 'data/raw/statements', 'data/raw/tests']) AS folder")
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.sources.paths import make_folders
+
+    root = files.shared_folder(spark)
+    made = make_folders(spark, root)
+    return spark.createDataFrame([(f.removeprefix(f"{root}/"),) for f in made if files.exists(spark, f)], "folder string")
+
+
+@register(
+    "op_024_paths",
+    "SELECT doc_id, 'data/raw/statements/[PA] Tema ' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '2' END || ' 2021.pdf' AS statement, 'data/raw/solutions/2021_' || source AS solutions, 'adapter_ablation_anon' || doc_id || '_' || source AS stem FROM documents",
+)
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradewell.sources.paths import output_stem, solutions_folder, statement_path
+
+    theme = F.when(F.col("doc_id") % 2 == 0, "tema1").otherwise("tema2")
+    problem = F.concat(F.lit("2021_"), theme, F.lit("_"), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", statement_path(F.lit("2021"), theme).alias("statement"), solutions_folder(problem).alias("solutions"), output_stem("adapter_ablation", F.concat(F.lit("anon"), F.col("doc_id").cast("string")), problem).alias("stem"))
