@@ -23,7 +23,8 @@ from gradewell.llm.shared import Scratch
 
 #: A bucket with more text than this is overfull.
 BUCKET_BYTES = 8_000_000
-#: The directory has at most 2 ** MAX_DEPTH slots, so the driver's share of the index is bounded; beyond it buckets grow.
+#: The directory has at most 2 ** MAX_DEPTH slots, so the driver's share of the index is bounded. From half a terabyte of
+#: distinct text on buckets grow beyond BUCKET_BYTES; owners read them sorted and one key at a time, so only their time grows.
 MAX_DEPTH = 16
 #: Text that a reading task holds back to combine copies.
 HELD_BYTES = 24_000_000
@@ -175,7 +176,13 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MA
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    The row with the largest doc_id stays; of rows that repeat id and text one
+    does; a null id stays only where no copy has one. Null and empty texts are
+    equal. Texts of any length are compared whole. An empty table gives an empty
+    result. No column is touched, whatever its name but ``__key`` and ``__sha``.
+    """
     index = build_index(docs, Scratch(docs.sparkSession, "exact-dedup"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns({"__key": F.xxhash64(text), "__sha": F.sha2(text, 256)})

@@ -318,7 +318,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Links name documents by id, so rows without one, and each of several texts
     that share an id, stay, and near copies of these may; repeated rows of an id
-    count once.
+    count once. Null, empty and blank texts link with nothing and stay. Texts of
+    any length are compared whole. An empty table gives an empty result. No
+    column is touched, whatever its name but ``__id`` and ``__content``.
     """
     own, content = F.col("doc_id").cast("long"), F.xxhash64("text", F.col("text").isNull())
     stay = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id"))

@@ -20,12 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+#: Roots of this process's scratch tables.
+_ROOTS: list[str] = []
+
+
 class Scratch:
-    """Written tables of one run of an operator: they cut the lineage and outlive lost executors."""
+    """Written tables of one run of an operator: they cut the lineage and outlive lost executors.
+
+    What only the operator reads, it drops. What its lazy result reads stays
+    until the result's owner, who alone knows when it has been read, calls
+    ``clear``; ``corpus_pipeline.run`` does between its stages.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,11 +48,24 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark() -> int:
+    """A place in the list of scratch tables, for ``clear``."""
+    return len(_ROOTS)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables that were made since a mark: no result that reads them may be wanted any more."""
+    while len(_ROOTS) > since:
+        _delete(spark, _ROOTS.pop())
 
 
 def exists(spark: SparkSession, path: str) -> bool:

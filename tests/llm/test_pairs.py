@@ -184,6 +184,20 @@ def test_rows_without_an_id_and_texts_that_share_one_stay(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=order) == sorted(want, key=order)
 
 
+def test_recall_of_the_pipelines_setting(spark):
+    """Pairs on both sides of 0.8 on five-word shingles: every link is found, no other."""
+    rows = []
+    for s in range(120):
+        base = prose(5000 + s, 100)
+        rows += [(10 * s, base), (10 * s + 1, edited(base, s, 1 + s % 4))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(10 * s, 10 * s + 1) for s in range(120) if 100 * len(sets[10 * s] & sets[10 * s + 1]) >= 80 * len(sets[10 * s] | sets[10 * s + 1])]
+    assert 20 < len(links) < 110
+    label = joined(sets, links)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), 5, 80).collect()}
+    assert got == label
+
+
 def test_bands_reach_the_stated_miss():
     for percent in (50, 70, 80, 85, 95, 100):
         bands, rows = minhash.bands_and_rows(percent / 100)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradewell.llm import html_blocks, html_text, language, lm_scores, mixing, packing, quality, samples, secrets
+from gradewell.llm import html_blocks, html_text, language, lm_scores, mixing, packing, quality, samples, secrets, shared
 from gradewell.llm.shared import Scratch
 from gradewell.llm.tokens import encoder
 from gradewell.session import table
@@ -650,6 +650,48 @@ def test_pipeline(spark):
     assert len(clean & {r["doc_id"] for r in kept.collect()}) > 0.93 * len(clean)  # mixing thins toxic and poor text
 
 
+def test_stages_on_odd_rows_with_clashing_columns(spark):
+    """Nulls, ties, repeats, long texts and extra columns of all kinds of names, through the whole chain."""
+    clash = {"score": F.lit(1), "rate": F.lit("r"), "copies": F.lit(2), "kept": F.lit(False), "doc": F.lit(3), "leader": F.lit("l"), "text_sha256": F.lit("s"), "blank": F.lit(True), "batch": F.lit(0), "at": F.lit(1), "ids": F.lit("i"), "size": F.lit(4)}
+    docs = frame(spark, [*ODD, (30, prose(30, 80)), (31, prose(30, 80)), (32, prose(30, 79)), (33, prose(33, 60)), (33, prose(33, 60)), (34, None)]).withColumns(clash)
+    rows = [r.asDict() for r in docs.collect()]
+    scratch = Scratch(spark, "odd")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = scratch.keep(stage(spark, docs, SF), str(k))
+        assert docs.columns == list(rows[0]), name
+        assert all(r.asDict() in rows for r in docs.collect()), name
+        assert not docs.isEmpty()
+    left = docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("start + length = doc_tokens").count() == left
+
+
+@tables
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op3_minhash_near_dedup", "op6_secret_scan", "op8_lm_scores", "op9_exact_dedup"])
+def test_queries_beside_their_sql(spark, name):
+    import duckdb
+
+    from gradewell.llm import catalog
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = catalog.queries()[name](spark, SF)
+    columns = sorted(found.columns)
+    plain = lambda r: tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r)
+    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(plain(r) for r in found.select(*columns).collect()) == sorted(map(plain, want))
+
+
+def test_scratch_tables_are_cleared(spark):
+    begun = shared.mark()
+    scratch = Scratch(spark, "cleared")
+    scratch.keep(spark.range(3), "t")
+    assert shared.exists(spark, scratch.path("t"))
+    shared.clear(spark, begun)
+    assert not shared.exists(spark, scratch.root) and shared.mark() == begun
+
+
 def test_empty_pipeline(spark):
     docs = frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[1:]:
