@@ -10,7 +10,6 @@ from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
