@@ -73,7 +73,7 @@ def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(spark, target).select("archive", "member", F.md5("payload").alias("v"), F.lit(first and not second).alias("again"))
 
 
-@register("op_008_selective_extract", f"SELECT archive, member, strlen(payload)::BIGINT AS size FROM {_MEMBERS_SQL} WHERE regexp_matches(member, '\.(in|ref)$') AND strlen(payload) < 600")
+@register("op_008_selective_extract", rf"SELECT archive, member, strlen(payload)::BIGINT AS size FROM {_MEMBERS_SQL} WHERE regexp_matches(member, '\.(in|ref)$') AND strlen(payload) < 600")
 def selective_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of inner archives of one name, by extension and size."""
     from gradewell.sources.archives import members_of
@@ -81,7 +81,7 @@ def selective_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members_of(archives(spark, sf_dir), wanted=r"\.(in|ref)$", inner=r"^tests_\d+\.zip$", most=599, payload=False).select("archive", "member", "size")
 
 
-@register("op_010_member_payloads", f"SELECT string_split(member, '/')[2] AS pid, regexp_replace(string_split(member, '/')[3], '\.in$', '') AS test_id, strlen(payload)::BIGINT AS size, md5(payload) AS v FROM {_MEMBERS_SQL} WHERE member LIKE 'private_tests/%.in'")
+@register("op_010_member_payloads", rf"SELECT string_split(member, '/')[2] AS pid, regexp_replace(string_split(member, '/')[3], '\.in$', '') AS test_id, strlen(payload)::BIGINT AS size, md5(payload) AS v FROM {_MEMBERS_SQL} WHERE member LIKE 'private_tests/%.in'")
 def member_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradewell.sources.archives import members_of, test_inputs
 

@@ -2,7 +2,6 @@
 
 import hashlib
 import io
-import re
 import zipfile
 
 import pytest
@@ -13,7 +12,6 @@ from gradewell.operators import contracts, gaps, nearest, pairing, providers, ru
 from gradewell.operators.diffs import difference, diff_lines, summary
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
-from gradewell.plans import models
 from gradewell.sources import archives, files
 
 
