@@ -1,4 +1,4 @@
-"""Queries of the ten operators, as ``__spark_entry__`` registers them."""
+"""Queries of the operators, as ``__spark_entry__`` registers them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import embeddings, exact_dedup, html_text, language, lm_scores, minhash, mixing, packing, quality, secrets
+from gradewell.llm import divergence, embeddings, exact_dedup, html_text, language, lm_scores, minhash, mixing, packing, quality, search, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -137,6 +137,52 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS s FROM c GROUP BY lang, source),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 2)) // (s + 2 * v) AS p FROM c JOIN totals x ON x.lang = c.lang AND x.source = c.source JOIN sizes ON sizes.lang = c.lang),
+q AS (SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(c.n)::HUGEINT + 2)) // (any_value(x.s) + 2 * any_value(v)) AS q
+      FROM c JOIN (SELECT lang, sum(s) AS s FROM totals GROUP BY lang) x ON x.lang = c.lang JOIN sizes ON sizes.lang = c.lang GROUP BY c.lang, c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+own AS (SELECT doc_id, r, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+corpus AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS words FROM own),
+places AS (SELECT r, unnest(ts) AS term FROM own),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM places SEMI JOIN q USING (term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf CROSS JOIN corpus GROUP BY term),
+m AS (SELECT r, doc_id, (10 + (90 * n::HUGEINT * docs) // words)::BIGINT AS m FROM own CROSS JOIN corpus),
+scores AS (SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, doc_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -149,8 +195,10 @@ def queries() -> dict[str, Query]:
         "op8_lm_scores": op8_lm_scores,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_html_text": op10_html_text,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_secret_scan": OP6_SQL, "op8_lm_scores": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op6_secret_scan": OP6_SQL, "op8_lm_scores": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_ranked_search": OP13_SQL}
