@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import divergence, embeddings, exact_dedup, html_text, language, lm_scores, minhash, mixing, packing, quality, search, secrets
+from gradewell.llm import divergence, embeddings, exact_dedup, fingerprints, html_text, language, lm_scores, minhash, mixing, packing, quality, search, secrets
 from gradewell.llm.shared import Scratch
 from gradewell.session import table
 
@@ -137,6 +137,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -195,6 +199,7 @@ def queries() -> dict[str, Query]:
         "op8_lm_scores": op8_lm_scores,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_html_text": op10_html_text,
+        "op11_edit_fingerprints": op11_edit_fingerprints,
         "op12_source_divergence": op12_source_divergence,
         "op13_ranked_search": op13_ranked_search,
     }
