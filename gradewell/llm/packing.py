@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.llm.bytehash import mix
 from gradewell.llm.tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,7 +26,8 @@ BATCH_BYTES = 4_000_000
 QUADRATIC = 1 / 2048
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ENCODED = "g long, at long, doc_id long, ids binary"
+_ENCODED = "g long, digest long, at long, doc_id long, ids binary"
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def cost(length: np.ndarray | float) -> np.ndarray | float:
@@ -59,9 +63,17 @@ def assign(lengths: list[int], room: list[int]) -> list[tuple[int, int, int, int
     return out
 
 
+def group_of(doc_id: np.ndarray, digest: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
+    """A packing group for each row, from what the row holds alone: id, digest of its ids, number among its equals."""
+    h = mix(doc_id.astype(np.int64).view(np.uint64) + _C1)
+    h = mix(h * _C1 + digest.astype(np.int64).view(np.uint64))
+    h = mix(h * _C2 + at.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(groups)).astype(np.int64)
+
+
 def pack_group(key: tuple, docs: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     """All pieces of one packing group, in sequences of its own."""
-    docs = docs.sort_values(["doc_id", "at"], kind="stable")
+    docs = docs.sort_values(["doc_id", "digest", "at"], kind="stable")
     ids = [np.frombuffer(x, dtype="<u2") for x in docs["ids"]]
     names = docs["doc_id"].tolist()
     pieces, short, base = [], [], 0  # pieces: document, start, length, sequence
@@ -92,29 +104,35 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, group_
     whole; a document of more than ``capacity`` tokens fills sequences of its
     own and its rest is placed like a short document.
 
-    Rows are dealt over groups of about ``group_bytes`` of text by a hash of id
-    and place, so that no key makes a large group; the number of groups grows
-    with the corpus and each is packed by itself, its sequences all full but
-    for a tail of at most twelve that are powers of two.
+    Rows are dealt over groups of about ``group_bytes`` of text by a hash of id,
+    content and number among equal rows of a task, so that no key makes a large
+    group, and so that a group doesn't depend on the order in which rows arrive;
+    the number of groups grows with the corpus and each is packed by itself, its
+    sequences all full but for a tail of at most twelve that are powers of two.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, round(total / group_bytes))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, end, seen = encoder(vocabulary_path), np.array([END_ID], dtype="<u2").tobytes(), 0
+        e, end = encoder(vocabulary_path), np.array([END_ID], dtype="<u2").tobytes()
+        equal: Counter = Counter()
 
         def some(held: list[tuple]) -> pd.DataFrame:
-            ids = e.encode_many([t for _, _, t in held])
-            out = pd.DataFrame({"at": [a for a, _, _ in held], "doc_id": pd.array([d for _, d, _ in held], dtype="Int64"), "ids": [x + end for x in ids]})
-            out["g"] = (pd.util.hash_array(out["doc_id"].fillna(-1).to_numpy(np.int64)) ^ pd.util.hash_array(out["at"].to_numpy(np.int64))) % np.uint64(groups)
-            return out[["g", "at", "doc_id", "ids"]].astype({"g": np.int64})
+            ids = [x + end for x in e.encode_many([t for _, t in held])]
+            digests, at = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in ids], []
+            for (doc_id, _), digest in zip(held, digests, strict=True):
+                at.append(equal[doc_id, digest])
+                equal[doc_id, digest] += 1
+            out = pd.DataFrame({"digest": np.array(digests, dtype=np.int64), "at": np.array(at, dtype=np.int64), "doc_id": pd.array([d for d, _ in held], dtype="Int64"), "ids": ids})
+            out.insert(0, "g", group_of(out["doc_id"].fillna(-1).to_numpy(np.int64), out["digest"].to_numpy(), out["at"].to_numpy(), groups))
+            return out
 
         held, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
                 text = None if pd.isna(text) else text
-                held.append((seen, None if pd.isna(doc_id) else int(doc_id), text))
-                seen, size = seen + 1, size + len(text or "")
+                held.append((None if pd.isna(doc_id) else int(doc_id), text))
+                size += len(text or "")
                 if size >= BATCH_BYTES:
                     yield some(held)
                     held, size = [], 0

@@ -66,6 +66,26 @@ def test_pieces_are_the_documents(spark, group_bytes):
     assert padding == 0 and total == out["length"].sum()
 
 
+def test_groups_are_even_and_independent_of_order(spark):
+    rows = [(k, prose(k, 200)) for k in range(600)] + [(5, "one text under one id")] * 3000  # in the order of their ids, and a hot row
+    size = sum(len(t) for _, t in rows)
+    packed = packing.pack(frame(spark, rows), VOCABULARY, group_bytes=size // 20)
+    groups = packed.groupBy((F.col("sequence_id") / 2**32).cast("long").alias("g")).agg(F.sum("length").alias("n")).collect()
+    assert len(groups) == 20
+    assert max(g["n"] for g in groups) < 2 * sum(g["n"] for g in groups) / 20
+    other = packing.pack(frame(spark, rows[::-1]).coalesce(1), VOCABULARY, group_bytes=size // 20)
+    again = packing.pack(frame(spark, sorted(rows, key=lambda r: zlib.crc32(r[1].encode()))).coalesce(1), VOCABULARY, group_bytes=size // 20)
+    assert sorted(other.collect()) == sorted(again.collect())
+
+
+@tables
+def test_no_group_of_the_tables_is_large(spark):
+    packed = packing.pack(table(spark, SF, "documents"), VOCABULARY, group_bytes=10_000)
+    groups = [r["n"] for r in packed.groupBy((F.col("sequence_id") / 2**32).cast("long").alias("g")).agg(F.sum("length").alias("n")).collect()]
+    longest = packed.agg(F.max("doc_tokens")).first()[0]
+    assert len(groups) > 30 and max(groups) < 2 * sum(groups) / len(groups) + longest
+
+
 def test_balance_and_order_of_assignment():
     room = packing.capacities(4096 * 6 + 300)
     assert room == [4096] * 6 + [256, 32, 8, 4]
