@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradewell.operators.ranks import running
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row for each key, the first in the given order; ties need a last key in it."""
@@ -39,24 +41,23 @@ def cross_author_pairs(failing: DataFrame, passing: DataFrame, keys: list[str],
     evenly spaced numbers from a seeded first one are taken. A number names its
     pair: the failing file is found in the running sums of how many files of
     others each could meet, the passing file by its place; so pairs are chosen
-    from all and only the chosen ones are made.
+    from all and only the chosen ones are made. Places and sums are counted in
+    two levels, so a key may hold any share of the files.
     """
     # in order of authors, an author's own files stand together, so a start and a number are enough to step over them
-    by_author = Window.partitionBy(*keys).orderBy(author, ok)
-    placed = passing.select(*keys, F.col(author).alias("__other"), ok, (F.row_number().over(by_author) - 1).alias("__place"))
+    placed = running(passing.select(*keys, F.col(author).alias("__other"), ok), keys, ["__other", ok]).withColumnRenamed("place", "__place")
     per_key = placed.groupBy(*keys).agg(F.count("*").alias("__n_ok"))
     own = placed.groupBy(*keys, F.col("__other").alias(author)).agg(F.min("__place").alias("__own"), F.count("*").alias("__n_own"))
     met = failing.select(*keys, author, fail).join(per_key, keys).join(own, [*keys, author], "left")
     met = met.withColumn("__n_own", F.coalesce("__n_own", F.lit(0))).withColumn("__others", F.col("__n_ok") - F.col("__n_own"))
-    running = Window.partitionBy(*keys).orderBy(fail).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = met.withColumns({"__until": F.sum("__others").over(running), "__total": F.sum("__others").over(Window.partitionBy(*keys))}).where("__others > 0")
+    met = running(met, keys, [fail], {"__until": "__others"}).withColumnRenamed("__until_total", "__total").where("__others > 0")
     first = F.pmod(F.conv(F.left(seeded(seed, *keys), F.lit(8)), 16, 10).cast("long"), F.col("__total"))
     step = F.greatest(F.floor(F.col("__total") / limit), F.lit(1))
     numbers = F.transform(F.sequence(F.lit(0), F.least(F.lit(limit).cast("long"), F.col("__total")) - 1), lambda k: F.pmod(first + k * step, F.col("__total")))
     mine = F.filter(numbers, lambda x: (x >= F.col("__until") - F.col("__others")) & (x < F.col("__until")))
     at = F.col("__at") + F.when(F.col("__at") >= F.col("__own"), F.col("__n_own")).otherwise(F.lit(0))
     chosen = met.select(*keys, fail, "__own", "__n_own", F.explode(F.transform(mine, lambda x: x - (F.col("__until") - F.col("__others")))).alias("__at"))
-    return chosen.select(*keys, fail, at.cast("int").alias("__place")).join(placed.select(*keys, "__place", ok), [*keys, "__place"]).select(*keys, fail, ok)
+    return chosen.select(*keys, fail, at.alias("__place")).join(placed.select(*keys, "__place", ok), [*keys, "__place"]).select(*keys, fail, ok)
 
 
 def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gradewell.functions import classify as C
 from gradewell.functions import text as T
 from gradewell.functions import vector as V
+from gradewell.operators.selection import quantiles, select_ranks
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import _REPORT, HINT_SETS_SQL, ISSUES_SQL, graded_events, hint_sets
 from gradewell.session import table
@@ -102,12 +103,15 @@ def violation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op_09b_length_by_level", HINT_SETS_SQL + f"SELECT h.level AS level, count(*) AS n, round(avg(len(regexp_extract_all(h.text, '{T.WORD}'))), 6) + 0.0 AS mean_words, round(median(len(regexp_extract_all(h.text, '{T.WORD}'))), 6) + 0.0 AS median_words FROM (SELECT unnest(hints) AS h FROM hint_sets) GROUP BY 1")
 def length_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = hint_sets(spark, sf_dir).select(F.explode("hints").alias("h")).select("h.level", T.word_count(F.col("h.text")).alias("w"))
-    return each.groupBy("level").agg(F.count("*").alias("n"), V.settled(F.avg("w")).alias("mean_words"), V.settled(F.median("w")).alias("median_words"))
+    means = each.groupBy("level").agg(F.count("*").alias("n"), V.settled(F.avg("w")).alias("mean_words"))
+    return means.join(quantiles(each, ["level"], "w", {"median": 0.5}).select("level", V.settled(F.col("median")).alias("median_words")), "level")
 
 
 @register("op_09c_median_p95", "SELECT event_type, round(median(value), 6) + 0.0 AS med, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM events GROUP BY event_type")
 def median_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(V.settled(F.median("value")).alias("med"), V.settled(F.percentile("value", F.lit(0.95))).alias("p95"))
+    """Exact quantiles of groups of any size: no group's values are gathered."""
+    found = quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"med": 0.5, "p95": 0.95})
+    return found.select("event_type", *[V.settled(F.col(c)).alias(c) for c in ("med", "p95")])
 
 
 @register("op_09d_count_matrix", f"SELECT v AS verdict, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS \"view\" FROM (SELECT event_type, {_REPORT} AS v FROM events) GROUP BY v")
@@ -147,17 +151,16 @@ def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = d.groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(w)).where("k <= 3")
     top = top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lang"))), lambda x: x["lang"]), ", ").alias("top3"))
     valid = F.count_if(F.col("quality") == 1)
-    report = d.groupBy("source").agg(F.count("*").alias("attempts"), valid.alias("valid"), V.settled(100.0 * valid / F.count("*"), 2).alias("rate"), F.count_distinct("lang").alias("n_langs"), V.settled(F.avg("n_chars"), 4).alias("mean_chars"), V.settled(F.median("n_chars"), 4).alias("median_chars"))
-    return report.join(top, "source")
+    report = d.groupBy("source").agg(F.count("*").alias("attempts"), valid.alias("valid"), V.settled(100.0 * valid / F.count("*"), 2).alias("rate"), F.count_distinct("lang").alias("n_langs"), V.settled(F.avg("n_chars"), 4).alias("mean_chars"))
+    medians = quantiles(d, ["source"], "n_chars", {"median": 0.5}).select("source", V.settled(F.col("median"), 4).alias("median_chars"))
+    return report.join(top, "source").join(medians, "source")
 
 
 @register("op_09i_length_summary", "SELECT event_type, min(value) AS low, list_sort(list(value))[count(*) // 2 + 1] AS mid, max(value) AS high FROM events GROUP BY event_type")
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least, upper median and greatest; the median by counting, not by sorting lists."""
-    w = Window.partitionBy("event_type")
-    ranked = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    mid = F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("value")))
-    return ranked.groupBy("event_type").agg(F.min("value").alias("low"), mid.alias("mid"), F.max("value").alias("high"))
+    """Least, upper median and greatest; the median is the value at a rank, which is found by counting."""
+    found = select_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"mid": lambda n: F.floor(n / 2)})
+    return found.select("event_type", "low", "mid", "high")
 
 
 @register(
@@ -167,7 +170,7 @@ def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def median_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The item of each group whose length is nearest to the group's median."""
     rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
-    m = rows.groupBy("source", "lang").agg(F.median("n_chars").alias("m"))
+    m = quantiles(rows, ["source", "lang"], "n_chars", {"m": 0.5}).drop("n")
     best = rows.join(m, ["source", "lang"]).groupBy("source", "lang").agg(F.min(F.struct(F.abs(F.col("n_chars") - F.col("m")).alias("d"), "n_chars", "doc_id")).alias("x"))
     return best.select("source", "lang", "x.doc_id")
 

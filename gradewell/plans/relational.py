@@ -12,6 +12,8 @@ from gradewell.operators.splits import grouped_split
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
 from gradewell.operators.nearest import top_k
+from gradewell.operators.ranks import running
+from gradewell.operators.selection import first_n, hash_key, order_key
 from gradewell.session import table
 
 #: Orders stand for attempts: o_custkey is the author, 'F' fails, 'O' passes, the year is the problem, the priority the language.
@@ -204,8 +206,8 @@ def packet_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op_076_sorted_ids", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier")
 def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of a small dimension in order."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("place"))
+    """Ids of a dimension with their places in order."""
+    return running(table(spark, sf_dir, "supplier").select("s_suppkey"), [], ["s_suppkey"]).select("s_suppkey", (F.col("place") + 1).alias("place"))
 
 
 @register("op_110_running_list", "SELECT event_id, user_id, row_number() OVER w AS place, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS running FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
@@ -260,9 +262,8 @@ def even_cap(spark: SparkSession, sf_dir: str, cap: int = 7) -> DataFrame:
 )
 def systematic_sample(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """``k`` evenly spaced ranks of each group."""
-    w = Window.partitionBy("source")
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    ranks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / (k - 1)).cast("int"))
+    rows = running(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"]).withColumnsRenamed({"place": "i", "size": "n"})
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / (k - 1)).cast("long"))
     return rows.where((F.col("n") <= k) | F.array_contains(ranks, F.col("i"))).select("source", "doc_id")
 
 
@@ -306,8 +307,9 @@ def sample_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op_11d_pool_sample", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 8")
 def pool_sample(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     """``k`` of the top max(50, 4k) rows."""
-    pool = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey").limit(max(50, 4 * k))
-    return pool.orderBy(P.seeded(7, "o_orderkey"), "o_orderkey").limit(k)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    pool = first_n(rows, max(50, 4 * k), F.bitwise_not(order_key(F.col("o_totalprice"), rows.schema["o_totalprice"].dataType)), "o_orderkey")
+    return first_n(pool, k, hash_key(P.seeded(7, "o_orderkey")), P.seeded(7, "o_orderkey"), "o_orderkey").select("o_orderkey")
 
 
 SPLIT_SQL = """members AS (SELECT DISTINCT event_type AS problem, user_id AS anon FROM events),
@@ -362,9 +364,9 @@ def ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
     n = rows.agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b")).first()
     n_a = min(n["a"], int(n["b"] * 0.7 / 0.3))
-    order = (P.seeded(23, "doc_id"), "doc_id")
-    a = rows.where("quality = 1").orderBy(*order).limit(n_a).select("doc_id", F.lit("a").alias("origin"))
-    return a.unionByName(rows.where("quality = 0").orderBy(*order).limit(int(n_a * 0.3 / 0.7)).select("doc_id", F.lit("b").alias("origin")))
+    key = hash_key(P.seeded(23, "doc_id"))
+    a = first_n(rows.where("quality = 1"), n_a, key, P.seeded(23, "doc_id"), "doc_id").select("doc_id", F.lit("a").alias("origin"))
+    return a.unionByName(first_n(rows.where("quality = 0"), int(n_a * 0.3 / 0.7), key, P.seeded(23, "doc_id"), "doc_id").select("doc_id", F.lit("b").alias("origin")))
 
 
 @register("op_11i_bag_union", "SELECT 'c' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 's', s_suppkey FROM supplier")

@@ -91,3 +91,10 @@ def read_solutions(spark: SparkSession, root: str) -> DataFrame:
     named = files.select(F.element_at(parts, -2).alias("folder"), solution_file(F.element_at(parts, -1)).alias("f"), safe_text(F.col("content")).alias("code"))
     key = F.split("folder", "_", 2)
     return named.where("f IS NOT NULL").select(key[0].alias("year"), key[1].alias("pid"), "f.anon", "f.score", "f.ext", "code")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: it is computed once, and lost executors don't take it along."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
