@@ -161,17 +161,47 @@ def optional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text, a word a line, beside the next one."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", " ", "\n").alias("text"))
-    other = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return rows.join(other, "item_id").select("item_id", T.code_lines(F.col("text")).alias("a"), T.code_lines(F.col("other")).alias("b"))
+    """Each whole document beside the first one that opens with the same line, as normalised lines."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.substring_index("text", "\n", 1).alias("opens"), "text")
+    # ids alone are grouped; a text moves once as a version and once as the first one
+    pairs = rows.groupBy("opens").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("opens", "first")
+    firsts = rows.select(F.col("doc_id").alias("first"), T.code_lines(F.col("text")).alias("b"))
+    named = rows.join(pairs, "opens").where("doc_id <> first").select("doc_id", "first", T.code_lines(F.col("text")).alias("a"))
+    return named.join(firsts, "first").select("doc_id", "first", "a", "b")
+
 
+_LINES_SQL = r"""list_transform(list_filter(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)') AND NOT regexp_matches(x, '\*/$')), lambda x: regexp_replace(x, '\s+', ' ', 'g'))"""
 
-@register("op_128_line_diff")
+
+@register(
+    "op_128_line_diff",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10))[1] AS opens, {_LINES_SQL} AS l FROM documents WHERE text IS NOT NULL),
+    pair AS (SELECT v.doc_id, v.first, v.l AS a, f.l AS b, len(v.l) AS n, len(f.l) AS m FROM (SELECT *, min(doc_id) OVER (PARTITION BY opens) AS first FROM d) v JOIN d f ON f.doc_id = v.first AND v.doc_id <> v.first),
+    old AS (SELECT doc_id, unnest(a) AS line, unnest(range(n)) AS i FROM pair), new AS (SELECT doc_id, unnest(b) AS line, unnest(range(m)) AS j FROM pair),
+    same AS (SELECT doc_id, i, j, i - row_number() OVER (PARTITION BY doc_id, i - j ORDER BY i) AS island FROM old JOIN new USING (doc_id, line)),
+    runs AS (SELECT doc_id, min(i) AS i, min(j) AS j, count(*) AS len FROM same GROUP BY doc_id, i - j, island),
+    areas AS (
+      SELECT doc_id, 0 AS i0, n AS i1, 0 AS j0, m AS j1, NULL::BIGINT AS bi, NULL::BIGINT AS bj, 0 AS bl FROM pair
+      UNION ALL
+      SELECT doc_id, CASE side WHEN 0 THEN i0 ELSE ci + cl END, CASE side WHEN 0 THEN ci ELSE i1 END, CASE side WHEN 0 THEN j0 ELSE cj + cl END, CASE side WHEN 0 THEN cj ELSE j1 END, ci, cj, CASE side WHEN 0 THEN cl ELSE 0 END
+      FROM (SELECT *, unnest([0, 1]) AS side FROM (
+        SELECT a.doc_id, a.i0, a.i1, a.j0, a.j1, c.ci, c.cj, c.cl, row_number() OVER (PARTITION BY a.doc_id, a.i0, a.i1, a.j0, a.j1 ORDER BY c.cl DESC, c.ci, c.cj) AS k
+        FROM areas a JOIN runs r ON r.doc_id = a.doc_id, LATERAL (SELECT greatest(r.i, a.i0, a.j0 + r.i - r.j) AS ci, greatest(r.i, a.i0, a.j0 + r.i - r.j) - r.i + r.j AS cj, least(r.i + r.len, a.i1, a.j1 + r.i - r.j) - greatest(r.i, a.i0, a.j0 + r.i - r.j) AS cl) c
+        WHERE c.cl > 0 AND a.i0 < a.i1 AND a.j0 < a.j1) WHERE k = 1)),
+    common AS (SELECT doc_id, sum(bl) AS c FROM areas GROUP BY doc_id)
+    SELECT doc_id, first, (m - c)::BIGINT AS n_added, (n - c)::BIGINT AS n_removed, CASE WHEN n + m = 0 THEN 1.0 ELSE round(2.0 * c / (n + m), 6) + 0.0 END AS ratio FROM pair JOIN common USING (doc_id)""",
+)
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-127 to 129: blocks, structure, excerpt, ratio and summary."""
-    rows = versions(spark, sf_dir).select("item_id", D.diff_lines("a", "b").alias("d"))
-    return rows.select("item_id", "d.n_added", "d.n_removed", F.round("d.ratio", 6).alias("ratio"), D.summary(F.col("d")).alias("summary"))
+    """OP-127, 128: lines that were added and removed by longest common blocks, and the share that is common."""
+    rows = versions(spark, sf_dir).select("doc_id", "first", D.diff_lines("a", "b").alias("d"))
+    return rows.select("doc_id", "first", "d.n_added", "d.n_removed", F.round("d.ratio", 6).alias("ratio"))
+
+
+@register("op_129_diff_summary")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-127 to 129: blocks, structure and excerpt as a reader sees them."""
+    rows = versions(spark, sf_dir).select("doc_id", D.diff_lines("a", "b").alias("d"))
+    return rows.select("doc_id", F.size("d.added_blocks").alias("n_added_blocks"), F.size("d.removed_blocks").alias("n_removed_blocks"), D.summary(F.col("d")).alias("summary"), "d.excerpt")
 
 
 _NORMAL = r"list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|/\*|\*)') AND NOT regexp_matches(x, '\*/$'))"
@@ -184,7 +214,9 @@ _NORMAL = r"list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x
 )
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free lines that the next version adds."""
-    rows = versions(spark, sf_dir)
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", " ", "\n").alias("text"))
+    other = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    rows = rows.join(other, "item_id").select("item_id", T.code_lines(F.col("text")).alias("a"), T.code_lines(F.col("other")).alias("b"))
     a = rows.select("item_id", F.explode("a").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("n"))
     b = rows.select("item_id", F.explode("b").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("m"))
     delta = b.join(a, ["item_id", "w"], "left").groupBy("item_id").agg(F.sum(F.greatest(F.col("m") - F.coalesce("n", F.lit(0)), F.lit(0))).alias("added"))
@@ -194,16 +226,16 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op_12a_template_hints")
 def template_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hints without a model."""
-    rows = versions(spark, sf_dir).select("item_id", D.diff_lines("a", "b").alias("d"))
-    return rows.select("item_id", F.inline(D.template_hints(F.col("d"), F.lit("arrays"), F.lit("medium"))), F.lit("silver_diff").alias("source"))
+    rows = versions(spark, sf_dir).select("doc_id", D.diff_lines("a", "b").alias("d"))
+    return rows.select("doc_id", F.inline(D.template_hints(F.col("d"), F.lit("arrays"), F.lit("medium"))), F.lit("silver_diff").alias("source"))
 
 
 @register("op_12b_template_rows")
 def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of hints without a model, in the layout of hint sets."""
-    meta = {"problem_id": F.concat(F.lit("p"), "item_id"), "anon_id": F.concat(F.lit("anon_"), "item_id"), "submission_name": F.concat(F.lit("anon_"), "item_id", F.lit("_40.cpp")), "language": F.lit("cpp"), "passing_file": F.concat("item_id", F.lit("_100.cpp"))}
-    rows = versions(spark, sf_dir).select("item_id", D.diff_lines("a", "b").alias("d"))
-    made = rows.select("item_id", D.template_row(F.col("d"), F.lit("arrays"), F.lit("medium"), F.lit(0.91234), **meta).alias("r")).select("item_id", "r.*")
+    meta = {"problem_id": F.concat(F.lit("p"), "doc_id"), "anon_id": F.concat(F.lit("anon_"), "doc_id"), "submission_name": F.concat(F.lit("anon_"), "doc_id", F.lit("_40.cpp")), "language": F.lit("cpp"), "passing_file": F.concat("doc_id", F.lit("_100.cpp"))}
+    rows = versions(spark, sf_dir).select("doc_id", D.diff_lines("a", "b").alias("d"))
+    made = rows.select("doc_id", D.template_row(F.col("d"), F.lit("arrays"), F.lit("medium"), F.lit(0.91234), **meta).alias("r")).select("doc_id", "r.*")
     return made.withColumns({c: F.to_json(c) for c in ("issues", "concepts_targeted", "hints", "validator_violations")})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gradewell.functions import vector as V
 from gradewell.operators import pairing as P
+from gradewell.operators.asof import nearest_preferred
 from gradewell.operators.splits import grouped_split
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
@@ -96,15 +97,16 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_066_nearest_value",
-    f"""WITH {ATTEMPTS_SQL} SELECT p.o_orderkey, arg_min(f.o_orderkey, (abs(f.o_totalprice - p.o_totalprice), f.o_orderkey)) AS nearest
-    FROM attempts p JOIN attempts f ON f.o_custkey = p.o_custkey AND f.o_orderstatus = 'F' WHERE p.o_orderstatus = 'O' GROUP BY p.o_orderkey""",
+    f"""WITH {ATTEMPTS_SQL}, pairs AS (SELECT p.o_orderkey, f.o_orderkey AS fail, abs(f.o_totalprice - p.o_totalprice) AS d, f.language = p.language AS same
+      FROM attempts p JOIN attempts f ON f.o_custkey = p.o_custkey AND f.o_orderstatus = 'F' WHERE p.o_orderstatus = 'O')
+    SELECT o_orderkey, fail AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY same DESC, d, fail) AS k FROM pairs) WHERE k = 1""",
 )
 def nearest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the same author's failing attempts the one nearest in score; ties: the smaller key."""
+    """Of the same author's failing attempts, in the same language if there are any, the one nearest in score; ties: the smaller key."""
     rows = attempts(spark, sf_dir)
-    ok = rows.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("target"))
-    failing = rows.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("fail"), "o_totalprice")
-    return ok.join(failing, "o_custkey").groupBy("o_orderkey").agg(F.min(F.struct(F.abs(F.col("o_totalprice") - F.col("target")).alias("d"), "fail")).alias("x")).select("o_orderkey", F.col("x.fail").alias("nearest"))
+    ok = rows.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "language", "o_totalprice")
+    failing = rows.where("o_orderstatus = 'F'").select("o_custkey", "language", F.col("o_orderkey").alias("nearest"), "o_totalprice")
+    return nearest_preferred(ok, failing, ["o_custkey"], "language", "o_totalprice", "o_orderkey", "nearest").select("o_orderkey", "nearest")
 
 
 @register(

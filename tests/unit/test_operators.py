@@ -1,7 +1,9 @@
 """Operators on small frames; properties of splits, resumption and trimming."""
 
+import difflib
 import hashlib
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions import statements
 from gradewell.operators import contracts, gaps, nearest, pairing, providers, rubric
-from gradewell.operators.diffs import difference, diff_lines, summary
+from gradewell.operators.diffs import diff_lines, difference, matching_blocks, summary, template_hints
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
 from gradewell.sources import archives, files
@@ -191,7 +193,51 @@ def test_differences(spark):
     n = difference(["int x;", "x = 1;"], ["int x;", "for (;;)", "while (x)", "x = 1;"])
     assert n[0] == 2 and n[4] == ["for", "while"] and n[5] == []
     row = spark.createDataFrame([(["a"], ["a", "while x"]), (None, None)], "a array<string>, b array<string>").select(diff_lines("a", "b").alias("d")).select(summary(F.col("d")))
-    assert [r[0] for r in row.collect()] == ["+1/-0 lines; added: while", "+0/-0 lines"]
+    assert [r[0] for r in row.collect()] == ["+1/-0 linii; structuri în plus: while", "+0/-0 linii"]
+
+
+def slow_blocks(a, b, i0, i1, j0, j1):
+    """The definition: of all common blocks of an area the longest, the first in a, the first in b; then both sides."""
+    every = [(-n, i, j) for i in range(i0, i1) for j in range(j0, j1) for n in range(1, min(i1 - i, j1 - j) + 1) if a[i : i + n] == b[j : j + n]]
+    if not every:
+        return []
+    n, i, j = min(every)
+    return slow_blocks(a, b, i0, i, j0, j) + [(i, j, -n)] + slow_blocks(a, b, i - n, i1, j - n, j1)
+
+
+def test_differences_are_those_of_the_longest_blocks():
+    r = random.Random(12)
+    for k in range(400):
+        a = [r.choice("abcde"[: 2 + k % 4]) for _ in range(r.randint(0, 12))]
+        b = [r.choice("abcde"[: 2 + k % 4]) for _ in range(r.randint(0, 12))] if k % 2 else [x for x in a if r.random() < 0.8]
+        want = slow_blocks(a, b, 0, len(a), 0, len(b))
+        got = matching_blocks(a, b)
+        assert [(i + k, j + k) for i, j, n in got for k in range(n)] == [(i + k, j + k) for i, j, n in want for k in range(n)]
+        library = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        d = difference(a, b)
+        codes = [c for c in library.get_opcodes() if c[0] != "equal"]
+        assert d[2] == [b[c[3] : c[4]] for c in codes if c[4] > c[3]] and d[3] == [a[c[1] : c[2]] for c in codes if c[2] > c[1]]
+        assert d[6] == "\n".join(difflib.unified_diff(a, b, lineterm="", n=2)) and d[7] == library.ratio()
+
+
+def test_differences_of_long_texts():
+    r = random.Random(3)
+    a = [f"line {r.randint(0, 4000)}" for _ in range(8000)]
+    b = [x for x in a if r.random() < 0.95] + ["x"]
+    n_added, n_removed, *_, excerpt, ratio = difference(a, b)
+    assert len(b) - n_added == len(a) - n_removed and ratio > 0.9 and excerpt.endswith("\n... [truncated]")
+    same = difference(["}"] * 2000, ["}"] * 1500)
+    assert same[:2] == (0, 500)
+
+
+def test_template_hints_name_operations(spark):
+    rows = spark.createDataFrame([(["a"], ["a", "q.push(x);", "sort(v); Sort(w);", "élong push"], "graphs"), (["x", "for"], ["y"], None)], "a array<string>, b array<string>, c string")
+    got = rows.select(template_hints(diff_lines("a", "b"), F.col("c"), F.lit("hard")).alias("h")).collect()
+    assert [(h["level"], h["text"]) for h in got[0]["h"]] == [
+        ("macro", "Soluția ta diferă de o variantă corectă pe aproximativ 3 linii semnificative; concentrează-te pe ideea cheie a problemei (graphs, dificultate hard)."),
+        ("specific", "Verifică zona în care apar operațiile cu push, sort, Sort; acolo este localizată cea mai consistentă diferență."),
+    ]
+    assert [h["text"] for h in got[1]["h"]][1:] == ["Ca să te apropii de soluția corectă, renunță la structuri: for.", "Verifică partea finală a logicii principale: există un bloc consistent care lipsește din varianta ta."]
 
 
 def test_chat_isolates_errors(spark):

@@ -4,13 +4,14 @@ import datetime
 import decimal
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradewell.operators import selection
+from gradewell.operators import asof, selection
 from gradewell.operators.pairing import cross_author_pairs, seeded
 from gradewell.operators.ranks import running
 from gradewell.operators.selection import first_n, hash_key, order_key, quantiles, select_ranks
@@ -147,3 +148,32 @@ def test_cross_author_pairs_of_one_key(spark, many_partitions):
 
     first, step = int(hashlib.md5(b"7|p").hexdigest()[:8], 16) % len(pairs), len(pairs) // 15
     assert sorted((x["fail"], x["ok"]) for x in made) == sorted(pairs[(first + k * step) % len(pairs)] for k in range(15))
+
+
+def brute_nearest(targets, candidates, key, preferred=None):
+    out = []
+    for t in targets:
+        same = [c for c in candidates if key(c) == key(t) and c["v"] is not None]
+        if preferred and t[preferred] is not None:
+            same = [c for c in same if c[preferred] == t[preferred]] or same
+        if t["v"] is not None and same:
+            best = min(same, key=lambda c: (abs(c["v"] - t["v"]), c["name"]))
+            out.append((t["t"], best["name"], abs(best["v"] - t["v"])))
+    return sorted(out)
+
+
+def test_nearest_value(spark, many_partitions):
+    r = random.Random(2)
+    some = lambda: r.choice([None, *range(-20, 60)])
+    users = ["hot"] * 6 + ["a", "b", "c", None]
+    candidates = [{"u": r.choice(users), "lang": r.choice(["x", "y", None]), "v": some(), "name": k} for k in range(300)] + [{"u": "far", "lang": "x", "v": 5, "name": 900}]
+    targets = [{"u": r.choice([*users, "nobody", "far"]), "lang": r.choice(["x", "y", "z", None]), "v": some(), "t": k} for k in range(400)]
+    c, t = spark.createDataFrame(candidates, "u string, lang string, v int, name long"), spark.createDataFrame(targets, "u string, lang string, v int, t long")
+    got = asof.nearest(t, c, ["u"], "v", "t", "name")
+    assert sorted(map(tuple, got.collect())) == brute_nearest(targets, candidates, lambda x: x["u"])
+    plan = got._jdf.queryExecution().toString()
+    # windows are over a partition's part of a key, or in the order of partitions
+    assert all("__part" in x for x in re.findall(r"windowspecdefinition\(([^(]*)", plan)) and "CartesianProduct" not in plan
+    got = asof.nearest_preferred(t, c, ["u"], "lang", "v", "t", "name")
+    assert sorted(map(tuple, got.collect())) == brute_nearest(targets, candidates, lambda x: x["u"], "lang")
+    assert asof.nearest(t, c.limit(0), ["u"], "v", "t", "name").isEmpty() and asof.nearest(t.limit(0), c, ["u"], "v", "t", "name").isEmpty()
