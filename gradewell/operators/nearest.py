@@ -19,6 +19,12 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.where(n < LEAST_NORM, 0.0, x / np.maximum(n, LEAST_NORM))
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector has components that are all numbers, with its length."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad).withColumn("dim", F.size("embedding"))
+
+
 def _tile(k: int, digits: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -40,14 +46,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
 
     Both are (vec_id, embedding). Vectors are dealt over blocks by a hash of
     their id, queries too; each pair of blocks is one task's work, whose size
-    doesn't grow with either table, and hands on ``k`` rows a query.
+    doesn't grow with either table, and hands on ``k`` rows a query. Vectors
+    that are null, empty or hold null or non-finite components are nobody's
+    neighbours and have none; vectors of different lengths aren't compared.
     """
+    vectors, queries = _usable(vectors), _usable(queries)
     n_vectors, n_queries = vectors.count(), queries.count()
     v, q = max(1, -(-n_vectors // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.where("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), block("vec_id", q).alias("qb"), every(v).alias("vb"))
-    right = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", every(q).alias("qb"), block("vec_id", v).alias("vb"))
-    near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(_tile(k, digits), "query_id long, vec_id long, sim double")
+    left = queries.select("dim", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), block("vec_id", q).alias("qb"), every(v).alias("vb"))
+    right = vectors.select("dim", "vec_id", "embedding", every(q).alias("qb"), block("vec_id", v).alias("vb"))
+    near = left.groupBy("dim", "qb", "vb").cogroup(right.groupBy("dim", "qb", "vb")).applyInPandas(_tile(k, digits), "query_id long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
     return near.withColumn("__n", rank).where(F.col("__n") <= k).select("query_id", "vec_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions import vector as V
 from gradewell.operators import gaps as G
+from gradewell.operators import semantic as S
 from gradewell.plans.catalog import register
 from gradewell.session import table
 
@@ -22,12 +23,12 @@ def _pick(values: tuple[str, ...], factor: int = 1, shift: int = 0):
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text as a segment record, beside the next text's, which repeats one of its operations."""
+    """Each whole benchmark text as a segment record, three words an operation, beside the next text's, which repeats one of its operations."""
     words = F.split("text", " ")
-    ops = F.transform(F.array(*map(F.lit, (1, 4, 7))), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " "))
+    ops = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(3)), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " "))
     record = F.struct(
         (F.col(_ITEM) % 6 != 0).alias("matches_problem"),
-        F.left("text", F.lit(40)).alias("text"),
+        F.col("text"),
         F.element_at(F.array(*map(F.lit, NAMES)), (F.floor(F.col(_ITEM) / 4) % len(NAMES) + 1).cast("int")).alias("algorithm"),
         F.array(_pick(STRUCTURES), _pick(STRUCTURES, 5, 3), words[0]).alias("data_structures"),
         F.when(F.col(_ITEM) % 7 == 3, F.slice(ops, 1, 1)).otherwise(ops).alias("key_operations"),
@@ -72,8 +73,8 @@ _CONCEPT_NAMES = tuple(name for name, anchors in G.CONCEPTS.items() for _ in anc
 _CONCEPT_PHRASES = tuple(p for anchors in G.CONCEPTS.values() for p in anchors)
 GAPS_SQL = f"""
 WITH w AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
-o AS (SELECT *, [array_to_string(w[1:3], ' '), array_to_string(w[4:6], ' '), array_to_string(w[7:9], ' ')] AS ops FROM w),
-seg AS (SELECT item_id, item_id % 6 <> 0 AS m, left(text, 40) AS t, {_values(NAMES)}[(item_id // 4 % {len(NAMES)})::INT + 1] AS alg, [{_picked(STRUCTURES)}, {_picked(STRUCTURES, 5, 3)}, w[1]] AS ds,
+o AS (SELECT *, list_transform(range(1, len(w) + 1, 3), lambda k: array_to_string(w[k:k + 2], ' ')) AS ops FROM w),
+seg AS (SELECT item_id, item_id % 6 <> 0 AS m, text AS t, {_values(NAMES)}[(item_id // 4 % {len(NAMES)})::INT + 1] AS alg, [{_picked(STRUCTURES)}, {_picked(STRUCTURES, 5, 3)}, w[1]] AS ds,
   CASE WHEN item_id % 7 = 3 THEN ops[1:1] ELSE ops END AS ops,
   CASE WHEN item_id % 9 = 4 THEN [] ELSE ['comentariu lipsă', {_picked(ISSUES)}, {_picked(ISSUES, 7, 5)} || ' ' || w[1]] END AS iss FROM o),
 pair AS (SELECT p.*, r.t AS r_t, r.alg AS r_alg, r.ds AS r_ds, p.ops[1:1] || r.ops || CASE WHEN p.item_id % 7 = 3 THEN ['pas nou'] ELSE [] END AS r_ops FROM seg p JOIN seg r ON r.item_id = p.item_id + 1),
@@ -180,3 +181,97 @@ def gap_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = segments(spark, sf_dir).select(_ITEM, G.gap(F.col("partial"), F.col("passing"), F.lit(0.9)).alias("g"))
     return g.select(_ITEM, G.gap_text(F.col("g")).alias("text"))
+
+
+# --- the same with vectors: texts that name vectors of the embeddings table
+
+
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text, vector: ``v<id>`` for each vector but every 11th, and every phrase for the vector of its place."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    phrases = spark.createDataFrame(list(enumerate(dict.fromkeys(p for of_kind in G.Phrases().by_kind().values() for p in of_kind))), "vec_id long, text string")
+    return rows.where("vec_id % 11 <> 5").select(F.concat(F.lit("v"), "vec_id").alias("text"), "vector").unionByName(rows.join(F.broadcast(phrases), "vec_id").select("text", "vector"))
+
+
+def _name(k: int, factor: int = 1):
+    return F.concat(F.lit("v"), (F.col("vec_id") * factor + k).cast("string"))
+
+
+def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector two segment records whose texts are names of vectors near it."""
+
+    def record(shift: int, ops: list):
+        return F.struct((F.col("vec_id") % 9 != 0).alias("matches_problem"), _name(shift).alias("text"), _name(3 * shift).alias("algorithm"), F.array(_name(1), _name(shift + 6)).alias("data_structures"), F.array(*ops).alias("key_operations"), F.array(_name(0), _name(2, 2), F.lit("altceva cu totul")).alias("potential_issues"))
+
+    partial, passing = record(0, [_name(0), _name(1), F.concat(F.lit("read "), _name(2))]), record(1, [_name(2), F.concat(F.lit("read "), _name(3)), _name(0, 2), _name(7)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", partial.alias("partial"), passing.alias("passing"))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_segments(spark, sf_dir)
+    return S.with_known(rows, ["vec_id"], G.compared_texts(F.col("partial"), F.col("passing")), named_vectors(spark, sf_dir), G.Phrases().by_kind())
+
+
+_UNITS_SQL = "units AS (SELECT vec_id, label, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings))"
+
+
+@register(
+    "op_072_semantic_join",
+    f"""WITH {_UNITS_SQL}, s AS (SELECT q.vec_id AS id, r.vec_id AS match, round(list_dot_product(q.u, r.u), 9) AS sim FROM units q JOIN units r ON r.label = q.label AND r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT id, match, round(sim, 6) + 0.0 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, match) AS k FROM s) WHERE k = 1 AND sim >= 0.25""",
+)
+def semantic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector of the query set the likest other one of its label, if its cosine is large enough."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.concat(F.lit("v"), "vec_id").alias("text"), S.unit(F.col("embedding")).alias("vector"))
+    # the query vectors are not among what they are joined with, but for others of the set
+    asked = rows.where("id % 50 = 0")
+    others = S.semantic_join(asked, rows.where("id % 50 <> 0"), ["label"], 0.25)
+    rest = asked.select("label", F.col("id").alias("other"), F.col("text").alias("other_text"), F.col("vector").alias("other_vector"))
+    each = asked.join(rest, "label").where("id <> other")
+    among = each.select("id", F.col("other").alias("match"), F.round(V.dot(F.col("vector"), F.col("other_vector")), S.DIGITS).alias("sim")).where("sim >= 0.25")
+    best = others.unionByName(among).groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("far"), "match")).alias("x"))
+    return best.select("id", "x.match", V.settled(-F.col("x.far")).alias("sim"))
+
+
+@register(
+    "op_137_vector_alignment",
+    f"""WITH {_UNITS_SQL}, named AS (SELECT 'v' || vec_id AS t, u FROM units WHERE vec_id % 11 <> 5),
+    rec AS (SELECT vec_id, ['v' || vec_id, 'v' || (vec_id + 1), 'read v' || (vec_id + 2)] AS a, ['v' || (vec_id + 2), 'read v' || (vec_id + 3), 'v' || (2 * vec_id), 'v' || (vec_id + 7)] AS b FROM embeddings),
+    p AS (SELECT vec_id, unnest(a) AS x, unnest(range(1, 4)) AS i FROM rec), q AS (SELECT vec_id, unnest(b) AS y, unnest(range(1, 5)) AS j FROM rec),
+    s AS (SELECT p.vec_id, i, j, CASE WHEN v.u IS NOT NULL AND w.u IS NOT NULL THEN round(list_dot_product(v.u, w.u), 9) ELSE {_alike("x", "y")} END AS sim FROM p JOIN q USING (vec_id) LEFT JOIN named v ON v.t = x LEFT JOIN named w ON w.t = y),
+    best AS (SELECT vec_id, i, max(sim) AS sim, first(j ORDER BY sim DESC, j) AS j FROM s GROUP BY vec_id, i),
+    al AS (SELECT vec_id, coalesce(min(i) FILTER (sim < {G.OPERATION_MATCH}), 0)::INT - 1 AS diverge_at, coalesce(list(j) FILTER (sim >= {G.OPERATION_MATCH}), []) AS used, round(sum(round(sim, 3)), 3) + 0.0 AS scores FROM best GROUP BY vec_id)
+    SELECT vec_id, diverge_at, array_to_string(list_filter(b, lambda y, k: NOT list_contains(used, k)), '|') AS missing, scores FROM al JOIN rec USING (vec_id)""",
+)
+def vector_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps aligned by the cosines of their vectors; by their words where a step has none."""
+    rows = _known(spark, sf_dir).select("vec_id", G.align_operations(F.col("partial.key_operations"), F.col("passing.key_operations"), F.col("known")).alias("a"))
+    return rows.select("vec_id", "a.diverge_at", F.array_join("a.missing", "|").alias("missing"), V.settled(F.aggregate("a.scores", F.lit(0.0), lambda s, x: s + x), 3).alias("scores"))
+
+
+_PHRASES_SQL = "(VALUES " + ", ".join(f"({kind!r}, {k}, {_literal(p)})" for kind, of_kind in G.Phrases().by_kind().items() for k, p in enumerate(of_kind)) + ")"
+_DISTINCT_SQL = "(VALUES " + ", ".join(f"({k}, {_literal(p)})" for k, p in enumerate(dict.fromkeys(p for of_kind in G.Phrases().by_kind().values() for p in of_kind))) + ")"
+
+
+@register(
+    "op_13a_vector_issues",
+    f"""WITH {_UNITS_SQL}, named AS (SELECT 'v' || vec_id AS t, u FROM units WHERE vec_id % 11 <> 5),
+    phrase AS (SELECT kind, k, p, u FROM {_PHRASES_SQL} x(kind, k, p) LEFT JOIN (SELECT p, u FROM {_DISTINCT_SQL} d(vec_id, p) JOIN units USING (vec_id)) USING (p)),
+    issue AS (SELECT vec_id, unnest(['v' || vec_id, 'v' || (2 * vec_id + 2), 'altceva cu totul']) AS x, unnest([1, 2, 3]) AS i FROM embeddings),
+    known AS (SELECT p AS t, u FROM phrase WHERE u IS NOT NULL UNION SELECT t, u FROM named),
+    s AS (SELECT vec_id, i, x, kind, max(CASE WHEN v.u IS NOT NULL AND phrase.u IS NOT NULL THEN round(list_dot_product(v.u, phrase.u), 9) ELSE {_alike("x", "p")} END) AS sim
+      FROM issue LEFT JOIN known v ON v.t = x CROSS JOIN phrase GROUP BY ALL),
+    hi AS (SELECT vec_id, i, x, max(sim) FILTER (kind = 'severe') - {G.MINOR_WEIGHT} * max(sim) FILTER (kind = 'minor') AS severity FROM s GROUP BY ALL)
+    SELECT vec_id, first(x ORDER BY severity DESC, i) AS issue, (SELECT max(sim) FROM s WHERE s.vec_id = hi.vec_id AND kind = 'output') >= {G.OUTPUT_MATCH} AS output_issue FROM hi GROUP BY vec_id""",
+)
+def vector_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The critical issue, and whether one is about the output, by cosines to the phrases."""
+    issues = F.col("partial.potential_issues")
+    return _known(spark, sf_dir).select("vec_id", G.critical_issue(issues, known=F.col("known")).alias("issue"), G.has_output_issue(issues, known=F.col("known")).alias("output_issue"))
+
+
+@register("op_13d_vector_gaps")
+def vector_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap records of which every comparison is one of vectors."""
+    g = _known(spark, sf_dir).select("vec_id", G.gap(F.col("partial"), F.col("passing"), F.lit(0.9), known=F.col("known")).alias("g"))
+    return g.select("vec_id", "g.gap_level", "g.missing_concept", "g.primary_issue", "g.diverges_at_step", "g.hint_level", "g.output_issue")

@@ -232,7 +232,7 @@ def test_differences_of_long_texts():
 
 def test_template_hints_name_operations(spark):
     rows = spark.createDataFrame([(["a"], ["a", "q.push(x);", "sort(v); Sort(w);", "élong push"], "graphs"), (["x", "for"], ["y"], None)], "a array<string>, b array<string>, c string")
-    got = rows.select(template_hints(diff_lines("a", "b"), F.col("c"), F.lit("hard")).alias("h")).collect()
+    got = rows.select("c", diff_lines("a", "b").alias("d")).select(template_hints(F.col("d"), F.col("c"), F.lit("hard")).alias("h")).collect()
     assert [(h["level"], h["text"]) for h in got[0]["h"]] == [
         ("macro", "Soluția ta diferă de o variantă corectă pe aproximativ 3 linii semnificative; concentrează-te pe ideea cheie a problemei (graphs, dificultate hard)."),
         ("specific", "Verifică zona în care apar operațiile cu push, sort, Sort; acolo este localizată cea mai consistentă diferență."),
