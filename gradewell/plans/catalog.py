@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules whose import registers queries.
-_MODULES = ("trajectories", "scalars", "relational", "aggregates", "checks", "models", "gaps", "parts", "answers")
+_MODULES = ("trajectories", "scalars", "relational", "aggregates", "checks", "models", "gaps", "parts", "answers", "stored")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
