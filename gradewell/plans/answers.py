@@ -115,9 +115,9 @@ def segment_answer(n: int) -> str:
     + f""", a AS (SELECT *, [{', '.join(map(_literal, SEGMENTS))}][n % 4 + 1] AS doc FROM n),
     b AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'no braces' WHEN n % 9 = 1 THEN 'so {{broken}}' ELSE 'Here:' || chr(10) || '```json' || chr(10) || doc || chr(10) || '```' END AS answer FROM a),
     c AS (SELECT *, {_words("answer")} AS reply_tokens FROM b)
-    SELECT conv_id, CASE WHEN n % 5 = 0 THEN 'llm_call_failed' WHEN n % 9 < 2 THEN 'json_parse_failed' ELSE ['', 'missing field: function.complexity', 'wrong type: intent.matches_problem', 'invalid confidence: intent'][n % 4 + 1] END AS schema_errors,
+    SELECT conv_id, CASE WHEN n % 5 = 0 THEN 'llm_call_failed' WHEN n % 9 < 2 THEN 'json_parse_failed' ELSE ['', 'missing field: function.complexity', 'wrong type: intent.matches_problem (got str, expected bool)', 'invalid confidence in intent: ''sure'''][n % 4 + 1] END AS schema_errors,
     CASE WHEN n % 5 = 0 THEN 'ConnectionError: no answer' WHEN n % 9 = 0 THEN 'no JSON found in output' WHEN n % 9 = 1 THEN 'json parse failed' END AS error, CASE WHEN n % 5 = 0 THEN '' ELSE answer END AS raw, CASE WHEN n % 5 <> 0 AND n % 9 > 1 THEN doc END AS segments,
-    CASE WHEN n % 5 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN prompt_tokens > 60 - 4 THEN 'prompt truncated: ' || prompt_tokens END, CASE WHEN reply_tokens >= 4 THEN 'output truncated: ' || reply_tokens END], lambda x: x IS NOT NULL), ';') END AS warnings FROM c""",
+    CASE WHEN n % 5 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN prompt_tokens > 60 - 4 THEN 'prompt=' || prompt_tokens || 'tok > num_ctx(60) − num_predict(4)=56tok → prompt truncated by Ollama' END, CASE WHEN reply_tokens >= 4 THEN 'output=' || reply_tokens || 'tok hit num_predict cap (4) → JSON likely truncated' END], lambda x: x IS NOT NULL), ';') END AS warnings FROM c""",
 )
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.chat(asked(spark, sf_dir), "system", "user", lambda: M.EchoChat(segment_answer, fail_every=5), pause=0)

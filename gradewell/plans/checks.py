@@ -25,7 +25,7 @@ def rubric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_092_domain_range",
-    "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#22') THEN 'brand: ' || p_brand || ' is not allowed' END, CASE WHEN p_size NOT BETWEEN 5 AND 40 THEN 'size: ' || p_size || ' is out of range' END, CASE WHEN length(p_name) NOT BETWEEN 8 AND 9 THEN 'name: ' || length(p_name) || ' characters' END, CASE WHEN NOT regexp_matches(p_type, '^[A-Z]') THEN 'type: wrong form' END], lambda x: x IS NOT NULL), '; ') AS v FROM part",
+    "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#22') THEN 'brand: ''' || p_brand || ''' is not one of [''Brand#11'', ''Brand#12'', ''Brand#21'', ''Brand#22'']' END, CASE WHEN p_size < 5 THEN 'size: ' || p_size || ' is less than the minimum of 5' WHEN p_size > 40 THEN 'size: ' || p_size || ' is greater than the maximum of 40' END, CASE WHEN length(p_name) < 8 THEN 'name: ''' || p_name || ''' is too short' WHEN length(p_name) > 9 THEN 'name: ''' || p_name || ''' is too long' END, CASE WHEN NOT regexp_matches(p_type, '^[A-Z]') THEN 'type: ''' || p_type || ''' does not match ''^[A-Z]''' END], lambda x: x IS NOT NULL), '; ') AS v FROM part",
 )
 def domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = K.violations(K.in_domain(F.col("p_brand"), ("Brand#11", "Brand#12", "Brand#21", "Brand#22"), "brand"), K.in_range(F.col("p_size"), 5, 40, "size"), K.has_length(F.col("p_name"), 8, 9, "name"), K.matches(F.col("p_type"), "^[A-Z]", "type"))
@@ -43,7 +43,7 @@ def referential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_091_keys",
-    "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN 'missing: k' END, CASE WHEN event_id % 2 = 0 THEN 'unknown: z' END], lambda x: x IS NOT NULL), '; ') AS v FROM events",
+    "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN ': ''k'' is a required property' END, CASE WHEN event_id % 2 = 0 THEN ': Additional properties are not allowed (''z'' was unexpected)' END], lambda x: x IS NOT NULL), '; ') AS v FROM events",
 )
 def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required and unknown keys of JSON documents made from the events' properties."""
@@ -53,11 +53,13 @@ def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_090_record_check",
-    "SELECT doc_id, CASE WHEN quality NOT IN (1) THEN 1 ELSE 0 END + CASE WHEN toxic NOT BETWEEN 0 AND 0 THEN 1 ELSE 0 END AS n FROM labels",
+    "SELECT doc_id, array_to_string(list_filter([CASE WHEN lang NOT IN ('en', 'fr') THEN 'lang: ''' || lang || ''' is not one of [''en'', ''fr'']' END, CASE WHEN n_chars < 100 THEN 'n_chars: ' || n_chars || ' is less than the minimum of 100' WHEN n_chars > 5000 THEN 'n_chars: ' || n_chars || ' is greater than the maximum of 5000' END, CASE WHEN NOT regexp_matches(source, '^[a-z]+[0-4]$') THEN 'source: ''' || source || ''' does not match ''^[a-z]+[0-4]$''' END, CASE WHEN quality < 1 THEN 'labels/quality: ' || quality || ' is less than the minimum of 1' END], lambda x: x IS NOT NULL), '; ') AS v FROM documents LEFT JOIN labels USING (doc_id)",
 )
 def record_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = K.violations(K.in_domain(F.col("quality").cast("string"), ("1",), "quality"), K.in_range(F.col("toxic"), 0, 0, "toxic"))
-    return table(spark, sf_dir, "labels").select("doc_id", F.size(checks).alias("n"))
+    """The messages of every record, path first; what isn't there breaks no rule."""
+    checks = K.violations(K.in_domain(F.col("lang"), ("en", "fr"), "lang"), K.in_range(F.col("n_chars"), 100, 5000, "n_chars"), K.matches(F.col("source"), "^[a-z]+[0-4]$", "source"), K.in_range(F.col("quality"), 1, 1, "labels/quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.array_join(checks, "; ").alias("v"))
 
 
 #: A valid segment record, one without a section's field, one of a wrong type, one with a wrong confidence and no JSON.
@@ -71,7 +73,7 @@ SEGMENTS = (
 
 @register(
     "op_093_segment_check",
-    "SELECT event_id, ['', 'missing field: function.complexity', 'wrong type: intent.matches_problem', 'invalid confidence: intent'][(event_id % 4)::INT + 1] AS v FROM events",
+    "SELECT event_id, ['', 'missing field: function.complexity', 'wrong type: intent.matches_problem (got str, expected bool)', 'invalid confidence in intent: ''sure'''][(event_id % 4)::INT + 1] AS v FROM events",
 )
 def segment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("event_id") % 4 + 1).cast("int"))
@@ -83,11 +85,16 @@ def count_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hint_sets(spark, sf_dir).select("conv_id", F.array_join(R.count_violations(F.size("hints")), ";").alias("v"))
 
 
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
 def _duck_pattern(p: str) -> str:
-    return p.replace("'", "''").replace(r"\b(for", r"(^|[^\p{L}\p{N}_])(for").replace(r"\breturn", r"(^|[^\p{L}\p{N}_])return").replace(r"\bvoid", r"(^|[^\p{L}\p{N}_])void").replace(r"\bint", r"(^|[^\p{L}\p{N}_])int").replace(r"include\b", r"include([^\p{L}\p{N}_]|$)").replace(r"\b[", "(^|[^\\p{L}\\p{N}_])[")
+    """The same for an engine whose word boundaries are ASCII: a boundary before a word is a start or another character, one after it an end."""
+    p = p.replace("'", "''").replace(r"\w", _WORD_CHAR).replace(r"include\b", f"include([^{_WORD_CHAR[1:-1]}]|$)")
+    return p.replace(r"\b", f"(^|[^{_WORD_CHAR[1:-1]}])")
 
 
-_CODE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_duck_pattern(p)}') THEN 'code_token_match:{n}' END" for n, p in R.CODE_SIGNS) + ", CASE WHEN length(text) - length(replace(text, ';', '')) > 3 THEN 'code_token_match:too_many_semicolons' END], lambda x: x IS NOT NULL)"
+_CODE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_duck_pattern(p)}') THEN 'code_token_match:' || '{p.replace(chr(39), chr(39) * 2)}' END" for p in R.CODE_SIGNS) + ", CASE WHEN length(text) - length(replace(text, ';', '')) > 3 THEN 'code_token_match:too_many_semicolons' END], lambda x: x IS NOT NULL)"
 
 
 @register("op_097_code_signs", f"SELECT doc_id, array_to_string({_CODE_SQL}, ';') AS v FROM documents")
@@ -107,17 +114,22 @@ def length_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.length_violations(F.col("text")), ";").alias("v"))
 
 
-@register("op_100_order_check", "SELECT user_id, count(*) AS n FROM (SELECT user_id, value / 100 AS s, lag(value / 100) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE s + 0.05 < b GROUP BY user_id")
+@register(
+    "op_100_order_check",
+    "SELECT user_id, array_to_string(list('order_inversion_at_' || k || ': ' || printf('%.2f', s) || ' < ' || printf('%.2f', b) ORDER BY k), ';') AS v FROM (SELECT user_id, value / 100 AS s, lag(value / 100) OVER w AS b, row_number() OVER w - 1 AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE s + 0.05 < b GROUP BY user_id",
+)
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("value") / 100
-    before = F.lag(s).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", (s + R.ORDER_TOLERANCE < before).alias("off"))
-    return rows.where("off").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Where a user's scores fall, by position and value."""
+    s, order = F.col("value") / 100, Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", s.alias("s"), F.lag(s).over(order).alias("b"), (F.row_number().over(order) - 1).alias("k"))
+    says = F.concat(F.lit("order_inversion_at_"), F.col("k").cast("string"), F.lit(": "), R.shown(F.col("s")), F.lit(" < "), R.shown(F.col("b")))
+    off = rows.where(F.col("s") + R.ORDER_TOLERANCE < F.col("b")).select("user_id", F.struct("k", says.alias("v")).alias("x"))
+    return off.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), ";").alias("v"))
 
 
 @register(
     "op_104_truncation_warnings",
-    "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id > 4096 - 1024 THEN 'prompt truncated: ' || event_id END, CASE WHEN user_id * 10 >= 1024 THEN 'output truncated: ' || user_id * 10 END], lambda x: x IS NOT NULL), '; ') AS v FROM events",
+    "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id > 4096 - 1024 THEN 'prompt=' || event_id || 'tok > num_ctx(4096) − num_predict(1024)=3072tok → prompt truncated by Ollama' END, CASE WHEN user_id * 10 >= 1024 THEN 'output=' || user_id * 10 || 'tok hit num_predict cap (1024) → JSON likely truncated' END], lambda x: x IS NOT NULL), '; ') AS v FROM events",
 )
 def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(K.truncation_warnings(F.col("event_id"), F.col("user_id") * 10, F.lit(4096), F.lit(1024)), "; ").alias("v"))
@@ -156,6 +168,10 @@ TFIDF_SQL = _SET_TEXTS_SQL + _SIMS_SQL
     HINT_SETS_SQL.rstrip() + "," + TFIDF_SQL + "SELECT t.grp AS conv_id, t.doc, round(coalesce(a.s, 0), 6) + 0.0 AS sim_statement, round(coalesce(b.s, 0), 6) + 0.0 AS sim_solution FROM texts t LEFT JOIN sims a ON a.grp = t.grp AND a.doc = t.doc AND a.anchor = 'statement' LEFT JOIN sims b ON b.grp = t.grp AND b.doc = t.doc AND b.anchor = 'solution' WHERE t.doc NOT IN ('statement', 'solution')",
 )
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf_sims(spark, sf_dir).select("conv_id", "doc", *[V.settled(F.col(c)).alias(c) for c in ("sim_statement", "sim_solution")])
+
+
+def tfidf_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.when(F.col("role") == "assistant", F.concat(F.lit("h"), "turn"))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), "role", "turn", "text", doc.alias("doc"))
     first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"], F.lit(""))
@@ -163,17 +179,23 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = [F.struct(F.lit(name).alias("doc"), first(role).alias("text")) for name, role in (("statement", "user"), ("solution", "system"))]
     texts = turns.groupBy("grp").agg(F.concat(hints, F.array(*anchors)).alias("t")).select("grp", F.inline("t"))
     found = similarities(texts, ["statement", "solution"]).where("doc NOT IN ('statement', 'solution')")
-    return found.select(F.col("grp").alias("conv_id"), "doc", V.settled(F.col("sim_statement")).alias("sim_statement"), V.settled(F.col("sim_solution")).alias("sim_solution"))
+    return found.select(F.col("grp").alias("conv_id"), "doc", "sim_statement", "sim_solution")
 
 
 @register(
     "op_099_similarity_caps",
-    HINT_SETS_SQL.rstrip() + "," + TFIDF_SQL + "SELECT grp AS conv_id, doc, anchor FROM sims WHERE s > 0.10",
+    HINT_SETS_SQL.rstrip()
+    + ","
+    + TFIDF_SQL
+    + """, placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations WHERE role = 'assistant')
+    SELECT p.conv_id, 'hint' || i || '_too_close_to_' || anchor || ':' || printf('%.2f', s) || '>0.1' AS v FROM sims JOIN placed p ON p.conv_id = grp AND 'h' || turn = doc WHERE s > 0.10""",
 )
 def similarity_caps(spark: SparkSession, sf_dir: str, cap: float = 0.10) -> DataFrame:
-    rows = tfidf(spark, sf_dir)
-    each = rows.select("conv_id", "doc", F.inline(F.array(F.struct(F.lit("statement").alias("anchor"), F.col("sim_statement").alias("s")), F.struct(F.lit("solution").alias("anchor"), F.col("sim_solution").alias("s")))))
-    return each.where(F.col("s") > cap).select("conv_id", "doc", "anchor")
+    """Hints that are closer to the statement or the solution than the cap, by position and similarity."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = tfidf_sims(spark, sf_dir).withColumn("turn", F.substring("doc", 2, 10).cast("int")).withColumn("i", place)
+    each = rows.select("conv_id", "i", F.inline(F.array(*[F.struct(F.lit(a).alias("anchor"), F.col(f"sim_{a}").alias("s")) for a in ("statement", "solution")])))
+    return each.where(F.col("s") > cap).select("conv_id", F.concat(F.lit("hint"), F.col("i").cast("string"), F.lit("_too_close_to_"), "anchor", F.lit(":"), R.shown(F.col("s")), F.lit(f">{cap}")).alias("v"))
 
 
 @register(
@@ -196,9 +218,11 @@ hs AS (SELECT grp, i, hs[i] AS text FROM (SELECT grp, hs, unnest(range(1, len(hs
 texts AS (SELECT grp, 'h' || i AS doc, text FROM hs UNION ALL SELECT grp, 'statement', statement FROM pre UNION ALL SELECT grp, 'solution', solution FROM pre),"""
     + _SIMS_SQL
     + f""", each AS (SELECT h.grp, h.i, {_OWN_SQL} AS own, coalesce(a.s, 0) AS st, coalesce(b.s, 0) AS so FROM hs h LEFT JOIN sims a ON a.grp = h.grp AND a.doc = 'h' || h.i AND a.anchor = 'statement' LEFT JOIN sims b ON b.grp = h.grp AND b.doc = 'h' || h.i AND b.anchor = 'solution'),
-lagged AS (SELECT grp, i, own || CASE WHEN st > 0.55 THEN ['too_similar_to_statement'] ELSE [] END || CASE WHEN so > 0.55 THEN ['too_similar_to_solution'] ELSE [] END AS own, coalesce(so + 0.05 < lag(so) OVER (PARTITION BY grp ORDER BY i), false) AS off FROM each),
-sets AS (SELECT grp, flatten(list(own ORDER BY i)) AS own, count(*) FILTER (off) AS n_order, count(*) AS n FROM lagged GROUP BY grp),
-checked AS (SELECT p.conv_id, p.k, coalesce(n, 0) AS n_hints, coalesce(n_order, 0) AS n_order, CASE WHEN coalesce(n, 0) < 1 THEN ['too_few_hints: 0 < 1'] WHEN n > 4 THEN ['too_many_hints: ' || n || ' > 4'] ELSE [] END || coalesce(own, []) || list_transform(range(coalesce(n_order, 0)), lambda q: 'order_violation') AS v FROM pre p LEFT JOIN sets s ON s.grp = p.grp),
+lagged AS (SELECT *, lag(so) OVER (PARTITION BY grp ORDER BY i) AS b FROM each),
+sets AS (SELECT grp, flatten(list(own ORDER BY i)) AS own, count(*) FILTER (so + 0.05 < b) AS n_order, count(*) AS n,
+  coalesce(list('hint' || (i - 1) || '_too_close_to_statement:' || printf('%.2f', st) || '>0.55' ORDER BY i) FILTER (st > 0.55), []) || coalesce(list('hint' || (i - 1) || '_too_close_to_solution:' || printf('%.2f', so) || '>0.55' ORDER BY i) FILTER (so > 0.55), [])
+  || coalesce(list('order_inversion_at_' || (i - 1) || ': ' || printf('%.2f', so) || ' < ' || printf('%.2f', b) ORDER BY i) FILTER (so + 0.05 < b), []) AS whole FROM lagged GROUP BY grp),
+checked AS (SELECT p.conv_id, p.k, coalesce(n, 0) AS n_hints, coalesce(n_order, 0) AS n_order, CASE WHEN coalesce(n, 0) < 1 THEN ['too_few_hints: 0 < 1'] WHEN n > 4 THEN ['too_many_hints: ' || n || ' > 4'] ELSE [] END || coalesce(whole, []) || coalesce(own, []) AS v FROM pre p LEFT JOIN sets s ON s.grp = p.grp),
 final AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS r FROM checked WHERE NOT (len(v) > 0 AND len(v) = n_order AND k > 1))
 SELECT conv_id, len(v) = 0 AS passed, n_hints, array_to_string(v, ';') AS violations FROM final WHERE r = 1"""
 )

@@ -3,6 +3,8 @@
 import difflib
 import hashlib
 import io
+import json
+import math
 import random
 import zipfile
 
@@ -124,8 +126,8 @@ def test_rubric(spark):
     assert got[2] == (False, ["too_few_hints: 0 < 1"])
     assert got[3][1][0] == "too_many_hints: 5 > 4"
     assert got[4][1] == ["too_short_words:2"]
-    assert "code_token_match:control" in got[5][1] and "code_token_match:assignment" in got[5][1]
-    assert got[6][1] == ["too_similar_to_statement"]
+    assert r"code_token_match:\b(for|while|if|switch)\s*\([^)]*\)" in got[5][1] and r"code_token_match:\b[a-zA-Z_]\w*\s*=\s*[^=]" in got[5][1]
+    assert got[6][1] == ["hint0_too_close_to_statement:1.00>0.55"]
 
 
 def test_retry_keeps_the_longest_prefix_in_order(spark):
@@ -138,7 +140,43 @@ def test_retry_keeps_the_longest_prefix_in_order(spark):
 
 def test_order_tolerance(spark):
     rows = spark.createDataFrame([([0.5, 0.46],), ([0.5, 0.44],), ([],)], "s array<double>")
-    assert [len(r[0]) for r in rows.select(rubric.order_violations(F.col("s"))).collect()] == [0, 1, 0]
+    assert [r[0] for r in rows.select(rubric.order_violations(F.col("s"))).collect()] == [[], ["order_inversion_at_1: 0.44 < 0.50"], []]
+
+
+def test_two_decimals_are_those_of_the_exact_number(spark):
+    r = random.Random(7)
+    values = [k / 1000 for k in range(0, 3000, 5)] + [k / 8 for k in range(24)] + [r.random() * 3 for _ in range(500)] + [math.nextafter(k / 1000, side) for k in range(5, 2000, 10) for side in (0, 9)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", rubric.shown(F.col("v")).alias("s")).collect()
+    assert all(x["s"] == f"{x['v']:.2f}" for x in rows)
+
+
+def test_a_set_is_judged_at_most_four_times(spark):
+    rows = [(1, ["h"] * 500, "s", "c"), (2, [], "s", "c"), (3, ["h"], "s", "c"), (4, ["h"] * 4, "s", "c")]
+    sets = spark.createDataFrame(rows, SETS)
+    got = rubric.prefixes(sets).groupBy("set_id").agg(F.sort_array(F.collect_list("k")).alias("k")).collect()
+    assert {r["set_id"]: r["k"] for r in got} == {1: [500], 2: [1], 3: [1], 4: [1, 2, 3, 4]}
+    many = [(k, [f"some hint of number {i} and words" for i in range(500)], "s", "c") for k in range(2)]
+    found = rubric.validate_with_retry(spark.createDataFrame(many, SETS)).collect()
+    assert all(r["n_hints"] == 500 and "too_many_hints: 500 > 4" in r["violations"] for r in found)
+
+
+def test_messages_of_records(spark):
+    one = spark.createDataFrame([("it's", 7, ["a"], '{"b": 1, "z": 2, "y": 3}')], "t string, n int, l array<string>, d string")
+    checks = contracts.violations(contracts.in_domain(F.col("t"), ("a", "b"), "x"), contracts.in_range(F.col("n"), 1, 5, "a/n"), contracts.has_length(F.col("t"), 5, 9, "t"), contracts.has_items(F.col("l"), 2, 3, "l"), contracts.matches(F.col("t"), "^[a-z]+$", "t"))
+    assert one.select(checks).first()[0] == ["x: \"it's\" is not one of ['a', 'b']", "a/n: 7 is greater than the maximum of 5", "t: \"it's\" is too short", "l: ['a'] is too short", "t: \"it's\" does not match '^[a-z]+$'"]
+    assert one.select(contracts.key_violations(F.col("d"), ("a", "b"), ("a", "b"))).first()[0] == [": 'a' is a required property", ": Additional properties are not allowed ('y', 'z' were unexpected)"]
+
+
+def test_messages_of_segments(spark):
+    good = {"intent": {"text": "t", "matches_problem": True, "confidence": "high"}, "function": {"algorithm": "a", "data_structures": [], "complexity": "n", "confidence": "low"}, "implementation": {"key_operations": [], "potential_issues": [], "confidence": "medium"}}
+    docs = [good, {k: v for k, v in good.items() if k != "function"}, good | {"intent": {"text": 1, "matches_problem": None, "confidence": True}}, good | {"implementation": {"key_operations": {}, "potential_issues": 1.5, "confidence": "it's"}}]
+    rows = spark.createDataFrame([(json.dumps(d),) for d in docs], "d string")
+    assert [r[0] for r in rows.select(contracts.segment_violations(F.col("d"))).collect()] == [
+        [],
+        ["missing section: function", "invalid confidence in function: ''"],
+        ["wrong type: intent.text (got int, expected str)", "wrong type: intent.matches_problem (got NoneType, expected bool)", "wrong type: intent.confidence (got bool, expected str)", "invalid confidence in intent: True"],
+        ["wrong type: implementation.key_operations (got dict, expected list)", "wrong type: implementation.potential_issues (got float, expected list)", "invalid confidence in implementation: \"it's\""],
+    ]
 
 
 def test_robust_json(spark):
@@ -152,7 +190,8 @@ def test_robust_json(spark):
 def test_key_violations(spark):
     rows = spark.createDataFrame([('{"a":1,"z":2}',), ("{}",), (None,)], "d string")
     got = [r[0] for r in rows.select(contracts.key_violations(F.col("d"), ("a", "b"), ("a", "b"))).collect()]
-    assert got == [["missing: b", "unknown: z"], ["missing: a", "missing: b"], ["missing: a", "missing: b"]]
+    a, b = ": 'a' is a required property", ": 'b' is a required property"
+    assert got == [[b, ": Additional properties are not allowed ('z' was unexpected)"], [a, b], [a, b]]
 
 
 SEGMENT = "struct<matches_problem: boolean, text: string, algorithm: string, data_structures: array<string>, key_operations: array<string>, potential_issues: array<string>>"
