@@ -101,3 +101,34 @@ def generated(answered: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
             "violations": F.when(~F.coalesce(parses, F.lit(False)), F.array(F.lit("model_returned_non_json"))).otherwise(F.array().cast("array<string>")),
         }
     )
+
+
+#: Where rows in the fixed layout say they come from, and what stands for a language and a verdict that aren't there.
+SOURCE_TAG, LANGUAGE, VERDICT = "segments_silver_diff", "unknown", "WA"
+
+
+def hint_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` in the thirteen columns of hint rows, with defaults for columns that are missing or null; rows without ``generated_hints`` are dropped.
+
+    A row is valid if it has no ``hint_validation_errors``. Other columns go.
+    """
+
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in rows.columns else default
+
+    text, texts = F.lit(""), F.array().cast("array<string>")
+    errors = given("hint_validation_errors", texts)
+    plain = {c: given(c, text) for c in ("problem_id", "anon_id", "submission_name")}
+    layout = plain | {
+        "language": given("language", F.lit(LANGUAGE)),
+        "verdict": given("verdict", F.lit(VERDICT)),
+        "issues": given("issues", texts),
+        "concepts_targeted": given("concepts_targeted", texts),
+        "hints": F.col("generated_hints"),
+        "source": F.lit(SOURCE_TAG),
+        "embedding_similarity": given("embedding_similarity", F.lit(None).cast("double")),
+        "passing_file": given("passing_file", text),
+        "validator_passed": F.size(errors) == 0,
+        "validator_violations": errors,
+    }
+    return rows.where(F.size("generated_hints") > 0).select(*[c.alias(k) for k, c in layout.items()])

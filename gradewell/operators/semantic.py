@@ -139,3 +139,59 @@ def with_known(records: DataFrame, ids: list[str], texts: Column, vectors: DataF
     named = of_record.withColumnsRenamed({i: f"__{i}" for i in ids})
     on = reduce(Column.__and__, [F.col(i).eqNullSafe(F.col(f"__{i}")) for i in ids])
     return records.join(named, on, "left").drop(*[f"__{i}" for i in ids])
+
+
+def mean_likeness(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """keys, n, mean: the mean cosine of all pairs of different rows of a group, without a pair (OP-09M).
+
+    Unit vectors that are summed have the squared length of all their products,
+    so the mean is (|sum|^2 - sum of |u|^2) / (n (n - 1)). Sums are made where the
+    rows are, so a group may hold any share of them. Rows whose vector isn't
+    usable (see ``unit``) are left out; one of no length has a cosine of 0 with
+    all, and so have vectors of different lengths. The mean of fewer than two
+    rows is null. Null keys are a group like others.
+    """
+    units = rows.select(*keys, unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
+    whole = units.groupBy(*keys).agg(F.count("*").alias("n"))
+    places = units.select(*keys, F.size("u").alias("dim"), F.posexplode("u").alias("place", "x"))
+    sums = places.groupBy(*keys, "dim", "place").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    pairs = sums.groupBy(*keys).agg((F.sum(F.col("s") * F.col("s")) - F.sum("own")).alias("pairs"))
+    named = pairs.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    n = F.col("n").cast("double")
+    return whole.join(named, on).select(*keys, "n", F.when(n > 1, F.col("pairs") / (n * (n - 1))).alias("mean"))
+
+
+#: Rows on a side of a tile of a matrix, all of whose pairs are results.
+MATRIX_TILE = 1024
+
+
+def pairwise(rows: DataFrame, keys: list[str], ident: str, vector: str) -> DataFrame:
+    """keys, a, b, sim: the cosine of every two different rows of a group, both ways (OP-132).
+
+    ``ident`` (long) names a row. A group is dealt over blocks, and each pair of
+    blocks is a task's work: the matrix is computed in halves of tiles and
+    mirrored, and no task sees a group. Rows without a usable vector have none.
+    """
+    named = rows.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__g"), *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(ident).cast("long").alias("id"), unit(F.col(vector)).alias("u")).where("u IS NOT NULL")
+    sizes = named.groupBy(F.col("__g").alias("of")).agg(F.ceil(F.count("*") / MATRIX_TILE).cast("int").alias("blocks"))
+    placed = named.join(sizes, F.col("__g") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
+
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        ti, tj = key[1], key[2]
+        left = tile[tile["block"] == ti].sort_values("id")
+        right = left if ti == tj else tile[tile["block"] == tj].sort_values("id")
+        own = tile.iloc[0]
+        texts = [["x"] * len(side) for side in (left, right)]
+        sims = likeness((texts[0], texts[1]), (_vectors(left["u"]), _vectors(right["u"])))
+        x, y = np.triu_indices(len(left), 1) if ti == tj else (i.ravel() for i in np.indices(sims.shape))
+        a, b, s = left["id"].to_numpy()[x], right["id"].to_numpy()[y], sims[x, y]
+        out = pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "sim": np.concatenate([s, s])})
+        for k in keys[::-1]:
+            out.insert(0, k, pd.Series([own[f"__k_{k}"]] * len(out), dtype=tile[f"__k_{k}"].dtype))
+        return out
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "a long", "b long", "sim double"])
+    return placed.select("__g", "ti", "tj", "block", "id", "u", *[f"__k_{k}" for k in keys]).groupBy("__g", "ti", "tj").applyInPandas(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gradewell.functions import classify as C
 from gradewell.functions import text as T
 from gradewell.functions import vector as V
+from gradewell.operators import semantic as S
 from gradewell.operators.selection import quantiles, select_ranks
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import _REPORT, HINT_SETS_SQL, ISSUES_SQL, graded_events, hint_sets
@@ -207,13 +208,26 @@ def mean_off_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.groupBy("conv_id").agg(V.settled(F.avg(V.jaccard(F.col("w"), F.col("v")))).alias("v"))
 
 
-@register("op_132_pairwise_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda v: v::DOUBLE * v::DOUBLE)) * list_sum(list_transform(b.embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) + 0.0 AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 20 = b.vec_id // 20 AND a.vec_id <> b.vec_id")
+@register(
+    "op_09m_vector_mean",
+    """WITH u AS (SELECT label, vec_id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings))
+    SELECT a.label, count(DISTINCT a.vec_id) AS n, round(avg(list_dot_product(a.u, b.u)), 6) + 0.0 AS mean FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label""",
+)
+def vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine of different vectors of a label, from the sum of its unit vectors."""
+    found = S.mean_likeness(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return found.select("label", "n", V.settled(F.col("mean")).alias("mean"))
+
+
+@register(
+    "op_132_pairwise_matrix",
+    """WITH u AS (SELECT label, vec_id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings))
+    SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(round(list_dot_product(a.u, b.u), 9), 6) + 0.0 AS v FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id""",
+)
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines inside small groups: one half is computed and mirrored."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 20).alias("g"), "vec_id", "embedding")
-    o = e.select("label", "g", F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
-    half = e.join(o, ["label", "g"]).where("vec_id < b").select(F.col("vec_id").alias("a"), "b", V.settled(V.cosine(F.col("embedding"), F.col("other"))).alias("v"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
+    """The matrix of cosines of each label, by blocks."""
+    found = S.pairwise(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+    return found.select("label", "a", "b", V.settled(F.col("sim")).alias("v"))
 
 
 @register(

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gradewell.functions import vector as V
 from gradewell.operators import contracts as K
 from gradewell.operators import rubric as R
+from gradewell.operators.references import concept_errors
 from gradewell.operators.tfidf import similarities
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
@@ -32,13 +33,32 @@ def domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(checks, "; ").alias("v"))
 
 
+_CONCEPTS_SQL = """dim AS (SELECT DISTINCT 'p' || p_partkey AS k FROM part WHERE p_size > 10),
+each AS (SELECT l_orderkey, 'p' || l_partkey AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem WHERE l_orderkey % 7 <> 0),
+lone AS (SELECT l_orderkey, 'p' || (arg_min(l_partkey, (l_linenumber, l_partkey)) + 1) AS p FROM lineitem GROUP BY l_orderkey)"""
+
+
+def order_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records, their parts as concepts; the primary one is the part after the first, and every seventh order has none."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("parts"))
+    concepts = F.transform("parts", lambda x: F.concat(F.lit("p"), x.cast("string")))
+    return rows.select("l_orderkey", F.when(F.col("l_orderkey") % 7 != 0, concepts).alias("concepts"), F.concat(F.lit("p"), (F.col("parts")[0] + 1).cast("string")).alias("primary"))
+
+
+def concept_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("concept_id"))
+
+
 @register(
     "op_095_referential_check",
-    "SELECT o_custkey, array_to_string(list_sort(list_filter(list_distinct(list(o_orderpriority)), lambda x: x NOT IN ('1-URGENT', '2-HIGH'))), '|') AS v FROM orders GROUP BY o_custkey",
+    f"""WITH {_CONCEPTS_SQL}, bad AS (SELECT l_orderkey, string_agg('''' || x || '''', ', ' ORDER BY i) AS v FROM (SELECT l_orderkey, x, min(i) AS i FROM each WHERE x NOT IN (SELECT k FROM dim) GROUP BY ALL) GROUP BY l_orderkey)
+    SELECT l_orderkey, CASE WHEN v IS NOT NULL THEN 'unknown concept ids: [' || v || ']' WHEN p NOT IN (SELECT k FROM dim) THEN 'unknown primary_concept: ' || p WHEN l_orderkey % 7 = 0 THEN 'missing concepts' END AS error FROM lone LEFT JOIN bad USING (l_orderkey)""",
 )
 def referential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(K.unknown_ids(F.collect_set("o_orderpriority"), known), "|").alias("v"))
+    """Every record's concepts against the dimension table."""
+    found = concept_errors(order_concepts(spark, sf_dir), ["l_orderkey"], F.col("concepts"), F.col("primary"), concept_dimension(spark, sf_dir), "concept_id")
+    return found.select("l_orderkey", "error")
 
 
 @register(

@@ -14,6 +14,7 @@ from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
 from gradewell.operators.nearest import top_k
 from gradewell.operators.ranks import running
+from gradewell.operators.references import checked_ids
 from gradewell.operators.selection import first_n, hash_key, order_key
 from gradewell.session import table
 
@@ -133,13 +134,14 @@ def pair_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_069_known_ids",
-    "SELECT user_id, array_to_string(list_sort(list_filter(list(event_type), lambda x: x IN ('click', 'view'))), ',') AS v FROM events GROUP BY user_id",
+    "SELECT l.l_orderkey, coalesce(string_agg('p' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey % 7 <> 0 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)), '') AS v FROM lineitem l GROUP BY l_orderkey",
 )
 def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of a list that a dimension knows; repeats stay."""
-    known = F.array(F.lit("click"), F.lit("view"))
-    kept = F.filter(F.collect_list("event_type"), lambda x: F.array_contains(known, x))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(kept), ",").alias("v"))
+    """Items of a list that a dimension table knows, in their order; repeats stay."""
+    from gradewell.plans.checks import concept_dimension, order_concepts
+
+    found = checked_ids(order_concepts(spark, sf_dir), ["l_orderkey"], F.col("concepts"), concept_dimension(spark, sf_dir), "concept_id")
+    return found.select("l_orderkey", F.array_join("known", ",").alias("v"))
 
 
 @register(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradewell.functions import classify as C
 from gradewell.functions import text as T
 from gradewell.functions import vector as V
+from gradewell.operators.annotate import hint_rows
 from gradewell.plans.catalog import register
 from gradewell.session import table
 
@@ -111,11 +112,23 @@ def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "op_038_fixed_layout",
-    HINT_SETS_SQL + "SELECT conv_id, 'conv' || conv_id AS problem_id, NULL::VARCHAR AS anon_id, 'unknown' AS language, len(hints)::BIGINT AS n_hints, 'segments' AS source, passed AS validator_passed FROM hint_sets WHERE len(hints) > 0",
+    HINT_SETS_SQL
+    + """SELECT 'conv' || conv_id AS problem_id, '' AS anon_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'set' || conv_id || '.cpp' END AS submission_name, CASE WHEN conv_id % 4 = 0 THEN 'java' ELSE 'unknown' END AS language, CASE WHEN conv_id % 6 = 0 THEN 'TLE' ELSE 'WA' END AS verdict, CASE WHEN conv_id % 2 = 0 THEN 'slow' ELSE '' END AS issues, '' AS concepts_targeted,
+    array_to_string(list_transform(hints, lambda h: h.level || ':' || h.text), '|') AS hints, 'segments_silver_diff' AS source, CASE WHEN conv_id % 5 <> 0 THEN conv_id / 1000 END AS embedding_similarity, '' AS passing_file, passed AS validator_passed, CASE WHEN passed THEN '' ELSE 'too_short_words:2' END AS validator_violations FROM hint_sets WHERE len(hints) > 0""",
 )
 def fixed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = hint_sets(spark, sf_dir).where(F.size("hints") > 0)
-    return sets.select("conv_id", F.concat(F.lit("conv"), F.col("conv_id")).alias("problem_id"), F.lit(None).cast("string").alias("anon_id"), F.lit("unknown").alias("language"), F.size("hints").cast("long").alias("n_hints"), F.lit("segments").alias("source"), F.col("passed").alias("validator_passed"))
+    """Rows of any source in the thirteen columns of hint rows; those without hints are dropped."""
+    sets, when = hint_sets(spark, sf_dir), lambda k, value: F.when(F.col("conv_id") % k == 0, F.lit(value))
+    rows = sets.select(
+        F.concat(F.lit("conv"), "conv_id").alias("problem_id"),
+        F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("set"), "conv_id", F.lit(".cpp"))).alias("submission_name"),
+        when(4, "java").alias("language"), when(6, "TLE").alias("verdict"), when(2, ["slow"]).alias("issues"),
+        F.transform("hints", lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"))).alias("generated_hints"),
+        F.when(F.col("conv_id") % 5 != 0, F.col("conv_id") / 1000).alias("embedding_similarity"),
+        F.when(~F.col("passed"), F.array(F.lit("too_short_words:2"))).alias("hint_validation_errors"),
+    )
+    shown = hint_rows(rows).withColumn("hints", F.transform("hints", lambda h: F.concat_ws(":", h["level"], h["text"])))
+    return shown.withColumns({c: F.array_join(c, "|") for c in ("issues", "concepts_targeted", "hints", "validator_violations")})
 
 
 @register("op_039_force_valid", HINT_SETS_SQL + "SELECT conv_id, true AS passed, NOT passed AS overridden, 0::BIGINT AS n_violations FROM hint_sets")
@@ -143,7 +156,7 @@ def language_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _scalar("op_048_similarity_bucket", "events", "event_id", lambda: C.similarity_bucket(F.col("value") / 100), "CASE WHEN value / 100 >= 0.97 THEN 'high' WHEN value / 100 >= 0.85 THEN 'medium' ELSE 'low' END")
-_scalar("op_049_hint_level", "events", "event_id", lambda: C.hint_level(F.col("event_type"), F.col("value") / 100), "CASE WHEN event_type = 'intent' THEN 'macro' WHEN event_type = 'function' THEN 'structural' WHEN value / 100 >= 0.97 THEN 'very_specific' WHEN value / 100 >= 0.85 THEN 'specific' ELSE 'structural' END")
+_scalar("op_049_hint_level", "events", "event_id", lambda: C.hint_level(F.element_at(F.array(*map(F.lit, ("intent", "function", "implementation"))), (F.col("event_id") % 3 + 1).cast("int")), F.col("value") / 100), "CASE WHEN event_id % 3 = 0 THEN 'macro' WHEN event_id % 3 = 1 THEN 'structural' WHEN value / 100 >= 0.97 THEN 'very_specific' WHEN value / 100 >= 0.85 THEN 'specific' ELSE 'structural' END")
 _scalar("op_050_closeness", "events", "event_id", lambda: C.closeness(F.when(F.col("event_id") % 7 != 0, F.col("value") / 100)), "CASE WHEN event_id % 7 <> 0 AND value / 100 >= 0.98 THEN 'almost identical' WHEN event_id % 7 <> 0 AND value / 100 >= 0.90 THEN 'similar' ELSE 'different' END")
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewell.functions import statements
-from gradewell.operators import contracts, gaps, nearest, pairing, providers, rubric
+from gradewell.operators import annotate, contracts, gaps, nearest, pairing, providers, references, rubric
 from gradewell.operators.diffs import diff_lines, difference, matching_blocks, summary, template_hints
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
@@ -358,3 +358,22 @@ def test_cascade_of_chunks(spark):
     rows = [(STATEMENT, "path"), ("tree.in " + "z" * 10, "tree"), ("a Tree b tree " + "z" * 5000, "tree"), ("trees", "tree"), (None, "x"), ("t", None)]
     got = [r["c"] for r in spark.createDataFrame(rows, "t string, n string").select(statements.cascade(F.col("t"), F.col("n")).alias("c")).collect()]
     assert got[0].startswith("Problema 2") and got[1] == "tree.in " + "z" * 10 and got[2] == ("tree " + "z" * 3995) and got[3:] == [None] * 3
+
+
+def test_ids_against_a_dimension(spark):
+    rows = [(1, ["a", "z", "a", None, "y's"], "a"), (2, ["a", "b"], "q"), (3, [], "a"), (4, None, None), (5, ["a", "a"], "b"), (None, ["x"], "x"), (7, ["b", "q"], "q")]
+    frame = spark.createDataFrame(rows, "id long, c array<string>, p string")
+    dim = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
+    got = {r["id"]: (r["known"], r["unknown"]) for r in references.checked_ids(frame, ["id"], F.col("c"), dim, "k").collect()}
+    assert got == {1: (["a", "a"], ["z", None, "y's"]), 2: (["a", "b"], []), 3: ([], []), 4: ([], []), 5: (["a", "a"], []), None: ([], ["x"]), 7: (["b"], ["q"])}
+    errors = {r["id"]: r["error"] for r in references.concept_errors(frame, ["id"], F.col("c"), F.col("p"), dim, "k").collect()}
+    assert errors == {1: "unknown concept ids: ['z', None, \"y's\"]", 2: "unknown primary_concept: q", 3: "missing concepts", 4: "missing concepts", 5: None, None: "unknown concept ids: ['x']", 7: "unknown concept ids: ['q']"}
+    assert references.concept_errors(frame.limit(0), ["id"], F.col("c"), F.col("p"), dim, "k").isEmpty()
+    assert references.checked_ids(frame, ["id"], F.col("c"), dim.limit(0), "k").where("size(known) > 0").isEmpty()
+
+
+def test_rows_in_the_fixed_layout(spark):
+    rows = spark.createDataFrame([("p", [("macro", "t")], None, ["bad"], 1), (None, [], "cpp", None, 2), (None, None, "cpp", None, 3), ("q", [("macro", "t")], "java", [], 4)], "problem_id string, generated_hints array<struct<level: string, text: string>>, language string, hint_validation_errors array<string>, other int")
+    got = annotate.hint_rows(rows).collect()
+    assert len(got[0].asDict()) == 13
+    assert [(r["problem_id"], r["anon_id"], r["language"], r["verdict"], r["validator_passed"], r["validator_violations"], r["source"]) for r in got] == [("p", "", "unknown", "WA", False, ["bad"], "segments_silver_diff"), ("q", "", "java", "WA", True, [], "segments_silver_diff")]

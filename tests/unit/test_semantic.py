@@ -117,3 +117,22 @@ def test_nearest_vectors_of_odd_rows(spark):
     got = sorted(map(tuple, nearest.top_k(vectors, vectors, 1).collect()))
     assert got == [(1, 2), (2, 1), (3, 9), (8, 2), (9, 3), (10, 1)]
     assert nearest.top_k(vectors.limit(0), vectors, 1).isEmpty()
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_means_and_matrices_of_groups(spark, monkeypatch, tile):
+    monkeypatch.setattr(semantic, "MATRIX_TILE", tile)
+    r = random.Random(6)
+    rows = [(r.choice(["hot"] * 4 + ["k", None]), r.choice([1, 2]), k, [r.uniform(-1, 1) for _ in range(3 if k % 6 else 2)]) for k in range(70)]
+    rows += [("hot", 1, 100, [0.0, 0.0, 0.0]), ("hot", 1, 101, None), ("hot", 1, 102, [None, 1.0, 1.0]), ("one", 1, 103, [1.0, 1.0, 1.0]), ("none", 1, 104, [math.nan])]
+    frame = spark.createDataFrame(rows, "g string, h int, i long, v array<double>")
+    vectors = {i: v for _, _, i, v in rows if v is not None and None not in v and not any(map(math.isnan, v))}
+    pairs = {(g, h, i, j): like(f"{i}", f"{j}", {f"{i}": vectors[i], f"{j}": vectors[j]}) for g, h, i, _ in rows for g2, h2, j, _ in rows if (g, h) == (g2, h2) and i != j and i in vectors and j in vectors}
+    got = {(x["g"], x["h"], x["a"], x["b"]): x["sim"] for x in semantic.pairwise(frame, ["g", "h"], "i", "v").collect()}
+    assert got.keys() == pairs.keys() and all(abs(got[k] - pairs[k]) < 2e-9 for k in pairs)
+    means = {(x["g"], x["h"]): (x["n"], x["mean"]) for x in semantic.mean_likeness(frame, ["g", "h"], "v").collect()}
+    assert means[("one", 1)] == (1, None) and ("none", 1) not in means
+    for key in {(g, h) for g, h, _, _ in pairs}:
+        own = [s for (g, h, _, _), s in pairs.items() if (g, h) == key]
+        assert means[key][1] == pytest.approx(sum(own) / len(own), abs=1e-7) and means[key][0] * (means[key][0] - 1) == len(own)
+    assert semantic.pairwise(frame.limit(0), ["g", "h"], "i", "v").isEmpty() and semantic.mean_likeness(frame.limit(0), ["g"], "v").isEmpty()
