@@ -7,7 +7,8 @@ the similarity by bit counts, corrected for chance collisions of the low bits.
 Candidates whose estimate is not far below the threshold are confirmed on full
 sets. Links are sought in two passes that never list all pairs of a group:
 first each node against the best of its buckets' leaders, then, in buckets that
-still hold several components, the pairs across components, in tiles.
+still hold several components, the pairs across components: tiles of signatures
+find the candidates, and only those are confirmed on sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SPARE = 4.5
 BATCH_CHARS = 2_000_000
 #: Rows of a bucket, and shingles of their sets, on one side of a tile; more are dealt over tiles.
 TILE, TILE_SHINGLES = 768, 2_000_000
+#: Rows on one side of a tile in which a cluster of candidates is confirmed.
+CLUSTER = 4096
 #: Members that are confirmed against one leader in one group.
 MEMBERS = 400
 
@@ -220,42 +223,87 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
         yield last, pd.concat(held) if len(held) > 1 else held[0]
 
 
-def tile_links(rows: pd.DataFrame, ti: int, tj: int, limit: int, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links between different components in one tile of a bucket.
+def mismatch_counts(sig: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Minima of row ``x`` whose low bits differ from those of ``others``."""
+    differ = np.zeros((len(others), 2), dtype=np.uint64)  # numpy counts the bits of a signed number's magnitude
+    for k in range(BITS):
+        differ |= sig[others, k] ^ sig[x, k]
+    return np.bitwise_count(differ).sum(axis=1)
 
-    Components that a link joins are one from then on, so their other pairs are
-    not compared. A pair is compared in the first band that both share.
-    """
+
+def _sides(rows: pd.DataFrame, ti: int, tj: int) -> tuple[np.ndarray, np.ndarray]:
     left = np.flatnonzero(rows["block"].to_numpy() == ti)
-    right = left if ti == tj else np.flatnonzero(rows["block"].to_numpy() == tj)
-    if not len(left) or not len(right):
-        return []
-    docs, band = rows["doc"].tolist(), int(rows["band"].iat[0])
-    _, local = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    return left, left if ti == tj else np.flatnonzero(rows["block"].to_numpy() == tj)
+
+
+def _near(rows: pd.DataFrame, ti: int, tj: int, limit: int, local: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a tile and those of the other side with another label whose signature is near, nearest first.
+
+    A pair counts in the first band that both share; ``band`` 0 has none before it.
+    """
+    left, right = _sides(rows, ti, tj)
     sig = np.stack(rows["sig"].tolist()).astype(np.int64).view(np.uint64).reshape(-1, BITS, 2)
-    bands = np.stack(rows["bands"].tolist())[:, :band]
-    sets = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
-    links = []
+    band = int(rows["band"].iat[0])
+    bands = np.stack(rows["bands"].tolist())[:, :band] if band else None
     for at, x in enumerate(left.tolist()):
         others = right[at + 1 :] if ti == tj else right
         others = others[local[others] != local[x]]
         if not len(others):
             continue
-        differ = np.zeros((len(others), 2), dtype=np.uint64)  # numpy counts the bits of a signed number's magnitude
-        for k in range(BITS):
-            differ |= sig[others, k] ^ sig[x, k]
-        m = np.bitwise_count(differ).sum(axis=1)
-        near = (m <= limit) & ~(bands[others] == bands[x]).any(axis=1)
-        for y in others[near][np.argsort(m[near], kind="stable")].tolist():
+        m = mismatch_counts(sig, x, others)
+        near = m <= limit
+        if bands is not None:
+            near &= ~(bands[others] == bands[x]).any(axis=1)
+        if near.any():
+            yield x, others[near][np.argsort(m[near], kind="stable")]
+
+
+def tile_candidates(rows: pd.DataFrame, ti: int, tj: int, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the candidate pairs across components in one tile of a bucket, from signatures alone."""
+    docs = rows["doc"].tolist()
+    _, component = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    joined, out = np.arange(len(docs)), []
+    for x, near in _near(rows, ti, tj, limit, component):
+        # one edge to each tree that the near rows are in
+        for label in np.unique(joined[near]).tolist():
+            if label != joined[x]:
+                y = int(near[joined[near] == label][0])
+                out.append((docs[x], docs[y]))
+                joined[joined == label] = joined[x]
+    return out
+
+
+def tile_links(rows: pd.DataFrame, ti: int, tj: int, limit: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between different components in one tile.
+
+    Components that a link joins are one from then on, so their other pairs are
+    not compared.
+    """
+    docs = rows["doc"].tolist()
+    _, local = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
+    links = []
+    for x, near in _near(rows, ti, tj, limit, local):
+        for y in near.tolist():
             if local[x] != local[y] and similar(sets[x], sets[y], percent):
                 links.append((docs[x], docs[y]))
                 local[local == local[y]] = local[x]
     return links
 
 
+def _candidates(limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (key, ti, tj), rows in _runs(batches, ["key", "ti", "tj"]):
+            edges = tile_candidates(rows, ti, tj, limit)
+            if edges:
+                yield pd.DataFrame([(key, ti, tj, a, b) for a, b in edges], columns=["key", "ti", "tj", "a", "b"])
+
+    return run
+
+
 def _tiles(limit: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, ti, tj), rows in _runs(batches, ["key", "ti", "tj"]):
+        for (_, _, ti, tj), rows in _runs(batches, ["bucket", "key", "ti", "tj"]):
             links = tile_links(rows, ti, tj, limit, percent)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
@@ -263,6 +311,45 @@ def _tiles(limit: int, percent: int):
     return run
 
 
+def _blocks(rows: DataFrame, n: Column, shingles: Column, most: int) -> DataFrame:
+    """``rows`` dealt over tiles: a copy for each tile (ti, tj) that has the row's block on a side."""
+    blocks = F.ceil(F.greatest(n / most, shingles / TILE_SHINGLES)).cast("int")
+    blocks = F.least(blocks, n).cast("int")  # one row may have more shingles than a tile's side
+    dealt = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
+
+
+def across_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int, tile: int) -> DataFrame:
+    """Confirmed links (a, b) across components in buckets that hold several.
+
+    Tiles of signatures come first and give a forest of the candidates, so
+    documents without one are done with and no text has moved. Candidates that
+    hang together are a cluster. A cluster that fits two tiles' sides is
+    confirmed by itself, wherever its pairs met, and its texts are copied twice
+    at most; a larger one in the tiles in which its candidates met.
+    """
+    limit = most_mismatches(percent / 100)
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    dealt = _blocks(placed.join(several, "key"), F.col("n"), F.col("shingles"), tile)
+    dealt = dealt.select("key", "ti", "tj", "block", "doc", "component").join(nodes.select("doc", "sig", "bands"), "doc")
+    dealt = dealt.withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1).repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "doc")
+    edges = scratch.keep(dealt.mapInPandas(_candidates(limit), "key long, ti int, tj int, a long, b long"), "candidates")
+    clusters = components(edges.select("a", "b"), scratch, "clusters").withColumnsRenamed({"node": "doc", "component": "cluster"})
+    own = nodes.select("doc", "n_shingles", "sig", "bands").join(placed.select("doc", "component").distinct(), "doc")
+    members = scratch.keep(clusters.join(own, "doc"), "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    fits = (F.col("n") <= 2 * CLUSTER) & (F.col("shingles") <= 2 * TILE_SHINGLES)
+    sized = members.join(sizes.withColumn("fits", fits), "cluster")
+    small = _blocks(sized.where("fits"), F.col("n"), F.col("shingles"), CLUSTER).select(F.lit(False).alias("bucket"), F.col("cluster").alias("key"), "ti", "tj", "block", F.lit(0).alias("band"), "doc", "component", "sig", "bands")
+    met = edges.select("key", "ti", "tj", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    large = met.join(sized.where("NOT fits").select("doc", "component", "sig", "bands"), "doc").join(placed.select("key", "doc", "n", "shingles"), ["key", "doc"])
+    blocks = F.least(F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / TILE_SHINGLES)), F.col("n")).cast("int")
+    large = large.select(F.lit(True).alias("bucket"), "key", "ti", "tj", F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"), (F.array_position("bands", F.col("key")).cast("int") - 1).alias("band"), "doc", "component", "sig", "bands")
+    keys = ["bucket", "key", "ti", "tj"]
+    tiles = with_sets(small.unionByName(large), texts, width).repartition(*keys).sortWithinPartitions(*keys, "doc")
+    return scratch.keep(tiles.mapInPandas(_tiles(limit, percent), "a long, b long"), "second")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: int = TILE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -296,17 +383,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, tile: in
     # second pass: pairs across components, only in buckets that hold several
     placed = in_buckets.select("key", "doc", "n", "shingles").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = scratch.keep(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.greatest(F.col("n") / tile, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    blocks = F.least(blocks, F.col("n")).cast("int")  # one row may have more shingles than a tile's side
-    dealt = placed.join(several, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
-    dealt = dealt.select("key", "ti", "tj", "block", "doc", "component").join(nodes.select("doc", "sig", "bands"), "doc")
-    dealt = dealt.withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1).select("key", "ti", "tj", "block", "band", "doc", "component", "sig", "bands")
-    tiles = with_sets(dealt, texts, width).repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "doc")
-    second = scratch.keep(tiles.mapInPandas(_tiles(limit, percent), "a long, b long"), "second")
+    second = across_components(placed, nodes, texts, scratch, width, percent, tile)
     found = components(first.union(second), scratch, "pass2")
-    scratch.drop("best", "buckets", "placed")
+    scratch.drop("best", "buckets", "placed", "candidates", "members")
     classes = nodes.select("set_id", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("set_id", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

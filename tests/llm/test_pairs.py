@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gradewell.llm import embeddings, exact_dedup, minhash
 from gradewell.llm.components import components
@@ -157,8 +158,9 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [minhash.TILE, 9])
-def test_near_documents_by_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "cluster"), [(minhash.TILE, minhash.CLUSTER), (9, 20), (9, 2)])
+def test_near_documents_by_brute_force(spark, monkeypatch, tile, cluster):
+    monkeypatch.setattr(minhash, "CLUSTER", cluster)
     rows = near_rows()
     got = minhash.near_duplicates(frame(spark, rows), tile=tile).collect()
     sets = {i: shingles(t) for i, t in rows if i is not None}
@@ -172,6 +174,23 @@ def test_near_documents_by_brute_force(spark, tile):
             assert tuple(r) == (r["doc_id"], len(sets[r["doc_id"]]), label[r["doc_id"]], label[r["doc_id"]] == r["doc_id"])
 
 
+def test_texts_that_share_a_passage_move_at_most_three_times(spark, monkeypatch):
+    """Candidates that aren't links: 200 of 224 words are shared, a similarity below the threshold."""
+    shared = prose(77, 200)
+    rows = [(k, f"{prose(10_000 + k, 12)} {shared} {prose(20_000 + k, 12)}") for k in range(500)] + [(9000, prose(30_000, 224))]
+    moved = []
+
+    def counted(roles, docs, width, own=minhash.with_sets):
+        moved.append(roles.groupBy("doc").count().agg(F.max("count")).first()[0] or 0)
+        return own(roles, docs, width)
+
+    monkeypatch.setattr(minhash, "with_sets", counted)
+    got = minhash.near_duplicates(frame(spark, rows), tile=100).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    first, second = moved
+    assert 0 < second <= 1 and first + second <= 3  # a leader's copies are those of its groups of members
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(5, prose(1, 80)), (3, edited(prose(1, 80), 1, 1)), (9, prose(2, 80)), (9, prose(2, 80)), (11, ""), (12, None)]
     docs = frame(spark, rows)
