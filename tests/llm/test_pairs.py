@@ -103,6 +103,26 @@ def test_quantised_links_are_exact():
     assert q.dtype == np.int8 and np.allclose(np.linalg.norm(a - q * step[:, None], axis=1), error)
 
 
+@pytest.mark.parametrize("d", [64, 200, 1024, 3000])
+def test_bounds_hold_at_any_dimension(d):
+    """Pairs as near the threshold as doubles allow, with many large terms that cancel: every answer is the double's."""
+    r = np.random.default_rng(d)
+    a = r.standard_normal((300, d)) * np.where(r.random(d) < 0.5, 1.0, 1e-2)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = r.standard_normal((300, d))
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = 0.95 + np.repeat([-1e-5, -1e-6, -1e-7, 1e-7, 1e-6, 1e-5], 50)
+    b = cosine[:, None] * a + np.sqrt(1 - cosine**2)[:, None] * off
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    found, _ = embeddings.links(a, b, 0.95)
+    assert (np.diag(found) == (np.einsum("ij,ij->i", a, b) >= 0.95)).all()
+    (qa, sa, na, _), (qb, sb, nb, _) = embeddings.quantise(a), embeddings.quantise(b)
+    single = (qa.astype(np.float32) @ (qb * sb[:, None]).astype(np.float32).T) * sa[:, None]
+    exact = (qa.astype(np.float64) * sa[:, None]) @ (qb * sb[:, None]).T
+    assert np.abs(single - exact).max() <= embeddings.slack(na, nb, d)
+
+
 def test_forests_span_the_links():
     r = np.random.default_rng(5)
     found = r.random((40, 30)) < 0.03
@@ -128,6 +148,20 @@ def test_recall_beyond_the_exact_size(spark):
     assert all(some[k] <= n for k, n in every.items()) and sum(some.values()) >= 0.99 * sum(every.values()) > 0
 
 
+def test_recall_with_nine_hyperplanes(spark, monkeypatch):
+    """The setting of a million rows: as many planes a table, and tables to match."""
+    r = np.random.default_rng(10)
+    base = r.standard_normal((60, 32))
+    rows = [(k, (base[k % 60] + r.standard_normal(32) * 0.04 * (k // 60)).tolist()) for k in range(420)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    every = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df).collect()}
+    tables, bits = embeddings.tables_and_bits(1_000_000, 0.95)
+    assert bits == 9
+    monkeypatch.setattr(embeddings, "tables_and_bits", lambda *_: (tables, bits))
+    some = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df).collect()}
+    assert all(some[k] <= n for k, n in every.items()) and sum(some.values()) >= 0.999 * sum(every.values()) > 0
+
+
 def test_tables_reach_the_stated_miss():
     assert embeddings.tables_and_bits(1000, 0.95) == (1, 0)
     for rows in (10, 10_000, 10_000_000, 10**11):
