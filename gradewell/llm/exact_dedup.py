@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.shared import Scratch
+from gradewell.llm.shared import Scratch, sheltered
 
 #: A bucket with more text than this is overfull.
 BUCKET_BYTES = 8_000_000
@@ -164,8 +164,8 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth: int = MA
     text_sha256. Null text counts as empty; texts are compared without any
     change. Repeated rows with one doc_id are all counted in group_size and all
     say kept if theirs is the largest id (``keep_rows`` leaves one of them). A
-    null doc_id is never kept while its group has another. An empty table gives
-    an empty result.
+    null doc_id is never kept while its group has another. Texts of any length
+    are hashed and compared whole. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     index = build_index(docs, scratch, bucket_bytes, max_depth)
@@ -181,11 +181,12 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     The row with the largest doc_id stays; of rows that repeat id and text one
     does; a null id stays only where no copy has one. Null and empty texts are
     equal. Texts of any length are compared whole. An empty table gives an empty
-    result. No column is touched, whatever its name but ``__key`` and ``__sha``.
+    result. No column is touched, whatever its name.
     """
+    docs, named = sheltered(docs)
     index = build_index(docs, Scratch(docs.sparkSession, "exact-dedup"))
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns({"__key": F.xxhash64(text), "__sha": F.sha2(text, 256)})
     stay = index.select(F.col("key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
     same = (F.col("m.__key") == F.col("s.__key")) & (F.col("m.__sha") == F.col("s.__sha")) & F.col("m.doc_id").cast("long").eqNullSafe(F.col("s.__keep"))
-    return marked.alias("m").join(stay.alias("s"), same, "left_semi").dropDuplicates(["__key", "__sha"]).select(*docs.columns)
+    return named(marked.alias("m").join(stay.alias("s"), same, "left_semi").dropDuplicates(["__key", "__sha"]))

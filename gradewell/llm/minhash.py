@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.bytehash import mix, words
 from gradewell.llm.components import components
-from gradewell.llm.shared import Scratch
+from gradewell.llm.shared import Scratch, sheltered
 
 MINIMA, BITS = 128, 4
 #: A pair at the threshold shares no band with this probability at most.
@@ -399,11 +399,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     that share an id, stay, and near copies of these may; repeated rows of an id
     count once. Null, empty and blank texts link with nothing and stay. Texts of
     any length are compared whole. An empty table gives an empty result. No
-    column is touched, whatever its name but ``__id`` and ``__content``.
+    column is touched, whatever its name.
     """
+    docs, original = sheltered(docs)
     own, content = F.col("doc_id").cast("long"), F.xxhash64("text", F.col("text").isNull())
     stay = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__id"))
     several = docs.where(own.isNotNull()).groupBy(own.alias("__id")).agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low < high").select("__id")
     named = docs.join(stay.union(several).distinct(), own == F.col("__id"), "left_semi")
     named = named.withColumn("__content", content).dropDuplicates(["doc_id", "__content"]).drop("__content")
-    return named.union(docs.where(own.isNull()))
+    return original(named.union(docs.where(own.isNull())))

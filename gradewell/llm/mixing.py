@@ -3,22 +3,18 @@
 A naive Bayes classifier over hashed words, fitted on half of a bounded sample
 of a labelled table and calibrated on the other half, gives every document its
 posterior over the domains. Nonnegative document rates are then fitted by
-projected gradient so that the expected tokens of each domain (rate x tokens x
+projected gradient, so that the expected tokens of each domain (rate x tokens x
 posterior, summed) match target shares of a token budget in the least-squares
-sense and are no further from one than they must. A gradient step moves every
-rate along its posteriors, so a rate is one less a price for each domain, weighted
-by the posteriors and projected to what a rate may be; the prices are all that is
-fitted. Documents whose rounded posteriors agree share a rate, so the gradient
-runs over a table of posterior cells: each step is one distributed sum, of which
-the driver sees a number a domain and the domains' Gram matrix over the rates
-that can still move, whose inverse scales the step. Everything here is DataFrame
+sense. A gradient step moves a rate along the document's posteriors, so a rate
+follows from the posteriors and the steps: documents whose rounded posteriors
+agree share one, and a step is a distributed sum over a table of such cells, of
+which the driver sees a number a domain. Everything here is DataFrame
 expressions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.samples import sample_ids
-from gradewell.llm.shared import Scratch
+from gradewell.llm.shared import Scratch, sheltered
 
 #: Words are hashed to so many features; the model is a number for each of them and each domain.
 FEATURES = 1 << 15
@@ -36,18 +32,14 @@ SAMPLE_PER_DOMAIN = 2000
 SIGNIFICANT = 4.0
 #: Each domain is given so many features of the usual kind, so that rare ones aren't overrated.
 SMOOTHING = 1000.0
-#: Posteriors are rounded to this many digits, so there are at most so many cells as such posteriors.
+#: Posteriors are rounded to this many digits before rates are fitted and reported, so there are at most so many cells as such
+#: posteriors: 5,151 of three domains.
 DIGITS = 2
-#: No document is repeated more often.
-MAX_RATE = 4.0
-#: How strongly rates are held near one against the errors of domain totals, which end at so much of all tokens times the
-#: price: less and less, but as at first where even the last leaves errors beyond REACHED of all tokens, so that rates don't
-#: run to their bounds in vain.
-NEAR_ONE = (3e-2, 3e-4, 3e-6)
-REACHED = 0.002
-#: Sums that a fit may take, and the gradient, as a share of all tokens, that is none.
-STEPS = 30
-SETTLED = 1e-6
+#: A total is reached when it is off by this share of its target; the most steps; and the steps in which the squared error has
+#: to fall by a share of itself, else it is taken to be the least.
+NEAR = 3e-4
+STEPS = 400
+PATIENCE, STILL = 30, 1e-3
 _SLOTS = 1 << 20
 
 
@@ -58,12 +50,17 @@ class DomainModel:
     weights: list[dict[int, float]]  # of features that tell, in the same sense
 
 
+#: Of each projected-gradient step: how far it moves a document wholly in a domain, for each domain, and its momentum.
+Steps = list[tuple[list[float], float]]
+
+
 @dataclass
 class Fit:
-    prices: list[float]
+    steps: Steps
     natural: list[float]  # tokens of each domain at rates of one
     wanted: list[float]
     reached: list[float]
+    settled: bool
 
 
 def words(text: Column) -> Column:
@@ -181,76 +178,69 @@ def membership(docs: DataFrame, model: DomainModel) -> DataFrame:
     return hashed.withColumn("__s", scores(model, F.col("__f"))).withColumn("__p", _softmax(F.col("__s"))).drop("__w", "__f", "__s")
 
 
-def _rate(p: Column, prices: list[float]) -> Column:
-    """1 - p . prices, in 0 to MAX_RATE"""
-    cost = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in prices]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), 1 - cost))
+def rates(p: Column, steps: Steps) -> Column:
+    """A document's rate after the steps: each moves it along its posteriors, and no rate falls below zero."""
+    if not steps:
+        return F.lit(1.0)
+    history = F.array(*[F.array(*[F.lit(float(v)) for v in (*pull, drift)]) for pull, drift in steps])
+    domains = range(len(steps[0][0]))
 
+    def step(state: Column, h: Column) -> Column:
+        moved = state["rate"] + F.element_at(h, len(domains) + 1) * (state["rate"] - state["before"])
+        moved -= sum((F.element_at(p, k + 1) * F.element_at(h, k + 1) for k in domains), F.lit(0.0))
+        return F.struct(F.greatest(F.lit(0.0), moved).alias("rate"), state["rate"].alias("before"))
 
-def _fall(p: Column, prices: list[float]) -> Column:
-    """Twice the part of the convex function that a token has: its derivative by the unclipped rate is the rate, doubled."""
-    cost = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in prices]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rate = _rate(p, prices)
-    return rate * rate + F.greatest(F.lit(0.0), 1 - cost - MAX_RATE) * (2 * MAX_RATE)
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+    return F.aggregate(history, start, step, lambda s: s["rate"])
 
 
 def fit_rates(cells: DataFrame, targets: list[float], budget: float = 1.0) -> Fit:
-    """Scaled projected-gradient steps over ``cells`` (p array, tokens).
+    """Nonnegative rates of ``cells`` (p array, tokens) by projected gradient: the least squares of the domain totals' errors.
 
     ``targets`` are weights of the domains in ``budget`` times the tokens that
-    there are. What falls is a convex function of the prices whose gradient is
-    the error of the domain totals. Where no rates of 0 to MAX_RATE reach the
-    targets (a domain without tokens, posteriors that hardly part), the nearest
-    totals are weighed against rates near one. A first fit that doesn't settle in
-    STEPS sums is an error; a later one is given up.
+    there are. All rates begin at one. A step sums the totals over all cells,
+    and moves every rate against the gradient, divided by its tokens (a diagonal
+    scaling) and by the greatest eigenvalue of the domains' Gram matrix, which
+    bounds the curvature. Steps begin past the rates by a share of the last step,
+    a momentum that grows until an error does. The steps end when every total is within NEAR of its target, or when
+    the error falls no more: then no nonnegative rates reach the targets (a
+    domain without tokens, posteriors that hardly part), and the totals are the
+    nearest. After STEPS steps the rates are what they are (``settled`` is false).
     """
     n = range(len(targets))
-    rate, kept = F.col("rate"), F.col("tokens") * F.col("rate")
-    sums = [F.sum(kept * F.element_at("p", k + 1)).alias(f"t{k}") for k in n]
-    sums += [F.sum(F.when((rate > 0) & (rate < MAX_RATE), F.col("tokens") * F.element_at("p", j + 1) * F.element_at("p", k + 1))).alias(f"g{j}_{k}") for j in n for k in n if j <= k]
-
-    def at(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        # a number a domain and pair of domains
-        rated = cells.withColumn("rate", _rate(F.col("p"), prices.tolist()))
-        r = rated.agg(*sums, F.sum(F.col("tokens") * _fall(F.col("p"), prices.tolist())).alias("q")).first()
-        value = lambda name: float(r[name] or 0.0)
-        return np.array([value(f"t{k}") for k in n]), np.array([[value(f"g{min(j, k)}_{max(j, k)}") for k in n] for j in n]), value("q")
-
-    prices = np.zeros(len(targets))
-    start = at(prices)
-    natural, whole = start[0].tolist(), max(float(start[0].sum()), 1.0)
-    wanted = np.array(targets) / sum(targets) * budget * sum(natural)
-    fits: list[Fit] = []
-    for near_one in NEAR_ONE:
-        found = _settle(at, prices, start, wanted, whole, near_one)
-        if found is None:
-            break
-        prices, start = found
-        fits.append(Fit(prices.tolist(), natural, wanted.tolist(), start[0].tolist()))
-        if np.abs(start[0] - wanted).max() < SETTLED * whole:
+
+    def at(rate: Column) -> np.ndarray:
+        # a number a domain
+        r = cells.agg(*[F.sum(F.col("tokens") * rate * F.element_at("p", k + 1)).alias(f"t{k}") for k in n]).first()
+        return np.array([float(r[f"t{k}"] or 0.0) for k in n])
+
+    pairs = {(j, k): F.sum(F.col("tokens") * F.element_at("p", j + 1) * F.element_at("p", k + 1)).alias(f"g{j}_{k}") for j in n for k in n if j <= k}
+    first = cells.agg(*pairs.values()).first()
+    gram = np.array([[float(first[f"g{min(j, k)}_{max(j, k)}"] or 0.0) for k in n] for j in n])
+    curve = max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+    natural = at(F.lit(1.0))
+    wanted = np.array(targets) / sum(targets) * budget * natural.sum()
+    enough = NEAR * np.maximum(wanted, natural.sum() / 1000)
+    steps: Steps = []
+    found, before, drift, pace, errors, settled = natural, natural, 0.0, 1.0, [np.inf], False
+    while len(steps) < STEPS:
+        off = found - wanted
+        error = float(off @ off)
+        if error > errors[-1]:
+            pace, drift = 1.0, 0.0
+        errors.append(error)
+        near = bool((np.abs(off) <= enough).all())
+        still = len(errors) > PATIENCE + 1 and min(errors[:-PATIENCE]) - min(errors[-PATIENCE:]) <= STILL * min(errors)
+        if near or still:
+            settled = True
             break
-    if not fits:
-        raise RuntimeError(f"rates didn't settle in {STEPS} sums of {wanted.tolist()} tokens")
-    near = max(abs(a - b) for a, b in zip(fits[-1].reached, fits[-1].wanted, strict=True)) <= REACHED * whole
-    return fits[-1] if near else fits[0]
-
-
-def _settle(at: Callable, prices: np.ndarray, now: tuple, wanted: np.ndarray, whole: float, near_one: float) -> tuple[np.ndarray, tuple] | None:
-    """Prices at which the convex function is least, and the sums there; None if STEPS sums don't get there."""
-    ridge, far = near_one * whole, 1.0
-    for _ in range(STEPS):
-        found, gram, squares = now
-        gradient = wanted - found + ridge * prices
-        if np.abs(gradient).max() < SETTLED * whole:
-            return prices, now
-        step = -far * np.linalg.solve(gram + ridge * np.eye(len(prices)), gradient)
-        tried = at(prices + step)
-        fall = (squares - tried[2]) / 2 - step @ wanted - ridge * (step @ prices + step @ step / 2)
-        if fall >= -1e-4 * (step @ gradient) - 1e-12 * squares:
-            prices, now, far = prices + step, tried, min(1.0, 4 * far)
-        else:
-            far /= 4
-    return None
+        # totals are linear in the rates, so they are known where the step begins
+        pull = found + drift * (found - before) - wanted
+        steps.append(([float(x) for x in pull / curve], drift))
+        found, before = at(rates(F.col("p"), steps)), found
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        drift, pace = (pace - 1) / faster, faster
+    return Fit(steps, natural.tolist(), wanted.tolist(), found.tolist(), settled)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], budget: float = 1.0, seed: int = 7) -> tuple[DataFrame, Fit]:
@@ -261,8 +251,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     a hash of id and text, so the expected totals are the fitted ones. Null and
     empty texts have no tokens and the prior's posteriors; texts of any length
     are read whole. Repeated rows get the same copies each. An empty table gives
-    an empty result. No column of ``docs`` is touched; names that begin with two
-    underscores are this module's own.
+    an empty result. No column of ``docs`` is touched; names with dots, and those
+    that begin with two underscores, are for ``draw`` to shelter.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     # texts are read for their words once; what is kept is written
@@ -271,7 +261,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     placed = scratch.keep(placed.select(*keep, "__tokens", "__p", "__chance"), "placed")
     cells = scratch.keep(placed.groupBy(F.col("__p").alias("p")).agg(F.sum("__tokens").alias("tokens")).coalesce(8), "cells")
     found = fit_rates(cells, list(targets.values()), budget)
-    rated = placed.withColumn("__rate", F.round(_rate(F.col("__p"), found.prices), 6))
+    # a rate for each cell of rounded posteriors, joined back
+    of_cell = scratch.keep(cells.select(F.col("p").alias("__cell"), F.round(rates(F.col("p"), found.steps), 6).alias("__rate")), "rates")
+    rated = placed.join(of_cell, F.col("__p") == F.col("__cell")).drop("__cell")
     return rated.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).drop("__chance"), found
 
 
@@ -298,5 +290,6 @@ def mix_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns and as many copies as their rates say; odd rows as in ``mix``."""
-    mixed, _ = mix(docs, domain_rows(labels), targets or FILTERED_TARGETS, docs.columns, budget)
-    return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    inner, named = sheltered(docs)
+    mixed, _ = mix(inner, domain_rows(labels), targets or FILTERED_TARGETS, inner.columns, budget)
+    return named(mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))

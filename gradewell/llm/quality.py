@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.samples import sample_ids, sample_texts
+from gradewell.llm.shared import sheltered
 
 #: The model is fitted on at most so many labelled texts a class, of at most so many characters together.
 SAMPLE_PER_LABEL = 3000
@@ -145,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns.
 
     Nulls, empty and long texts, repeated rows and empty tables as in
-    ``classify``; no column of ``docs`` is touched, whatever its name but
-    ``__score``.
+    ``classify``; no column of ``docs`` is touched, whatever its name.
     """
-    return docs.withColumn("__score", score_column(train(docs, labels))).where(F.col("__score") >= THRESHOLD).drop("__score")
+    inner, named = sheltered(docs)
+    return named(inner.withColumn("score", score_column(train(inner, labels))).where(F.col("score") >= THRESHOLD))

@@ -66,7 +66,7 @@ def _spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def update_ledger(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """Scan what the ledger hasn't seen; return all findings of these rules: blob_id, rule, start, stop.
+    """Scan what the ledger hasn't seen; return these rules' findings in these texts: blob_id, rule, start, stop.
 
     ``paths``: doc_id, text; null text is empty. The findings are written before
     the pairs are marked as seen, so an interrupted run scans them again.
@@ -75,8 +75,9 @@ def update_ledger(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_
     versions = [r.version for r in rules]
     text = F.coalesce("text", F.lit(""))
     named = paths.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob_id"))
+    standing = exists(spark, f"{ledger}/scanned")
     blobs = named.groupBy("blob_id").agg(F.min("doc_id").alias("doc_id")).withColumn("todo", F.array(*map(F.lit, versions)))
-    if exists(spark, f"{ledger}/scanned"):
+    if standing:
         seen = spark.read.parquet(f"{ledger}/scanned").select("blob_id", F.explode("rules").alias("rule")).where(F.col("rule").isin(versions))
         seen = seen.groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob_id", "left").withColumn("todo", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
@@ -87,7 +88,10 @@ def update_ledger(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_
     todo = named.alias("n").join(unseen.alias("u"), same).select("n.blob_id", "n.text", "u.todo")
     _spans(todo, rules).write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob_id", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
-    found = spark.read.parquet(f"{ledger}/findings").select("blob_id", F.explode("spans").alias("s"))
+    found = spark.read.parquet(f"{ledger}/findings")
+    if standing:  # of all that was ever found only this run's blobs
+        found = found.join(named.select("blob_id"), "blob_id", "left_semi")
+    found = found.select("blob_id", F.explode("spans").alias("s"))
     return found.select("blob_id", "s.rule", "s.start", "s.stop").where(F.col("rule").isin(versions)).distinct()
 
 
@@ -100,8 +104,9 @@ def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES) ->
 
     doc_id, n_<kind> for each rule, base_sha256 (of the spans of BASE_RULES
     alone), spans: kind:start:stop in code points, end exclusive, by start and
-    then the rules' order, comma-joined (empty if there are none). Null text is empty; repeated rows and equal texts
-    are scanned once and reported on every row; an empty table gives none.
+    then the rules' order, comma-joined (empty if there are none). Null text is
+    empty; equal texts are scanned once and reported on every row; texts of any
+    length are scanned whole; an empty table gives none.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.version), F.struct(F.lit(i).alias("at"), F.lit(r.kind).alias("kind")))])
     found = update_ledger(paths, ledger, rules)

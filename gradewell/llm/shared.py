@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,12 @@ def clear(spark: SparkSession, since: int = 0) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def sheltered(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with plain names for all columns but those that are needed, and what gives a result of them its names back.
+
+    So columns may have any name: with dots, like an operator's own, or several alike.
+    """
+    inner = [c if c in needed else f"kept_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda found: found.select(*inner).toDF(*docs.columns)
