@@ -8,11 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.operators import gaps, pairing, providers, rubric, splits
+from gradewell.functions.text import code_lines
+from gradewell.operators import annotate, assembly, diffs, gaps, pairing, providers, rubric, splits
 from gradewell.operators.annotate import hint_document_violations
+from gradewell.operators.contracts import segment_violations
 from gradewell.plans import catalog
 from gradewell.session import build_session
 from gradewell.sources import archives, files
+from gradewell.sources.bucketed import BucketTable
 
 SEGMENTS = "matches_problem boolean, text string, algorithm string, data_structures array<string>, key_operations array<string>, potential_issues array<string>"
 
@@ -58,7 +61,11 @@ def pairs(spark: SparkSession, a: argparse.Namespace) -> None:
     made = pairing.cross_author_pairs(rows.where(~ok).select(*keys, "author", F.col("file").alias("failing")), rows.where(ok).select(*keys, "author", F.col("file").alias("passing")), keys, "author", a.max_pairs_per_problem, a.seed, "failing", "passing")
     resume = not a.no_resume and a.out and files.exists(spark, a.out)
     if resume:
-        made = pairing.not_done(made, _read(spark, a.out), [*keys, "failing", "passing"])
+        done = _read(spark, a.out)
+        had = done.groupBy("problem").agg(F.count("*").alias("had"))
+        made = pairing.not_done(made, done, [*keys, "failing", "passing"]).join(had, "problem", "left")
+        # what earlier runs left of a problem's budget; the new pairs of a problem are at most the cap for each language
+        made = pairing.top_by(made, ["problem"], a.max_pairs_per_problem - F.coalesce("had", F.lit(0)), "language", "failing", "passing").drop("had")
     print("pairs:", _write(made, a.out, append=bool(resume)))
 
 
@@ -100,13 +107,70 @@ def chat(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(providers.chat(rows, "system", "user", providers.EchoChat, pause=0), a.out)
 
 
+def filter_problems(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rows (problem_id, ...) and problems (problem_id, n_solutions, languages) -> the rows of problems with enough solutions."""
+    rows, problems = _read(spark, a.rows), _read(spark, a.problems, "problem_id string, n_solutions long, languages array<string>")
+    decisions = files.kept(assembly.problem_decisions(rows, problems, a.min_solutions))
+    n, kept = decisions.agg(F.count("*"), F.count_if("kept")).first()
+    print(f"kept {kept}/{n} problems; {_write(assembly.rows_of_kept(rows, decisions), a.out)}/{rows.count()} rows")
+    if a.decisions:
+        _write(decisions, a.decisions)
+
+
+def assemble(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Hint rows of one or two sources -> samples with train, val or test, and counts by problem."""
+    silver, bootstrap = _read(spark, a.silver), None if a.bootstrap is None else _read(spark, a.bootstrap)
+    mixed = files.kept(assembly.assembled(silver, bootstrap, a.silver_ratio if a.no_use_all else None, a.train_frac, a.val_frac, a.seed, a.key))
+    for name in assembly.SPLITS:
+        print(f"{name}:", _write(mixed.where(F.col("split") == name).drop("split"), None if a.out is None else f"{a.out}/{name}"))
+    _write(assembly.split_counts(mixed, "problem_id"), None if a.out is None else f"{a.out}/stats")
+
+
+def sample(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Attempts (problem, author, file, score) -> failing ones to ask a model about, so many of each problem."""
+    rows = _chosen(_read(spark, a.attempts), "problem", a.problems).where("score < 99.999")
+    some = assembly.sampled(rows, "problem", a.per_problem, a.seed, "file")
+    _write(some.orderBy("problem", "file").limit(a.limit) if a.limit else some, a.out)
+
+
+def segments(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Segment records (problem, file, segments as JSON text) -> what is wrong with each, or the report of each problem."""
+    rows = _read(spark, a.records, "problem string, file string, segments string, matches boolean")
+    errors = segment_violations(F.col("segments"))
+    if not a.report:
+        _write(rows.select("problem", "file", errors.alias("errors")), a.out)
+        return
+    checked = rows.select("problem", "file", (F.size(errors) == 0).alias("passed"), F.get_json_object("segments", "$.function.algorithm").alias("algorithm"), (F.get_json_object("segments", "$.intent.matches_problem") == "false").alias("mismatch"))
+    from gradewell.operators.prompts import consistency_report
+
+    _write(consistency_report(checked, "problem").select("problem", "report"), a.out)
+
+
+def diff(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Pairs of programs (id, failing, passing) -> lines that differ, structure, excerpt and hints without a model."""
+    rows = _read(spark, a.pairs, "id string, failing string, passing string, concept string, difficulty string")
+    found = rows.select("id", "concept", "difficulty", diffs.diff_lines(code_lines(F.col("failing")), code_lines(F.col("passing"))).alias("d"))
+    _write(found.select("id", "d.*", diffs.summary(F.col("d")).alias("summary"), diffs.template_hints(F.col("d"), F.col("concept"), F.col("difficulty")).alias("hints")), a.out)
+
+
+def layout(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rows with generated_hints -> the thirteen columns of hint rows."""
+    print("rows:", _write(annotate.hint_rows(_read(spark, a.rows)), a.out))
+
+
+def store(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rows -> a stored table in which they take the place of those with the same keys."""
+    done = BucketTable(spark, a.table, a.keys.split(","), a.buckets).upsert(_read(spark, a.rows))
+    print(f"version {done.version}: {done.rows} rows in {len(done.buckets)} buckets")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gradewell", description=__doc__)
     p.add_argument("--master", default=None)
     commands = p.add_subparsers(dest="command", required=True)
 
     def add(function, *positional: str, **options) -> None:
-        c = commands.add_parser(function.__name__, help=function.__doc__)
+        c = commands.add_parser(function.__name__.removesuffix("_problems"), help=function.__doc__)
         c.set_defaults(function=function)
         for name in positional:
             c.add_argument(name)
@@ -127,6 +191,13 @@ def parser() -> argparse.ArgumentParser:
     add(split, "samples", train_frac=0.8, val_frac=0.1, seed=23, out=None)
     add(similarity, "rows", threshold=0.85, out=None)
     add(chat, "prompts", limit=0, out=None)
+    add(filter_problems, "rows", "problems", min_solutions=assembly.MIN_SOLUTIONS, out=None, decisions=None)
+    add(assemble, "silver", bootstrap=None, silver_ratio=0.3, no_use_all=False, train_frac=0.8, val_frac=0.1, seed=23, key="submission_name", out=None)
+    add(sample, "attempts", per_problem=15, seed=11, problems=None, limit=0, out=None)
+    add(segments, "records", report=False, out=None)
+    add(diff, "pairs", out=None)
+    add(layout, "rows", out=None)
+    add(store, "rows", "table", keys="problem_id", buckets=64)
     return p
 
 
