@@ -29,20 +29,27 @@ _BODY = re.compile(HEADING + r"[^\n]*\s+[A-Za-zăâîșțĂÂÎȘȚ]", re.IGNORE
 _NUMBERED = re.compile(rf"(?:^|\n)\d+\.1\s+{HEADING}", re.IGNORECASE | re.MULTILINE)
 
 
-def longest_chunks(text: str, names: list[str]) -> dict[str, str]:
-    """Each name's longest chunk: from a mention of it to the next mention of any name."""
+#: A letter, digit or underscore of any script.
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def longest_chunks(docs: DataFrame, keys: list[str], names: list[str], text: str = "text") -> DataFrame:
+    """keys, name, chunk: each name's longest chunk of a text, from a mention of it as a word to the next mention of any name.
+
+    Of equally long chunks the first. Names are found in any case and reported
+    as given; empty ones are none, and of names that differ in case alone the
+    last counts. Null and empty texts have no chunks.
+    """
     known = {n.lower(): n for n in names if n}
     if not known:
-        return {}
-    pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)", re.IGNORECASE)
-    found = list(pattern.finditer(text))
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    out: dict[str, str] = {}
-    for m, end in zip(found, ends, strict=False):
-        name, chunk = known[m[0].lower()], text[m.start() : end]
-        if len(chunk) > len(out.get(name, "")):
-            out[name] = chunk
-    return out
+        return docs.limit(0).select(*keys, F.lit("").alias("name"), F.lit("").alias("chunk"))
+    one = "(?:" + "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True)) + ")"
+    parts = F.split(text, rf"(?iu)(?<!{_WORD_CHAR})(?={one}(?!{_WORD_CHAR}))")
+    each = docs.select(*keys, F.posexplode(parts).alias("__at", "__part"))
+    found = each.withColumn("__name", F.lower(F.regexp_extract("__part", rf"(?iu)^({one})(?!{_WORD_CHAR})", 1))).where("__name <> ''")
+    longest = found.groupBy(*keys, "__name").agg(F.max(F.struct(F.length("__part").alias("n"), (-F.col("__at")).alias("at"), F.col("__part").alias("part"))).alias("x"))
+    given = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
+    return longest.select(*keys, F.element_at(given, F.col("__name")).alias("name"), "x.part").withColumnRenamed("part", "chunk")
 
 
 def _starts(text: str, low: int, high: int) -> set[tuple[int, int]]:

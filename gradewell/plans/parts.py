@@ -109,8 +109,5 @@ NAMES = ("the", "with", "und", "des", "que")
     SELECT doc_id, name, max(size)::BIGINT AS n_chars FROM m GROUP BY ALL""",
 )
 def longest_chunks(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
-    @F.pandas_udf("array<struct<name: string, chunk: string>>")
-    def split(texts):
-        return texts.map(lambda t: sorted(S.longest_chunks(t or "", list(names)).items()))
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(split("text"))).select("doc_id", "name", F.length("chunk").cast("long").alias("n_chars"))
+    found = S.longest_chunks(table(spark, sf_dir, "documents"), ["doc_id"], list(names))
+    return found.select("doc_id", "name", F.length("chunk").cast("long").alias("n_chars"))

@@ -92,7 +92,11 @@ def test_vectors(spark):
     assert v[0] == pytest.approx(0.96) and v[1] == 0.0
 
 
-def test_statements():
+def test_longest_chunks(spark):
     text = "intro sum and more\nSum is long here and goes on\nmax"
-    assert S.longest_chunks(text, ["sum", "max"]) == {"sum": "Sum is long here and goes on\n", "max": "max"}
-    assert S.longest_chunks("", ["sum"]) == {}
+    rows = [(1, text), (2, ""), (3, None), (4, "summary maxsum sum_1"), (5, "MAX a.b SUM a.b xx max.sum c++"), (6, "sum one sum two"), (7, "fără SUMă, sum-ă")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    chunks = lambda names: {(r["id"], r["name"]): r["chunk"] for r in S.longest_chunks(docs, ["id"], names).collect()}
+    assert chunks(["sum", "max", ""]) == {(1, "sum"): "Sum is long here and goes on\n", (1, "max"): "max", (5, "max"): "MAX a.b ", (5, "sum"): "SUM a.b xx ", (6, "sum"): "sum one ", (7, "sum"): "sum-ă"}
+    assert chunks(["a.b", "c++"])[(5, "a.b")] == "a.b xx max.sum " and chunks(["a.b", "c++"])[(5, "c++")] == "c++"
+    assert chunks([]) == chunks([""]) == {}
