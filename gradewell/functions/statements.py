@@ -1,34 +1,33 @@
-"""Parts of a long text that belong to one name (OP-12D to 12I)."""
+"""Parts of a long text that belong to one name (OP-12D to 12I), as column expressions.
+
+Matches of a pattern are found by splitting a text where it matches ahead, so
+places are counted in characters and no text leaves the engine.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-#: The three headers of a task and the number that each holds.
+#: The three headers of a task, whose first group is its number.
 HEADERS = (
-    r"(?P<n>\d+)\s+problema\s+(?P=n)\s*(?:\([^)]*\))?\s*:",
-    r"Problema\s+(?P<n>\d+)\s*[–\-]",
-    r"(?P<n>\d+)Bonus",
+    r"(\d+)\s+problema\s+\1\s*(?:\([^)]*\))?\s*:",
+    r"Problema\s+(\d+)\s*[–\-]",
+    r"(?<!\d)(\d+)Bonus",
 )
 #: The heading that follows a task's header, its dotted form in a table of contents, and files that name a task.
 HEADING, DOTTED, FILES, ANCHOR_FILES = "Enun", r"Enun[^\n]*\. \.", ("in", "out", "c", "cpp", "java"), ("in", "out")
 #: Characters read for the heading, before an anchor and from a start; around an anchor without a start; past an
 #: anchor before the next header counts; from a second mention.
 HEADING_WITHIN, LOOK_BACK, MOST, BEFORE, AFTER, PAST, MENTION = 500, 12_000, 8_000, 2_000, 4_000, 80, 4_000
+#: Fixed value: what shows that a heading has a body.
+BODY = HEADING + r"[^\n]*\s+[A-Za-zăâîșțĂÂÎȘȚ]"
 
-_HEADER = [re.compile(h, re.IGNORECASE) for h in HEADERS]
-_NEXT = [re.compile(r"\n" + h, re.IGNORECASE) for h in HEADERS]
-_DOTTED = re.compile(DOTTED)
-_BODY = re.compile(HEADING + r"[^\n]*\s+[A-Za-zăâîșțĂÂÎȘȚ]", re.IGNORECASE)
-_NUMBERED = re.compile(rf"(?:^|\n)\d+\.1\s+{HEADING}", re.IGNORECASE | re.MULTILINE)
-
-
+#: Any case, and classes of all scripts.
+_ANY = "(?iU)"
 #: A letter, digit or underscore of any script.
 _WORD_CHAR = r"[\p{L}\p{N}_]"
 
@@ -52,82 +51,105 @@ def longest_chunks(docs: DataFrame, keys: list[str], names: list[str], text: str
     return longest.select(*keys, F.element_at(given, F.col("__name")).alias("name"), "x.part").withColumnRenamed("part", "chunk")
 
 
-def _starts(text: str, low: int, high: int) -> set[tuple[int, int]]:
-    """(start, number) of headers inside text[low:high] whose heading follows and isn't an entry of a table of contents."""
-    found = set()
-    for header in _HEADER:
-        for m in header.finditer(text[low:high]):
-            window = text[low + m.end() : low + m.end() + HEADING_WITHIN]
-            if re.search(rf"{m['n']}\.1\s+{HEADING}", window, re.IGNORECASE) and _BODY.search(window) and not _DOTTED.search(window):
-                found.add((low + m.start(), int(m["n"])))
-    return found
+def stripped(text: Column) -> Column:
+    """Without white space at the ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), F.lit(""))
 
 
-def sections(text: str) -> list[tuple[int, int]]:
-    """(start, number) of the tasks of a text, by place."""
-    return sorted(_starts(text, 0, len(text)), key=lambda s: s[0])
+def matches(text: Column, pattern: str) -> Column:
+    """(start, found) of each place at which the pattern matches, by place."""
+    parts = F.split(text, f"{_ANY}(?={pattern})", -1)
+    whole = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, found: string>>").alias("all")),
+        lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), F.concat(s["all"], F.array(F.struct(s["at"].alias("start"), F.regexp_extract(part, rf"{_ANY}\A(?:{pattern})", 0).alias("found")))).alias("all")),
+        lambda s: s["all"],
+    )
+    # the first part need not begin with a match
+    return F.filter(whole, lambda m: m["found"] != "")
 
 
-def _file(name: str, kinds: tuple[str, ...]) -> re.Pattern:
-    return re.compile(rf"\b{re.escape(name.lower())}\.(?:{'|'.join(kinds)})\b", re.IGNORECASE)
+def task_starts(text: Column, low: Column, high: Column) -> Column:
+    """(start, number) of headers inside text[low:high] whose heading follows and isn't an entry of a table of contents, by place, each once."""
+    inside = F.substring(text, low + 1, high - low)
+    found = [F.transform(matches(inside, header), _headed(text, low, header)) for header in HEADERS]
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*found))))
 
 
-def section_chunk(text: str, name: str) -> str | None:
-    """The first task that mentions a file of the name."""
-    starts, hint = [s for s, _ in sections(text)], _file(name, FILES)
-    chunks = (text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=False))
-    return next((c.strip() for c in chunks if hint.search(c)), None) or None
+def _headed(text: Column, low: Column, header: str) -> Callable[[Column], Column]:
+    """Of a match of a header its start and number; null if no heading with a body follows."""
 
+    def check(m: Column) -> Column:
+        number = F.regexp_extract(m["found"], f"{_ANY}{header}", 1)
+        window = F.substring(text, m["start"] + F.length(m["found"]) + low + 1, F.lit(HEADING_WITHIN))
+        heads = F.regexp_like(window, F.concat(F.lit(_ANY), number, F.lit(rf"\.1\s+{HEADING}"))) & F.regexp_like(window, F.lit(_ANY + BODY)) & ~F.regexp_like(window, F.lit("(?U)" + DOTTED))
+        return F.when(heads, F.struct((m["start"] + low).cast("long").alias("start"), number.cast("long").alias("number")))
 
-def anchor_chunk(text: str, name: str) -> str | None:
-    """The text around the first mention of the name's input or output file: from the last start before it to the next header."""
-    m = _file(name, ANCHOR_FILES).search(text)
-    if not m:
-        return None
-    anchor, low = m.start(), max(0, m.start() - LOOK_BACK)
-    starts = [s for s, _ in _starts(text, low, anchor)] + [low + h.start() for h in _NUMBERED.finditer(text[low:anchor])]
-    if not starts:
-        return text[max(0, anchor - BEFORE) : anchor + AFTER].strip() or None
-    ends = [m.start() for n in _NEXT if (m := n.search(text, anchor + PAST))]
-    return text[max(starts) : min(ends, default=min(len(text), max(starts) + MOST))].strip() or None
+    return check
 
 
-def second_mention(text: Column, name: Column, chars: int = MENTION) -> Column:
-    """A fixed length from the second mention of the name as a word, or from the first if there is one only."""
-    pattern = F.concat(F.lit(r"(?iU)\b\Q"), name, F.lit(r"\E\b"))
-    before = F.split(text, pattern, 3)
-    at = F.length(before[0]) + F.when(F.size(before) > 2, F.length(name) + F.length(F.get(before, F.lit(1)))).otherwise(F.lit(0)) + 1
-    return F.when(F.size(before) > 1, F.regexp_replace(F.substring(text, at, F.lit(chars)), r"^\s+|\s+$", ""))
+def _mentions(name: Column, kinds: tuple[str, ...]) -> Column:
+    """The pattern of a name's files."""
+    return F.concat(F.lit(_ANY + r"\b\Q"), F.lower(name), F.lit(rf"\E\.(?:{'|'.join(kinds)})\b"))
 
 
-def _by_name(chunk):
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or n is None else chunk(t, n) for t, n in zip(texts, names, strict=True)], dtype=object)
+def with_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A row for each task of each text: key, start (from 0), number."""
+    starts = task_starts(F.col(text), F.lit(0), F.length(text))
+    return docs.select(key, F.inline(starts))
+
 
-    return run
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def chunk_in_sections(text: Column, name: Column) -> Column:
-    return _by_name(section_chunk)(text, name)
+    """The first task that mentions a file of the name; null if there is none."""
+    whole = F.struct(F.length(text).cast("long").alias("end"), F.transform(task_starts(text, F.lit(0), F.length(text)), lambda s: s["start"]).alias("starts"))
+
+    def first_of(w: Column) -> Column:
+        ends = F.concat(F.slice(w["starts"], 2, F.greatest(F.size(w["starts"]) - 1, F.lit(0))), F.array(w["end"]))
+        spans = F.zip_with(w["starts"], ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        named = F.filter(spans, lambda p: p["a"].isNotNull() & F.regexp_like(_cut(text, p["a"], p["b"]), _mentions(name, FILES)))
+        return _let(F.get(named, F.lit(0)), lambda p: stripped(_cut(text, p["a"], p["b"])))
+
+    return _let(whole, first_of)
+
+
+def _cut(text: Column, start: Column, end: Column) -> Column:
+    """text[start:end]"""
+    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
 def chunk_at_anchor(text: Column, name: Column) -> Column:
-    return _by_name(anchor_chunk)(text, name)
+    """The text around the first mention of the name's input or output file: from the last start before it to the next header."""
+    before = F.split(text, _mentions(name, ANCHOR_FILES), 2)
+    found = F.when(F.size(before) > 1, F.length(before[0]))
 
+    def around(anchor: Column) -> Column:
+        low = F.greatest(F.lit(0), anchor - LOOK_BACK)
+        numbered = F.transform(matches(_cut(text, low, anchor), rf"(?:\A|\n)\d+\.1\s+{HEADING}"), lambda m: (m["start"] + low).cast("long"))
+        last = F.array_max(F.concat(F.transform(task_starts(text, low, anchor), lambda s: s["start"]), numbered))
+        return _let(last, lambda start: stripped(F.when(start.isNull(), _cut(text, F.greatest(F.lit(0), anchor - BEFORE), anchor + AFTER)).otherwise(_from(anchor, start))))
 
-def cascade(text: Column, name: Column) -> Column:
-    """By task, else around the file's mention, else from the second mention; null if there is no mention."""
-    return F.coalesce(_by_name(lambda t, n: section_chunk(t, n) or anchor_chunk(t, n))(text, name), second_mention(text, name))
+    def _from(anchor: Column, start: Column) -> Column:
+        rest = F.substring(text, anchor + PAST + 1, F.length(text))
+        places = F.transform(F.array(*[F.split(rest, rf"{_ANY}\n{header}", 2) for header in HEADERS]), lambda p: F.when(F.size(p) > 1, (anchor + PAST + F.length(F.get(p, F.lit(0)))).cast("long")))
+        end = F.coalesce(F.array_min(F.array_compact(places)), F.least(F.length(text).cast("long"), start + MOST))
+        return _let(end, lambda e: _cut(text, start, e))
 
+    return _let(found, lambda anchor: F.when(anchor.isNotNull(), around(anchor)))
 
-def with_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """A row for each task of each text, in Arrow batches: key, start (from 0), number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = batch[text].map(lambda t: [] if t is None else sections(t))
-            out = batch.assign(found=found).explode("found").dropna(subset=["found"])
-            yield pd.DataFrame({key: out[key], "start": [s for s, _ in out["found"]], "number": [n for _, n in out["found"]]})
+def second_mention(text: Column, name: Column, chars: int = MENTION) -> Column:
+    """A fixed length from the second mention of the name as a word, or from the first if there is one only."""
+    pattern = F.concat(F.lit(r"(?iU)\b\Q"), name, F.lit(r"\E\b"))
+    before = F.split(text, pattern, 3)
+    at = F.length(before[0]) + F.when(F.size(before) > 2, F.length(name) + F.length(F.get(before, F.lit(1)))).otherwise(F.lit(0)) + 1
+    return F.when(F.size(before) > 1, F.regexp_replace(F.substring(text, at, F.lit(chars)), r"^\s+|\s+$", ""))
+
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, start long, number long")
+def cascade(text: Column, name: Column) -> Column:
+    """By task, else around the file's mention, else from the second mention; null if there is no mention."""
+    return F.coalesce(chunk_in_sections(text, name), chunk_at_anchor(text, name), second_mention(text, name))

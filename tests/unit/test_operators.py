@@ -6,6 +6,7 @@ import io
 import json
 import math
 import random
+import re
 import zipfile
 
 import pytest
@@ -340,18 +341,62 @@ fără titlu de enunț
 """
 
 
-def test_sections_and_chunks():
-    found = statements.sections(STATEMENT)
-    assert [n for _, n in found] == [1, 2, 3]
-    assert [STATEMENT[s:].split("\n")[0] for s, _ in found] == ["1 problema 1 (30p): Suma", "Problema 2 – Drumuri", "3Bonus"]
-    assert statements.section_chunk(STATEMENT, "sum").startswith("1 problema 1 (30p)") and statements.section_chunk(STATEMENT, "sum").endswith("de numere.")
-    assert statements.section_chunk(STATEMENT, "PATH").startswith("Problema 2") and statements.section_chunk(STATEMENT, "bonus").startswith("3Bonus")
-    assert statements.section_chunk(STATEMENT, "none") is None and statements.section_chunk("", "sum") is None
+HEADERS = [re.compile(h, re.IGNORECASE) for h in statements.HEADERS]
+
+
+def slow_starts(text, low, high):
+    found = set()
+    for header in HEADERS:
+        for m in header.finditer(text[low:high]):
+            window = text[low + m.end() : low + m.end() + 500]
+            if re.search(rf"{m[1]}\.1\s+Enun", window, re.IGNORECASE) and re.search(statements.BODY, window, re.IGNORECASE) and not re.search(statements.DOTTED, window):
+                found.add((low + m.start(), int(m[1])))
+    return sorted(found)
+
+
+def slow_section(text, name):
+    starts = [s for s, _ in slow_starts(text, 0, len(text))]
+    hint = re.compile(rf"\b{re.escape(name.lower())}\.(?:in|out|c|cpp|java)\b", re.IGNORECASE)
+    chunks = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=False)]
+    return next((c.strip() for c in chunks if hint.search(c)), None) or None
+
+
+def slow_anchor(text, name):
+    m = re.search(rf"\b{re.escape(name.lower())}\.(?:in|out)\b", text, re.IGNORECASE)
+    if not m:
+        return None
+    anchor, low = m.start(), max(0, m.start() - 12_000)
+    starts = [s for s, _ in slow_starts(text, low, anchor)] + [low + h.start() for h in re.finditer(r"(?:^|\n)\d+\.1\s+Enun", text[low:anchor], re.IGNORECASE | re.MULTILINE)]
+    if not starts:
+        return text[max(0, anchor - 2000) : anchor + 4000].strip() or None
+    nexts = [re.compile(r"\n" + h, re.IGNORECASE).search(text, anchor + 80) for h in statements.HEADERS]
+    return text[max(starts) : min((n.start() for n in nexts if n), default=min(len(text), max(starts) + 8000))].strip() or None
+
+
+def statement_texts():
+    r = random.Random(21)
+    pieces = ["1 problema 1 (30p): Suma\n", "\n1.1 Enunț\n", "Problema 2 – Drumuri", "\n2.1 Enunt\n", "\n3Bonus\n", "13Bonus", "\n3.1 ENUNȚ\nÎn 🙂 text ", "1.1 Enunț . . . . 4\n", "22 problema 2: x\n2.1 Enunț\nceva ", "Fișierul sum.in ", " PATH.out", "vezi sum.cpp; ", "\n\n5.1 Enunt ", "problema 1", "\n", "🙂" * 40, "text simplu " * 30, "\u00a0 ", "4 problema 4 (a) :\n4.1 Enunț\nbla ", "12 problema 12:\n12.1 Enunț\n\nx"]
+    out = ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(150)]
     plain = "x" * 3000 + " vezi tree.in " + "y" * 5000
-    assert statements.anchor_chunk(plain, "tree") == plain[1006:7006].strip() and statements.anchor_chunk(plain, "sum") is None
     below = "a\n2.1 Enunt\n" + "b " * 3000 + "tree.out " + "c" * 200 + "\n3Bonus\nrest"
-    assert statements.anchor_chunk(below, "tree") == below[1 : below.index("\n3Bonus")].strip()
-    assert statements.anchor_chunk(below[: below.index("\n3Bonus")] + "d" * 9000, "tree") == (below[: below.index("\n3Bonus")] + "d" * 9000)[1:8001].strip()
+    far = "\n7.1 Enunt\n" + "z" * 13_000 + " tree.in " + "w" * 9000
+    return [STATEMENT, "", plain, below, below[: below.index("\n3Bonus")] + "d" * 9000, far, far + "\nProblema 2 – x", *out]
+
+
+def test_sections_and_chunks(spark):
+    texts = statement_texts()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "id long, text string")
+    got = sorted(map(tuple, statements.with_sections(docs, "id").collect()))
+    assert got == [(k, s, n) for k, t in enumerate(texts) for s, n in slow_starts(t, 0, len(t))] and len(got) > 50
+    assert [n for k, _, n in got if k == 0] == [1, 2, 3]
+    names = ["sum", "PATH", "bonus", "none", "tree"]
+    named = docs.crossJoin(spark.createDataFrame([(n,) for n in names], "n string"))
+    found = {(r["id"], r["n"]): (r["s"], r["a"]) for r in named.select("id", "n", statements.chunk_in_sections(F.col("text"), F.col("n")).alias("s"), statements.chunk_at_anchor(F.col("text"), F.col("n")).alias("a")).collect()}
+    for k, t in enumerate(texts):
+        for n in names:
+            assert found[k, n] == (slow_section(t, n), slow_anchor(t, n)), (k, n)
+    assert all(found[-1, n] == (None, None) for n in names)
+    assert sum(s is not None for s, _ in found.values()) > 40 and sum(a is not None for _, a in found.values()) > 60
 
 
 def test_cascade_of_chunks(spark):
