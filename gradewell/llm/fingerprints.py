@@ -36,6 +36,8 @@ PERIOD, CLASSES = 4096, 256
 FIRST, SAMPLES, OCTAVES = 8, 128, 32
 #: Characters that are walked over at a time; with fewer texts than NARROW left, walks go one by one.
 BATCH_CHARS, NARROW = 4_000_000, 48
+#: Characters that are turned into classes at a time.
+PIECE_CHARS = 1_000_000
 #: Text that a task of the ordered documents reads, in bytes.
 PARTITION_BYTES = 32_000_000
 #: Bits of a band, the chance that a pair just similar enough shares none, and the rows of a tile's side.
@@ -79,9 +81,12 @@ def _bit_of() -> np.ndarray:
 
 
 def classes(text: str) -> np.ndarray:
-    """The class of each code point; those below 256 have classes of their own."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return ((points ^ (points >> 8) * 157) & 255).astype(np.uint8)
+    """The class of each code point, a piece of the text at a time; those below 256 have classes of their own."""
+    out = []
+    for at in range(0, len(text), PIECE_CHARS):
+        points = np.frombuffer(text[at : at + PIECE_CHARS].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        out.append(((points ^ (points >> 8) * 157) & 255).astype(np.uint8))
+    return np.concatenate([*out, np.zeros(0, np.uint8)])
 
 
 def walk(texts: list[np.ndarray], steps: list[int] | None = None) -> list[np.ndarray]:

@@ -239,6 +239,7 @@ def test_report_is_the_brute_force(spark, monkeypatch):
     for partition_bytes, chars, narrow in ((32_000_000, 4_000_000, 48), (20_000, 3_000, 2)):
         monkeypatch.setattr(fingerprints, "BATCH_CHARS", chars)
         monkeypatch.setattr(fingerprints, "NARROW", narrow)
+        monkeypatch.setattr(fingerprints, "PIECE_CHARS", chars)
         got = fingerprints.edited_report(frame(spark, rows), partition_bytes)
         assert got.columns == fingerprints.REPORT
         assert sorted(map(tuple, got.collect()), key=str) == want
