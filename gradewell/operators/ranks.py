@@ -44,10 +44,11 @@ def running(rows: DataFrame, keys: list[str], order: list[Column | str], sums: d
     each = placed.withColumns({"place": F.row_number().over(local) - 1, **{name: F.sum(column).over(upto) for name, column in sums.items()}})
     parts = placed.groupBy("__r_part", *keys).agg(F.count("*").alias("__r_n"), *[F.sum(column).alias(f"__r_{name}") for name, column in sums.items()])
     # one row for each group and partition
-    over, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__r_part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = Window.partitionBy(*keys).orderBy("__r_part")
+    over, earlier = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_part.rowsBetween(Window.unboundedPreceding, -1)
     held = {"__r_n": "size", **{f"__r_{name}": f"{name}_total" for name in sums}}
     offsets = parts.select(F.col("__r_part").alias("__r_p"), *[F.col(k).alias(f"__r_k_{k}") for k in keys], *[c for part, whole in held.items() for c in (F.coalesce(F.sum(part).over(earlier), F.lit(0)).alias(f"{part}_before"), F.sum(part).over(over).alias(whole))])
     on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__r_k_{k}")) for k in keys], F.col("__r_part") == F.col("__r_p"))
-    found = each.join(kept(offsets), on)
+    found = each.join(offsets, on)
     return found.select(*rows.columns, (F.col("place") + F.col("__r_n_before")).cast("long").alias("place"), "size", *[c for name in sums for c in ((F.col(name) + F.col(f"__r_{name}_before")).alias(name), F.col(f"{name}_total"))])
 

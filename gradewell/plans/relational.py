@@ -280,7 +280,8 @@ def has_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op_118_total_sort", "SELECT c_nationkey, n, row_number() OVER (ORDER BY n DESC, c_nationkey) AS place FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey)")
 def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "c_nationkey")).cast("long")).orderBy(F.desc("n"), "c_nationkey")
+    placed = running(counts, [], [-F.col("n"), "c_nationkey"]).select("c_nationkey", "n", (F.col("place") + 1).alias("place"))
+    return placed.orderBy("place")
 
 
 @register("op_119_limit", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
