@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradewell.operators.ranks import running
+from gradewell.sources.files import kept
 
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -45,7 +46,7 @@ def cross_author_pairs(failing: DataFrame, passing: DataFrame, keys: list[str],
     two levels, so a key may hold any share of the files.
     """
     # in order of authors, an author's own files stand together, so a start and a number are enough to step over them
-    placed = running(passing.select(*keys, F.col(author).alias("__other"), ok), keys, ["__other", ok]).withColumnRenamed("place", "__place")
+    placed = kept(running(passing.select(*keys, F.col(author).alias("__other"), ok), keys, ["__other", ok]).withColumnRenamed("place", "__place"))
     per_key = placed.groupBy(*keys).agg(F.count("*").alias("__n_ok"))
     own = placed.groupBy(*keys, F.col("__other").alias(author)).agg(F.min("__place").alias("__own"), F.count("*").alias("__n_own"))
     met = failing.select(*keys, author, fail).join(per_key, keys).join(own, [*keys, author], "left")
