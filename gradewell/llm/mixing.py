@@ -305,8 +305,18 @@ def mix_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     return mixed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tokens").alias("n_tokens"), *shares, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
-def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The mixed rows of ``docs``, with all their columns and as many copies as their rates say; odd rows as in ``mix``."""
+def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, spare: bool = False) -> DataFrame:
+    """The mixed rows of ``docs``, with all their columns and as many copies as their rates say; odd rows as in ``mix``.
+
+    With ``spare`` a document that is likeliest to be of a domain that isn't to
+    be thinned (the first of equally likely ones) has one copy at least, whatever
+    its rate: where posteriors hardly part, least squares drop documents of all
+    domains, and this keeps those that nothing speaks against.
+    """
     inner, named = sheltered(docs)
-    mixed, _ = mix(inner, domain_rows(labels), targets or FILTERED_TARGETS, inner.columns, budget)
-    return named(mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))
+    mixed, found = mix(inner, domain_rows(labels), targets or FILTERED_TARGETS, inner.columns, budget)
+    copies = F.col("__copies")
+    if spare:
+        whole = [k + 1 for k, (want, have) in enumerate(zip(found.wanted, found.natural, strict=True)) if want >= have]
+        copies = F.when(F.array_position("__p", F.array_max("__p")).isin(whole), F.greatest(copies, F.lit(1))).otherwise(copies)
+    return named(mixed.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))

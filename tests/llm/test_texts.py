@@ -450,6 +450,11 @@ def test_mixing_by_brute_force(spark):
     drawn = mixing.draw(docs, labels, targets, 1.1)
     assert drawn.columns == docs.columns and drawn.count() == got["copies"].sum()
     assert mixing.draw(docs.limit(0), labels).isEmpty() and mixing.mix_report(docs.limit(0), labels).isEmpty()
+    spared = mixing.draw(docs, labels, targets, 1.1, spare=True).groupBy("doc_id", "text").count().toPandas()
+    likely = got.loc[got[shares].to_numpy().argmax(axis=1) == 0].dropna(subset="doc_id")  # of the three domains only clean text is to grow
+    natural = (p * tokens[:, None]).sum(axis=0)
+    assert (np.array(list(targets.values())) * 1.1 * tokens.sum() >= natural).tolist()[0] and set(likely["doc_id"]) <= set(spared["doc_id"].dropna())
+    assert spared["count"].sum() >= drawn.count()
     assert mixing.mix_report(docs, labels.limit(0)).count() == len(got)
     long = [r["n_tokens"] for r in mixing.mix_report(frame(spark, [*rows, *((9000 + k, t) for k, (_, t) in enumerate(ODD))]), labels).where("doc_id >= 9000").orderBy("doc_id").collect()]
     assert long == [brute_features(t)[1] for _, t in ODD] and max(long) == 30_000
