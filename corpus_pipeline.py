@@ -42,9 +42,12 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: clean text is repeated and toxic text is thinned as the fitted rates say; rows that repeat id and text alike."""
+    """Operator 7: clean text is repeated and toxic text is thinned as the fitted rates say; rows that repeat id and text alike.
+
+    A document that is likelier clean than toxic keeps one copy at least.
+    """
     ship_package(spark)
-    return mixing.draw(docs, table(spark, sf_dir, "labels"))
+    return mixing.draw(docs, table(spark, sf_dir, "labels"), spare=True)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
