@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gradewell.llm import catalog, divergence, fingerprints, search
 from gradewell.llm.terms import LETTERS, LETTERS_AND_DIGITS, term_lists
 
-from .data import EXTRA, ODD, edited, frame, prose
+from .data import EXTRA, HAVE_TABLES, ODD, SF, edited, frame, prose
 
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}, term string, value int, rank int, chunk int, item string, other int"
 _EXTRA = (1, 2, 3, 4, "w", 5, 6, 7, "t", 1, 1, 1, "i", 1)
@@ -303,5 +303,21 @@ def brute_components(rows, least):
     return [(d, None if d is None else root(d)) for d, _ in rows]
 
 
+@pytest.mark.skipif(not HAVE_TABLES, reason="needs the test tables")
+def test_report_of_the_tables_beside_sql(spark):
+    """What SQL can say of operator 11: the edited text's digest, and the order of documents."""
+    import duckdb
+
+    found = catalog.queries()["op11_edit_fingerprints"](spark, SF).toPandas().set_index("doc_id")
+    want = duckdb.sql(f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{SF}/documents.parquet'),
+        n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
+        SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 3) || left(f, length(t) // 3)) AS edited_sha256, t FROM n""").df().set_index("doc_id")
+    assert len(found) == len(want) and (found[["n_chars", "edited_sha256"]] == want[["n_chars", "edited_sha256"]].loc[found.index]).all().all()
+    assert (found["near_edited"] > found["near_next"]).mean() > 0.99
+    assert found.groupby(want["t"].loc[found.index])["fingerprint"].nunique().max() == 1
+    assert found["fingerprint"].nunique() == want["t"].nunique()
+
+
 def test_registered():
     assert {"op11_edit_fingerprints", "op12_source_divergence", "op13_ranked_search"} <= set(catalog.queries())

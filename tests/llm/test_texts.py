@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradewell.llm import exact_dedup, html_blocks, html_text, language, lm_scores, minhash, mixing, packing, quality, samples, secrets, shared
+from gradewell.llm import catalog, exact_dedup, html_blocks, html_text, language, lm_scores, minhash, mixing, packing, quality, samples, secrets, shared
 from gradewell.llm.shared import Scratch
 from gradewell.llm.tokens import encoder
 from gradewell.session import table
@@ -733,14 +733,12 @@ def test_stages_on_odd_rows_with_clashing_columns(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op3_minhash_near_dedup", "op6_secret_scan", "op8_lm_scores", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_queries_beside_their_sql(spark, name):
     import duckdb
 
-    from gradewell.llm import catalog
-
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = catalog.queries()[name](spark, SF)
     columns = sorted(found.columns)
