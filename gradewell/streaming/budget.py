@@ -79,6 +79,11 @@ def within_budget(rows: DataFrame, key: str, ident: str, cap: int, done: DataFra
 def append_within_budget(rows: DataFrame, key: str, ident: str, cap: int, target: str, checkpoint: str, done: DataFrame | None = None) -> StreamingQuery:
     """Append what the budgets allow to JSON lines at ``target``; the target is never read, and a restart goes on where the last run ended."""
     spark: SparkSession = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    made = within_budget(rows, key, ident, cap, done)
-    return made.writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, STATE_STORE)  # a query keeps the settings that it was started with
+    try:
+        made = within_budget(rows, key, ident, cap, done)
+        return made.writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
