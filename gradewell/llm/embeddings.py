@@ -1,15 +1,18 @@
 """Near-duplicate vectors by quantised tile products (operator 1).
 
-Vectors that are equal are one node with a weight. Up to EXACT_ROWS nodes, every
-tile of all pairs is compared. Beyond, random hyperplanes put nodes into buckets
-of a few thousand, in as many tables as it takes for a pair at the threshold to
-meet with a stated probability. A bucket's rows are dealt over blocks and
-compared tile by tile: vectors are quantised to int8, one matrix product gives
-all their dot products, and the length of each vector's own quantisation error
-bounds how far a product can be off. Only pairs that may be above the threshold
-and aren't surely so are computed again in double precision. A pair counts in
-the first table in which it meets, so a tile needs to report no pair: it gives
-each node's number of links and a spanning forest.
+Vectors that are equal are one node with a weight. Nodes are packed into blocks,
+and every two blocks of all are compared as a tile, whatever their number, so no
+link is missed at any size. Vectors are quantised to int8, one matrix product
+gives all their dot products, and the length of each vector's own quantisation
+error bounds how far a product can be off. Only pairs that may be above the
+threshold and aren't surely so are computed again in double precision. A tile
+needs to report no pair: it gives each node's number of links and a spanning
+forest. Blocks are read where they lie, none is copied for its tiles.
+
+A caller that asks for it (``exact_rows``) gets buckets instead beyond a number of
+nodes: random hyperplanes deal nodes into buckets of a few thousand, in as many
+tables as it takes for a pair at the threshold to meet with a stated probability.
+A pair then counts in the first table in which it meets.
 """
 
 from __future__ import annotations
@@ -26,10 +29,14 @@ from pyspark.sql import functions as F
 from gradewell.llm.components import components
 from gradewell.llm.shared import Scratch
 
-#: Up to so many distinct vectors all pairs are compared; a vector then is in as many tiles as there are blocks.
+#: Where buckets are asked for: up to so many distinct vectors all pairs are compared all the same.
 EXACT_ROWS = 65_536
-#: Fewer than so many blocks would be few tasks; more copy each vector more often.
-EXACT_BLOCKS = 4
+#: Rows of a block of all pairs at most, of small tables at least, and how many blocks small tables are cut into.
+PACK_ROWS, LEAST_PACK, PACKS = 8192, 1024, 16
+#: Bytes of a block's vectors; of very long ones, LEAST_PACK / 4 rows.
+PACK_BYTES = 4_000_000
+#: Rows and columns of a product that are looked through at once: they stay in a core's cache.
+PIECE_ROWS, PIECE_COLUMNS = 512, 1024
 #: Rows that an average bucket holds beyond, and the most rows of a tile's side.
 BUCKET_ROWS = 2048
 BLOCK_ROWS = 16_384
@@ -76,28 +83,35 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, i
     found, again = np.zeros((len(a), len(b)), dtype=bool), 0
     kind, coarse = np.float32, slack(na, nb, a.shape[1])
     right = (qb * sb[:, None]).astype(kind).T
+    pieces = [(j, np.ascontiguousarray(right[:, j : j + PIECE_COLUMNS])) for j in range(0, len(b), PIECE_COLUMNS)]
     # a row's products below the one and above the other are no link and a link, whatever the other vector's error
     most = na * eb.max() + ea * nb.max() + ea * eb.max() + coarse
     low, high = (((threshold + side * most) / sa).astype(kind) for side in (-1, 1))
-    for i in range(0, len(a), 512):
-        rows = slice(i, i + 512)
-        product = qa[rows].astype(kind) @ right
-        maybe = product >= low[rows, None]
-        sure = np.zeros_like(maybe)
-        if 8 * np.count_nonzero(maybe) > maybe.size:  # a dense group: most pairs are settled at once
-            np.greater_equal(product, high[rows, None], out=sure)
-            maybe &= ~sure
-        p, q = np.nonzero(maybe)
-        for k in range(0, len(p), 200_000):
-            x, y = p[k : k + 200_000], q[k : k + 200_000]
-            near = product[x, y].astype(np.float64) * sa[x + i]
-            bound = na[x + i] * eb[y] + ea[x + i] * nb[y] + ea[x + i] * eb[y] + coarse
+    for i in range(0, len(a), PIECE_ROWS):
+        part = qa[i : i + PIECE_ROWS].astype(kind)
+        for j, piece in pieces:
+            product = part @ piece
+            hot = np.flatnonzero(product.max(axis=1) >= low[i : i + PIECE_ROWS])
+            if not len(hot):
+                continue
+            product, of = product[hot], hot + i
+            maybe = product >= low[of, None]
+            sure = np.zeros_like(maybe)
+            if 8 * np.count_nonzero(maybe) > maybe.size:  # a dense group: most pairs are settled at once
+                np.greater_equal(product, high[of, None], out=sure)
+                maybe &= ~sure
+            p, q = np.nonzero(maybe)
+            x, y = of[p], q + j
+            near = product[p, q].astype(np.float64) * sa[x]
+            bound = na[x] * eb[y] + ea[x] * nb[y] + ea[x] * eb[y] + coarse
             link = near - bound >= threshold
             unsure = np.flatnonzero((near + bound >= threshold) & ~link)
-            link[unsure] = np.einsum("ij,ij->i", a[x[unsure] + i], b[y[unsure]]) >= threshold
+            for k in range(0, len(unsure), 200_000):
+                some = unsure[k : k + 200_000]
+                link[some] = np.einsum("ij,ij->i", a[x[some]], b[y[some]]) >= threshold
             again += len(unsure)
-            sure[x, y] = link
-        found[rows] = sure
+            sure[p, q] = link
+            found[of, j : j + PIECE_COLUMNS] = sure
     return found, again
 
 
@@ -185,37 +199,105 @@ def _deal(kind: str, tables: int, bits: int):
     return run
 
 
+def _report(found: np.ndarray, a: np.ndarray, b: np.ndarray, weights: tuple[np.ndarray, np.ndarray], same: bool) -> list[tuple]:
+    """Of a tile's links: the number of each node, and edges of a spanning forest."""
+    if not found.any():
+        return []
+    count, other = _sums(found, *weights)
+    out = [(d, None, n) for d, n in zip(a.tolist(), count.tolist(), strict=True) if n]
+    if same:
+        return out + [(int(a[x]), int(b[y]), 0) for x, y in forest(found)]
+    out += [(d, None, n) for d, n in zip(b.tolist(), other.tolist(), strict=True) if n]
+    return out + [(int(a[x]), int(b[y]), 0) for x, y in crossing(found)]
+
+
+def _met(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": np.int64, "b": "Int64", "links": np.int64})
+
+
+_MET = "a long, b long, links long"
+
+
 def _tile(kind: str, threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         number, ti, tj = int(key[1]), key[3], key[4]
         rows = rows.sort_values("doc")
         left = rows[rows["block"] == ti]
         right = left if ti == tj else rows[rows["block"] == tj]
-        out: list[tuple] = []
-        if len(left) and len(right):
-            u, v = _unit(left["vec"].tolist(), kind), _unit(right["vec"].tolist(), kind)
-            found, _ = links(u, v, threshold)
-            if ti == tj:
-                np.fill_diagonal(found, False)
-            if number:
-                ids = [np.frombuffer(b"".join(x["ids"]), dtype="<i4").reshape(len(x), -1)[:, :number] for x in (left, right)]
-                for k in range(len(found)):  # met in an earlier table
-                    q = np.flatnonzero(found[k])
-                    found[k, q] = ~(ids[0][k] == ids[1][q]).any(axis=1)
-            a, b = left["doc"].to_numpy(), right["doc"].to_numpy()
-            count, other = _sums(found, left["weight"].to_numpy(), right["weight"].to_numpy())
-            out += [(d, None, n) for d, n in zip(a.tolist(), count.tolist(), strict=True) if n]
-            if ti == tj:
-                out += [(int(a[x]), int(a[y]), 0) for x, y in forest(found)]
-            else:
-                out += [(d, None, n) for d, n in zip(b.tolist(), other.tolist(), strict=True) if n]
-                out += [(int(a[x]), int(b[y]), 0) for x, y in crossing(found)]
-        return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": np.int64, "b": "Int64", "links": np.int64})
+        if not len(left) or not len(right):
+            return _met([])
+        found, _ = links(_unit(left["vec"].tolist(), kind), _unit(right["vec"].tolist(), kind), threshold)
+        if ti == tj:
+            np.fill_diagonal(found, False)
+        if number:
+            ids = [np.frombuffer(b"".join(x["ids"]), dtype="<i4").reshape(len(x), -1)[:, :number] for x in (left, right)]
+            for k in range(len(found)):  # met in an earlier table
+                q = np.flatnonzero(found[k])
+                found[k, q] = ~(ids[0][k] == ids[1][q]).any(axis=1)
+        return _met(_report(found, left["doc"].to_numpy(), right["doc"].to_numpy(), (left["weight"].to_numpy(), right["weight"].to_numpy()), ti == tj))
+
+    return run
+
+
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row."""
+    rows = rows.sort_values("doc")
+    return pd.DataFrame({"number": [key[0]], "docs": [rows["doc"].to_numpy("<i8").tobytes()], "weights": [rows["weight"].to_numpy("<i8").tobytes()], "vecs": [b"".join(rows["vec"])]})
+
+
+def _compare(kind: str, threshold: float):
+    """The links of two packed blocks."""
+
+    def block(docs: bytes, weights: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(docs, dtype="<i8")
+        size = len(vecs) // len(ids)
+        return ids, np.frombuffer(weights, dtype="<i8"), _unit([vecs[k : k + size] for k in range(0, len(vecs), size)], kind)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                same = x.number == x.number2
+                a, wa, u = block(x.docs, x.weights, x.vecs)
+                b, wb, v = (a, wa, u) if same else block(x.docs2, x.weights2, x.vecs2)
+                found, _ = links(u, v, threshold)
+                if same:
+                    np.fill_diagonal(found, False)
+                yield _met(_report(found, a, b, (wa, wb), same))
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def _all_pairs(nodes: DataFrame, many: int, side: int, kind: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """What every two blocks of vectors of one length have in common, themselves too."""
+    of_length = F.col("dim").cast("long") * 2**32
+    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
+    placed = nodes.join(F.broadcast(sizes), "dim").select((of_length + F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("number"), "doc", "weight", "vec")
+    packed = placed.repartition(max(1, -(-many // side)), "number").groupBy("number").applyInPandas(_pack, "number long, docs binary, weights binary, vecs binary")
+    blocks = scratch.keep(packed, "blocks")
+    others = blocks.toDF(*[f"{c}2" for c in blocks.columns])
+    apart = F.col("number2") - F.col("number")
+    one_length = F.shiftright("number", 32) - F.shiftright("number2", 32) == 0
+    # of two blocks either is the left one in turn, so that tasks have as many tiles
+    once = (apart == 0) | ((apart > 0) & (apart % 2 == 0)) | ((apart < 0) & (apart % 2 != 0))
+    # each task reads its two parts of the table; nothing is shuffled
+    return blocks.join(others.hint("shuffle_replicate_nl"), one_length & once).mapInPandas(_compare(kind, threshold), _MET)
+
+
+def _bucketed(nodes: DataFrame, many: int, width: float, tables: int, bits: int, block_rows: int, kind: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """What the tiles of all buckets report."""
+    partitions = max(2, min(tables * 2**bits, max(512, int(many * tables * (width + 64) / TASK_BYTES))))
+    dealt = nodes.select("doc", "weight", "vec", "dim")
+    dealt = scratch.keep(dealt.mapInPandas(_deal(kind, tables, bits), "doc long, weight long, vec binary, dim int, ids binary, buckets array<int>"), "dealt")
+    placed = dealt.select("doc", "weight", "vec", "dim", "ids", F.posexplode("buckets").alias("number", "bucket"))
+    sizes = dealt.select("dim", F.posexplode("buckets").alias("number", "bucket")).groupBy("dim", "number", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = placed.join(sizes, ["dim", "number", "bucket"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
+    keys = ["dim", "number", "bucket", "ti", "tj"]
+    placed = placed.select(*keys, "doc", "weight", "vec", "ids", "block").repartition(partitions, *keys)
+    return placed.groupBy(*keys).applyInPandas(_tile(kind, threshold), _MET)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS, exact_rows: float = math.inf) -> DataFrame:
     """One row for each row of ``vectors`` (vec_id, embedding; other columns are not read).
 
     vec_id, n_links (other vec_ids with a cosine of at least ``threshold``, in
@@ -226,9 +308,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int
     rows count once and are reported each; of different vectors under one id
     the one with most links gives n_links, and the least component counts. An empty table gives an empty result.
 
-    No reported link is below the threshold. None is missed among at most
-    ``exact_rows`` distinct vectors; among more, a pair at the threshold is missed
-    with probability ``MISS`` at most, a closer one more rarely.
+    No reported link is below the threshold and none is missed, at any size: all
+    pairs are compared, the square of the distinct vectors. Only a caller who
+    gives ``exact_rows`` has buckets instead beyond so many distinct vectors: a
+    pair at the threshold then is missed with probability ``MISS`` at most, a
+    closer one more rarely.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
@@ -240,28 +324,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int
     nodes = scratch.keep(one.join(weights, "vec_key").select("vec_key", "x.doc", "x.vec", "x.dim", "weight"), "nodes")
     many, width = nodes.agg(F.count("*"), F.avg(F.octet_length("vec"))).first()
     tables, bits = tables_and_bits(many, threshold, exact_rows)
-    if not bits:  # small tables are spread over as many tiles as large ones
-        block_rows = min(block_rows, max(1024, -(-many // EXACT_BLOCKS)))
-    tiles = tables * 2**bits if bits else (-(-many // block_rows) + 1) ** 2 // 2
-    partitions = max(2, min(tiles, max(512, int(many * tables * ((width or 0) + 64) / TASK_BYTES))))
-    dealt = nodes.select("doc", "weight", "vec", "dim")
     if bits:
-        dealt = scratch.keep(dealt.mapInPandas(_deal(kind, tables, bits), "doc long, weight long, vec binary, dim int, ids binary, buckets array<int>"), "dealt")
-    else:  # one bucket of all, which needs no table of its own
-        dealt = dealt.withColumns({"ids": F.lit(b""), "buckets": F.array(F.lit(0))})
-    placed = dealt.select("doc", "weight", "vec", "dim", "ids", F.posexplode("buckets").alias("number", "bucket"))
-    sizes = dealt.select("dim", F.posexplode("buckets").alias("number", "bucket")).groupBy("dim", "number", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = placed.join(sizes, ["dim", "number", "bucket"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
-    keys = ["dim", "number", "bucket", "ti", "tj"]
-    placed = placed.select(*keys, "doc", "weight", "vec", "ids", "block").repartition(partitions, *keys)
-    met = scratch.keep(placed.groupBy(*keys).applyInPandas(_tile(kind, threshold), "a long, b long, links long"), "met")
+        tiled = _bucketed(nodes, many, width or 0, tables, bits, block_rows, kind, threshold, scratch)
+    else:  # how blocks are cut has no part in the result
+        side = min(block_rows, PACK_ROWS, max(LEAST_PACK, -(-many // PACKS)), max(LEAST_PACK // 4, int(PACK_BYTES / (width or 1))))
+        tiled = _all_pairs(nodes, many, side, kind, threshold, scratch)
+    met = scratch.keep(tiled, "met")
     counts = met.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     found = components(met.where("b is not null").select("a", "b"), scratch, "components")
     of_node = nodes.select("vec_key", "doc", "weight").join(counts.withColumnRenamed("a", "doc"), "doc", "left").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     of_node = of_node.select("vec_key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "doc").alias("component"))
     of_vector = usable.select("doc", "vec_key").distinct().join(of_node, "vec_key").groupBy("doc").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    scratch.drop("dealt")
+    scratch.drop("dealt", "blocks")
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_vector.withColumnRenamed("doc", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -148,6 +148,23 @@ def test_recall_beyond_the_exact_size(spark):
     assert all(some[k] <= n for k, n in every.items()) and sum(some.values()) >= 0.99 * sum(every.values()) > 0
 
 
+@pytest.mark.parametrize("cut", [{}, {"block_rows": 50}])
+def test_no_link_is_missed_at_any_size(spark, monkeypatch, cut):
+    """Beyond the size from which buckets were taken, and however blocks are cut: many pairs just above the threshold."""
+    of = embeddings.tables_and_bits
+    monkeypatch.setattr(embeddings, "tables_and_bits", lambda rows, *more: of(rows + 1_000_000, *more))
+    monkeypatch.setattr(embeddings, "MISS", 0.5)
+    r = np.random.default_rng(12)
+    u = r.standard_normal((300, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = r.standard_normal((300, 32))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([u, 0.951 * u + math.sqrt(1 - 0.951**2) * w]))]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **cut).collect()
+    assert {(x["vec_id"], x["n_links"], x["component_id"]) for x in found} == {(k, 1, k % 300) for k in range(600)}
+
+
 def test_recall_with_nine_hyperplanes(spark, monkeypatch):
     """The setting of a million rows: as many planes a table, and tables to match."""
     r = np.random.default_rng(10)
