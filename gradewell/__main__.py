@@ -12,6 +12,7 @@ from gradewell.functions.text import code_lines
 from gradewell.operators import annotate, assembly, diffs, gaps, pairing, providers, rubric, splits
 from gradewell.operators.annotate import hint_document_violations
 from gradewell.operators.contracts import segment_violations
+from gradewell.operators.tfidf import spread
 from gradewell.plans import catalog
 from gradewell.session import build_session
 from gradewell.sources import archives, files
@@ -72,6 +73,8 @@ def pairs(spark: SparkSession, a: argparse.Namespace) -> None:
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Hint sets (set_id, hints, statement, solution) -> the rubric's report."""
     sets = _read(spark, a.sets, "set_id string, hints array<string>, statement string, solution string")
+    chars = F.length(F.concat_ws(" ", "hints", "statement", "solution")) * (rubric.MAX_HINTS if a.trim else 1)
+    sets = spread(sets, ["set_id"], chars)
     _write((rubric.validate_with_retry if a.trim else rubric.validate)(sets), a.out)
 
 

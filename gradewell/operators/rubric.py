@@ -86,7 +86,7 @@ def closeness_violations(sims: Column, name: str, most: float = MAX_SIMILARITY)
     return F.array_compact(F.transform(sims, lambda s, i: F.when(s > most, F.concat(F.lit("hint"), i.cast("string"), F.lit(f"_too_close_to_{name}:"), shown(s), F.lit(f">{most}")))))
 
 
-def validate(sets: DataFrame) -> DataFrame:
+def validate(sets: DataFrame, ids: tuple[str, ...] = ("set_id",)) -> DataFrame:
     """``sets`` (set_id, hints array of texts, statement, solution) -> set_id, passed, violations, per_hint, metrics.
 
     Violations are those of the set (count, closeness to statement and solution,
@@ -94,21 +94,21 @@ def validate(sets: DataFrame) -> DataFrame:
 
     Text checks run on each hint; similarities are fitted on the texts of one
     set. Sets without hints have a count violation and zero metrics. Sets that
-    are partitioned by their id aren't moved, others once.
+    are partitioned by their id aren't moved, others once. ``ids`` name a set.
     """
     doc = lambda name, pos, text: F.struct(name.alias("doc"), pos.alias("pos"), text.alias("text"))
     anchors = F.array(*[doc(F.lit(c), F.lit(None).cast("int"), F.col(c)) for c in ("statement", "solution")])
-    texts = sets.select(F.col("set_id").alias("grp"), F.inline(F.concat(anchors, F.transform("hints", lambda h, i: doc(i.cast("string"), i, h)))))
+    texts = sets.select(*ids, F.inline(F.concat(anchors, F.transform("hints", lambda h, i: doc(i.cast("string"), i, h)))))
     own = F.when(F.col("pos").isNotNull(), F.concat(code_violations(F.col("text")), length_violations(F.col("text"))))
-    texts = texts.select("grp", "doc", "text", "pos", own.alias("own"), word_count(F.col("text")).alias("words"))
-    each = similarities(texts, ["statement", "solution"], keep=("pos", "own", "words"))
+    texts = texts.select(*ids, "doc", "text", "pos", own.alias("own"), word_count(F.col("text")).alias("words"))
+    each = similarities(texts, ["statement", "solution"], keep=("pos", "own", "words"), groups=ids)
     hint = F.when(F.col("pos").isNotNull(), F.struct("pos", "own", "sim_statement", "sim_solution", "words"))
-    found = each.groupBy("grp").agg(F.array_sort(F.collect_list(hint)).alias("h"))
+    found = each.groupBy(*ids).agg(F.array_sort(F.collect_list(hint)).alias("h"))
     of = lambda c: F.transform("h", lambda x: x[c])
     n, order = F.size("h").cast("long"), order_violations(of("sim_solution"))
     whole = F.concat(count_violations(n), closeness_violations(of("sim_statement"), "statement"), closeness_violations(of("sim_solution"), "solution"), order)
-    out = found.select(F.col("grp").alias("set_id"), n.alias("n_hints"), F.concat(whole, F.flatten(of("own"))).alias("violations"), of("own").alias("per_hint"), F.size(order).alias("n_order"), *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in (("max_sim_to_statement", F.array_max(of("sim_statement"))), ("max_sim_to_solution", F.array_max(of("sim_solution"))), ("avg_words_per_hint", F.when(n > 0, F.aggregate(of("words"), F.lit(0).cast("long"), lambda a, x: a + x) / n)))])
-    return out.select("set_id", (F.size("violations") == 0).alias("passed"), "violations", "per_hint", ((F.size("violations") > 0) & (F.size("violations") == F.col("n_order"))).alias("only_order"), "n_hints", "max_sim_to_statement", "max_sim_to_solution", "avg_words_per_hint")
+    out = found.select(*ids, n.alias("n_hints"), F.concat(whole, F.flatten(of("own"))).alias("violations"), of("own").alias("per_hint"), F.size(order).alias("n_order"), *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in (("max_sim_to_statement", F.array_max(of("sim_statement"))), ("max_sim_to_solution", F.array_max(of("sim_solution"))), ("avg_words_per_hint", F.when(n > 0, F.aggregate(of("words"), F.lit(0).cast("long"), lambda a, x: a + x) / n)))])
+    return out.select(*ids, (F.size("violations") == 0).alias("passed"), "violations", "per_hint", ((F.size("violations") > 0) & (F.size("violations") == F.col("n_order"))).alias("only_order"), "n_hints", "max_sim_to_statement", "max_sim_to_solution", "avg_words_per_hint")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 def validate_with_retry(sets: DataFrame) -> DataFrame:
     """Trim the last hint while only the order is violated: of all prefixes the longest that passes, or fails otherwise, or is one hint."""
-    each = prefixes(sets).select(F.struct("set_id", "k").alias("set_id"), F.slice("hints", F.lit(1), F.col("k")).alias("hints"), "statement", "solution")
-    checked = validate(each).withColumn("k", F.col("set_id.k")).withColumn("set_id", F.col("set_id.set_id"))
-    final = checked.where(F.col("passed") | ~F.col("only_order") | (F.col("k") == 1))
+    each = prefixes(sets).select("set_id", "k", F.slice("hints", F.lit(1), F.col("k")).alias("hints"), "statement", "solution")
+    final = validate(each, ("set_id", "k")).where(F.col("passed") | ~F.col("only_order") | (F.col("k") == 1))
     best = final.groupBy("set_id").agg(F.max(F.struct("k", "passed", "violations", "n_hints")).alias("x"))
     return best.select("set_id", "x.passed", "x.violations", "x.n_hints")

@@ -10,17 +10,18 @@ from gradewell.functions import vector as V
 from gradewell.operators import contracts as K
 from gradewell.operators import rubric as R
 from gradewell.operators.references import concept_errors
-from gradewell.operators.tfidf import similarities
+from gradewell.operators.tfidf import similarities, spread
 from gradewell.plans.catalog import register
 from gradewell.plans.scalars import HINT_SETS_SQL, hint_sets
 from gradewell.session import table
 
 
-def rubric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint sets as the rubric reads them, in one aggregation: the first user turn is the statement, the first system turn the solution."""
+def rubric_sets(spark: SparkSession, sf_dir: str, judged: int = 1) -> DataFrame:
+    """Hint sets as the rubric reads them, in one aggregation: the first user turn is the statement, the first system turn the solution; how often a set is ``judged`` makes tasks smaller."""
     first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"], F.lit(""))
     hints = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
-    sets = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("set_id")).agg(hints.alias("hints"), first("user").alias("statement"), first("system").alias("solution"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], F.length("text") * judged)
+    sets = turns.groupBy(F.col("conv_id").alias("set_id")).agg(hints.alias("hints"), first("user").alias("statement"), first("system").alias("solution"))
     return sets.withColumn("hints", F.transform("hints", lambda h: h["text"]))
 
 
@@ -193,7 +194,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.when(F.col("role") == "assistant", F.concat(F.lit("h"), "turn"))
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), "role", "turn", "text", doc.alias("doc"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], F.length("text")).select(F.col("conv_id").alias("grp"), "role", "turn", "text", doc.alias("doc"))
     first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"], F.lit(""))
     hints = F.collect_list(F.when(F.col("role") == "assistant", F.struct("doc", "text")))
     anchors = [F.struct(F.lit(name).alias("doc"), first(role).alias("text")) for name, role in (("statement", "user"), ("solution", "system"))]
@@ -250,7 +251,7 @@ SELECT conv_id, len(v) = 0 AS passed, n_hints, array_to_string(v, ';') AS violat
 
 @register("op_102_trim_and_retry", _RETRY_SQL)
 def trim_and_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.validate_with_retry(rubric_sets(spark, sf_dir))
+    found = R.validate_with_retry(rubric_sets(spark, sf_dir, R.MAX_HINTS))
     return found.select(F.col("set_id").alias("conv_id"), "passed", "n_hints", F.array_join("violations", ";").alias("violations"))
 
 

@@ -13,10 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewell.functions import statements
-from gradewell.operators import annotate, contracts, gaps, nearest, pairing, providers, references, rubric
+from gradewell.operators import annotate, contracts, gaps, nearest, pairing, providers, references, rubric, tfidf
 from gradewell.operators.diffs import diff_lines, difference, matching_blocks, summary, template_hints
 from gradewell.operators.splits import grouped_split
 from gradewell.operators.tfidf import similarities
+from gradewell.plans import checks
 from gradewell.sources import archives, files
 
 
@@ -109,6 +110,38 @@ def test_tfidf_of_equal_and_foreign_texts(spark):
     assert got["1"] == (0.0, 0.0) and got["2"] == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("query", [checks.tfidf, checks.similarity_caps, checks.rubric_report, checks.trim_and_retry, checks.metric_backfill])
+def test_tasks_of_terms_stay_small(spark, tmp_path, monkeypatch, query):
+    """Four times the text is four times the tasks, moved once; terms are sorted at most twice and what is kept of a text isn't sorted with them."""
+    monkeypatch.setattr(tfidf, "TASK_CHARS", 1000, raising=False)
+    turns = [("user", "what is asked for here"), ("system", "the words of a solution"), ("assistant", GOOD), ("assistant", GOOD + " More words.")]
+    tasks = []
+    for copies in (50, 200):
+        rows = [(k, i, role, text) for k in range(copies) for i, (role, text) in enumerate(turns)]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{copies}/conversations.parquet")
+        found = query(spark, f"{tmp_path}/{copies}")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        branches = 2 if query is checks.metric_backfill else 1
+        assert plan.count("Exchange hashpartitioning") == branches and plan.count("REPARTITION_BY_NUM") == branches
+        tasks.append(found.rdd.getNumPartitions())
+    assert 3.5 * tasks[0] <= tasks[1] <= 4.5 * tasks[0] and tasks[0] > 4
+
+
+def test_similarities_of_groups_with_several_keys(spark):
+    """Groups that several columns name, terms beyond the most that are kept, and what is kept of texts that are null or alike."""
+    texts = [("a", 1, "0", "x1 x2 x1 x3", [1]), ("a", 1, "s", "x1 x2", None), ("a", 2, "0", "x1 x2", [2]), ("a", 2, "s", "y1 y2", None), (None, 1, "0", None, [3]), (None, 1, "s", "x1", None)]
+    rows = spark.createDataFrame(texts, "k string, j int, doc string, text string, own array<int>")
+    found = similarities(rows, ["s"], keep=("own",), groups=("k", "j")).collect()
+    assert sorted((x["k"] or "", x["j"], x["doc"], x["own"]) for x in found if x["doc"] == "0") == [("", 1, "0", [3]), ("a", 1, "0", [1]), ("a", 2, "0", [2])] and len(found) == 6
+    sims = {(x["k"], x["j"], x["doc"]): x["sim_s"] for x in found}
+    idf = math.log(3 / 2) + 1
+    long, short = [2.0, 1.0, idf, 1.0, idf, idf], [1.0, 1.0, 1.0]  # x1, x2, x3, x1 x2, x2 x1, x1 x3; the short one's are x1, x2, x1 x2
+    assert sims["a", 1, "0"] == pytest.approx(4.0 / math.hypot(*long) / math.hypot(*short)) and sims["a", 1, "s"] == pytest.approx(1.0)
+    assert sims["a", 2, "0"] == 0.0 and sims[None, 1, "0"] == 0.0
+    first = similarities(rows.where("j = 1 AND k IS NOT NULL"), ["s"], max_features=1, groups=("k", "j")).collect()
+    assert {x["doc"]: x["sim_s"] for x in first} == {"0": pytest.approx(1.0), "s": pytest.approx(1.0)}
+
+
 SETS = "set_id long, hints array<string>, statement string, solution string"
 GOOD = "Think about the order of the items."
 
