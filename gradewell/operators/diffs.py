@@ -11,7 +11,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -141,11 +140,14 @@ def difference(old: list[str], new: list[str]) -> tuple:
     return sum(map(len, added)), sum(map(len, removed)), added, removed, _more(before, after), _more(after, before), excerpt if len(excerpt) <= EXCERPT else excerpt[:EXCERPT] + CUT, ratio
 
 
-@F.pandas_udf(DIFF)
-def diff_lines(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Struct of the difference of two arrays of normalised lines (see functions.text.code_lines)."""
-    rows = [difference([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(old, new, strict=True)]
-    return pd.DataFrame(rows, columns=DIFF.names)
+@F.udf(DIFF, useArrow=False)
+def diff_lines(old: list[str] | None, new: list[str] | None) -> tuple:
+    """Struct of the difference of two arrays of normalised lines (see functions.text.code_lines).
+
+    Row by row: a task holds a hundred rows' lines at a time, where a batch of
+    columns would hold thousands, each line an object of its own.
+    """
+    return difference(old or [], new or [])
 
 
 def summary(d: Column) -> Column:

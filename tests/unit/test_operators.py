@@ -184,6 +184,17 @@ def test_two_decimals_are_those_of_the_exact_number(spark):
     assert all(x["s"] == f"{x['v']:.2f}" for x in rows)
 
 
+def test_differences_hold_few_rows_at_a_time(spark):
+    """Row by row, not thousands of rows' lines in a batch of columns; and the same results."""
+    r = random.Random(5)
+    pairs = [([r.choice("abcdef") for _ in range(r.randrange(9))], [r.choice("abcdef") for _ in range(r.randrange(9))]) for _ in range(300)] + [(None, ["a"]), (["a"], None), (None, None)]
+    found = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", diff_lines("a", "b").alias("d"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = found.collect()
+    assert len(rows) == len(pairs) and all(tuple(x["d"]) == difference(x["a"] or [], x["b"] or []) for x in rows)
+
+
 def test_a_set_is_judged_at_most_four_times(spark):
     rows = [(1, ["h"] * 500, "s", "c"), (2, [], "s", "c"), (3, ["h"], "s", "c"), (4, ["h"] * 4, "s", "c")]
     sets = spark.createDataFrame(rows, SETS)
