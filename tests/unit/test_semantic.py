@@ -136,3 +136,28 @@ def test_means_and_matrices_of_groups(spark, monkeypatch, tile):
         own = [s for (g, h, _, _), s in pairs.items() if (g, h) == key]
         assert means[key][1] == pytest.approx(sum(own) / len(own), abs=1e-7) and means[key][0] * (means[key][0] - 1) == len(own)
     assert semantic.pairwise(frame.limit(0), ["g", "h"], "i", "v").isEmpty() and semantic.mean_likeness(frame.limit(0), ["g"], "v").isEmpty()
+
+
+def test_tiles_of_one_group_are_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "MATRIX_TILE", 4)
+    r = random.Random(8)
+    frame = spark.createDataFrame([("hot", k, [r.uniform(-1, 1) for _ in range(3)]) for k in range(64)], "g string, i long, v array<double>").repartition(4)
+    for most in ("10m", "-1"):  # also where tables aren't small enough to be sent to all tasks
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            rows = [x["count"] for x in semantic.pairwise(frame, ["g"], "i", "v").groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sum(rows) == 64 * 63 and max(rows) < 64 * 63 / 4
+
+
+@pytest.mark.parametrize("piece", [131_072, 7])
+def test_a_matrix_lies_in_the_order_of_its_cosines(spark, monkeypatch, piece):
+    monkeypatch.setattr(semantic, "MATRIX_PIECE", piece)
+    r = random.Random(9)
+    frame = spark.createDataFrame([("g", k, [r.uniform(-1, 1) for _ in range(3)]) for k in range(40)], "g string, i long, v array<double>")
+    got = [tuple(x) for x in semantic.pairwise(frame, ["g"], "i", "v").collect()]
+    assert [x[3] for x in got] == sorted(x[3] for x in got)
+    assert all((a, b, s) == (y, x, t) for (_, a, b, s), (_, x, y, t) in zip(got[::2], got[1::2], strict=True))
+    assert {x[1:3] for x in got} == {(a, b) for a in range(40) for b in range(40) if a != b} and len(got) == 40 * 39
