@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradewell.operators import gaps, nearest, semantic
+from gradewell.plans import catalog
+from gradewell.session import with_settings
 
 SEGMENT = "struct<matches_problem: boolean, text: string, algorithm: string, data_structures: array<string>, key_operations: array<string>, potential_issues: array<string>>"
 
@@ -161,3 +163,32 @@ def test_a_matrix_lies_in_the_order_of_its_cosines(spark, monkeypatch, piece):
     assert [x[3] for x in got] == sorted(x[3] for x in got)
     assert all((a, b, s) == (y, x, t) for (_, a, b, s), (_, x, y, t) in zip(got[::2], got[1::2], strict=True))
     assert {x[1:3] for x in got} == {(a, b) for a in range(40) for b in range(40) if a != b} and len(got) == 40 * 39
+
+
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_a_matrix_by_rows_has_the_same_pairs(spark, monkeypatch, tile):
+    for name, n in {"ROWS_TILE": tile, "ROWS_LEFT": tile - 2, "ROWS_RIGHT": 3, "ROWS_TASK": tile**2}.items():
+        monkeypatch.setattr(semantic, name, n)
+    r = random.Random(10)
+    rows = [(r.choice(["hot"] * 4 + ["k", None]), k, [r.uniform(-1, 1) for _ in range(3 if k % 6 else 2)]) for k in range(70)]
+    rows += [("hot", 100, [0.0, 0.0, 0.0]), ("hot", 101, None), ("hot", 102, [None, 1.0, 1.0]), ("one", 103, [1.0, 1.0, 1.0]), ("none", 104, [math.nan])]
+    frame = spark.createDataFrame(rows, "g string, i long, v array<double>")
+    want, got = (sorted(semantic.pairwise(frame, ["g"], "i", "v", by_row).collect(), key=str) for by_row in (False, True))
+    assert got and [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-9 for x, y in zip(got, want, strict=True))
+    assert semantic.pairwise(frame.limit(0), ["g"], "i", "v", by_row=True).isEmpty()
+
+
+def test_a_stored_matrix_is_small(spark, tmp_path):
+    r = np.random.default_rng(11)
+    spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(r.normal(size=(1500, 64)))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.getAll
+    catalog.queries()["op_132_pairwise_matrix"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.conf.getAll == before
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1500 * 1499
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3.5 * 1500 * 1499
+
+
+def test_settings_beside_a_session(spark):
+    other = with_settings(spark, {"spark.sql.shuffle.partitions": "77", "parquet.dictionary.page.size": "2000000"})
+    assert other.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert other.conf.get("parquet.dictionary.page.size") == "2000000" and spark.conf.get("parquet.dictionary.page.size", None) is None
